@@ -1,0 +1,43 @@
+import random
+
+from loomdoc.llm import secrets_scan
+
+from .conftest import same
+
+
+def test_base_spans_equal_brute_force(docs, rows):
+    got = [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in secrets_scan.digest(docs).collect()]
+    same(got, [(r[0], *secrets_scan.brute_force(r[1])) for r in rows])
+
+
+def test_patterns_letter_by_letter():
+    text = "ſecret=aaaaaaaaaaaa PASSWORD : 'abcdefghijkl' é😀 token=short Api_Key:0123456789ab AKIAAKIA AKIA12345678901234x 0123456789abcdef0"
+    spans = secrets_scan.base_spans(text)
+    assert [text[s:e] for s, k, e in spans] == ["PASSWORD : 'abcdefghijkl", "Api_Key:0123456789ab", "AKIA12345678901234", "0123456789abcdef0"]
+    assert secrets_scan.brute_force(text)[:3] == (2, 1, 1)
+
+
+def test_models_separate_held_out_samples():
+    samples = secrets_scan.labelled_samples(3000, seed=1)
+    models = secrets_scan.CharacterModels(secrets_scan.labelled_samples())
+    right = sum((models.score(t) >= secrets_scan.THRESHOLD) == bool(label) for t, label in samples)
+    assert right / len(samples) > 0.97
+
+
+def test_method_finds_what_patterns_miss(spark):
+    draw = random.Random(3)
+    token = "".join(draw.choices(secrets_scan.CLASSES[:62], k=40))
+    text = f"the value {token} stays but this_is_an_ordinary_identifier_name does not"
+    [row] = secrets_scan.digest(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert row.spans == f"random:10:{10 + 40}" and row.n_assign == row.n_hex == 0
+
+
+def test_redaction_keeps_the_rest(docs, rows):
+    got = {r.doc_id: r.text for r in secrets_scan.redact(docs).collect() if r.doc_id is not None}
+    for doc_id, text, *_ in rows:
+        if doc_id is not None and text and "api_key" in text:
+            assert "[secret] and [secret] [secret]" in got[doc_id]
+
+
+def test_empty_table(empty):
+    assert secrets_scan.digest(empty).count() == 0
