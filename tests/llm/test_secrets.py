@@ -36,7 +36,7 @@ def test_redaction_keeps_the_rest(docs, rows):
     got = {r.doc_id: r.text for r in secrets_scan.redact(docs).collect() if r.doc_id is not None}
     for doc_id, text, *_ in rows:
         if doc_id is not None and text and "api_key" in text:
-            assert "[secret] and [secret] [secret]" in got[doc_id]
+            assert "[secret]\" and [secret] [secret]" in got[doc_id]
 
 
 def test_empty_table(empty):
