@@ -22,7 +22,6 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = 0xD6E8FEB86659FD93
 
 
-
 class WorkerCache(dict):
     """A dict that travels empty: what one process has computed stays there."""
 
@@ -93,8 +92,8 @@ class Piece:
         return self.data[self.offsets[row] : self.offsets[row + 1]].tobytes()
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
-    """Cuts a string column into pieces of about limit bytes; a null is an empty text."""
+def pieces(column: pa.Array, limit: int = PIECE_BYTES, max_rows: int = 1 << 16) -> Iterator[Piece]:
+    """Cuts a string column into pieces of about limit bytes and at most max_rows rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_binary())
@@ -108,7 +107,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
     row = 0
     while row < len(column):
         stop = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        stop = min(max(stop, row + 1), len(column))
+        stop = min(max(stop, row + 1), row + max_rows, len(column))
         low, high = offsets[row], offsets[stop]
         yield Piece(row, everything[low:high], offsets[row : stop + 1] - low)
         row = stop

@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, decontaminate, line_dedup, mixing, secrets_scan
+from . import avi, decontaminate, line_dedup, mixing, neardup, quality, secrets_scan, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.digest(table(spark, folder, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, folder, "documents"))
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(table(spark, folder, "documents"))
 
@@ -29,12 +41,16 @@ def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_scan.digest(table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op10_secrets)
+    found = (op1_minhash, op2_substring_dedup, op3_quality, op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_secrets)
     return {f.__name__: f for f in found}
 
 
