@@ -137,7 +137,7 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     return joined.groupBy("shard", "source", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.words), " ").alias("text"))
 
 
-def digest(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
+def digest(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, keep_hash: bool = False) -> DataFrame:
     """One row per document: size, source_size, target of its source, and the words that the mix takes of it."""
     measured = _measured(docs)
     plan = _planned(measured, block_words)
@@ -147,4 +147,21 @@ def digest(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = S
     # Only documents with words have a start of their own; the others take nothing.
     key = F.when(F.col("size") > 0, F.col("start"))
     rows = places.withColumn("start", key).join(taken, ["source_no", "start"], "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", *["text_hash"] * keep_hash)
+
+
+def taken_documents(docs: DataFrame, **options) -> DataFrame:
+    """Documents that the mix takes words of, all columns of docs (but those of the names added), with size, source_size, target and taken."""
+    added = ["size", "source_size", "target", "taken"]
+    names = [x for x in docs.columns if x not in added]
+    found = digest(docs, keep_hash=True, **options).where("taken > 0")
+    # Equal rows have equal keys but takes of their own: the n-th of them gets the n-th take.
+    key = ["_id", "_source", "_hash"]
+    numbered = lambda df, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    takes = numbered(found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), *added), F.col("taken").desc())
+    rows = docs.select(*[F.col(f"`{x}`") for x in names], F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_hash"))
+    rows = numbered(rows, F.lit(1))
+    same = F.lit(True)
+    for x in (*key, "_n"):
+        same = same & rows[x].eqNullSafe(takes[x])
+    return rows.join(takes, same).select(*[rows[f"`{x}`"] for x in names], *[takes[x] for x in added])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, decontaminate, line_dedup, mixing, neardup, quality, secrets_scan, substring_dedup, toxicity
+from . import avi, decontaminate, line_dedup, mixing, neardup, quality, secrets_scan, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.digest(table(spark, folder, "pages"))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.digest(table(spark, folder, "documents"))
 
@@ -49,8 +53,14 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_scan.digest(table(spark, folder, "documents"))
 
 
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash, op2_substring_dedup, op3_quality, op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_secrets)
+    found = (op1_minhash, op2_substring_dedup, op3_quality, op4_warc, op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_secrets, pipeline)
     return {f.__name__: f for f in found}
 
 
