@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 # The suffix tables of the published algorithm, in its order.
 STEP_2 = "ational>ate tional>tion enci>ence anci>ance izer>ize abli>able alli>al entli>ent eli>e ousli>ous ization>ize ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble"
@@ -46,7 +45,6 @@ def _replaced(word: str, pairs: list[tuple[str, str]]) -> str:
     return word
 
 
-@lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
     """The stem of a lower-case word; words of one or two letters, and those with other signs, stay."""
     if len(word) < 3 or not (word.isascii() and word.isalpha()):

@@ -34,7 +34,9 @@ def token_array(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _stemmed(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: " " + " ".join(stem(w) for w in t.split(" ") if w) + " ")
+    words = [t.split() for t in texts]
+    stems = {w: stem(w) for w in {w for own in words for w in own}}
+    return pd.Series([" " + " ".join(stems[w] for w in own) + " " for own in words], dtype=object)
 
 
 def porter(text: Column) -> Column:
