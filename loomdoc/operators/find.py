@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,3 +80,17 @@ def find(
     if limit:
         out = out.limit(limit)
     return project(out, fields, body)
+
+
+def document_ids(found: DataFrame) -> Iterator[str]:
+    """The ids of a result, in its order, one partition at a time."""
+    return (row["_id"] for row in found.select("_id").toLocalIterator())
+
+
+def multi_get(df: DataFrame, ids: Sequence, key: str = "_id") -> DataFrame:
+    """Rows by key in the order of ids; unknown keys are skipped and repeated ones count once."""
+    if not ids:
+        raise QueryError("a list of ids is not empty")
+    # The list is the caller's own and travels with the query.
+    order = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], f"`{key}` {df.schema[key].dataType.simpleString()}, _pos int")
+    return df.join(F.broadcast(order), key).orderBy("_pos").drop("_pos")

@@ -8,9 +8,9 @@ needs a document's revisions in one task, but `paths` and `resolve`.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,22 +162,30 @@ def changes(revs: DataFrame, since: int, limit: int, current: DataFrame | None =
     return shown.join(changed, "_id").orderBy("last_sequence")
 
 
-def resolve(revs: DataFrame, resolver: Callable[[str, pd.DataFrame], str | None]) -> DataFrame:
-    """_id, kept and losers of conflicted documents, as resolver(id, its live leaves) decides.
+def resolve(revs: DataFrame, resolver: Callable[[str, list[dict]], str | None]) -> DataFrame:
+    """_id, kept and losers of conflicted documents, as resolver(id, its live leaves by revision id) decides.
 
     The resolver returns the revision id that stays; None, an unknown id or an error
-    leaves the conflict.  Only the leaves of conflicted documents are grouped.
+    leaves the conflict.  Only the leaves of conflicted documents are gathered, one row
+    per document, and resolved in Arrow batches.
     """
-    open_leaves = leaves(revs).where(~F.col("deleted")).join(conflicted(revs).select("_id"), "_id", "left_semi")
-
-    def run(leaf: pd.DataFrame) -> pd.DataFrame:
-        name = leaf["_id"].iloc[0]
-        try:
-            kept = resolver(name, leaf.sort_values("revid"))
-        except Exception:  # a resolver that fails leaves the conflict, by contract
-            kept = None
-        if kept not in set(leaf["revid"]):
-            return pd.DataFrame({"_id": [], "kept": [], "losers": []}, dtype=object)
-        return pd.DataFrame({"_id": [name], "kept": [kept], "losers": [sorted(x for x in leaf["revid"] if x != kept)]})
-
-    return open_leaves.groupBy("_id").applyInPandas(run, "_id string, kept string, losers array<string>")
+    live_leaves = leaves(revs).where(~F.col("deleted"))
+    row = F.struct("revid", "sequence", "parent", "json")
+    gathered = live_leaves.groupBy("_id").agg(F.array_sort(F.collect_list(row)).alias("leaves")).where(F.size("leaves") > 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, kept, losers = [], [], []
+            for name, own in zip(batch.column("_id").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
+                ids = [x["revid"] for x in own]
+                try:
+                    stays = resolver(name, own)
+                except Exception:  # a resolver that fails leaves the conflict, by contract
+                    stays = None
+                if stays in ids:
+                    names.append(name)
+                    kept.append(stays)
+                    losers.append([x for x in ids if x != stays])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kept, pa.string()), pa.array(losers, pa.list_(pa.string()))], ["_id", "kept", "losers"])
+
+    return gathered.mapInArrow(run, "_id string, kept string, losers array<string>")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import tokens
 from .operators import mvcc
-from .operators.find import find
+from .operators.find import find, multi_get
 from .operators.text import TextIndex, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,7 +174,7 @@ def text_in_selector(spark, folder):
 @query()
 def text_porter(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return search(docs, "reserve license", ["text"], tokens.Tokenizer("porter")).select("doc_id")
+    return search(docs, "reserving OR licensing", ["text"], tokens.Tokenizer("porter")).select("doc_id")
 
 
 def _lines(spark, folder):
@@ -268,7 +268,7 @@ def last_sequence(spark, folder):
     return mvcc.last_sequence(_events(spark, folder))
 
 
-@query("""SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS added, CAST(count(DISTINCT revid) AS BIGINT) AS distinct_revs, sum(CASE WHEN turn = last THEN 1 ELSE 0 END) AS with_body
+@query("""SELECT CAST(conv_id AS VARCHAR) AS id, count(*) AS added, CAST(count(DISTINCT revid) AS BIGINT) AS distinct_revs, CAST(sum(CASE WHEN turn = last THEN 1 ELSE 0 END) AS BIGINT) AS with_body
 FROM (SELECT conv_id, turn, (turn + 1) || '-x' AS revid, max(turn) OVER (PARTITION BY conv_id) AS last FROM (SELECT DISTINCT conv_id, turn FROM conversations)) GROUP BY conv_id""")
 def merge_history(spark, folder):
     turns = table(spark, folder, "conversations").select("conv_id", "turn").distinct()
@@ -288,7 +288,7 @@ def repair_duplicates(spark, folder):
 
 @query(f"SELECT id, max(revid) AS kept, count(*) - 1 AS lost FROM (SELECT id, revid FROM {_LINES} WHERE NOT deleted) GROUP BY id HAVING count(*) > 1")
 def resolve_conflicts_udf(spark, folder):
-    found = mvcc.resolve(_lines(spark, folder), lambda name, leaf: leaf["revid"].max())
+    found = mvcc.resolve(_lines(spark, folder), lambda name, own: max(x["revid"] for x in own))
     return found.select(F.col("_id").alias("id"), "kept", F.size("losers").cast("long").alias("lost"))
 
 
@@ -318,6 +318,59 @@ def stream_changes_latest(spark, folder):
     return latest_of_stream(revs).select(F.col("_id").alias("id"), F.col("sequence").alias("winner"), "deleted")
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def scan_paged(spark, folder):
+    return find(table(spark, folder, "orders"), {}, skip=100, limit=50, fields=["o_orderkey", "o_custkey", "o_totalprice"], sort=["o_orderkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (7, 3, 11)")
+def scan_multi_get(spark, folder):
+    return multi_get(table(spark, folder, "customer").select("c_custkey", "c_name"), [7, 3, 999_999_999, 7, 11], "c_custkey")
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events ORDER BY k DESC NULLS LAST, event_id LIMIT 25")
+def sort_variant(spark, folder):
+    bodies = table(spark, folder, "events").withColumn("body", F.parse_json("props"))
+    return find(bodies, {}, limit=25, sort=[("k", "desc"), ("event_id", "asc")]).select("event_id", F.try_variant_get("body", "$.k", "double").alias("k"))
+
+
+@query(f"SELECT id, string_agg(revid, ',' ORDER BY turn DESC) AS ancestors FROM (SELECT CAST(conv_id AS VARCHAR) AS id, turn, revid FROM {_TURNS} WHERE turn + 1 < 4) GROUP BY id")
+def possible_ancestors(spark, folder):
+    turns = _turns(spark, folder)
+    wanted = turns.select("_id", F.lit("4-unknown").alias("revid")).distinct()
+    return mvcc.possible_ancestors(turns, wanted).select(F.col("_id").alias("id"), F.array_join("ancestors", ",").alias("ancestors"))
+
+
+@query("SELECT l_orderkey AS order_key, l_linenumber AS line FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+def index_projection(spark, folder):
+    from .sources.indexes import Index, projection
+
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(F.collect_set("l_linenumber").alias("line"))
+    return projection(lines, Index("lines", ("order_key", "line")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'stub' WHEN strlen(coalesce(html, '')) <= 65536 THEN 'inline' ELSE 'follows' END AS kind FROM pages")
+def attachment_inline(spark, folder):
+    from .sources.attachments import inline
+
+    content = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
+    rows = table(spark, folder, "pages").select(
+        "page_id", F.col("page_id").cast("string").alias("_id"), F.lit("2-x").alias("revid"), F.lit("page").alias("filename"), F.octet_length(content).cast("long").alias("length"),
+        F.when(F.col("page_id") % 3 == 0, 1).otherwise(2).alias("revpos"), F.lit(1).alias("ancestor_generation"), content.alias("content"),
+    )
+    return inline(rows).select("page_id", "kind")
+
+
+@query("SELECT item_id, CAST(strlen(text) AS BIGINT) AS length, true AS same FROM benchmark")
+def attachment_codecs(spark, folder):
+    from .sources.attachments import decrypted, encrypted, gunzipped, gzipped
+
+    key, vector = F.unhex(F.lit("0f" * 16)), F.unhex(F.substring(F.md5(F.col("item_id").cast("string").cast("binary")), 1, 32))
+    coded = table(spark, folder, "benchmark").withColumn("content", F.encode("text", "UTF-8")).withColumn("stored", encrypted(gzipped("content"), key, vector))
+    read = gunzipped(decrypted("stored", key))
+    return coded.select("item_id", F.octet_length(read).cast("long").alias("length"), (read == F.col("content")).alias("same"))
+
+
 def _as_folder(spark: SparkSession, path: str) -> str:
     """A file stream reads folders: of a single file, its folder and only this name by glob."""
     jvm = spark.sparkContext._jvm

@@ -106,3 +106,38 @@ def projection(df: DataFrame, index: Index, body: str = "body") -> DataFrame:
             column = F.try_variant_get(column, "$", "string")
         columns.append(column.alias(name))
     return df.select(*columns)
+
+
+class MaterialisedIndex:
+    """An index's projection as a table that follows a store by sequence.
+
+    `refresh` replaces the rows of documents that changed since the last one; versions are
+    folders of their own, so readers of the one before are not disturbed.
+    """
+
+    def __init__(self, store, index: Index):
+        self.store, self.index = store, index
+        self.folder = f"{store.path}/index/{index.name}"
+        versions = [tuple(map(int, x.split("-"))) for x in store.files.names(self.folder) if x.count("-") == 1 and store.files.exists(f"{self.folder}/{x}/_SUCCESS")]
+        self.version, self.last_sequence = max(versions, default=(0, 0))
+
+    def table(self) -> DataFrame:
+        if not self.version:
+            raise QueryError("the index was never refreshed")
+        return self.store.spark.read.parquet(f"{self.folder}/{self.version}-{self.last_sequence}")
+
+    def refresh(self) -> DataFrame:
+        """Catches up with the store; one pass over the changed documents and one over the index."""
+        last = max(self.store.last_sequence, 0)
+        if self.version and last == self.last_sequence:
+            return self.table()
+        docs = self.store.documents()
+        if self.version:
+            changed = self.store.revs.where(F.col("sequence") > self.last_sequence).select("_id").distinct()
+            new = projection(docs.join(changed, "_id", "left_semi"), self.index)
+            new = self.table().join(changed, "_id", "left_anti").unionByName(new)
+        else:
+            new = projection(docs, self.index)
+        new.write.mode("overwrite").parquet(f"{self.folder}/{self.version + 1}-{last}")
+        self.version, self.last_sequence = self.version + 1, last
+        return self.table()

@@ -427,6 +427,11 @@ class DocumentStore:
             self._check(tree, sort, text is not None)
         return find(docs, selector, skip, limit, fields, sort, text=text)
 
+    def full_revisions(self, projected: DataFrame) -> DataFrame:
+        """The whole revisions of projected rows (_id, _rev)."""
+        whole = self.revs.select("_id", F.col("revid").alias("_rev"), "sequence", F.parse_json(F.coalesce("json", F.lit("{}"))).alias("body"))
+        return whole.join(projected.select("_id", "_rev"), ["_id", "_rev"], "left_semi")
+
     def _check(self, tree: Any, sort: Sequence | None, searched: bool) -> None:
         from ..plans.selector import fields as read
 

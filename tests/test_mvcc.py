@@ -123,7 +123,7 @@ def test_changes(spark):
 
 def test_resolvers(spark):
     revs = tree(spark, [(1, None, "1-a", False, "x"), (2, None, "1-b", False, "x"), (3, None, "1-a", False, "y"), (4, None, "1-b", False, "bad"), (5, None, "1-c", False, "bad")])
-    least = lambda name, leaves: 1 / 0 if name == "bad" else leaves["revid"].min()
+    least = lambda name, leaves: 1 / 0 if name == "bad" else min(x["revid"] for x in leaves)
     assert [(r["_id"], r.kept, list(r.losers)) for r in mvcc.resolve(revs, least).collect()] == [("x", "1-a", ["1-b"])]
     assert mvcc.resolve(revs, lambda name, leaves: None).count() == 0
 
