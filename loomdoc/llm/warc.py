@@ -156,7 +156,9 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
         if lines:
             yield close()
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.col("refers_to").cast("long").alias("refers_to")).mapInArrow(run, "key string, page_id bigint, archive string, offset bigint, length bigint")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.col("refers_to").cast("long").alias("refers_to"))
+    # A task that runs again must write the same bytes, whatever order its rows come in.
+    return rows.sortWithinPartitions("page_id", "url", "html").mapInArrow(run, "key string, page_id bigint, archive string, offset bigint, length bigint")
 
 
 def index(lines: DataFrame, part_lines: int = PART_LINES, block_lines: int = BLOCK_LINES) -> DataFrame:
