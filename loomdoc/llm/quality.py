@@ -120,7 +120,8 @@ class FactorisationMachine:
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.weights is None:
             return np.full(len(x), self.share)
-        return 1 / (1 + np.exp(-np.clip(self.margins(self.scaled(x)).astype(np.float64), -30, 30)))
+        # Doubles, and rounded: equal texts get equal scores in whatever block they are.
+        return np.round(1 / (1 + np.exp(-np.clip(self.margins(self.scaled(x).astype(np.float64)), -30, 30))), 9)
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.02, decay: float = 1e-4, seed: int = 11) -> FactorisationMachine:
         """Adam on the weighted log loss."""
@@ -164,15 +165,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("population"), pa.array(places, type=pa.binary()), pa.array(values, type=pa.binary())], ["doc_id", "label", "population", "places", "values"])
 
     chosen = labelled.sample(docs, labels, label, per_class)
-    rows = chosen.select("doc_id", "text", "label", "population").mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, label int, population bigint, places binary, values binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.places), bytes(r["values"])))
-    y = np.array([r.label for r in rows], dtype=np.float32)
+    rows = chosen.select("doc_id", "text", "label", "population").mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, label int, population bigint, places binary, values binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["doc_id"], r["places"], r["values"]))
+    y = np.array([r["label"] for r in rows], dtype=np.float32)
     if len(set(y.tolist())) < 2:
         return FactorisationMachine(float(y[0]) if len(y) else 0.5)
     x = np.zeros((len(rows), WORD_SLOTS + len(STATISTICS)), dtype=np.float32)
     for row, r in zip(x, rows, strict=True):
-        row[np.frombuffer(r.places, np.uint16)] = np.frombuffer(r["values"], np.float32)
-    population = {int(r.label): r.population for r in rows}
+        row[np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["values"], np.float32)
+    population = {r["label"]: r["population"] for r in rows}
     weight = np.where(y == 1, population[1] / (y == 1).sum(), population[0] / (y == 0).sum())
     return FactorisationMachine(population[1] / sum(population.values())).fit(x, y, (weight / weight.mean()).astype(np.float32))
 
