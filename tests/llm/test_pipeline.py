@@ -10,7 +10,8 @@ def tables(spark, folder):
     plain, labels = labelled_rows(160, seed=8)
     rows = [(r[0] + 10_000 if r[0] is not None else None, *r[1:]) for r in make_rows(n=70)] + plain
     rows += [(20_000 + i, rows[5 + i][1] + " tail", "en", "src2", 0) for i in range(10)]
-    bench = [(1, rows[20][1]), (2, "never seen " * 20)]
+    clean = [d[1] for d, x in zip(plain, labels, strict=True) if not x[2]]
+    bench = [(i, text) for i, text in enumerate(clean[:6])] + [(90, "never seen " * 20)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
