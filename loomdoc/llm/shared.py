@@ -27,11 +27,20 @@ def fresh(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/loomdoc/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of an execution at its end; what is written needs none of them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage is cut and it survives lost executors."""
     spark = df.sparkSession
     path = fresh(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
