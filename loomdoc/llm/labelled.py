@@ -13,15 +13,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    return labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+
+
+def _least(known: DataFrame, k: int, most: int) -> DataFrame:
+    return known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """doc_id, text, label and population (rows of the class) of at most per_class labelled documents of each class, outside the held-out fold.
 
     The rows are those with the least hash of doc_id, so the sample depends on
     neither order nor partitions.
     """
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = _known(labels, label)
     sizes = known.groupBy("label").agg(F.count(F.lit(1)).alias("population"))
-    parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     # At most 2 * per_class rows of 12 bytes, and two sizes: small by construction.
-    chosen = parts[0].unionByName(parts[1]).join(F.broadcast(sizes), "label")
+    chosen = _least(known, 0, per_class).unionByName(_least(known, 1, per_class)).join(F.broadcast(sizes), "label")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def of_class(docs: DataFrame, labels: DataFrame, label: str, k: int, most: int) -> DataFrame:
+    """doc_id and text of at most `most` labelled documents of class k, outside the held-out fold."""
+    return docs.select("doc_id", "text").join(F.broadcast(_least(_known(labels, label), k, most).select("doc_id")), "doc_id")

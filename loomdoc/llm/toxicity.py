@@ -18,7 +18,9 @@ The kernel's feature space (three characters of SIGNS) is small, so the trained
 machine, a sum over landmarks of kernels, is collapsed into one weight per
 character triple: scores are exact, and cost one pass over a unit's triples.
 
-Fitting takes at most SAMPLE_PER_CLASS labelled documents of each class.
+Fitting takes at most SAMPLE_PER_CLASS labelled documents of each class.  A first
+machine then reads at most HARD_DOCUMENTS clean labelled ones, and the units that it takes
+for insults there are counter-examples for the second.
 Units longer than WIDTH characters are read in windows of WIDTH that overlap by half.
 
 Defined results: null and empty texts have no units and score as the cleanest
@@ -29,7 +31,7 @@ by `drop_toxic`; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +40,14 @@ from pyspark.sql import functions as F
 
 from . import bytescan, labelled, shared
 
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 1000
+HARD_DOCUMENTS = 20_000
+HARD_SCORE = -0.5
 LANDMARKS = 160
 DECAY = 0.6
 WIDTH = 24
 ROUNDS = 3
-NEGATIVES = 8000
+NEGATIVES = 6000
 THRESHOLD = 0.5
 LOWEST = -8.0
 #: A unit or a piece of one is evidence from this value of the likelihood ratio statistic on, if at most a twentieth of its documents are clean.
@@ -88,12 +92,17 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, rows
 
 
+_known_triples = bytescan.WorkerCache()
+
+
 def _triples(n: int) -> tuple[np.ndarray, ...]:
     """Places i < j < k below n and DECAY ** (k - i + 1)."""
+    if n in _known_triples:
+        return _known_triples[n]
     i, j, k = (x.ravel() for x in np.meshgrid(*[np.arange(n)] * 3, indexing="ij"))
     on = (i < j) & (j < k)
     i, j, k = i[on], j[on], k[on]
-    return i, j, k, DECAY ** (k - i + 1.0)
+    return _known_triples.setdefault(n, (i, j, k, DECAY ** (k - i + 1.0)))
 
 
 def self_kernels(codes: np.ndarray) -> np.ndarray:
@@ -132,7 +141,8 @@ class Machine:
         for n, at in by_length(starts, ends):
             codes = table[data[starts[at][:, None] + np.arange(n)]]
             i, j, k, decay = _triples(n)
-            products = self.weights[(codes[:, i] * SIGNS + codes[:, j]) * SIGNS + codes[:, k]] @ decay.astype(np.float32)
+            # Summed row by row: a product of matrices would round by the shape of the block.
+            products = (self.weights[(codes[:, i] * SIGNS + codes[:, j]) * SIGNS + codes[:, k]] * decay).sum(axis=1)
             norm = np.sqrt(self_kernels(codes))
             some = norm > 0
             out[at[some]] = np.maximum(products[some] / norm[some] + self.offset, LOWEST)
@@ -149,28 +159,35 @@ class Machine:
             _, first, inverse = np.unique(bytescan.span_hashes(data, starts, ends), return_index=True, return_inverse=True)
             np.maximum.at(worst, rows, self.unit_scores(data, starts[first], ends[first])[inverse])
         slope, shift = self.curve
-        return 1 / (1 + np.exp(-np.clip(slope * worst + shift, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(slope * worst + shift, -30, 30))), 9)
+
+
+def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Character triples of a string and their weights, of length one together; empty if it has none."""
+    codes = codes_table()[np.frombuffer(text, np.uint8)]
+    i, j, k, decay = _triples(len(codes))
+    on = (codes[i] > 0) & (codes[j] > 0) & (codes[k] > 0)
+    triples, which = np.unique(((codes[i] * SIGNS + codes[j]) * SIGNS + codes[k])[on], return_inverse=True)
+    weights = np.bincount(which, weights=decay[on], minlength=len(triples))
+    return triples, weights / max(np.linalg.norm(weights), 1e-300)
 
 
 def triple_vectors(strings: list[bytes]) -> np.ndarray:
     """Normalised explicit kernel features of each string: (strings, SIGNS ** 3)."""
     out = np.zeros((len(strings), SIGNS**3), dtype=np.float32)
-    table = codes_table()
     for row, text in zip(out, strings, strict=True):
-        codes = table[np.frombuffer(text, np.uint8)]
-        if len(codes) >= 3:
-            i, j, k, decay = _triples(len(codes))
-            on = (codes[i] > 0) & (codes[j] > 0) & (codes[k] > 0)
-            np.add.at(row, ((codes[i] * SIGNS + codes[j]) * SIGNS + codes[k])[on], decay[on])
-        norm = np.linalg.norm(row)
-        if norm:
-            row /= norm
+        triples, weights = features(text)
+        row[triples] = weights
     return out
 
 
 def _kernels(strings: list[bytes], landmarks: np.ndarray) -> np.ndarray:
-    """(strings, landmarks) kernel values, a block of strings at a time."""
-    return np.concatenate([triple_vectors(strings[a : a + 512]) @ landmarks.T for a in range(0, len(strings), 512)] or [np.zeros((0, len(landmarks)))])
+    """(strings, landmarks) kernel values; a string reads the few rows of its own triples."""
+    across, out = np.ascontiguousarray(landmarks.T), np.zeros((len(strings), len(landmarks)))
+    for row, text in zip(out, strings, strict=True):
+        triples, weights = features(text)
+        row[:] = weights @ across[triples]
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0) -> np.ndarray:
@@ -189,15 +206,15 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 4.0) ->
     return theta
 
 
-def fit(sample: list[tuple[int, list[bytes]]], population: dict[int, int], seed: int = 3) -> Machine:
-    """A machine from documents given as (label, distinct units)."""
+def fit(sample: list[tuple[int, list[bytes]]], population: dict[int, int], hard: Sequence[bytes] = (), seed: int = 3) -> Machine:
+    """A machine from documents given as (label, distinct units); units in hard are clean, whatever the documents say."""
     labels = np.array([label for label, _ in sample])
     total = sum(population.values())
     machine = Machine(population.get(1, 0) / total if total else 0.0)
     if len(set(labels.tolist())) < 2:
         return machine
     draw = np.random.default_rng(seed)
-    vocabulary = sorted({u for _, own in sample for u in own})
+    vocabulary = sorted({u for _, own in sample for u in own} | set(hard))
     number = {u: i for i, u in enumerate(vocabulary)}
     held = [np.array([number[u] for u in own], dtype=np.int64) for _, own in sample]
     first = _first_copies(held, len(vocabulary))
@@ -211,8 +228,11 @@ def fit(sample: list[tuple[int, list[bytes]]], population: dict[int, int], seed:
     sizes = np.array([(labels == k).sum() for k in (0, 1)])
     rates = (counts + 0.5) / (sizes[:, None] + 1)
     telling = np.log(rates[1] / rates[0])
-    # Inflected insults are rare each, but their pieces are not: a unit is evidence by itself or by a piece of PIECE bytes.
+    # Inflected insults are rare each, but their pieces are not: a unit is evidence by itself or by a piece of PIECE signs.
     evidence = np.maximum(_evidence(counts, sizes), _piece_evidence(vocabulary, held, labels, sizes))
+    refuted = np.array(sorted({number[u] for u in hard}), dtype=np.int64)
+    evidence[refuted] = 0
+    counts[0, refuted] += 1 + counts[1, refuted]
     telling = np.where(evidence > 0, np.maximum(telling, 0) + np.sqrt(evidence), np.minimum(telling, 0.5))
     clean = np.flatnonzero(counts[0] > 0)
     toxic = [own for label, own in zip(labels, held, strict=True) if label and len(own)]
@@ -223,7 +243,7 @@ def fit(sample: list[tuple[int, list[bytes]]], population: dict[int, int], seed:
         positive = np.flatnonzero((tally > 0) & (telling > 0))
     if not len(positive):
         return machine
-    negative = np.setdiff1d(draw.choice(clean, min(NEGATIVES, len(clean)), replace=False), positive)
+    negative = np.setdiff1d(np.union1d(refuted, draw.choice(clean, min(NEGATIVES, len(clean)), replace=False)), positive)
     for turn in range(ROUNDS):
         strong = positive[np.argsort(-tally[positive], kind="stable")][: LANDMARKS // 2]
         some = np.concatenate([strong, draw.choice(negative, min(LANDMARKS - len(strong), len(negative)), replace=False)])
@@ -245,25 +265,25 @@ def fit(sample: list[tuple[int, list[bytes]]], population: dict[int, int], seed:
             rank = scores + 0.3 * np.clip(telling, -2, 6)
             chosen = [own[np.argmax(rank[own])] for own in toxic]
             tally = np.bincount(chosen, minlength=len(vocabulary))
-            positive = np.flatnonzero(((tally > 0) & (scores > -0.5) & (telling > 0)) | ((evidence > 0) & (counts[0] <= 0.05 * counts[1])))
+            positive = np.flatnonzero((((tally > 0) & (scores > -0.5)) | (evidence > 0)) & (counts[0] <= 0.05 * counts[1]))
             if not len(positive):
                 break
-            hard = clean[np.argsort(-scores[clean], kind="stable")[: NEGATIVES // 2]]
-            negative = np.setdiff1d(np.union1d(hard, draw.choice(clean, min(NEGATIVES // 2, len(clean)), replace=False)), positive)
+            near = np.union1d(refuted, clean[np.argsort(-scores[clean], kind="stable")[: NEGATIVES // 2]])
+            negative = np.setdiff1d(np.union1d(near, draw.choice(clean, min(NEGATIVES // 2, len(clean)), replace=False)), positive)
     worst = np.array([scores[own].max(initial=LOWEST) if len(own) else LOWEST for own in held])
     machine.curve = _curve(worst, labels, population)
     return machine
 
 
-def _first_copies(held: list[np.ndarray], size: int, keep: int = 8) -> list[int]:
-    """Documents without those that share half of their `keep` pseudorandom least units with an earlier one: copies are no further evidence."""
+def _first_copies(held: list[np.ndarray], size: int, keep: int = 16) -> list[int]:
+    """Documents without those that share three quarters of their `keep` pseudorandom least units with an earlier one: copies are no further evidence."""
     place = np.random.default_rng(size).permutation(size)
     seen: dict[int, list[int]] = {}
     first = []
     for i, own in enumerate(held):
         least = own[np.argsort(place[own])[:keep]].tolist()
         shared_with = np.bincount([j for u in least for j in seen.get(u, ())] or [0])
-        if len(least) and seen and shared_with.max() * 2 >= max(len(least), 4):
+        if len(least) and seen and shared_with.max() * 4 >= 3 * max(len(least), 4):
             continue
         first.append(i)
         for u in least:
@@ -281,15 +301,26 @@ def _evidence(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _piece_evidence(vocabulary: list[bytes], held: list[np.ndarray], labels: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For each unit the greatest evidence of a piece that it holds."""
-    number: dict[bytes, int] = {}
-    pieces_of = [np.array(sorted({number.setdefault(u[i : i + PIECE], len(number)) for i in range(len(u) - PIECE + 1)}), dtype=np.int64) for u in vocabulary]
-    counts = np.zeros((2, max(1, len(number))))
+    """For each unit the greatest evidence of a piece that it holds, gaps left out and digits read as letters."""
+    code = codes_table()[np.frombuffer(b"".join(vocabulary), np.uint8)].astype(np.int64)
+    owner = np.repeat(np.arange(len(vocabulary)), [len(u) for u in vocabulary])[code > 0]
+    code = code[code > 0]
+    n = max(0, len(code) - PIECE + 1)
+    flat = np.zeros(n, dtype=np.int64)
+    for i in range(PIECE):
+        flat = flat * SIGNS + code[i : i + n]
+    inside = owner[:n] == owner[PIECE - 1 : PIECE - 1 + n]
+    flat, bounds = flat[inside], np.searchsorted(owner[:n][inside], np.arange(len(vocabulary) + 1))
+    counts = np.zeros((2, SIGNS**PIECE))
     for label, own in zip(labels, held, strict=True):
         if len(own):
-            counts[label, np.unique(np.concatenate([pieces_of[u] for u in own]))] += 1
-    found = _evidence(counts, sizes)
-    return np.array([found[x].max(initial=0) for x in pieces_of])
+            counts[label, np.unique(np.concatenate([flat[bounds[u] : bounds[u + 1]] for u in own]))] += 1
+    found = np.append(_evidence(counts, sizes)[flat], 0)
+    best = np.zeros(len(vocabulary))
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        best[some] = np.maximum.reduceat(found, bounds[:-1][some])
+    return best
 
 
 def _curve(worst: np.ndarray, labels: np.ndarray, population: dict[int, int]) -> tuple[float, float]:
@@ -308,8 +339,8 @@ def _curve(worst: np.ndarray, labels: np.ndarray, population: dict[int, int]) ->
     return float(theta[0]), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Machine:
-    """Fits a machine on a bounded sample; the driver gets each sampled document's distinct units."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS, hard_documents: int = HARD_DOCUMENTS) -> Machine:
+    """Fits a machine on a bounded sample; the driver gets each sampled document's distinct units (no unit holds a line break)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,14 +352,40 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
                 for s, e, r in zip(starts.tolist(), ends.tolist(), rows.tolist(), strict=True):
                     if e - s >= 3:
                         own[r].add(data[s:e].tobytes())
-                found += [sorted(x) for x in own]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("population"), pa.array(found, type=pa.list_(pa.binary()))], ["doc_id", "label", "population", "units"])
+                found += [b"\n".join(sorted(x)) for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("population"), pa.array(found, type=pa.binary())], ["doc_id", "label", "population", "units"])
 
     chosen = labelled.sample(docs, labels, label, per_class)
     kind = chosen.schema["doc_id"].dataType.simpleString()
-    rows = chosen.select("doc_id", "text", "label", "population").mapInArrow(run, f"doc_id {kind}, label int, population bigint, units array<binary>").collect()
-    rows.sort(key=lambda r: (r.doc_id, len(r.units)))
-    return fit([(r.label, [bytes(u) for u in r.units]) for r in rows], {int(r.label): r.population for r in rows})
+    rows = chosen.select("doc_id", "text", "label", "population").mapInArrow(run, f"doc_id {kind}, label int, population bigint, units binary").toArrow()
+    ids, marks, found, sizes = (rows.column(x).to_pylist() for x in ("doc_id", "label", "units", "population"))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], found[i]))
+    sample, population = [(marks[i], found[i].split(b"\n") if found[i] else []) for i in order], dict(zip(marks, sizes, strict=True))
+    machine = fit(sample, population)
+    if machine.weights is None:
+        return machine
+    hard = mistaken(labelled.of_class(docs, labels, label, 0, hard_documents), machine)
+    return fit(sample, population, hard) if hard else machine
+
+
+def mistaken(clean: DataFrame, machine: Machine) -> list[bytes]:
+    """The worst unit of each of these clean documents, where it is near the insults; at most one for a document."""
+    sent = shared.Sent(clean.sparkSession, machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trained = sent()
+        for batch in batches:
+            found: set[bytes] = set()
+            for piece in bytescan.pieces(batch.column("text")):
+                data = bytescan.lower_table()[piece.data]
+                starts, ends, rows = units(data, piece.offsets)
+                scores = trained.unit_scores(data, starts, ends)
+                order = np.lexsort((-scores, rows))
+                first = order[np.flatnonzero(np.diff(rows[order], prepend=-1))]
+                found |= {data[starts[i] : ends[i]].tobytes() for i in first if scores[i] > HARD_SCORE}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), type=pa.binary())], ["unit"])
+
+    return sorted(set(clean.select("text").mapInArrow(run, "unit binary").toArrow().column("unit").to_pylist()))
 
 
 def scored(docs: DataFrame, machine: Machine) -> DataFrame:

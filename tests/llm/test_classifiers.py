@@ -1,0 +1,146 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from loomdoc.llm import bytescan, labelled, quality, toxicity
+
+from .conftest import SCHEMA, sentence
+
+INSULTS = ["numbskull", "blockhead", "dunderhead", "nitwit", "scoundrel"]
+
+
+def disguised(draw, word):
+    """The word as it is, with signs between its letters, spaced, or with inserted letters."""
+    kind = draw.randrange(5)
+    at = draw.randrange(2, len(word) - 1)
+    return [word, ".".join(word), " ".join(word), word[:at] + draw.choice("xqzj") + word[at:], word.replace("o", "0").replace("i", "1") + draw.choice(["", "s", "ish"])][kind]
+
+
+def labelled_rows(n=500, seed=3):
+    draw = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        toxic, good = int(draw.random() < 0.3), int(draw.random() < 0.7)
+        lines = [sentence(draw, draw.randint(8, 40)) for _ in range(draw.randint(1, 4))]
+        if not good:
+            lines[draw.randrange(len(lines))] = " ".join(w.upper() + "!!" for w in sentence(draw, 20).split()) if draw.random() < 0.5 else " | ".join(sentence(draw, 25).split())
+        if toxic:
+            for _ in range(draw.randint(1, 2)):
+                words = lines[k := draw.randrange(len(lines))].split(" ")
+                words.insert(draw.randrange(len(words)), disguised(draw, draw.choice(INSULTS)))
+                lines[k] = " ".join(words)
+        docs.append((i, "\n".join(lines), "en", "s", 0))
+        labels.append((i, good, toxic))
+    return docs, labels
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    docs, labels = labelled_rows()
+    more = [(1000, None, None, None, None), (1001, "", "", "", 0), (1002, " \n ", "", "", 0), (None, docs[3][1], "", "", 0), docs[4], docs[4]]
+    noise = [(0, None, None), (None, 1, 1), (9999, 1, 0), labels[7]]
+    return spark.createDataFrame(docs + more, SCHEMA).repartition(3).cache(), spark.createDataFrame(labels + noise, "doc_id bigint, quality int, toxic int").cache(), {r[0]: r[1:] for r in labels}, docs + more
+
+
+@pytest.mark.parametrize(("module", "which", "threshold"), [(quality, 0, 0.3), (toxicity, 1, 0.5)])
+def test_held_out_accuracy_and_contract(tables, module, which, threshold):
+    docs, labels, truth, rows = tables
+    found = module.digest(docs, labels).collect()
+    assert len(found) == len(rows)
+    right = {0: [], 1: []}
+    for r in found:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= threshold)
+        if r.held_out and r.doc_id in truth:
+            right[truth[r.doc_id][which]].append(r.predicted == truth[r.doc_id][which])
+    assert min(np.mean(right[0]), np.mean(right[1])) > 0.85 and np.mean(right[0] + right[1]) > 0.93
+    again = {r.doc_id: r.score for r in module.digest(docs.repartition(2), labels).collect()}
+    assert all(again[r.doc_id] == pytest.approx(r.score, abs=1e-9) for r in found)
+    texts = {}
+    for r in module.digest(docs, labels).join(docs.select("doc_id", "text"), "doc_id").collect():
+        texts.setdefault(r.text, set()).add(r.score)
+    assert all(len(x) == 1 for x in texts.values())
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_without_labels_and_without_documents(tables, empty, module):
+    docs, labels, _, rows = tables
+    assert {r.score for r in module.digest(docs, labels.limit(0)).collect()} == {0.5 if module is quality else 0.0}
+    assert {r.score for r in module.digest(docs, labels.where("quality = 1 and toxic = 0")).collect()} == {1.0 if module is quality else 0.0}
+    assert module.digest(empty, labels).count() == 0
+
+
+def test_filters_keep_columns(tables):
+    docs, labels, _, rows = tables
+    clashing = docs.selectExpr("*", "7 as score", "1 as label")
+    for module, call in ((quality, quality.keep_good), (toxicity, toxicity.drop_toxic)):
+        kept = call(clashing, labels)
+        assert kept.columns == clashing.columns and {r.score for r in kept.collect()} == {7}
+        want = sum(r.predicted == (module is quality) for r in module.digest(docs, labels).collect())
+        assert kept.count() == want
+
+
+def test_held_out_rows_are_never_sampled(tables):
+    docs, labels, truth, _ = tables
+    rows = labelled.sample(docs, labels, "toxic", 20).collect()
+    assert sum(r.label for r in rows) in range(20, 24) and all(zlib.crc32(str(r.doc_id).encode()) % 5 for r in rows)
+    assert {r.population for r in rows if r.label == 1} == {sum(1 for k, v in truth.items() if v[1] and zlib.crc32(str(k).encode()) % 5)}
+
+
+def gapped_kernel(a, b, decay=toxicity.DECAY):
+    """Subsequence kernel of order three, straight from its definition."""
+    table = toxicity.codes_table()
+    features = []
+    for text in (a, b):
+        code, own = table[np.frombuffer(text, np.uint8)], {}
+        for i in range(len(code)):
+            for j in range(i + 1, len(code)):
+                for k in range(j + 1, len(code)):
+                    if code[i] and code[j] and code[k]:
+                        key = (code[i], code[j], code[k])
+                        own[key] = own.get(key, 0) + decay ** (k - i + 1)
+        features.append(own)
+    return sum(v * features[1].get(k, 0) for k, v in features[0].items())
+
+
+def test_kernels_equal_their_definition():
+    words = [b"numbskull", b"num-bskull", b"banana", b"aaaa", b"m0ron", b"xyz", "été".encode()]
+    for a in words:
+        codes = toxicity.codes_table()[np.frombuffer(a, np.uint8)][None, :]
+        assert toxicity.self_kernels(codes)[0] == pytest.approx(gapped_kernel(a, a))
+        for b in words:
+            norm = np.sqrt(gapped_kernel(a, a) * gapped_kernel(b, b))
+            x, y = toxicity.triple_vectors([a, b])
+            assert float(x @ y) == pytest.approx(gapped_kernel(a, b) / norm if norm else 0, abs=1e-5)
+
+
+def test_collapsed_machine_scores_like_its_landmarks():
+    machine, draw = toxicity.Machine(), np.random.default_rng(2)
+    landmarks = [b"numbskull", b"blockhead", b"ordinary"]
+    beta = draw.normal(size=3)
+    machine.weights, machine.offset = (beta @ toxicity.triple_vectors(landmarks)).astype(np.float32), 0.25
+    for word in (b"numbsskull", b"blok.head", b"aa", b"ordinarily"):
+        data = np.frombuffer(word, np.uint8)
+        [score] = machine.unit_scores(data, np.array([0]), np.array([len(word)]))
+        norm = np.sqrt(gapped_kernel(word, word))
+        want = sum(b * gapped_kernel(word, x) / norm / np.sqrt(gapped_kernel(x, x)) for b, x in zip(beta, landmarks, strict=True)) + 0.25 if norm else toxicity.LOWEST
+        assert score == pytest.approx(want, abs=1e-5)
+
+
+def test_units():
+    [piece] = bytescan.pieces(pa.array(["i d i o t you a\nb " + "x" * 60, "w e"]))
+    starts, ends, rows = toxicity.units(piece.data, piece.offsets)
+    own = [(piece.data[s:e].tobytes().decode(), int(r)) for s, e, r in zip(starts, ends, rows, strict=True)]
+    assert own == [("i d i o t", 0), ("you", 0), ("a", 0), ("b", 0), ("x" * 24, 0), ("x" * 24, 0), ("x" * 24, 0), ("x" * 24, 0), ("w e", 1)]
+
+
+def test_factorisation_identity():
+    draw = np.random.default_rng(4)
+    machine = quality.FactorisationMachine(0.5)
+    x, w, v = draw.normal(size=(5, 7)), draw.normal(size=7), draw.normal(size=(7, 3))
+    machine.weights = (0.3, w, v)
+    want = [0.3 + r @ w + sum(r[i] * r[j] * (v[i] @ v[j]) for i in range(7) for j in range(i)) for r in x]
+    assert machine.margins(x) == pytest.approx(want)
