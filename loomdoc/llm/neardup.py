@@ -5,13 +5,16 @@ is its distinct shingles of `size` words (fewer words: the whole sequence as one
 Two documents are linked if the Jaccard similarity of their sets reaches a
 threshold, and groups are the components of the links.
 
-1. Equal texts are one node (128-bit text hash).  Each node gets SAMPLES MinHash
-   values, a key for each band of BAND_ROWS of them, and an odd sketch: every
-   (sample number, value) flips one of SKETCH_BITS bits.
+1. Equal texts are one node, named by a 64-bit hash of the text.  Each node gets MinHash values, a
+   key for each band of BAND_ROWS of them, and an odd sketch: of a second set of
+   MinHash samples, the least hash in each of 2 ** PARTS_LOG parts of the hash range,
+   every sample flips one of SKETCH_BITS bits.  A set much smaller than that is
+   nearly all sampled, so its sketch is nearly exact.
 2. In each band bucket, all nodes are compared with its least node.  Sketches
    decide first: the population count of their XOR estimates the number of samples
-   that differ.  MARGIN leaves room for the estimate's error.  Pairs that pass
-   are confirmed on the full sets, read back from the texts.
+   that differ, and a pair passes unless it has DEVIATIONS standard deviations more
+   than a pair at the threshold has.  Pairs that pass are confirmed on the full
+   sets, read back from the texts.
 3. Components of those links are formed.  Then every pair of a bucket that is in
    two components is compared in the same way, sketches in blocks of
    BLOCK nodes, so nothing but pairs that pass leaves a task.  Pairs within
@@ -46,8 +49,9 @@ from .components import components
 
 BAND_ROWS = 5
 MISSED = 1e-7
-SKETCH_BITS = 512
-MARGIN = 0.2
+SKETCH_BITS = 4096
+PARTS_LOG = 14
+DEVIATIONS = 5.0
 BLOCK = 2048
 #: Rows of shingle hashes that are multiplied at a time.
 HASHED_AT_ONCE = 1024
@@ -76,11 +80,11 @@ def shingle_sets(piece: bytescan.Piece, size: int) -> Iterator[np.ndarray]:
 
 
 class Signer:
-    """MinHash samples, band keys and odd sketches."""
+    """MinHash samples and band keys."""
 
-    def __init__(self, bands: int, rows: int = BAND_ROWS, bits: int = SKETCH_BITS, seed: int = 7):
+    def __init__(self, bands: int, rows: int = BAND_ROWS, seed: int = 7):
         draw = np.random.default_rng(seed)
-        self.bands, self.rows, self.bits = bands, rows, bits
+        self.bands, self.rows = bands, rows
         self.factors = draw.integers(0, 1 << 32, bands * rows, dtype=np.uint32) | np.uint32(1)
         self.shifts = draw.integers(0, 1 << 32, bands * rows, dtype=np.uint32)
 
@@ -100,38 +104,68 @@ class Signer:
             keys = bytescan.mix(keys * _U(0x9E3779B97F4A7C15) + parts[:, :, k])
         return keys
 
-    def sketches(self, samples: np.ndarray) -> np.ndarray:
-        """(sets, bits / 64) odd sketches."""
-        bit = bytescan.mix(samples.astype(np.uint64) + (np.arange(samples.shape[1], dtype=np.uint64) << _U(32))) % _U(self.bits)
-        flips = np.bincount((bit.astype(np.int64) + np.arange(len(samples))[:, None] * self.bits).ravel(), minlength=len(samples) * self.bits)
-        return np.packbits((flips & 1).astype(np.uint8).reshape(len(samples), self.bits), axis=1, bitorder="little").view(np.uint64)
+    def short_keys(self, samples: np.ndarray) -> np.ndarray:
+        """The lower halves of the band keys."""
+        return self.band_keys(samples).astype(np.uint32)
 
-    def most_flips(self, threshold: float, margin: float = MARGIN) -> int:
-        """Greatest XOR population count that is taken for a similarity of threshold - margin."""
-        differing = len(self.factors) * (1 - max(0.0, threshold - margin))
-        return math.ceil(self.bits / 2 * (1 - math.exp(-4 * differing / self.bits)))
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Size, number of samples and odd sketch of a sorted set of 64-bit hashes, as 64-bit words."""
+    part = hashes >> _U(64 - PARTS_LOG)
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = part[1:] != part[:-1]
+    samples = hashes[first]
+    flips = np.bincount((bytescan.mix(samples) % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS)
+    bits = np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+    return np.concatenate([np.array([len(hashes), len(samples)], dtype=np.uint64), bits])
+
+
+def most_flips(size: np.ndarray, samples: np.ndarray, threshold: float) -> np.ndarray:
+    """Greatest XOR population count taken for a similarity of at least threshold.
+
+    size and samples are sums over the two sets.  At the threshold their union
+    has size / (1 + threshold) elements, of which each part of the hash range samples
+    one; the samples that agree are a draw without replacement.
+    """
+    parts = float(1 << PARTS_LOG)
+    union = size / (1 + threshold)
+    drawn = parts * -np.expm1(union * np.log1p(-1 / parts))
+    spread = 2 * np.sqrt(drawn * threshold * (1 - threshold) * np.maximum(1 - drawn / union, 0))
+    differ = np.maximum(samples - 2 * threshold * drawn, 0) + DEVIATIONS * spread + 2
+    folded = SKETCH_BITS / 2 * -np.expm1(-2 * differ / SKETCH_BITS)
+    return np.minimum(differ, folded + DEVIATIONS * np.sqrt(np.minimum(2 * differ**2 / SKETCH_BITS, SKETCH_BITS / 4)))
+
+
+def close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sketches may be of sets with at least this similarity; sizes alone rule out some pairs."""
+    size_a, size_b = a[..., 0].astype(float), b[..., 0].astype(float)
+    flips = np.bitwise_count(a[..., 2:] ^ b[..., 2:]).sum(axis=-1)
+    fits = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-6
+    return fits & (flips <= most_flips(size_a + size_b, a[..., 1].astype(float) + b[..., 1].astype(float), threshold))
 
 
 def signatures(docs: DataFrame, signer: Signer, size: int) -> DataFrame:
-    """h1, h2, doc_id, n_shingles, bands and sketch of each row."""
+    """h1, h2, doc_id, n_shingles, bands, sketch and short_bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, bands, sketches = [], [], []
+            counts, bands, sketches, shorts = [], [], [], []
             for piece in bytescan.pieces(batch.column("text")):
                 sets = list(shingle_sets(piece, size))
                 some = [x for x in sets if len(x)]
                 samples = np.array([signer.samples(x) for x in some], dtype=np.uint32).reshape(len(some), len(signer.factors))
-                keys, made = iter(signer.band_keys(samples).view(np.int64)), iter(signer.sketches(samples))
+                keys = iter(signer.band_keys(samples).view(np.int64))
                 counts += map(len, sets)
                 bands += [next(keys) if len(x) else np.zeros(0, np.int64) for x in sets]
-                sketches += [next(made).tobytes() if len(x) else b"" for x in sets]
+                sketches += [sketch(x).tobytes() if len(x) else b"" for x in sets]
+                short = iter(signer.short_keys(samples))
+                shorts += [next(short).tobytes() if len(x) else b"" for x in sets]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in ("h1", "h2", "doc_id")), pa.array(counts, type=pa.int64()), pa.array(bands, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary())],
-                ["h1", "h2", "doc_id", "n_shingles", "bands", "sketch"],
+                [*(batch.column(x) for x in ("h1", "h2", "doc_id")), pa.array(counts, type=pa.int64()), pa.array(bands, type=pa.list_(pa.int64())), pa.array(sketches, type=pa.binary()), pa.array(shorts, type=pa.binary())],
+                ["h1", "h2", "doc_id", "n_shingles", "bands", "sketch", "short_bands"],
             )
 
-    return docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, n_shingles bigint, bands array<bigint>, sketch binary")
+    return docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, n_shingles bigint, bands array<bigint>, sketch binary, short_bands binary")
 
 
 def text_key() -> list:
@@ -140,21 +174,17 @@ def text_key() -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def _flips(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
-
-
 def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), -1)
 
 
-def close_by_sketch(pairs: DataFrame, most: int) -> DataFrame:
-    """Rows (a, b) of pairs (a, b, sketch_a, sketch_b) whose sketches differ in at most `most` bits."""
+def close_by_sketch(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, b) of pairs (a, b, sketch_a, sketch_b) whose sketches are close."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = _flips(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b"))) <= most
+                near = close(_sketches(batch.column("sketch_a")), _sketches(batch.column("sketch_b")), threshold)
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
@@ -167,7 +197,6 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
     other texts are told apart by the second text hash.  The threshold is
     compared in whole numbers of hundredths.
     """
-    spark = docs.sparkSession
     wanted = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct().join(nodes.select("h1", "h2", F.col("doc_id").alias("_id")), "h1")
     texts = docs.select(*text_key(), F.col("doc_id").cast("long").alias("_id"), "text")
     found = texts.join(wanted.withColumnsRenamed({"h1": "_h1", "h2": "_h2", "_id": "_of"}), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
@@ -192,21 +221,20 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
                     yes.append(common > 0 and 100 * common >= hundredths * (len(last_set) + len(other) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(yes, type=pa.bool_()))
 
-    assert spark is not None
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def cross_pairs(members: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of members (band, n, node, root, sketch) in one bucket but two components whose sketches are close.
+def cross_pairs(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of members (band, n, node, root, sketch, short_bands) in one bucket but two components whose sketches are close.
 
-    A bucket's nodes fall on ceil(n / block) blocks by hash, and each pair of
+    A pair is looked at in the first band that it shares only.  A bucket's nodes fall on ceil(n / block) blocks by hash, and each pair of
     blocks is a group of its own: a node is copied once a block, no pair is
     made that fails, and no group is larger than about two blocks.
     """
     blocks = F.ceil(F.col("n") / block).cast("int")
     rows = members.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "root", "sketch")
+    rows = rows.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "root", "sketch", "short_bands")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -214,14 +242,18 @@ def cross_pairs(members: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
         def pairs_of(table: pa.Table) -> pa.RecordBatch:
             node, root, own = (table.column(x).to_numpy() for x in ("node", "root", "_own"))
             i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+            sketch = _sketches(table.column("sketch"))
+            bands = np.frombuffer(b"".join(table.column("short_bands").to_pylist()), dtype=np.uint32).reshape(len(node), -1)
+            here = np.uint32(table.column("band")[0].as_py() & 0xFFFFFFFF)
             first = np.flatnonzero(own == i)
             second = np.flatnonzero(own == j)
             out_a, out_b = [], []
             for k in first:
                 others = second if i != j else second[second > k]
                 others = others[root[others] != root[k]]
-                near = others[_flips(sketch[k], sketch[others]) <= most]
+                common = (bands[others] == bands[k]).argmax(axis=1)
+                others = others[bands[k][common] == here]
+                near = others[close(sketch[k], sketch[others], threshold)]
                 out_a.append(np.minimum(node[k], node[near]))
                 out_b.append(np.maximum(node[k], node[near]))
             empty = np.zeros(0, np.int64)
@@ -247,35 +279,33 @@ def cross_pairs(members: DataFrame, most: int, block: int = BLOCK) -> DataFrame:
             yield pairs_of(pa.Table.from_batches(held))
 
     sorted_rows = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return sorted_rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, h1, h2, n_shingles and component_id of each row."""
     signer = Signer(bands_for(threshold, rows), rows)
-    most = signer.most_flips(threshold)
     every = shared.written(signatures(docs, signer, size), "signatures")
-    nodes = shared.written(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = shared.written(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("short_bands").alias("short_bands")), "nodes")
     placed = nodes.where("n_shingles > 0").select(F.explode("bands").alias("band"), F.col("h1").alias("node"))
     buckets = placed.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = shared.written(placed.join(buckets, "band"), "members")
     sketches = nodes.select("h1", "sketch")
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sketches.select(F.col("h1").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("h1").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    links = shared.written(confirmed(shared.written(close_by_sketch(stars, most), "pairs"), nodes, docs, size, threshold), "links")
+    links = shared.written(confirmed(shared.written(close_by_sketch(stars, threshold), "pairs"), nodes, docs, size, threshold), "links")
     roots = components(links)
     # Buckets whose nodes are in more than one component.
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "n", "node", "root")
     mixed = labelled.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("band")
-    open_members = labelled.join(mixed, "band").join(sketches.withColumnRenamed("h1", "node"), "node")
+    open_members = labelled.join(mixed, "band").join(nodes.select(F.col("h1").alias("node"), "sketch", "short_bands"), "node")
     # A pair with the least node was looked at before.
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = shared.written(cross_pairs(open_members, most).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = shared.written(cross_pairs(open_members, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         links = links.unionByName(confirmed(more, nodes, docs, size, threshold))
         roots = components(links)
     by_node = nodes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "doc_id", F.coalesce("root", "h1").alias("root"))
-    # Two nodes with one first hash are told apart by the second, unless they are linked.
     least = by_node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = by_node.join(least, "root").select("h1", "h2", "component_id", F.col("doc_id").alias("_own"))
     return every.select("h1", "h2", "doc_id", "n_shingles").join(named, ["h1", "h2"]).withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).drop("_own")

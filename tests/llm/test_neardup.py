@@ -72,17 +72,20 @@ def test_small_blocks_find_the_same(spark, monkeypatch):
     same([tuple(r) for r in neardup.digest(spark.createDataFrame(every, SCHEMA), 3, 0.85).collect()], brute_force(every, 3, 85))
 
 
-def test_sketches_estimate_similarity():
-    draw = np.random.default_rng(1)
-    signer = neardup.Signer(40)
-    for similarity in (0.95, 0.85, 0.5, 0.1):
-        common = draw.integers(0, 2**64, int(4000 * similarity), dtype=np.uint64)
-        rest = draw.integers(0, 2**64, (2, (4000 - len(common)) // 2), dtype=np.uint64)
-        samples = np.array([signer.samples(np.concatenate([common, x])) for x in rest])
-        a, b = signer.sketches(samples)
-        flips = int(neardup._flips(a, b))
-        estimate = 1 + signer.bits / (4 * len(signer.factors)) * np.log(max(1 - 2 * flips / signer.bits, 1e-9))
-        assert similarity < 0.2 or abs(estimate - similarity) < 0.12
+@pytest.mark.parametrize("size", [20, 130, 900, 4000, 30_000])
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_sketches_keep_similar_pairs_and_drop_others(size, threshold):
+    draw = np.random.default_rng(size)
+
+    def passes(similarity):
+        union = draw.integers(0, 2**64, size, dtype=np.uint64)
+        common, rest = np.split(union, [int(np.ceil(size * similarity))])
+        half = len(rest) // 2
+        a, b = (neardup.sketch(np.unique(np.concatenate([common, x]))) for x in (rest[:half], rest[half:]))
+        return bool(neardup.close(a, b, threshold))
+
+    assert all(passes(threshold) and passes((1 + threshold) / 2) for _ in range(60))
+    assert not any(passes(threshold - 0.3) for _ in range(60)) or size < 100
 
 
 def test_components_of_long_paths(spark):
