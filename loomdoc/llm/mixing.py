@@ -125,7 +125,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     measured = _measured(docs)
     plan = _planned(measured, block_words)
     spans = spread(placed(measured, plan), block_words)
-    return drawn(plan, shard_slots, seed).join(spans, ["source_no", "block"]).select("shard", "source", "n", "block", "doc_id", "text_hash", "start", "first_word", "words")
+    return spans.join(drawn(plan, shard_slots, seed).hint("merge"), ["source_no", "block"]).select("shard", "source", "n", "block", "doc_id", "text_hash", "start", "first_word", "words")
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
@@ -143,7 +143,8 @@ def digest(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = S
     plan = _planned(measured, block_words)
     places = placed(measured, plan)
     times = drawn(plan, shard_slots, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("_times"))
-    taken = spread(places, block_words).join(times, ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("_times")).alias("taken"))
+    # The planner takes the exploded slots for as small as their plan, so a shuffle join is asked for.
+    taken = spread(places, block_words).join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("_times")).alias("taken"))
     # Only documents with words have a start of their own; the others take nothing.
     key = F.when(F.col("size") > 0, F.col("start"))
     rows = places.withColumn("start", key).join(taken, ["source_no", "start"], "left")
