@@ -9,11 +9,11 @@ threshold, and groups are the components of the links.
    key for each band of BAND_ROWS of them, and an odd sketch: of a second set of
    MinHash samples, the least hash in each of 2 ** PARTS_LOG parts of the hash range,
    every sample flips one of SKETCH_BITS bits.  A set much smaller than that is
-   nearly all sampled, so its sketch is nearly exact.
+   nearly all sampled, and the number of its elements that are no samples is known.
 2. In each band bucket, all nodes are compared with its least node.  Sketches
    decide first: the population count of their XOR estimates the number of samples
-   that differ, and a pair passes unless it has DEVIATIONS standard deviations more
-   than a pair at the threshold has.  Pairs that pass are confirmed on the full
+   that differ, and a pair passes unless it has more than a pair at the threshold can have,
+   or, of large sets, DEVIATIONS standard deviations more than it has.  Pairs that pass are confirmed on the full
    sets, read back from the texts.
 3. Components of those links are formed.  Then every pair of a bucket that is in
    two components is compared in the same way, sketches in blocks of
@@ -51,7 +51,7 @@ BAND_ROWS = 5
 MISSED = 1e-7
 SKETCH_BITS = 4096
 PARTS_LOG = 14
-DEVIATIONS = 5.0
+DEVIATIONS = 6.0
 BLOCK = 2048
 #: Rows of shingle hashes that are multiplied at a time.
 HASHED_AT_ONCE = 1024
@@ -120,20 +120,58 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([len(hashes), len(samples)], dtype=np.uint64), bits])
 
 
-def most_flips(size: np.ndarray, samples: np.ndarray, threshold: float) -> np.ndarray:
-    """Greatest XOR population count taken for a similarity of at least threshold.
+def differing(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the number of differing samples of two sets of these sizes with similarity threshold.
 
-    size and samples are sums over the two sets.  At the threshold their union
-    has size / (1 + threshold) elements, of which each part of the hash range samples
-    one; the samples that agree are a draw without replacement.
+    The elements fall on the parts at random, so how many parts are occupied, and
+    by which elements, varies too: the moments are those of parts with Poisson numbers of common and
+    own elements, less the share of the variance that the fixed sizes take away.
     """
     parts = float(1 << PARTS_LOG)
-    union = size / (1 + threshold)
-    drawn = parts * -np.expm1(union * np.log1p(-1 / parts))
-    spread = 2 * np.sqrt(drawn * threshold * (1 - threshold) * np.maximum(1 - drawn / union, 0))
-    differ = np.maximum(samples - 2 * threshold * drawn, 0) + DEVIATIONS * spread + 2
-    folded = SKETCH_BITS / 2 * -np.expm1(-2 * differ / SKETCH_BITS)
-    return np.minimum(differ, folded + DEVIATIONS * np.sqrt(np.minimum(2 * differ**2 / SKETCH_BITS, SKETCH_BITS / 4)))
+    common = threshold * (size_a + size_b) / (1 + threshold)
+    both, own_a, own_b = common / parts, np.maximum(size_a - common, 0) / parts, np.maximum(size_b - common, 0) / parts
+    every = both + own_a + own_b
+    some = -np.expm1(-every)
+    empty_a, empty_b = np.exp(-(own_a + both)), np.exp(-(own_b + both))
+    # Of one part: one sample differs (the other set has none there), or two; and how the mean moves with each rate.
+    one = -np.expm1(-own_a) * empty_b - np.expm1(-own_b) * empty_a
+    two = (own_a + own_b) / every * some - one
+    mean = one + 2 * two
+    share = some / every
+    slope = (every * np.exp(-every) - some) / every**2
+    by_a, by_b = empty_a - 2 * both * slope, empty_b - 2 * both * slope
+    by_both = empty_a + empty_b - 2 * share - 2 * both * slope
+    variance = one + 4 * two - mean**2 - own_a * by_a**2 - own_b * by_b**2 - both * by_both**2
+    return parts * mean, parts * np.maximum(variance, 0)
+
+
+def folded(differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and variance of the bits that so many samples leave odd, and how the mean moves with their number."""
+    x = differ / SKETCH_BITS
+    even = np.exp(-4 * x)
+    return SKETCH_BITS / 2 * -np.expm1(-2 * x), SKETCH_BITS * np.maximum((1 - even) / 4 - x * even, 0), np.exp(-2 * x)
+
+
+def most_flips(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
+    """Greatest XOR population count taken for a similarity of at least threshold; a and b are (size, samples) of the sets.
+
+    Every element that is no sample shares its part with a lesser one of its set, and puts
+    at most one sample more on the differing side, so the differing samples are at most the
+    elements that differ and the elements that are no samples.  This holds always, and is
+    the limit of small sets.  That of large ones is the mean with a margin for
+    the tail of a count (Bernstein's bound, which holds for skewed counts too); the
+    variances of the samples and of the bits add up.
+    """
+    (size_a, samples_a), (size_b, samples_b) = a, b
+    always = (size_a + size_b) * (1 - threshold) / (1 + threshold) + (size_a - samples_a) + (size_b - samples_b) + 1e-6
+    mean, variance = differing(size_a, size_b, threshold)
+    skewed = mean + DEVIATIONS**2 / 3 + 2
+    differ = np.minimum(always, skewed + DEVIATIONS * np.sqrt(variance))
+    bits, spread, _ = folded(always)
+    by_always = bits + DEVIATIONS * np.sqrt(spread)
+    bits, _, slope = folded(skewed)
+    by_mean = bits + DEVIATIONS * np.sqrt(folded(differ)[1] + slope**2 * variance)
+    return np.minimum(differ, np.minimum(by_always, by_mean))
 
 
 def close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -141,7 +179,7 @@ def close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     size_a, size_b = a[..., 0].astype(float), b[..., 0].astype(float)
     flips = np.bitwise_count(a[..., 2:] ^ b[..., 2:]).sum(axis=-1)
     fits = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-6
-    return fits & (flips <= most_flips(size_a + size_b, a[..., 1].astype(float) + b[..., 1].astype(float), threshold))
+    return fits & (flips <= most_flips((size_a, a[..., 1].astype(float)), (size_b, b[..., 1].astype(float)), threshold))
 
 
 def signatures(docs: DataFrame, signer: Signer, size: int) -> DataFrame:

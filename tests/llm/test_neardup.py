@@ -88,6 +88,21 @@ def test_sketches_keep_similar_pairs_and_drop_others(size, threshold):
     assert not any(passes(threshold - 0.3) for _ in range(60)) or size < 100
 
 
+@pytest.mark.parametrize("size", [60, 100, 200, 400, 700, 1000])
+@pytest.mark.parametrize("threshold", [0.8, 0.85])
+def test_sketches_lose_no_pair_at_the_threshold(size, threshold):
+    draw = np.random.default_rng(size)
+    union = draw.integers(0, 2**64, (4000, size), dtype=np.uint64)
+    common = -(-round(100 * threshold) * size // 100)
+    half = common + (size - common) // 2
+    a = np.array([neardup.sketch(np.sort(x[:half])) for x in union])
+    b = np.array([neardup.sketch(np.sort(np.concatenate([x[:common], x[half:]]))) for x in union])
+    assert neardup.close(a, b, threshold).all()
+    one_sided = np.array([neardup.sketch(np.sort(x[:common])) for x in union])
+    whole = np.array([neardup.sketch(np.sort(x)) for x in union])
+    assert neardup.close(one_sided, whole, threshold).all()
+
+
 def test_components_of_long_paths(spark):
     path = list(range(300))
     random.Random(2).shuffle(path)
