@@ -2,8 +2,10 @@
 
 Two order-1 character models, of random strings and of ordinary identifiers,
 are trained from labelled samples; a candidate token whose log-likelihood ratio
-per character is above a threshold is a span of kind `random`, unless it
-overlaps a span found by a pattern.
+per character is above a threshold is a span of kind `random`.  Candidates are the
+runs of CANDIDATE characters, at least LEAST_CANDIDATE of them; any other character ends one, so the
+parts of a dotted token are scored one by one.  Of a run that a span found by a pattern covers in
+part, each stretch left over is a candidate of its own.
 
 Defined results: a null text is empty; positions are code points, ends are
 exclusive; equal texts get equal results; an empty table gives no rows.
@@ -32,7 +34,9 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 #: A text without any of these, in lower case, has no assign span.
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
+#: The least length of the random strings that the models learn from.
+LEAST_CANDIDATE = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}")
 
 CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 THRESHOLD = 0.35
@@ -77,16 +81,43 @@ STEMS = (
     "version video view virtual visitor volume warning watch width window worker write zone"
 ).split()
 
+# Stems of long words of prose, by language; compounds of them are negative samples too.
+PROSE = (
+    "able about after again against another because before between beyond business certain children company complete consider country develop "
+    "different during every example family follow general government great hand hood house important interest itself knowledge least less light little "
+    "mother nation nature never night other over people perhaps place point power present problem question reason right school should something "
+    "state strong that their there these they thing think this thought through together tion under water weather whether which while whole without "
+    "woman wonder work world would write year young ance ence ful ism ment ness ship ward wise".split(),
+    "abend anfang arbeit auch aufgabe bedeutung beispiel bereich besonders betrieb bild bitte buch burg dampf deutsch dienst ding einheit ende entwicklung "
+    "erde erfahrung ergebnis ernst fahrt familie farbe fenster fest fisch flug folge forschung frage freiheit freund ganz geben gebiet gefahr gegen "
+    "geist geschichte gesellschaft gesetz gesicht gewalt glauben gleich grund gruppe hand haupt haus herz himmel hoch jahr kampf keit kind kirche kopf kraft "
+    "krankheit kunst land leben lich macht mensch milch mittel moment mutter nacht name natur pflanze pflicht platz politik pferd recht regel reise sache schaft schiff "
+    "schlag schloss schrift schule schutz schwester seite sinn sprache staat stadt stimme strasse stunde tag teil tisch ung verhalten versicherung volk wagen wahrheit "
+    "wasser weg welt werk wert wirtschaft wissen wohnung zahl zeit zeitung ziel zimmer zug zwischen".split(),
+    "alors amour ancien apparence aujourd aussi autre avant avec beau beaucoup besoin bois bonheur bouche bras cause chambre chaque chemin cheval chose ciel "
+    "coeur comme compte corps couleur coup cour dans depuis dernier deux doute eau effet encore enfant esprit eux exemple faire famille femme feu feuille "
+    "fleur fois force genre gens gouvernement grand guerre heure heureux histoire homme honneur idee jeu jeune jour lettre lieu lumiere main maison maitre "
+    "matin mieux moment monde mort moyen nature nombre nouveau nuit oeil oiseau ombre ordre oublier parole partie passage pays peau peine pensee personne "
+    "petit peuple pied place plaisir pouvoir premier propos quatre question quelque raison regard reste rien route saison sang sens silence soleil sorte "
+    "souvenir temps terre tete toujours tout travail travers trois trouver verite vieux ville visage voix vouloir ement eux ique tion".split(),
+    "agua ahora alguien alma amigo amor antes aqui bajo bastante bien blanco boca bueno cabeza cada calle camino campo cara casa causa cielo ciudad claro "
+    "conocimiento corazon cosa cuando cuenta cuerpo deseo despues dia dinero donde edad ejemplo encima entonces entre escuela espejo espiritu estado estrella "
+    "fuerza gente gobierno grande guerra hacer hacia hermano hija historia hombre hora idea iglesia justo lado lengua libro llegar lugar luz madre manera mano "
+    "mayor mejor memoria mesa miedo mientras momento muerte mujer mundo nada negro ninguno noche nombre nuestro nuevo nunca ojos padre palabra paso pensamiento "
+    "pequeno pero persona piedra poder porque primero problema pueblo puerta quien razon sangre segundo senor siempre siglo sobre sol suelo tarde tiempo tierra "
+    "todo trabajo verdad viaje vida viejo viento vista cion dad mente miento".split(),
+)
+
 
 def labelled_samples(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
-    """n random strings (label 1) over common secret alphabets and n identifiers (label 0) joined from stems."""
+    """n random strings (label 1) over common secret alphabets and n identifiers and long words (label 0) joined from stems."""
     draw = random.Random(seed)
     lower, upper, digits = CLASSES[:26], CLASSES[26:52], CLASSES[52:62]
-    alphabets = [lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "_-", lower + digits, upper + digits, digits + "abcdef"]
-    out = [("".join(draw.choices(draw.choice(alphabets), k=draw.randint(16, 48))), 1) for _ in range(n)]
+    alphabets = [lower + upper + digits, lower + upper, lower + upper + digits + "+/", lower + upper + digits + "_-", lower + digits, upper + digits, digits + "abcdef"]
+    out = [("".join(draw.choices(draw.choice(alphabets), k=draw.randint(LEAST_CANDIDATE, 48))), 1) for _ in range(n)]
     for _ in range(n):
         parts = draw.choices(STEMS, k=draw.randint(2, 5))
-        kind = draw.randrange(5)
+        kind = draw.randrange(8)
         if kind == 0:
             text = "_".join(parts)
         elif kind == 1:
@@ -95,8 +126,11 @@ def labelled_samples(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
             text = "-".join(parts)
         elif kind == 3:
             text = "_".join(parts).upper()
-        else:
+        elif kind == 4:
             text = "/".join(parts)
+        else:
+            text = "".join(draw.choices(draw.choice(PROSE), k=draw.randint(2, 6)))
+            text = text if kind == 5 else text.capitalize() if kind == 6 else text.upper()
         out.append((text + (str(draw.randint(1, 2030)) if draw.random() < 0.2 else ""), 0))
     return out
 
@@ -115,14 +149,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def model_spans(text: str, models: CharacterModels, base: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Candidates that look random and overlap no base span."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in base):
-            continue
-        if not m[0].isalpha() and models.score(m[0]) >= threshold:
-            out.append((start, end))
+    """Candidates, or what base spans leave of them, that look random."""
+    out, at = [], 0
+    for start, _, end in [*base, (len(text), 0, len(text))]:
+        if start - at >= LEAST_CANDIDATE:
+            out += [m.span() for m in CANDIDATE.finditer(text, at, start) if models.score(m[0]) >= threshold]
+        at = max(at, end)
     return out
 
 
