@@ -18,7 +18,7 @@ lines, and one range read per line fetches the record.
 All files are in the shared folder.  A task that runs again writes the same names
 with the same bytes.
 
-Defined results: a null html is an empty payload; a null URL has the key `-`; pages with a
+Defined results: a null html is an empty payload; a null URL has the key `-`; a malformed URL is its own key; pages with a
 null page_id are responses and are never referred to; rows with one page_id and
 one payload are all the response or all revisits; an empty table gives no rows.
 """
@@ -48,6 +48,11 @@ WRITTEN_AT = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def escaped(key: str) -> str:
+    """A key without the signs that part index lines and their fields."""
+    return key.replace("\n", "%0A").replace("\x00", "%00")
+
+
 def url_key(url: str | None) -> str:
     """The URL with its host reversed and in lower case, without scheme, user and fragment."""
     if not url:
@@ -56,11 +61,11 @@ def url_key(url: str | None) -> str:
         parts = urlsplit(url if "://" in url else f"//{url}")
         host, port = (parts.hostname or "").lower(), parts.port
     except ValueError:
-        return url
+        return escaped(url)
     if host.startswith("www."):
         host = host[4:]
     key = ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + (parts.path or "/")
-    return (key + (f"?{parts.query}" if parts.query else "")).replace("\n", "%0A").replace("\x00", "%00")
+    return escaped(key + (f"?{parts.query}" if parts.query else ""))
 
 
 def record_id(page_id: int | None, digest: str, url: str | None) -> str:
@@ -267,5 +272,7 @@ def digest(pages: DataFrame) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     lines = shared.written(write(referred(pages)), "records")
     parts = index(lines)
-    found = lookup(spark, parts, lines.select("key"))
+    found = shared.written(lookup(spark, parts, lines.select("key")), "found")
+    if (n := found.count()) != (written := lines.count()):
+        raise RuntimeError(f"the index finds {n} of {written} records")
     return fetch(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -66,5 +66,12 @@ def test_keys():
     assert warc.url_key(None) == warc.url_key("") == "-"
 
 
+def test_malformed_urls_with_line_breaks_are_found(spark):
+    urls = ["http://[x]/a\nb", "http://a:99999/c\nd", "http://a:80x/\x00e\n\nf", "http://[x]/a", "b", "http://ok.net/g"]
+    rows = [(i, x, f"<p>{i}</p>") for i, x in enumerate(urls)]
+    assert not any("\n" in warc.url_key(x) or "\0" in warc.url_key(x) for x in urls)
+    same([tuple(r) for r in warc.digest(spark.createDataFrame(rows, SCHEMA)).collect()], brute_force(rows))
+
+
 def test_empty_table(spark):
     assert warc.digest(spark.createDataFrame([], SCHEMA)).count() == 0
