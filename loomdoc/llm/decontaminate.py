@@ -9,7 +9,7 @@ that many windows, each broadcast and scanned in a pass of its own, and the hits
 of the passes are merged by document.
 
 Defined results: a null or empty text has no words and no hits; null or empty
-items have no windows; equal rows get equal results; an empty benchmark or
+items have no windows; the windows of a row with a null item_id make hits, but no item; equal rows get equal results; an empty benchmark or
 document table gives unhit documents or no rows.  Columns of the inputs other
 than the named ones are ignored by `scan` and kept by `remove_documents` and
 `remove_spans`.
@@ -34,10 +34,10 @@ BROADCAST_WINDOWS = 1_000_000
 class WindowSet:
     """Benchmark windows: sorted hashes, the items of each, and their words for verification."""
 
-    def __init__(self, windows: list[tuple[bytes, int]]):
+    def __init__(self, windows: list[tuple[bytes, int | None]]):
         by_words: dict[bytes, set[int]] = {}
         for spelled, item in windows:
-            by_words.setdefault(spelled, set()).add(item)
+            by_words.setdefault(spelled, set()).update([] if item is None else [item])
         self.spelled = list(by_words)
         self.items = [sorted(by_words[x], key=str) for x in self.spelled]
         sizes = np.array([x.count(b" ") + 1 for x in self.spelled], dtype=np.int64)
@@ -129,8 +129,8 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def window_sets(benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> Iterator[WindowSet]:
     """Sets of at most about broadcast_windows windows; items are streamed, one Spark partition at a time on the driver."""
-    held: list[tuple[bytes, int]] = []
-    for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
+    held: list[tuple[bytes, int | None]] = []
+    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         held += [(w, row.item_id) for w in item_windows(row.text, size)]
         if len(held) >= broadcast_windows:
             yield WindowSet(held)
@@ -213,7 +213,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return scan(docs, benchmark).withColumn("text", text).select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
-def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, str | None]]) -> list[tuple]:
+def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int | None, str | None]]) -> list[tuple]:
     """digest() of small lists, word by word."""
     import re
 
@@ -229,7 +229,7 @@ def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int, s
                     if have[j : j + len(window)] == window:
                         covered.update(range(j, j + len(window)))
                         hit = True
-            if hit:
+            if hit and item_id is not None:
                 items.append(item_id)
         sha = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
         out.append((doc_id, len(have), len(covered), len(items), sha, bool(covered) and 20 * len(covered) >= len(have)))

@@ -33,6 +33,17 @@ def test_removal_and_columns(spark, docs, rows):
     assert len(cleaned[22] or "") < len(next(r[1] for r in rows if r[0] == 22))
 
 
+def test_items_without_an_id_are_hit(spark, docs, rows):
+    items = [(None, rows[8][1]), (5, rows[14][1]), (None, rows[14][1]), (None, None)]
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    want = decontaminate.brute_force([r[:2] for r in rows], items)
+    assert any(w[5] and not w[3] for w in want) and any(w[5] and w[3] == 1 for w in want)
+    same([tuple(r) for r in decontaminate.digest(docs, table).collect()], want)
+    one, many = (decontaminate.scan(docs, table, broadcast_windows=n).selectExpr("doc_id", "cast(spans as string)", "cast(items as string)").collect() for n in (10**6, 5))
+    same([tuple(r) for r in one], [tuple(r) for r in many])
+    assert rows[8][0] not in {r.doc_id for r in decontaminate.remove_documents(docs, table).collect()}
+
+
 def test_empty_tables(spark, docs, empty, rows):
     _, table = bench(spark, rows)
     assert decontaminate.digest(empty, table).count() == 0
