@@ -94,18 +94,28 @@ def projection(df: DataFrame, index: Index, body: str = "body") -> DataFrame:
     """The rows that an index stands for: _id, _rev and the fields, one row per element of an array field.
 
     A document without the array, or with an empty one, has one row; one with two
-    arrays among the fields is listed with the first of them exploded.
+    arrays among the fields is listed with the first of them exploded (of typed columns and fields
+    of a VARIANT body, the first typed array before the others).
     """
-    resolve, columns, exploded = fld.Resolver(df, body), [], False
-    for name in index.fields:
-        field = resolve(name)
-        column = field.column
-        if field.kind == "array" and not exploded:
-            column, exploded = F.explode_outer(column), True
-        elif field.kind == "variant":
+    resolve = fld.Resolver(df, body)
+    fields = [resolve(name) for name in index.fields]
+    typed = [k for k, x in enumerate(fields) if x.kind == "array"][:1]
+    arrays = {k: fields[k].column for k in typed} | {k: fld.variant_array(x.column) for k, x in enumerate(fields) if x.kind == "variant"}
+    columns = [x.column.alias(f"field_{k}") for k, x in enumerate(fields)]
+    if arrays:
+        which = F.coalesce(*[F.when(x.isNotNull(), F.lit(k)) for k, x in arrays.items()])
+        places = F.coalesce(*[F.transform(x, lambda _, i: i) for x in arrays.values()])
+        columns += [*(x.alias(f"array_{k}") for k, x in arrays.items()), which.alias("which"), F.explode_outer(places).alias("at")]
+    rows, out = df.select(*columns), []
+    for k, (name, field) in enumerate(zip(index.fields, fields, strict=True)):
+        column = F.col(f"field_{k}")
+        if k in arrays:
+            element = F.try_element_at(F.col(f"array_{k}"), F.col("at") + 1)
+            column = element if k in typed else F.when(F.col("which") == k, element).otherwise(column)
+        if field.kind == "variant":
             column = F.try_variant_get(column, "$", "string")
-        columns.append(column.alias(name))
-    return df.select(*columns)
+        out.append(column.alias(name))
+    return rows.select(*out)
 
 
 class MaterialisedIndex:

@@ -54,6 +54,18 @@ def test_materialised_indexes_follow_the_store(spark, tmp_path):
     assert again.last_sequence == store.last_sequence and again.table().count() == 5
 
 
+def test_materialised_indexes_list_the_elements_of_stored_arrays(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    bodies = {"a": {"pet": ["x", 2], "o": ["k", "l"]}, "b": {"pet": []}, "c": {"n": 1}, "d": {"pet": "y", "o": ["m", "n"]}, "e": {"pet": [["z"], None]}}
+    store.create_many(spark.createDataFrame([(k, json.dumps(v)) for k, v in bodies.items()], "_id string, json string"))
+    view = MaterialisedIndex(store, Index("by-pet", ("_id", "_rev", "pet", "o")))
+    listed = lambda rows: sorted((r["_id"], r.pet or "", r.o or "") for r in rows)
+    want = [("a", "2", '["k","l"]'), ("a", "x", '["k","l"]'), ("b", "", ""), ("c", "", ""), ("d", "y", "m"), ("d", "y", "n"), ("e", "", ""), ("e", '["z"]', "")]
+    assert listed(view.refresh().collect()) == want
+    store.update("c", store.read("c").revid, {"pet": ["p", "q"]})
+    assert listed(view.refresh().collect()) == sorted([w for w in want if w[0] != "c"] + [("c", "p", ""), ("c", "q", "")])
+
+
 def test_results_by_id(spark, tmp_path):
     store = DocumentStore(spark, str(tmp_path / "store"))
     row = store.create({"n": 1, "m": 2}, "a")
