@@ -1,9 +1,10 @@
 import hashlib
 import re
 
+import duckdb
 import numpy as np
 
-from loomdoc.llm import line_dedup
+from loomdoc.llm import line_dedup, queries
 
 from .conftest import same
 
@@ -34,6 +35,13 @@ def test_digest_equals_brute_force(docs, rows):
     same([tuple(r) for r in line_dedup.digest(docs).collect()], want)
 
 
+def test_sql_equals_brute_force(rows):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    same(db.execute(queries.oracle_sql()["op7_line_dedup"]).fetchall(), brute_force(rows))
+
+
 def test_many_shards_and_clashing_columns(docs, rows):
     clashing = docs.selectExpr("*", "7 as n_lines", "source as high")
     got = line_dedup.dedup(clashing, least_chars=5, least_docs=2, shard_keys=3)

@@ -1,7 +1,9 @@
 import gzip
 import hashlib
 
-from loomdoc.llm import shared, warc
+import duckdb
+
+from loomdoc.llm import queries, shared, warc
 
 from .conftest import same
 
@@ -53,6 +55,13 @@ def test_small_archives_blocks_and_parts(spark):
     assert all(r.payload is None or (r.page_id, bytes(r.payload).decode()) in html for r in records)
 
 
+def test_sql_equals_brute_force():
+    rows, db = page_rows(), duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    same(db.execute(queries.oracle_sql()["op4_warc"]).fetchall(), brute_force(rows))
+
+
 def test_archives_are_plain_gzip_members():
     members = [warc.make_record(i, f"http://a/{i}", b"x" * i, None) for i in range(4)]
     raw = gzip.decompress(b"".join(members))
