@@ -7,13 +7,13 @@ from loomdoc.sources.store import DocumentStore
 from loomdoc.streaming import replication as rp
 from loomdoc.streaming.latest import latest_of_stream
 
-ANIMALS = {"aardvark": ("mammal", 5), "badger": ("mammal", 7), "kookaburra": ("bird", 1), "snipe": ("bird", 0.5), "zebra": ("mammal", 300)}
+BOATS = {"heron": ("sail", 9), "otter": ("motor", 14), "petrel": ("sail", 1), "swift": ("motor", 0.5), "tug": ("steam", 300)}
 
 
 @pytest.fixture
 def stores(spark, tmp_path):
     source, target = (DocumentStore(spark, str(tmp_path / x)) for x in ("source", "target"))
-    docs = spark.createDataFrame([(k, f'{{"class": "{c}", "weight": {w}}}') for k, (c, w) in ANIMALS.items()], "_id string, json string")
+    docs = spark.createDataFrame([(k, f'{{"drive": "{c}", "load": {w}}}') for k, (c, w) in BOATS.items()], "_id string, json string")
     source.create_many(docs)
     return source, target
 
@@ -29,36 +29,36 @@ def test_goes_on_where_it_stopped(stores):
     run = rp.replicate(source, target)
     assert run.state == "COMPLETE" and run.documents == 5 and winners(source) == winners(target)
     assert run.checkpoint() == source.last_sequence and [x.documents for x in seen] == [5]
-    row = source.read("badger")
-    row = source.update("badger", row.revid, {"class": "mammal", "weight": 8}, {"photo": (b"pixels", "image/x")})
-    source.delete("zebra", source.read("zebra").revid)
+    row = source.read("otter")
+    row = source.update("otter", row.revid, {"drive": "motor", "load": 8}, {"photo": (b"pixels", "image/x")})
+    source.delete("tug", source.read("tug").revid)
     again = rp.replicate(source, target)
     assert again.id == run.id and again.documents == 2 and winners(source) == winners(target)
-    assert target.attachment("badger", "photo") == b"pixels"
+    assert target.attachment("otter", "photo") == b"pixels"
     assert rp.replicate(source, target).documents == 0
 
 
 def test_conflicts_come_over_whole(stores):
     source, target = stores
     for suffix in ("a", "b"):
-        source.create_with_history("fox", {"v": suffix}, 3, [suffix, "m", "r"])
-    target.create_with_history("fox", {"v": "t"}, 2, ["m", "r"])
+        source.create_with_history("raft", {"v": suffix}, 3, [suffix, "m", "r"])
+    target.create_with_history("raft", {"v": "t"}, 2, ["m", "r"])
     rp.replicate(source, target)
-    assert target.read("fox").revid == "3-b" and [r["_id"] for r in target.conflicted_ids().collect()] == ["fox"]
-    assert target.revs.where("_id = 'fox'").count() == 4
+    assert target.read("raft").revid == "3-b" and [r["_id"] for r in target.conflicted_ids().collect()] == ["raft"]
+    assert target.revs.where("_id = 'raft'").count() == 4
 
 
 @pytest.mark.parametrize(
     ("options", "want"),
     [
-        ({"selector": {"class": "bird"}}, ["kookaburra", "snipe"]),
-        ({"doc_ids": ["zebra", "none", "badger"]}, ["badger", "zebra"]),
-        ({"filter": "by_class", "parameters": {"class": "bird"}}, ["kookaburra", "snipe"]),
-        ({"push_filter": lambda docs: F.try_variant_get("body", "$.weight", "double") < 2}, ["kookaburra", "snipe"]),
+        ({"selector": {"drive": "sail"}}, ["heron", "petrel"]),
+        ({"doc_ids": ["tug", "none", "otter"]}, ["otter", "tug"]),
+        ({"filter": "by_drive", "parameters": {"drive": "sail"}}, ["heron", "petrel"]),
+        ({"push_filter": lambda docs: F.try_variant_get("body", "$.load", "double") < 2}, ["petrel", "swift"]),
     ],
 )
 def test_filters(stores, options, want):
-    rp.register_filter("by_class", lambda docs, p: F.try_variant_get("body", "$.class", "string") == p["class"])
+    rp.register_filter("by_drive", lambda docs, p: F.try_variant_get("body", "$.drive", "string") == p["drive"])
     source, target = stores
     rp.replicate(source, target, **options)
     assert sorted(r["_id"] for r in target.ids().collect()) == want

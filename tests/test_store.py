@@ -167,22 +167,22 @@ def test_projections(spark):
 def test_find(store, spark):
     import json
 
-    store.create_many(spark.createDataFrame([(k, json.dumps(v | {"comment": f"the {v.get('pet')} of {v['name']}"})) for k, v in fx.BASIC.items()], "_id string, json string"))
-    assert fx.ids(store.find({"age": {"$gt": 12}, "pet": "cat"})) == ["fred34", "mike72"]
-    assert [r["_id"] for r in store.find({}, sort=[("age", "desc"), ("name", "asc")], limit=2).collect()] == ["mike72", "fred34"]
+    store.create_many(spark.createDataFrame([(k, json.dumps(v | {"note": f"the {v['rig']} at {v.get('berth')}"})) for k, v in fx.BOATS.items()], "_id string, json string"))
+    assert fx.ids(store.find({"length": {"$gt": 9}, "berth": "south"})) == ["otter", "swift"]
+    assert [r["_id"] for r in store.find({}, sort=[("length", "desc"), ("rig", "asc")], limit=2).collect()] == ["swift", "tern"]
     with pytest.raises(QueryError):
-        store.find({"$text": {"$search": "cat"}})
-    store.create_text_index(["comment"])
-    assert fx.ids(store.find({"name": "mike", "$text": {"$search": "cat"}})) == ["mike12", "mike72"]
+        store.find({"$text": {"$search": "south"}})
+    store.create_text_index(["note"])
+    assert fx.ids(store.find({"rig": "sloop", "$text": {"$search": "south OR north"}})) == ["heron", "swift"]
     with pytest.raises(QueryError):
-        store.find({"name": "mike", "$text": {"$search": "cat"}}, strict=True)
+        store.find({"rig": "sloop", "$text": {"$search": "south"}}, strict=True)
     with pytest.raises(QueryError):
-        store.find({}, sort=["age"], strict=True)
-    store.create_json_index(["name", "age"])
-    assert store.find({"name": "mike", "$text": {"$search": "cat"}}, sort=["age"], strict=True).count() == 2
-    row = store.read("mike12")
-    store.delete("mike12", row.revid)
-    assert "mike12" not in fx.ids(store.find({}))
+        store.find({}, sort=["length"], strict=True)
+    store.create_json_index(["rig", "length"])
+    assert store.find({"rig": "sloop", "$text": {"$search": "south OR north"}}, sort=["length"], strict=True).count() == 2
+    row = store.read("heron")
+    store.delete("heron", row.revid)
+    assert "heron" not in fx.ids(store.find({}))
 
 
 def test_bus_and_closing(store):
