@@ -91,6 +91,6 @@ def multi_get(df: DataFrame, ids: Sequence, key: str = "_id") -> DataFrame:
     """Rows by key in the order of ids; unknown keys are skipped and repeated ones count once."""
     if not ids:
         raise QueryError("a list of ids is not empty")
-    # The list is the caller's own and travels with the query.
+    # A short list is small enough for the planner to broadcast; a long one is joined like any table.
     order = df.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], f"`{key}` {df.schema[key].dataType.simpleString()}, _pos int")
-    return df.join(F.broadcast(order), key).orderBy("_pos").drop("_pos")
+    return df.join(order, key).orderBy("_pos").drop("_pos")

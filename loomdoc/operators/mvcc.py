@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.revisions import generation, suffix
 from ..plans.errors import QueryError
+from ..sources import folders
 
 SCHEMA = "sequence bigint, _id string, parent bigint, revid string, deleted boolean, available boolean, json string"
 
@@ -31,9 +32,13 @@ def rank(revid: str | Column = "revid", deleted: str = "deleted") -> Column:
 
 
 def winners(revs: DataFrame) -> DataFrame:
-    """The winning revision of each document, a function of its tree alone; aggregated map-side, so no document's tree meets in one task."""
-    row = F.struct(*[F.col(f"`{x}`") for x in revs.columns])
-    return leaves(revs).groupBy("_id").agg(F.max_by(row, F.struct(rank(), (-F.col("sequence")).alias("first"))).alias("_row")).select("_row.*")
+    """The winning revision of each document, a function of its tree alone.
+
+    Sequences and ranks are aggregated map-side, so no document's tree meets in one task;
+    bodies move once, to be joined with the winners' sequences.
+    """
+    chosen = leaves(revs).groupBy("_id").agg(F.max_by("sequence", F.struct(rank(), (-F.col("sequence")).alias("first"))).alias("sequence"))
+    return revs.join(chosen.select("sequence"), "sequence", "left_semi").select(*revs.columns)
 
 
 def live(revs: DataFrame) -> DataFrame:
@@ -63,15 +68,48 @@ def children(revs: DataFrame, sequence: int) -> DataFrame:
     return revs.where(F.col("parent") == sequence)
 
 
+def lookup(revs: DataFrame, doc_id: str, revid: str) -> DataFrame:
+    """The revisions of a document with this revision id, the first by sequence first."""
+    return revs.where((F.col("_id") == doc_id) & (F.col("revid") == revid)).orderBy("sequence")
+
+
+def leaf_revisions(revs: DataFrame, exclude_deleted: bool = False) -> DataFrame:
+    """Leaves, with exclude_deleted those that are not deleted."""
+    return leaves(revs).where(~F.col("deleted")) if exclude_deleted else leaves(revs)
+
+
+def has_conflicts(revs: DataFrame) -> DataFrame:
+    """_id and has_conflicts of every document: whether more than one leaf is not deleted."""
+    return leaves(revs).groupBy("_id").agg((F.count_if(~F.col("deleted")) > 1).alias("has_conflicts"))
+
+
+def faults(revs: DataFrame) -> DataFrame:
+    """_id, sequence and fault of revisions that no tree can hold.
+
+    `repeated sequence`: another revision has it; `missing parent`: no revision has the parent's
+    sequence; `parent of another document`; `later parent`: the parent's sequence is not smaller.
+    """
+    repeated = revs.groupBy("sequence").agg(F.count(F.lit(1)).alias("_n"), F.collect_set("_id").alias("_ids")).where("_n > 1")
+    twice = repeated.select(F.explode("_ids").alias("_id"), "sequence", F.lit("repeated sequence").alias("fault"))
+    above = revs.groupBy(F.col("sequence").alias("_above")).agg(F.collect_set("_id").alias("_owners"))
+    joined = revs.where("parent is not null").select("_id", "sequence", "parent").join(above, F.col("parent") == F.col("_above"), "left")
+    fault = F.when(F.col("_above").isNull(), "missing parent").when(~F.array_contains("_owners", F.col("_id")), "parent of another document").when(F.col("parent") >= F.col("sequence"), "later parent")
+    return twice.unionByName(joined.select("_id", "sequence", fault.alias("fault")).where("fault is not null"))
+
+
 def paths(revs: DataFrame) -> DataFrame:
     """sequence, _id, revid, depth and path (revision ids from the node to its root) of each revision.
 
     By doubling: a node's known path ends at an ancestor whose known path is
-    appended, so the rounds grow with the logarithm of the depth.
+    appended, so the rounds grow with the logarithm of the depth.  Rounds are tables in the
+    shared folder; each replaces the one before.
     """
-    state = revs.select("sequence", "_id", "revid", F.col("parent").alias("next"), F.array("revid").alias("path"))
+    state, last = revs.select("sequence", "_id", "revid", F.col("parent").alias("next"), F.array("revid").alias("path")), None
     while True:
-        state = state.checkpoint() if state.sparkSession.sparkContext.getCheckpointDir() else state.persist()
+        state = folders.written(state, "paths")
+        if last is not None:
+            folders.discard(last)
+        last = state
         if not state.where("next is not null").limit(1).count():
             return state.select("sequence", "_id", "revid", (F.size("path") - 1).alias("depth"), "path")
         above = state.select(F.col("sequence").alias("_sequence"), F.col("next").alias("_next"), F.col("path").alias("_path"))
@@ -103,7 +141,7 @@ def numbered(df: DataFrame, order: list[str], start: Column, name: str) -> DataF
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_place", 33)).withColumn("_row", F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_place")
-    placed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    placed = folders.written(placed, "placed")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     return placed.join(offsets, "_part").withColumn(name, start + F.col("_offset") + F.col("_row") + 1).drop("_part", "_row", "_offset")
@@ -149,6 +187,16 @@ def repair_duplicates(revs: DataFrame) -> DataFrame:
     return own.join(mapped, F.col("parent") == F.col("_from"), "left").withColumn("parent", F.col("_kept")).drop("_from", "_kept").select(*revs.columns)
 
 
+def repair_attachments(revs: DataFrame, attachments: DataFrame) -> DataFrame:
+    """Attachments (sequence, filename, ...) after repair_duplicates: those of dropped revisions go to the kept one, each (sequence, filename) once, of several the one from the first revision."""
+    kept = revs.groupBy("_id", "revid").agg(F.min("sequence").alias("_kept"))
+    mapped = revs.select("sequence", "_id", "revid").join(kept, ["_id", "revid"]).select(F.col("sequence").alias("_from"), "_kept")
+    moved = attachments.join(mapped, F.col("sequence") == F.col("_from"))
+    rest = [x for x in attachments.columns if x not in ("sequence", "filename")]
+    first = F.min_by(F.struct(*rest), "_from").alias("_rest")
+    return moved.groupBy(F.col("_kept").alias("sequence"), "filename").agg(first).select("sequence", "filename", "_rest.*").select(*attachments.columns)
+
+
 def changes(revs: DataFrame, since: int, limit: int, current: DataFrame | None = None) -> DataFrame:
     """Winners of documents with a revision in the sequences since+1 .. since+limit, and last_sequence, their greatest there.
 

@@ -148,6 +148,51 @@ def _pattern(term: Term) -> str:
     return " ".join(words) + (r"[^ ]*" if term.prefix else "")
 
 
+#: What the simple tokenizer takes for a token, and what lies between tokens.
+_INSIDE, _BETWEEN = r"[0-9A-Za-z\x{80}-\x{10ffff}]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _raw_pattern(term: Term) -> str:
+    """A term in a text that is not cut into tokens; ASCII letters of any case."""
+    spelled = _BETWEEN.join(rf"\Q{x}\E" for x in term.words)
+    return rf"(?<!{_INSIDE}){spelled}" + (rf"{_INSIDE}*" if term.prefix else rf"(?!{_INSIDE})")
+
+
+def _possible(node, lowered: dict[str, Column]) -> Column:
+    """A cheap condition that every match meets: the words are somewhere in the lower-cased text."""
+    if isinstance(node, (Both, Near)):
+        return _possible(node.left, lowered) & _possible(node.right, lowered)
+    if isinstance(node, Either):
+        return _possible(node.left, lowered) | _possible(node.right, lowered)
+    if isinstance(node, Without):
+        return _possible(node.left, lowered)
+    words = [x for x in node.words if x.isascii()]
+    own = [c for name, c in lowered.items() if node.column in (None, name)]
+    return reduce(operator.or_, (reduce(operator.and_, (F.contains(c, F.lit(x)) for x in words)) for c in own)) if words else F.lit(True)
+
+
+def _holds_raw(node, texts: dict[str, Column]) -> Column:
+    """The condition of a search tree on texts cut by the simple tokenizer, without cutting them: patterns read the texts as they are."""
+    if isinstance(node, Both):
+        return _holds_raw(node.left, texts) & _holds_raw(node.right, texts)
+    if isinstance(node, Either):
+        return _holds_raw(node.left, texts) | _holds_raw(node.right, texts)
+    if isinstance(node, Without):
+        return _holds_raw(node.left, texts) & ~_holds_raw(node.right, texts)
+    if isinstance(node, Term):
+        if not node.words:
+            return F.lit(False)
+        patterns, terms = [_raw_pattern(node)], (node,)
+    else:
+        if not node.left.words or not node.right.words:
+            return F.lit(False)
+        a, b = _raw_pattern(node.left), _raw_pattern(node.right)
+        between = rf"{_BETWEEN}(?:{_INSIDE}+{_BETWEEN}){{0,{node.distance}}}"
+        patterns, terms = [f"{a}{between}{b}", f"{b}{between}{a}"], (node.left, node.right)
+    own = [c for name, c in texts.items() if all(t.column in (None, name) for t in terms)]
+    return reduce(operator.or_, (F.regexp_like(c, F.lit(f"(?i){x}")) for c in own for x in patterns)) if own else F.lit(False)
+
+
 def _holds(node, tokens: dict[str, Column]) -> Column:
     if isinstance(node, Both):
         return _holds(node.left, tokens) & _holds(node.right, tokens)
@@ -194,11 +239,15 @@ class TextIndex:
     def __call__(self, search: str) -> Column:
         """The condition of a search."""
         tree = Parser(search, list(self.found), self.tokenizer).parse()
-        plain = {name: self.tokenizer.column(self._text(f)) for name, f in self.found.items() if name != self.array}
+        if self.tokenizer == Tokenizer():
+            cut, holds = (lambda c: F.coalesce(c, F.lit(""))), lambda texts: _possible(tree, {k: F.lower(c) for k, c in texts.items()}) & _holds_raw(tree, texts)
+        else:
+            cut, holds = self.tokenizer.column, lambda texts: _holds(tree, texts)
+        plain = {name: cut(self._text(f)) for name, f in self.found.items() if name != self.array}
         if self.array is None:
-            return _holds(tree, plain)
+            return holds(plain)
         elements = F.when(F.size(self.found[self.array].column) > 0, self.found[self.array].column).otherwise(F.array(F.lit(None).cast(self.found[self.array].element)))
-        return F.exists(elements, lambda e: _holds(tree, plain | {self.array: self.tokenizer.column(e.cast("string"))}))
+        return F.exists(elements, lambda e: holds(plain | {self.array: cut(e.cast("string"))}))
 
 
 def search(df: DataFrame, text: str, columns: Sequence[str], tokenizer: Tokenizer | None = None) -> DataFrame:

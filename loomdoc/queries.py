@@ -171,12 +171,54 @@ def text_in_selector(spark, folder):
     return find(docs, {"lang": "en", "$text": {"$search": "the"}}, text=TextIndex(docs, ["text"])).select("doc_id")
 
 
-@query()
+#: Words whose Porter stem is that of "reserving" or "licensing".
+_INFLECTED = ("reserve", "reserves", "reserved", "reserving", "reservation", "reservations", "license", "licenses", "licensed", "licensing")
+
+
+@query(f"SELECT doc_id FROM {_DOCS} WHERE len(list_intersect(tk, {list(_INFLECTED)!r})) > 0")
 def text_porter(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return search(docs, "reserving OR licensing", ["text"], tokens.Tokenizer("porter")).select("doc_id")
 
 
+@query(f"SELECT doc_id FROM {_DOCS} WHERE lower(source) = 'src1' AND {_has('the')}".replace("SELECT doc_id, ", "SELECT doc_id, source, "))
+def text_column_filter(spark, folder):
+    return search(table(spark, folder, "documents").select("doc_id", "source", "text"), "source:SRC1 text:the", ["source", "text"]).select("doc_id")
+
+
+@query(f"SELECT conv_id FROM (SELECT conv_id, {_TOKENS} AS tk FROM conversations) GROUP BY conv_id HAVING bool_or({_has('the')} AND {_has('and')})")
+def text_array(spark, folder):
+    """Both words in one element of an array."""
+    whole = table(spark, folder, "conversations").groupBy("conv_id").agg(F.collect_list("text").alias("turns"))
+    return search(whole, "the and", ["turns"]).select("conv_id")
+
+
+@query("SELECT page_id FROM (SELECT page_id, string_split(split_part(url, '://', 2), '/') AS parts FROM pages) WHERE list_contains(parts, (SELECT string_split(split_part(url, '://', 2), '/')[1] FROM pages WHERE page_id = 0))")
+def text_custom_tokenizer(spark, folder):
+    """Parts of a URL between slashes as tokens; the search is the host of page 0."""
+    tokens.Tokenizer.register("url", lambda c, _: F.concat(F.lit(" "), F.replace(F.substring_index(c, "://", -1), F.lit("/"), F.lit(" ")), F.lit(" ")), lambda text, _: text.split("/"))
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    host = pages.where("page_id = 0").select(F.substring_index(F.substring_index("url", "://", -1), "/", 1)).first()[0]
+    return search(pages, host, ["url"], tokens.Tokenizer("url")).select("page_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
+def sel_dotted(spark, folder):
+    nested = table(spark, folder, "orders").select("o_orderkey", F.struct("o_orderstatus", F.struct(F.col("o_totalprice").alias("price")).alias("cost")).alias("o"))
+    return find(nested, {"o.o_orderstatus": "F", "o.cost.price": {"$gt": 100000}}).select("o_orderkey")
+
+
+@query("SELECT event_id FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) > 90")
+def sel_dotted_variant(spark, folder):
+    bodies = table(spark, folder, "events").select("event_id", F.parse_json(F.concat(F.lit('{"a": {"b": '), "props", F.lit("}}"))).alias("body"))
+    return find(bodies, {"a.b.k": {"$gt": 90}}).select("event_id")
+
+
+@query("SELECT vec_id FROM embeddings ORDER BY list_min(embedding) ASC NULLS FIRST, vec_id LIMIT 20")
+def sort_array(spark, folder):
+    return find(table(spark, folder, "embeddings"), {}, limit=20, sort=[("embedding", "asc"), ("vec_id", "asc")]).select("vec_id")
+
+
 def _lines(spark, folder):
     """Orders as documents, their distinct line numbers as leaves of generation line number."""
     lines = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("part"))
@@ -278,6 +320,85 @@ def merge_history(spark, folder):
     return added.groupBy(F.col("_id").alias("id")).agg(F.count(F.lit(1)).alias("added"), F.count_distinct("revid").alias("distinct_revs"), F.sum(F.col("available").cast("int")).alias("with_body"))
 
 
+@query("""SELECT CAST(conv_id AS VARCHAR) AS id, turn + 1 AS gen, CASE WHEN turn = 0 THEN -1 ELSE turn END AS parent_gen FROM (SELECT DISTINCT conv_id, turn FROM conversations) a
+WHERE turn >= 1 AND (SELECT min(turn) FROM conversations b WHERE b.conv_id = a.conv_id) = 0""")
+def history_graft(spark, folder):
+    """Conversations of which the first turn is stored: their histories are grafted on it, and each new revision follows the one before."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn").distinct().withColumn("_id", F.col("conv_id").cast("string"))
+    revid = lambda turn: F.concat((turn + 1).cast("string"), F.lit("-x"))
+    stored = turns.where("turn = 0").select((F.col("conv_id") + 1).alias("sequence"), "_id", F.lit(None).cast("bigint").alias("parent"), revid(F.col("turn")).alias("revid"), F.lit(False).alias("deleted"), F.lit(True).alias("available"), F.lit("{}").alias("json"))
+    incoming = turns.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list("turn")), revid).alias("history")).join(stored.select("_id"), "_id", "left_semi").withColumn("deleted", F.lit(False)).withColumn("json", F.lit("{}"))
+    new = mvcc.merge_history(stored, incoming)
+    parents = stored.unionByName(new).select(F.col("sequence").alias("parent"), F.col("revid").alias("_above"))
+    number = lambda c: F.substring_index(c, "-", 1).cast("bigint")
+    return new.join(parents, "parent", "left").select(F.col("_id").alias("id"), number("revid").alias("gen"), F.coalesce(number("_above"), F.lit(-1).cast("bigint")).alias("parent_gen"))
+
+
+@query("SELECT o_orderkey * 10 AS seq, 'missing parent' AS fault FROM orders WHERE o_orderkey % 7 = 0")
+def tree_faults(spark, folder):
+    orders = table(spark, folder, "orders").select((F.col("o_orderkey") * 10).alias("sequence"), F.col("o_custkey").cast("string").alias("_id"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderkey") * 10 - 5).alias("parent"))
+    return mvcc.faults(orders).select(F.col("sequence").alias("seq"), "fault")
+
+
+@query(f"SELECT id, count(*) FILTER (WHERE NOT deleted) > 1 AS has_conflicts FROM {_LINES} GROUP BY id")
+def mvcc_has_conflicts(spark, folder):
+    return mvcc.has_conflicts(_lines(spark, folder)).select(F.col("_id").alias("id"), "has_conflicts")
+
+
+@query("SELECT min(doc_id) AS first_id, count(*) AS n, sha1(text) AS revid FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def repair_reparent(spark, folder):
+    """Copies of a text are one revision twice; children of the others (one each) follow the first after the repair."""
+    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", F.sha1("text").alias("h"))
+    revs = docs.select((F.col("doc_id") * 2 + 2).alias("sequence"), F.lit("d").alias("_id"), F.lit(None).cast("bigint").alias("parent"), F.concat(F.lit("1-"), "h").alias("revid"))
+    below = docs.select((F.col("doc_id") * 2 + 3).alias("sequence"), F.lit("d").alias("_id"), (F.col("doc_id") * 2 + 2).alias("parent"), F.concat(F.lit("2-"), F.col("doc_id").cast("string")).alias("revid"))
+    fixed = mvcc.repair_duplicates(revs.unionByName(below))
+    moved = fixed.where("parent is not null").groupBy("parent").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return moved.join(fixed.select(F.col("sequence").alias("parent"), F.substring("revid", 3, 100).alias("revid")), "parent").select(((F.col("parent") - 2) / 2).cast("bigint").alias("first_id"), "n", "revid")
+
+
+def _customer_store(spark, folder, name):
+    from .sources.folders import fresh
+    from .sources.store import DocumentStore
+
+    store = DocumentStore(spark, fresh(spark, name))
+    rows = table(spark, folder, "customer")
+    store.create_many(rows.select(F.col("c_custkey").cast("string").alias("_id"), F.to_json(F.struct("c_nationkey", "c_acctbal", "c_mktsegment")).alias("json")))
+    return store
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000")
+def store_find_indexed(spark, folder):
+    """A find over stored JSON, answered through a materialised index."""
+    store = _customer_store(spark, folder, "indexed")
+    store.create_json_index(["c_mktsegment", "c_acctbal"], "by segment")
+    return store.find({"c_mktsegment": "BUILDING", "c_acctbal": {"$gt": 5000}}).select(F.col("_id").alias("id"))
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey IN (1, 2) THEN 2 ELSE 1 END AS generation, c_custkey = 2 AS deleted, CASE WHEN c_custkey = 1 THEN 'moved' WHEN c_custkey = 2 THEN NULL ELSE c_mktsegment END AS segment FROM customer
+UNION ALL SELECT 'new', 1, false, 'added'""")
+def store_lifecycle(spark, folder):
+    """Created, updated and deleted documents as the store's current revisions; a local document is none of them."""
+    store = _customer_store(spark, folder, "lifecycle")
+    store.update("1", store.read("1").revid, {"c_mktsegment": "moved"})
+    store.delete("2")
+    store.create({"c_mktsegment": "added"}, "new")
+    store.create({"c_mktsegment": "local"}, "_local/state")
+    rows = store.current()
+    return rows.select(F.col("_id").alias("id"), F.substring_index("revid", "-", 1).cast("int").alias("generation"), "deleted", F.get_json_object("json", "$.c_mktsegment").alias("segment"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_nationkey = 3")
+def replication_filtered(spark, folder):
+    """What a replication with a selector brings to an empty store."""
+    from .sources.folders import fresh
+    from .sources.store import DocumentStore
+    from .streaming.replication import replicate
+
+    target = DocumentStore(spark, fresh(spark, "target"))
+    replicate(_customer_store(spark, folder, "source"), target, selector={"c_nationkey": 3})
+    return target.ids().select(F.col("_id").alias("id"))
+
+
 @query("SELECT l_orderkey AS order_key, l_linenumber AS line, min(l_partkey * 1000000 + l_suppkey) AS kept FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def repair_duplicates(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("rest")).distinct()

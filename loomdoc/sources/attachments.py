@@ -9,9 +9,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from ..plans.errors import QueryError
+
 #: The encrypted form is a version byte, a 16-byte initialisation vector and AES-CBC with PKCS padding.
 VERSION, VECTOR_BYTES = 1, 16
 SMALL_BYTES = 65_536
+PLAIN, GZIP = "plain", "gzip"
+
+
+def coded(content: bytes, encoding: str) -> bytes:
+    """content in a stored encoding."""
+    if encoding not in (PLAIN, GZIP):
+        raise QueryError(f"an attachment is {PLAIN} or {GZIP}, not {encoding}")
+    return gzip.compress(content, mtime=0) if encoding == GZIP else content
+
+
+def plain(stored: bytes, encoding: str) -> bytes:
+    return gzip.decompress(stored) if encoding == GZIP else stored
 
 
 def prepared(blobs: DataFrame, content: str = "content") -> DataFrame:

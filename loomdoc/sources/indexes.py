@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import operator
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import Tokenizer
 from ..plans import fields as fld
 from ..plans.errors import QueryError
+from ..plans.selector import And, Leaf, Or
 
 JSON, TEXT = "json", "text"
 RESERVED = ("_id", "_rev")
@@ -90,23 +95,25 @@ class Catalog:
         return next((x for x in self.indexes.values() if x.type == TEXT), None)
 
 
-def projection(df: DataFrame, index: Index, body: str = "body") -> DataFrame:
+def projection(df: DataFrame, index: Index, body: str = "body", carried: Sequence[Column] = ()) -> DataFrame:
     """The rows that an index stands for: _id, _rev and the fields, one row per element of an array field.
 
     A document without the array, or with an empty one, has one row; one with two
     arrays among the fields is listed with the first of them exploded (of typed columns and fields
-    of a VARIANT body, the first typed array before the others).
+    of a VARIANT body, the first typed array before the others).  carried columns come after the fields.
     """
     resolve = fld.Resolver(df, body)
     fields = [resolve(name) for name in index.fields]
     typed = [k for k, x in enumerate(fields) if x.kind == "array"][:1]
     arrays = {k: fields[k].column for k in typed} | {k: fld.variant_array(x.column) for k, x in enumerate(fields) if x.kind == "variant"}
     columns = [x.column.alias(f"field_{k}") for k, x in enumerate(fields)]
+    carried = list(carried)
     if arrays:
         which = F.coalesce(*[F.when(x.isNotNull(), F.lit(k)) for k, x in arrays.items()])
         places = F.coalesce(*[F.transform(x, lambda _, i: i) for x in arrays.values()])
         columns += [*(x.alias(f"array_{k}") for k, x in arrays.items()), which.alias("which"), F.explode_outer(places).alias("at")]
-    rows, out = df.select(*columns), []
+    rows, out = df.select(*columns, *carried), []
+    own = rows.columns[len(columns) :]
     for k, (name, field) in enumerate(zip(index.fields, fields, strict=True)):
         column = F.col(f"field_{k}")
         if k in arrays:
@@ -115,39 +122,111 @@ def projection(df: DataFrame, index: Index, body: str = "body") -> DataFrame:
         if field.kind == "variant":
             column = F.try_variant_get(column, "$", "string")
         out.append(column.alias(name))
-    return rows.select(*out)
+    return rows.select(*out, *own)
+
+
+def bounds(df: DataFrame, index: Index, body: str = "body") -> list[Column]:
+    """Least and greatest number and string of each field, over the elements of an array, as columns that Parquet can filter by."""
+    resolve, out = fld.Resolver(df, body), []
+    for k, name in enumerate(index.fields):
+        if name in RESERVED:
+            continue
+        v = resolve(name).column
+        numbers, strings = (F.when(fld.variant_is_array(v), F.transform(fld.variant_array(v), of)).otherwise(F.array(of(v))) for of in (fld.variant_number, fld.variant_string))
+        out += [F.array_min(numbers).alias(f"least_number_{k}"), F.array_max(numbers).alias(f"greatest_number_{k}"), F.array_min(strings).alias(f"least_string_{k}"), F.array_max(strings).alias(f"greatest_string_{k}")]
+    return out
+
+
+def _bound(node, index: Index) -> Column | None:
+    """A condition on bounds that every matching document meets, or None if the index says nothing."""
+    if isinstance(node, (And, Or)):
+        parts = [_bound(x, index) for x in node.children]
+        if isinstance(node, Or):
+            return None if not parts or any(x is None for x in parts) else reduce(operator.or_, parts)
+        return reduce(operator.and_, some) if (some := [x for x in parts if x is not None]) else None
+    if not isinstance(node, Leaf) or node.field not in index.fields or node.field in RESERVED:
+        return None
+    k = index.fields.index(node.field)
+    least = {"number": F.col(f"least_number_{k}"), "string": F.col(f"least_string_{k}")}
+    greatest = {"number": F.col(f"greatest_number_{k}"), "string": F.col(f"greatest_string_{k}")}
+
+    def compared(op: str, value) -> Column | None:
+        kind = "string" if isinstance(value, str) else "number" if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+        if kind is None:
+            return None
+        value = F.lit(float(value) if kind == "number" else value)
+        if op == "$eq":
+            return (least[kind] <= value) & (greatest[kind] >= value)
+        if op in ("$gt", "$gte"):
+            own = greatest[kind] > value if op == "$gt" else greatest[kind] >= value
+            return own | least["string"].isNotNull() if kind == "number" else own
+        own = least[kind] < value if op == "$lt" else least[kind] <= value
+        return own | least["number"].isNotNull() if kind == "string" else own
+
+    if node.operator == "$in":
+        parts = [compared("$eq", x) for x in node.operand]
+        return None if not parts or any(x is None for x in parts) else reduce(operator.or_, parts)
+    return compared(node.operator, node.operand) if node.operator in ("$eq", "$gt", "$gte", "$lt", "$lte") else None
+
+
+def bounded_fields(node, index: Index) -> set[str]:
+    """Fields of the index that bound the documents of a selector tree."""
+    if _bound(node, index) is None:
+        return set()
+    if isinstance(node, Leaf):
+        return {node.field}
+    return set().union(*(bounded_fields(x, index) for x in node.children))
 
 
 class MaterialisedIndex:
-    """An index's projection as a table that follows a store by sequence.
+    """An index's projection as a table that grows with a store.
 
-    `refresh` replaces the rows of documents that changed since the last one; versions are
-    folders of their own, so readers of the one before are not disturbed.
+    Every revision with a body is projected once, in the part of the refresh that first saw
+    it, and no part is written again: readers keep the rows whose sequence is a current
+    revision's, so rows of replaced revisions drop out by themselves.  Parts are folders
+    named by the sequences that they cover.
     """
 
     def __init__(self, store, index: Index):
         self.store, self.index = store, index
-        self.folder = f"{store.path}/index/{index.name}"
-        versions = [tuple(map(int, x.split("-"))) for x in store.files.names(self.folder) if x.count("-") == 1 and store.files.exists(f"{self.folder}/{x}/_SUCCESS")]
-        self.version, self.last_sequence = max(versions, default=(0, 0))
+        definition = hashlib.sha1(json.dumps([index.fields, index.type]).encode()).hexdigest()[:10]
+        self.folder = f"{store.path}/index/{index.name}-{definition}"
+        found = [tuple(map(int, x.split("-")[1:])) for x in store.files.names(self.folder) if x.startswith("part-") and store.files.exists(f"{self.folder}/{x}/_SUCCESS")]
+        # A part counts if it goes on where the ones before it end: of two writers' parts the longer.
+        self.parts, self.last_sequence = [], 0
+        for low, high in sorted(found, key=lambda x: (x[0], -x[1])):
+            if low == self.last_sequence + 1:
+                self.parts.append((low, high))
+                self.last_sequence = high
+
+    def _path(self, low: int, high: int) -> str:
+        return f"{self.folder}/part-{low:012d}-{high:012d}"
+
+    def rows(self) -> DataFrame:
+        """The rows of all revisions, with their sequence and the bounds of their fields."""
+        if not self.parts:
+            raise QueryError("the index was never refreshed")
+        return self.store.spark.read.parquet(*[self._path(*x) for x in self.parts])
 
     def table(self) -> DataFrame:
-        if not self.version:
-            raise QueryError("the index was never refreshed")
-        return self.store.spark.read.parquet(f"{self.folder}/{self.version}-{self.last_sequence}")
+        """The projection of current documents that are not deleted."""
+        current = self.store.current().where(~F.col("deleted")).select("sequence")
+        return self.rows().join(current, "sequence", "left_semi").select(*[F.col(fld.quoted(x)) for x in self.index.fields])
+
+    def candidates(self, tree) -> DataFrame:
+        """Sequences of revisions within the bounds of a selector tree; the filter reaches the files."""
+        return self.rows().where(_bound(tree, self.index)).select("sequence")
 
     def refresh(self) -> DataFrame:
-        """Catches up with the store; one pass over the changed documents and one over the index."""
+        """Appends the revisions that came since the last refresh."""
         last = max(self.store.last_sequence, 0)
-        if self.version and last == self.last_sequence:
-            return self.table()
-        docs = self.store.documents()
-        if self.version:
-            changed = self.store.revs.where(F.col("sequence") > self.last_sequence).select("_id").distinct()
-            new = projection(docs.join(changed, "_id", "left_semi"), self.index)
-            new = self.table().join(changed, "_id", "left_anti").unionByName(new)
-        else:
-            new = projection(docs, self.index)
-        new.write.mode("overwrite").parquet(f"{self.folder}/{self.version + 1}-{last}")
-        self.version, self.last_sequence = self.version + 1, last
+        if last > self.last_sequence or not self.parts:
+            new = self.store.revs.where((F.col("sequence") > self.last_sequence) & ~F.col("deleted") & F.col("json").isNotNull())
+            docs = new.select("_id", F.col("revid").alias("_rev"), "sequence", F.parse_json("json").alias("body"))
+            rows = projection(docs, self.index, carried=[F.col("sequence"), *bounds(docs, self.index)])
+            low, high = self.last_sequence + 1, max(last, self.last_sequence + 1)
+            if last:
+                rows.write.mode("overwrite").parquet(self._path(low, high))
+                self.parts.append((low, high))
+                self.last_sequence = high
         return self.table()

@@ -1,7 +1,9 @@
 """A document store: immutable Parquet parts, and a manifest that names the current ones.
 
 Revisions are only appended.  A commit writes a part, then a new manifest
-version; a reader holds one version and so sees one snapshot.  There is one writer at a time.
+version; a reader holds one version and so sees one snapshot.  Of two writers that start from one
+version, the first to publish wins and the other gets a ConflictError.  Publishing is a rename to a name
+that must not exist: atomic on HDFS and local disks; an object store without such a rename needs one writer at a time.
 
 Two notions of a current revision: the winner is a function of the tree
 (`mvcc.winners`); the store also keeps a pointer, which single writes follow. A local
@@ -11,6 +13,7 @@ histories and resolved conflicts point to the winner again.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -28,7 +31,7 @@ from ..plans.errors import ConflictError, NotFoundError, QueryError
 from ..plans.selector import Text, parse, texts
 from . import attachments as att
 from . import events as ev
-from .indexes import JSON, TEXT, Catalog, Index
+from .indexes import JSON, TEXT, Catalog, Index, MaterialisedIndex, bounded_fields
 
 SCHEMAS = {
     "revs": mvcc.SCHEMA,
@@ -77,19 +80,23 @@ class Files:
 class DocumentStore:
     """Create, read, update, delete, query, history and conflicts of JSON documents in a folder."""
 
-    def __init__(self, spark: SparkSession, path: str, bus: ev.EventBus | None = None):
-        self.spark, self.path, self.bus = spark, path.rstrip("/"), bus or ev.EventBus()
+    def __init__(self, spark: SparkSession, path: str, bus: ev.EventBus | None = None, key: bytes | None = None):
+        """A key (16, 24 or 32 bytes) encrypts attachment contents; a store is opened with the key that it was made with, or none."""
+        self.spark, self.path, self.bus, self.key = spark, path.rstrip("/"), bus or ev.EventBus(), key
+        if key is not None and len(key) not in (16, 24, 32):
+            raise QueryError("a key has 16, 24 or 32 bytes")
         self.files = Files(spark, self.path)
-        versions = [int(x[:-5]) for x in self.files.names(f"{self.path}/manifest") if x.endswith(".json")]
-        self.version = max(versions, default=0)
-        if versions:
-            self.manifest = json.loads(self.files.read(f"{self.path}/manifest/{self.version:012d}.json"))
-        else:
-            self.manifest = {"parts": {k: [] for k in SCHEMAS}, "last_sequence": -1, "indexes": []}
+        self.manifest = {"parts": {k: [] for k in SCHEMAS}, "last_sequence": -1, "indexes": [], "key": self._key_check()}
+        self.refresh()
+        if self.manifest.get("key") != self._key_check():
+            raise QueryError("the store was made with another key")
+        if not self.version:
             self.bus.post(ev.StoreCreated(self.path))
-        self.indexes = Catalog([Index(x["name"], tuple(x["fields"]), x["type"], Tokenizer(*x["tokenizer"]) if x["tokenizer"] else None) for x in self.manifest["indexes"]])
         self.bus.post(ev.StoreOpened(self.path))
 
+    def _key_check(self) -> str | None:
+        return None if self.key is None else hashlib.sha256(b"loomdoc key check" + self.key).hexdigest()[:16]
+
     def close(self) -> None:
         self.bus.post(ev.StoreClosed(self.path))
 
@@ -106,22 +113,40 @@ class DocumentStore:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{name}/{x}" for x in parts])
 
-    def commit(self, added: dict[str, DataFrame | list], replaced: Iterable[str] = ()) -> None:
-        """Publishes a version with more rows; the parts of replaced tables are dropped from it."""
+    def commit(self, added: dict[str, DataFrame | list], replaced: Iterable[str] = (), ready: dict[str, str] | None = None) -> None:
+        """Publishes a version with more rows; the parts of replaced tables are dropped from it, and ready ones (table -> part) are there already.
+
+        If another writer was first, this handle takes that writer's state and nothing of
+        its own stays visible: its parts are in no manifest.
+        """
         parts = {k: [] if k in replaced else list(v) for k, v in self.manifest["parts"].items()}
         last = self.manifest["last_sequence"]
         for name, rows in added.items():
             df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name])
             part = f"part-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
             df.write.parquet(f"{self.path}/{name}/{part}")
+            ready = {**(ready or {}), name: part}
+        for name, part in (ready or {}).items():
             parts[name].append(part)
             if name == "revs":
                 last = max(last, self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{part}").agg(F.max("sequence")).first()[0] or -1)
         indexes = [{"name": x.name, "fields": x.fields, "type": x.type, "tokenizer": [x.tokenizer.name, x.tokenizer.arguments] if x.tokenizer else None} for x in self.indexes.indexes.values()]
-        manifest = {"parts": parts, "last_sequence": last, "indexes": indexes}
-        self.files.publish(f"{self.path}/manifest/{self.version + 1:012d}.json", json.dumps(manifest))
+        manifest = {"parts": parts, "last_sequence": last, "indexes": indexes, "key": self._key_check()}
+        try:
+            self.files.publish(f"{self.path}/manifest/{self.version + 1:012d}.json", json.dumps(manifest))
+        except ConflictError:
+            self.refresh()
+            raise
         self.version, self.manifest = self.version + 1, manifest
 
+    def refresh(self) -> None:
+        """Takes the newest published version."""
+        versions = [int(x[:-5]) for x in self.files.names(f"{self.path}/manifest") if x.endswith(".json")]
+        self.version = max(versions, default=0)
+        if versions:
+            self.manifest = json.loads(self.files.read(f"{self.path}/manifest/{self.version:012d}.json"))
+        self.indexes = Catalog([Index(x["name"], tuple(x["fields"]), x["type"], Tokenizer(*x["tokenizer"]) if x["tokenizer"] else None) for x in self.manifest["indexes"]])
+
     @property
     def revs(self) -> DataFrame:
         return self.table("revs")
@@ -174,6 +199,17 @@ class DocumentStore:
         order = self.spark.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], "_id string, _pos int")
         return self.current().join(order, "_id").orderBy("_pos").drop("_pos")
 
+    def read_sequences(self, sequences: Sequence[int], deleted: bool = True) -> DataFrame:
+        """Current revisions of the documents that these sequences belong to, in order of sequence; without deleted ones if so asked."""
+        asked = self.spark.createDataFrame([(int(x),) for x in dict.fromkeys(sequences)], "sequence bigint")
+        names = self.revs.join(asked, "sequence", "left_semi").select("_id").distinct()
+        rows = self.current().join(names, "_id", "left_semi")
+        return (rows if deleted else rows.where(~F.col("deleted"))).orderBy("sequence")
+
+    def has_conflicts(self, doc_id: str) -> bool:
+        """Whether more than one leaf of a document is not deleted."""
+        return mvcc.conflicted(self.revs.where(F.col("_id") == doc_id)).limit(1).count() > 0
+
     def read_all(self, offset: int = 0, limit: int = 0, descending: bool = False) -> DataFrame:
         """Current documents that are not deleted, in order of their creation."""
         if offset < 0 or limit < 0:
@@ -208,21 +244,22 @@ class DocumentStore:
             for a in self.table("attachments").where(F.col("sequence") == parent.sequence).collect():
                 if a.filename not in (blobs or {}) and (kept is None or a.filename in kept):
                     lines.append((sequence, a.filename, a.key, a.type, a.encoding, a.length, a.revpos))
-        for name, (content, kind) in (blobs or {}).items():
-            [(key, length)] = att.prepared(self.spark.createDataFrame([(bytearray(content),)], "content binary")).select("key", "length").collect()
-            lines.append((sequence, name, key, kind, "plain", length, rv.split_revid(revid)[0]))
-            contents.append((key, bytearray(content)))
+        for name, (content, kind, *encoding) in (blobs or {}).items():
+            encoding = encoding[0] if encoding else att.PLAIN
+            coded = att.coded(content, encoding)
+            lines.append((sequence, name, key := hashlib.sha1(coded).hexdigest(), kind, encoding, len(content), rv.split_revid(revid)[0]))
+            contents.append((key, bytearray(coded)))
         if lines:
             added["attachments"] = lines
         if contents:
             known = {r.key for r in self.table("blobs").where(F.col("key").isin([k for k, _ in contents])).select("key").collect()}
             if new := [c for c in dict(contents).items() if c[0] not in known]:
-                added["blobs"] = new
+                added["blobs"] = self.sealed(self.spark.createDataFrame(new, SCHEMAS["blobs"]))
         self.commit(added)
         return self.read(doc_id, revid)
 
-    def create(self, body: dict, doc_id: str | None = None, attachments: dict[str, tuple[bytes, str]] | None = None) -> Row:
-        """A new document, or a child of the tombstone of a deleted one.  attachments: name -> (content, type)."""
+    def create(self, body: dict, doc_id: str | None = None, attachments: dict[str, tuple] | None = None) -> Row:
+        """A new document, or a child of the tombstone of a deleted one.  attachments: name -> (content, type[, encoding: plain or gzip])."""
         rv.check_body(body)
         doc_id = rv.check_id(doc_id if doc_id is not None else rv.new_id())
         if doc_id.startswith("_local/"):
@@ -236,8 +273,18 @@ class DocumentStore:
         self.bus.post(ev.DocumentCreated(doc_id, parent and parent.revid, row.revid))
         return row
 
-    def update(self, doc_id: str, previous: str, body: dict, attachments: dict[str, tuple[bytes, str]] | None = None, kept: Sequence[str] | None = None) -> Row:
-        """A child of previous, which must be current; attachments of previous stay unless kept leaves them out."""
+    def save(self, row: Row, body: dict | None = None, deleted: bool = False) -> Row:
+        """Updates a document from a revision as it was read or found, with a new body or its own.  A projection does not hold the whole revision and is refused."""
+        known = row.asDict()
+        if "sequence" not in known or not known.keys() & {"json", "body"}:
+            raise QueryError("a projected revision is not saved; full_revisions() gives the whole one")
+        own = known.get("json") if "json" in known else known["body"].toJson()
+        return self.update(known["_id"], known.get("revid") or known["_rev"], json.loads(own or "{}") if body is None else body, deleted=deleted)
+
+    def update(self, doc_id: str, previous: str, body: dict, attachments: dict[str, tuple] | None = None, kept: Sequence[str] | None = None, deleted: bool = False) -> Row:
+        """A child of previous, which must be current; attachments of previous stay unless kept leaves them out.  With deleted it is previous's tombstone."""
+        if deleted and not doc_id.startswith("_local/"):
+            return self.delete(doc_id, previous)[0]
         rv.check_body(body)
         if doc_id.startswith("_local/"):
             return self.put_local(doc_id, body)
@@ -331,9 +378,7 @@ class DocumentStore:
             return
         every = self.revs.unionByName(written).join(written.select("_id").distinct(), "_id", "left_semi")
         pointers = mvcc.winners(every).select("_id", "sequence", F.lit(self.version + 1).cast("bigint").alias("commit"))
-        self.manifest["parts"]["revs"].append(part)
-        self.manifest["last_sequence"] = max(self.last_sequence, written.agg(F.max("sequence")).first()[0])
-        self.commit({"current": pointers})
+        self.commit({"current": pointers}, ready={"revs": part})
 
     # Conflicts
 
@@ -375,10 +420,22 @@ class DocumentStore:
 
     def attachment(self, doc_id: str, name: str, revid: str | None = None) -> bytes:
         row = self.read(doc_id, revid)
-        found = self.table("attachments").where((F.col("sequence") == row.sequence) & (F.col("filename") == name)).join(self.table("blobs"), "key").select("content").first()
+        found = self.table("attachments").where((F.col("sequence") == row.sequence) & (F.col("filename") == name)).join(self.blobs(), "key").select("content", "encoding").first()
         if found is None:
             raise NotFoundError(f"{doc_id} {name}")
-        return bytes(found.content)
+        return att.plain(bytes(found.content), found.encoding)
+
+    def blobs(self) -> DataFrame:
+        """Attachment contents (key, content), decrypted; still gzipped where their attachment's encoding says so."""
+        rows = self.table("blobs")
+        return rows if self.key is None else rows.withColumn("content", att.decrypted("content", F.lit(self.key)))
+
+    def sealed(self, blobs: DataFrame) -> DataFrame:
+        """blobs as they are stored: encrypted if the store has a key, with a vector that depends on key and content, so a task that runs again writes the same."""
+        if self.key is None:
+            return blobs
+        vector = F.unhex(F.substring(F.sha2(F.concat(F.lit(self.key), "content"), 256), 1, 2 * att.VECTOR_BYTES))
+        return blobs.withColumn("content", att.encrypted("content", F.lit(self.key), vector))
 
     # Maintenance and queries
 
@@ -403,20 +460,41 @@ class DocumentStore:
         return index
 
     def delete_index(self, name: str) -> None:
+        index = self.indexes.indexes.get(name)
         self.indexes.delete(name)
         self.commit({})
+        self.files.delete(MaterialisedIndex(self, index).folder)
 
     def list_indexes(self) -> list[Index]:
         return list(self.indexes.indexes.values())
 
     def refresh_all_indexes(self) -> None:
-        """Nothing to do: indexes are definitions, and queries read the snapshot itself."""
+        """Brings the tables of all JSON indexes up to this version; `find` does so for the one that it reads.  A text index is a definition only."""
+        for index in self.list_indexes():
+            if index.type == JSON:
+                MaterialisedIndex(self, index).refresh()
+
+    def _candidates(self, tree: Any) -> DataFrame | None:
+        """Sequences that an index lets through, from the index with most fields that the selector bounds; None without one."""
+        best, fields = None, 0
+        for index in self.list_indexes():
+            if index.type == JSON and len(own := bounded_fields(tree, index)) > fields:
+                best, fields = index, len(own)
+        if best is None:
+            return None
+        view = MaterialisedIndex(self, best)
+        view.refresh()
+        return view.candidates(tree) if view.parts else None
 
     def is_text_search_enabled(self) -> bool:
         return True
 
     def find(self, selector: dict, skip: int = 0, limit: int = 0, fields: Sequence[str] | None = None, sort: Sequence | None = None, strict: bool = False) -> DataFrame:
-        """Documents that match.  With strict, fields of a text query and of a sort must be indexed."""
+        """Documents that match.  With strict, fields of a text query and of a sort must be indexed.
+
+        A JSON index that bounds the selector is caught up with and read first, with the bounds as
+        Parquet filters; only documents that it lets through are parsed and matched.
+        """
         docs, tree, text = self.documents(), parse(selector), None
         if any(isinstance(x, Text) for x in texts(tree)):
             index = self.indexes.text()
@@ -425,6 +503,8 @@ class DocumentStore:
             text = TextIndex(docs, [x for x in index.fields if x not in ("_id", "_rev")], index.tokenizer)
         if strict:
             self._check(tree, sort, text is not None)
+        if (chosen := self._candidates(tree)) is not None:
+            docs = docs.join(chosen, "sequence", "left_semi")
         return find(docs, selector, skip, limit, fields, sort, text=text)
 
     def full_revisions(self, projected: DataFrame) -> DataFrame:

@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.mvcc import rank
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that all executors see; a temporary one where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='loomdoc-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources import folders
 
 
 def best(revs: DataFrame) -> DataFrame:
@@ -30,7 +22,7 @@ def latest_of_stream(stream: DataFrame, folder: str | None = None) -> DataFrame:
     batch; versions are named by batch, so a batch that runs again writes the same.
     """
     spark = stream.sparkSession
-    folder = folder or shared_folder(spark)
+    folder = folder or folders.fresh(spark, "stream")
     done: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:

@@ -79,7 +79,7 @@ class Replicator:
         return rows.select("sequence")
 
     def _merge(self, batch: DataFrame, number: int) -> None:
-        source = DocumentStore(self.source.spark, self.source.path)
+        source = DocumentStore(self.source.spark, self.source.path, key=self.source.key)
         changed = batch.select("_id").distinct()
         trees = source.revs.join(changed, "_id", "left_semi")
         chosen = mvcc.leaves(trees)
@@ -88,7 +88,8 @@ class Replicator:
         self.documents += self.target.force_insert(self._missing(histories))
         self._attachments(source, trees)
         self.batches += 1
-        self.target.put_local(f"_local/{self.id}", {"lastSequence": source.last_sequence})
+        seen = batch.agg(F.max("sequence")).first()[0]
+        self.target.put_local(f"_local/{self.id}", {"lastSequence": max(seen or 0, self.checkpoint())})
 
     def _missing(self, histories: DataFrame) -> DataFrame:
         have = self.target.revs.select(F.col("_id").alias("_have_id"), F.col("revid").alias("_have"))
@@ -100,11 +101,11 @@ class Replicator:
         new = lines.join(self.target.revs.select("_id", "revid", "sequence"), ["_id", "revid"])
         new = new.join(self.target.table("attachments").select("sequence", "filename"), ["sequence", "filename"], "left_anti").select("sequence", "filename", "key", "type", "encoding", "length", "revpos")
         if new.limit(1).count():
-            blobs = source.table("blobs").join(new.select("key").distinct(), "key", "left_semi").join(self.target.table("blobs").select("key"), "key", "left_anti").dropDuplicates(["key"])
-            self.target.commit({"attachments": new, "blobs": blobs})
+            blobs = source.blobs().join(new.select("key").distinct(), "key", "left_semi").join(self.target.table("blobs").select("key"), "key", "left_anti").dropDuplicates(["key"])
+            self.target.commit({"attachments": new, "blobs": self.target.sealed(blobs)})
 
     def checkpoint(self) -> int:
-        """The source's sequence that the target has seen, 0 before the first batch."""
+        """The greatest sequence of the batches that were merged, 0 before the first."""
         try:
             return json.loads(self.target.read_local(f"_local/{self.id}").json)["lastSequence"]
         except NotFoundError:

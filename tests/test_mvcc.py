@@ -141,3 +141,25 @@ def test_revision_ids(spark):
     for bad in ("x", "1", "-a"):
         with pytest.raises(QueryError):
             revisions.split_revid(bad)
+
+
+def test_faults_and_accessors(spark):
+    revs = tree(spark, FOREST)
+    assert mvcc.faults(revs).count() == 0
+    assert [r.sequence for r in mvcc.lookup(revs, "doc", "3-d").collect()] == [6] and mvcc.lookup(revs, "doc", "9-z").count() == 0
+    assert [tuple(r) for r in mvcc.has_conflicts(revs).collect()] == [("doc", True)]
+    assert mvcc.leaf_revisions(tree(spark, [(1, None, "1-a"), (2, None, "1-b", True)]), exclude_deleted=True).count() == 1
+    bad = tree(spark, [(1, None, "1-a"), (2, 7, "2-b"), (3, 1, "2-c", False, "other"), (4, 5, "3-d"), (5, None, "1-e"), (5, 1, "2-f")])
+    want = [("doc", 2, "missing parent"), ("doc", 4, "later parent"), ("doc", 5, "repeated sequence"), ("other", 3, "parent of another document")]
+    assert sorted((r["_id"], r.sequence, r.fault) for r in mvcc.faults(bad).collect()) == want
+
+
+def test_attachments_of_repaired_revisions(spark):
+    revs = tree(spark, [(1, None, "1-a"), (2, None, "1-a"), (3, 2, "2-b"), (4, 1, "2-b")])
+    lines = spark.createDataFrame([(1, "x", "k1"), (2, "x", "k2"), (2, "y", "k3"), (4, "z", "k4")], "sequence bigint, filename string, key string")
+    assert sorted(tuple(r) for r in mvcc.repair_attachments(revs, lines).collect()) == [(1, "x", "k1"), (1, "y", "k3"), (3, "z", "k4")]
+    assert revids(mvcc.winners(mvcc.repair_duplicates(revs))) == ["2-b"]
+
+
+def test_winners_of_equal_revision_ids(spark):
+    assert [r.sequence for r in mvcc.winners(tree(spark, [(4, None, "1-a"), (2, None, "1-a"), (3, None, "1-a")])).collect()] == [2]

@@ -38,6 +38,16 @@ def test_goes_on_where_it_stopped(stores):
     assert rp.replicate(source, target).documents == 0
 
 
+def test_checkpoints_name_what_was_merged(stores):
+    source, target = stores
+    run = rp.Replicator(source, target)
+    late = source.create({"drive": "sail"}, "late").sequence
+    run._merge(source.revs.where(F.col("sequence") <= 3), 0)
+    assert run.checkpoint() == 3 < late and not target.contains("late")
+    run._merge(source.revs.where(F.col("sequence") == 2), 1)
+    assert run.checkpoint() == 3
+
+
 def test_conflicts_come_over_whole(stores):
     source, target = stores
     for suffix in ("a", "b"):

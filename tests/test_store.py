@@ -5,7 +5,7 @@ from loomdoc.functions.tokens import Tokenizer
 from loomdoc.plans.errors import ConflictError, NotFoundError, QueryError
 from loomdoc.sources import attachments as att
 from loomdoc.sources import events as ev
-from loomdoc.sources.indexes import JSON, TEXT, Catalog, Index, projection
+from loomdoc.sources.indexes import JSON, TEXT, Catalog, Index, MaterialisedIndex, projection
 from loomdoc.sources.store import DocumentStore
 
 from . import fixtures as fx
@@ -198,3 +198,105 @@ def test_bus_and_closing(store):
     store.bus.unregister(fails)
     store.delete_store()
     assert [type(x) for x in seen] == [ev.StoreClosed, ev.StoreDeleted] and not store.files.exists(store.path)
+
+
+def test_the_loser_of_two_writers_keeps_nothing(store, spark):
+    store.create({"n": 0}, "first")
+    docs = lambda *ids: spark.createDataFrame([(x, "{}") for x in ids], "_id string, json string")
+    history = lambda x: spark.createDataFrame([(x, ["1-a", "2-b"], False, "{}")], "_id string, history array<string>, deleted boolean, json string")
+    actions = [lambda s, x: s.create({}, x), lambda s, x: s.create_many(docs(x)), lambda s, x: s.force_insert(history(x)), lambda s, x: s.put_local(x, {})]
+    for i, act in enumerate(actions):
+        loser = DocumentStore(spark, store.path)
+        act(store, f"won{i}")
+        with pytest.raises(ConflictError):
+            act(loser, f"lost{i}")
+        assert (loser.version, loser.last_sequence, loser.manifest) == (store.version, store.last_sequence, store.manifest)
+        assert loser.revs.where(F.col("_id").startswith("lost")).count() == 0
+        act(loser, f"again{i}")
+        store.refresh()
+        assert store.last_sequence == loser.last_sequence == store.revs.agg(F.max("sequence")).first()[0]
+    assert sorted(r["_id"] for r in store.ids().collect()) == ["again0", "again1", "again2", "first", "won0", "won1", "won2"]
+    for suffix in "ab":
+        store.create_with_history("torn", {}, 1, [suffix])
+    loser = DocumentStore(spark, store.path)
+    store.resolve_conflicts(lambda name, leaves: "1-a")
+    with pytest.raises(ConflictError):
+        loser.resolve_conflicts(lambda name, leaves: "1-b")
+    assert loser.read("torn").revid == "1-a" and not loser.has_conflicts("torn")
+
+
+def test_encoded_and_encrypted_attachments(spark, tmp_path):
+    path, key = str(tmp_path / "sealed"), bytes(range(16))
+    store = DocumentStore(spark, path, key=key)
+    text = b"many words " * 500
+    store.create({}, "a", {"zip": (text, "text/plain", "gzip"), "raw": (text, "text/plain")})
+    assert store.attachment("a", "zip") == store.attachment("a", "raw") == text
+    lines = {r.filename: (r.encoding, r.length) for r in store.table("attachments").collect()}
+    assert lines == {"zip": ("gzip", len(text)), "raw": ("plain", len(text))}
+    assert all(b"many words" not in bytes(r.content) and bytes(r.content)[0] == 1 for r in store.table("blobs").collect())
+    assert DocumentStore(spark, path, key=key).attachment("a", "zip") == text
+    for wrong in (None, bytes(16)):
+        with pytest.raises(QueryError):
+            DocumentStore(spark, path, key=wrong)
+    with pytest.raises(QueryError):
+        DocumentStore(spark, str(tmp_path / "x"), key=b"short")
+    with pytest.raises(QueryError):
+        store.create({}, "b", {"bad": (b"", "x", "zstd")})
+    from loomdoc.streaming.replication import replicate
+
+    plain = DocumentStore(spark, str(tmp_path / "plain"))
+    replicate(store, plain)
+    assert plain.attachment("a", "zip") == plain.attachment("a", "raw") == text
+
+
+def test_saving_what_was_read(store):
+    row = store.create({"n": 1, "m": 2}, "a")
+    with pytest.raises(QueryError):
+        store.save(store.find({"n": 1}, fields=["n"]).first())
+    again = store.save(store.find({"n": 1}).first(), {"n": 3})
+    assert again.parent == row.sequence and again.json == '{"n": 3}'
+    copy = store.save(again)
+    assert copy.json == '{"n": 3}' and store.update("a", copy.revid, {"n": 9}, deleted=True).deleted
+    assert store.read("a").deleted and store.document_count() == 0
+
+
+def test_reading_by_sequences(store):
+    a = store.create({"n": 1}, "a")
+    b = store.create({"n": 1}, "b")
+    newer = store.update("a", a.revid, {"n": 2})
+    store.delete("b")
+    got = lambda *x, **k: [(r["_id"], r.sequence) for r in store.read_sequences(x, **k).collect()]
+    assert got(a.sequence, a.sequence, b.sequence) == [("a", newer.sequence), ("b", newer.sequence + 1)]
+    assert got(b.sequence, a.sequence, deleted=False) == [("a", newer.sequence)] and got() == got(99) == []
+
+
+def test_find_reads_the_index_first(store, spark):
+    import json
+
+    store.create_many(spark.createDataFrame([(k, json.dumps(v)) for k, v in (fx.CARGO | {"x" + k: v for k, v in fx.MIXED.items()} | {"d" + k: v for k, v in fx.DEPTHS.items()}).items()], "_id string, json string"))
+    every = fx.CARGO | {"x" + k: v for k, v in fx.MIXED.items()} | {"d" + k: v for k, v in fx.DEPTHS.items()}
+    selectors = [
+        {"holds": "tea"}, {"holds": {"$gt": "salt"}}, {"holds": {"$lt": "salt"}, "rig": "sloop"}, {"v": {"$gte": 7}}, {"v": {"$lt": "a"}}, {"v": {"$in": [7, "q"]}}, {"depth": {"$gt": 7}}, {"depth": {"$lte": 0}},
+        {"$or": [{"depth": 42}, {"holds": "wool"}]}, {"$or": [{"depth": 42}, {"keel": {"$exists": False}}]}, {"holds": {"$ne": "tea"}, "rig": {"$in": ["sloop", "yawl"]}}, {"v": True}, {"v": {"$in": [True]}},
+    ]
+    before = [fx.ids(store.find(s)) for s in selectors]
+    store.create_json_index(["holds", "rig"], "cargo")
+    store.create_json_index(["v", "depth"], "values")
+    assert [fx.ids(store.find(s)) for s in selectors] == before == [fx.matching(every, s) for s in selectors]
+    plan = store.find({"holds": {"$gt": "salt"}})._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(greatest_string_2,salt)" in plan and "least_string_2,IsNotNull" not in plan
+    parts = store.files.names(MaterialisedIndex(store, store.indexes.indexes["cargo"]).folder)
+    row = store.read("otter")
+    store.update("otter", row.revid, {"holds": ["tea"]})
+    store.delete("heron")
+    store.create({"holds": ["tea", 4]}, "lugger")
+    assert fx.ids(store.find({"holds": "tea"})) == ["lugger", "otter", "petrel", "swift"] and fx.ids(store.find({"holds": "wool"})) == ["wren"]
+    assert fx.ids(store.find({"holds": 4})) == ["lugger"]
+    after = store.files.names(MaterialisedIndex(store, store.indexes.indexes["cargo"]).folder)
+    assert len(parts) == 1 and set(parts) < set(after)
+    store.refresh_all_indexes()
+    store.compact()
+    assert fx.ids(store.find({"holds": "tea"})) == ["lugger", "otter", "petrel", "swift"]
+    folder = MaterialisedIndex(store, store.indexes.indexes["cargo"]).folder
+    store.delete_index("cargo")
+    assert not store.files.exists(folder) and fx.ids(store.find({"holds": "wool"})) == ["wren"]
