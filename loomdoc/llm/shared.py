@@ -1,47 +1,57 @@
-"""The folder that the driver and all executors see."""
+"""What the operators share: the folder that driver and executors see, and tables whose column names cannot clash."""
 
 from __future__ import annotations
 
 import pickle
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
+from ..sources.folders import clear, discard, folder, fresh, written
 
-def folder(spark: SparkSession) -> str:
-    """URI of the session's shared folder: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    context = spark.sparkContext
-    uri = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not uri:
-        uri = "file://" + tempfile.mkdtemp(prefix="loomdoc-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(uri)
-    return uri.rstrip("/")
+__all__ = ["Sent", "clear", "discard", "folder", "fresh", "get", "integer_ids", "opener", "plain", "put", "unused", "written"]
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody uses yet."""
-    return f"{folder(spark)}/loomdoc/{name}-{uuid.uuid4().hex}"
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with underscores after it until no column has it in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-#: Spark deletes the shuffle files of an execution at its end; what is written needs none of them again.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def plain(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs for an operator that reads the columns `names` and keeps the rest, and the way back.
 
+    The named columns keep their names, whatever their case in docs; all others become `other_0`, `other_1`, ...,
+    so nothing that the operator adds can clash with them.  The way back, (found, *added), selects
+    the columns of docs under their own names and order, then the added ones, under names that docs does not have (`unused`).
+    """
+    columns = docs.columns
+    own = [f"other_{i}" for i in range(len(columns))]
+    for name in names:
+        exact = [i for i, c in enumerate(columns) if c == name] or [i for i, c in enumerate(columns) if c.lower() == name.lower()]
+        if not exact:
+            raise ValueError(f"no column {name}")
+        own[exact[0]] = name
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and it survives lost executors."""
-    spark = df.sparkSession
-    path = fresh(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    def back(found: DataFrame, *added: str) -> DataFrame:
+        return found.select(*own, *added).toDF(*columns, *unused(columns, *added))
+
+    return docs.toDF(*own), back
+
+
+def integer_ids(docs: DataFrame, name: str = "doc_id") -> None:
+    """Refuses ids that are not integers, for operators that keep them in arrays of numbers."""
+    kind = docs.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"{name} is an integer here, not {kind.simpleString()}")
 
 
 class Sent:
