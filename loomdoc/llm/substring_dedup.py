@@ -1,4 +1,4 @@
-"""Substring dedup: word windows that start in an earlier document too, by FM-indexes of shards.
+"""Substring dedup: words that an earlier document has too, by matching statistics over FM-indexes of shards.
 
 1. Equal texts are one: its least doc_id stands for it, and its other documents
    lose every window.  The rest is about distinct texts.
@@ -10,16 +10,21 @@
    Of a seed in more than HOT_TEXTS texts each window goes by itself, to the shard of
    its own hash, so no shard depends on one seed.
 4. Each shard (about SHARD_WORDS words) builds a compressed FM-index of its stretches
-   and streams them through it: backward search gives each window the interval of its
-   occurrences and so the least doc_id that has it.
-5. Windows whose least doc_id is smaller than the text's own are removed from the documents.
-
+   and streams the stretches of its documents through it.  Backward search over the wavelet matrix
+   gives their matching statistics: at each place the longest match with a stretch of a smaller doc_id.
+   Matches of at least `window` words are reported as intervals, joined where they touch.
+   A stretch that an earlier document has as a whole is one interval without a search.
+5. The words of the reported intervals, brought back to their documents, are removed.
+
+A window lies in one stretch as a whole, so an interval holds just the windows that start in a document with a
+smaller doc_id; a match that goes on beyond its stretch goes on in the next one's intervals.
 Words are `[^\\x20\\x09-\\x0D]+`, compared by 64-bit hashes; texts and stretches by 128 bits.
 
 Defined results: null and empty texts have no words; documents with fewer words
 than a window lose nothing; a null doc_id is neither smaller nor larger than
 another, so its document loses nothing and removes nothing; repeated rows get one
-result each; an empty table gives no rows.
+result each; an empty table gives no rows; a doc_id that is no integer is refused (TypeError); columns of docs are kept whatever
+their names, and the added ones get underscores where docs has theirs.
 """
 
 from __future__ import annotations
@@ -38,8 +43,10 @@ from .neardup import text_key
 
 WINDOW = 13
 GRAM = 4
-HOT_TEXTS = 5000
-SHARD_WORDS = 1_000_000
+HOT_TEXTS = 1000
+SHARD_WORDS = 500_000
+#: Stretches that are streamed through an index at a time.
+STREAMED = 20_000
 
 
 class Seeds:
@@ -130,8 +137,33 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
     return texts.select("h1", "h2", "first_id", "text", "cold", "hot").mapInArrow(run, STRETCH)
 
 
+SPANS = "array<struct<start:int,words:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
+
+
+def intervals(lengths: np.ndarray, bounds: np.ndarray, window: int) -> pa.ListArray:
+    """Joined intervals (start, words) of matches of at least `window` words, for each of the sequences that end at bounds."""
+    sizes = np.diff(bounds, prepend=0)
+    begins = bounds - sizes
+    at = np.flatnonzero(lengths >= window)
+    row = np.searchsorted(bounds, at, side="right")
+    ends = at + lengths[at]
+    # Ends never fall from one place to the next inside a sequence, so a match starts an interval if it starts after the one before it ended.
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] > ends[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    start, words = at[first] - begins[row[first]], ends[last] - at[first]
+    offsets = np.searchsorted(row[first], np.arange(len(bounds) + 1))
+    spans = pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32))], ["start", "words"])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), spans)
+
+
 def searched(distinct: DataFrame, window: int, shards: int) -> DataFrame:
-    """s1, s2 and, for each window of a distinct stretch, the least first_id of the stretches that hold it."""
+    """s1, s2, least and spans of distinct stretches: the intervals that stretches of documents before `least` have.
+
+    Stretches of one document in which nothing is found are left out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
@@ -143,18 +175,25 @@ def searched(distinct: DataFrame, window: int, shards: int) -> DataFrame:
             found = bytescan.words(piece.data, piece.offsets, bytescan.spaced_words())
             parts.append(bytescan.span_hashes(piece.data, found.starts, found.ends))
             counts.append(found.counts)
-        index = FmIndex(np.concatenate(parts), np.concatenate(counts), table.column("least").to_numpy(), window)
-        least = index.windows()
-        for at in range(0, len(least), 5000):
-            part = least[at : at + 5000]
-            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in part])]).astype(np.int32), np.concatenate(part))
-            yield pa.RecordBatch.from_arrays([*(table.column(x).slice(at, len(part)).combine_chunks() for x in ("s1", "s2")), lists], ["s1", "s2", "least"])
-
-    return distinct.select("shard", "s1", "s2", "words", "least").repartition(shards, "shard").drop("shard").mapInArrow(run, "s1 bigint, s2 bigint, least array<bigint>")
+        hashes, lengths, least = np.concatenate(parts), np.concatenate(counts), table.column("least").to_numpy()
+        table = table.drop_columns(["words"])
+        index, ends = FmIndex(hashes, lengths, least, window), np.cumsum(lengths)
+        for at in range(0, len(lengths), STREAMED):
+            part = slice(at, at + STREAMED)
+            own = slice(ends[at] - lengths[at], ends[part][-1])
+            spans = intervals(index.matching(hashes[own], lengths[part], least[part]), np.cumsum(lengths[part]), window)
+            rows = table.slice(at, len(spans)).combine_chunks()
+            some = pa.array((np.diff(spans.offsets.to_numpy()) > 0) | rows.column("shared").to_numpy())
+            batch = pa.RecordBatch.from_arrays([*(rows.column(x).combine_chunks() for x in ("s1", "s2", "least")), spans.cast(_SPANS)], ["s1", "s2", "least", "spans"])
+            yield batch.filter(some)
+
+    rows = distinct.select("shard", "s1", "s2", "words", "least", (F.col("_greatest") > F.col("least")).alias("shared"))
+    return rows.repartition(shards, "shard").drop("shard").mapInArrow(run, f"s1 bigint, s2 bigint, least bigint, spans {SPANS}")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_texts: int = HOT_TEXTS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """h1, h2, doc_id of documents that lose words: `copy` (a later copy of a whole text) or the `starts` of the windows to remove."""
+    """h1, h2, doc_id of documents that lose words: `copy` (a later copy of a whole text) or the `spans` of words to remove."""
+    shared.integer_ids(docs)
     keyed = docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     light = keyed.select("h1", "h2", "doc_id").where("doc_id is not null")
     firsts = shared.written(light.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last")), "firsts")
@@ -169,37 +208,38 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_texts:
 
     distinct = shared.written(found.groupBy("s1", "s2").agg(F.min("shard").alias("shard"), F.first("words").alias("words"), F.first("n_words").alias("n_words"), F.min("first_id").alias("least"), F.max("first_id").alias("_greatest")), "distinct")
     total = distinct.agg(F.sum("n_words")).first()[0] or 0
-    least = searched(distinct, window, max(1, -(-total // shard_words)))
-    held = found.select("s1", "s2", "h1", "h2", "first_id", "start").join(least, ["s1", "s2"])
-    # A window's place, or null where no smaller document has it.
-    places = F.filter(F.transform("least", lambda x, i: F.when(x < F.col("first_id"), F.col("start") + i)), lambda x: x.isNotNull())
-    starts = held.select("h1", "h2", F.col("first_id").alias("doc_id"), places.alias("places")).where(F.size("places") > 0).groupBy("h1", "h2", "doc_id").agg(F.flatten(F.collect_set("places")).alias("starts"))
-    return starts.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    matched = searched(distinct, window, max(1, -(-total // shard_words)))
+    held = found.select("s1", "s2", "n_words", "h1", "h2", "first_id", "start").join(matched, ["s1", "s2"])
+    start = F.col("start").cast("int")
+    whole = F.array(F.struct(start.alias("start"), F.col("n_words").alias("words")))
+    own = F.transform("spans", lambda x: F.struct((start + x.start).alias("start"), x.words.alias("words")))
+    spans = held.select("h1", "h2", F.col("first_id").alias("doc_id"), F.when(F.col("first_id") > F.col("least"), whole).otherwise(own).alias("spans")).where(F.size("spans") > 0)
+    spans = spans.groupBy("h1", "h2", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
 
 
 def _kept(docs: DataFrame, found: DataFrame, window: int, text: bool) -> DataFrame:
-    """docs with n_words, n_removed and what stays: its hash, or itself."""
-    names = [x for x in docs.columns if x not in ("n_words", "n_removed", "kept")]
-    keys = [x.alias(f"_{n}") for x, n in zip(text_key(), ("k1", "k2"), strict=True)]
-    keyed = docs.select(*[F.col(f"`{x}`") for x in names], *keys)
-    found = found.withColumnsRenamed({"h1": "_h1", "h2": "_h2", "doc_id": "_of", "starts": "_starts", "copy": "_copy"})
-    joined = keyed.join(found, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")) & (F.col("doc_id") == F.col("_of")), "left").select(*[F.col(f"`{x}`") for x in names], "_starts", "_copy")
+    """docs (doc_id, text and others) with n_words, n_removed and what stays: its hash, or itself."""
+    names = docs.columns
+    keyed = docs.select(*names, *[x.alias(f"_{n}") for x, n in zip(text_key(), ("k1", "k2"), strict=True)])
+    found = found.withColumnsRenamed({"h1": "_h1", "h2": "_h2", "doc_id": "_of", "spans": "_spans", "copy": "_copy"})
+    joined = keyed.join(found, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")) & (F.col("doc_id") == F.col("_of")), "left").select(*names, "_spans", "_copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 counts, removed, kept = [], [], []
-                for value, starts, copy in zip(batch.column("text"), batch.column("_starts"), batch.column("_copy").to_pylist(), strict=True):
+                for value, spans, copy in zip(batch.column("text"), batch.column("_spans"), batch.column("_copy").to_pylist(), strict=True):
                     own = (value.as_py() or "").encode().split()
                     counts.append(len(own))
                     if copy and len(own) >= window:
                         stay = []
-                    elif starts.is_valid:
+                    elif spans.is_valid:
                         cover = np.zeros(len(own) + 1, dtype=np.int64)
-                        first = starts.values.to_numpy()
+                        first, words = (spans.values.field(x).to_numpy() for x in ("start", "words"))
                         np.add.at(cover, first, 1)
-                        np.add.at(cover, first + window, -1)
+                        np.add.at(cover, first + words, -1)
                         stay = [w for w, c in zip(own, np.cumsum(cover).tolist(), strict=False) if not c]
                     else:
                         stay = own
@@ -208,12 +248,13 @@ def _kept(docs: DataFrame, found: DataFrame, window: int, text: bool) -> DataFra
                     kept.append(left.decode() if text else hashlib.sha256(left).hexdigest())
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    return joined.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in keyed.select(*[F.col(f"`{x}`") for x in names]).schema) + ", n_words bigint, n_removed bigint, kept string")
+    return joined.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", n_words bigint, n_removed bigint, kept string")
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """docs with n_words, n_removed and kept, the words that stay joined by one space."""
-    return _kept(docs, repeats(docs, window, **options), window, text=True)
+    docs, back = shared.plain(docs, "doc_id", "text")
+    return back(_kept(docs, repeats(docs, window, **options), window, text=True), "n_words", "n_removed", "kept")
 
 
 def digest(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:

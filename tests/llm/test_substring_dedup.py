@@ -47,23 +47,60 @@ def test_few_words_many_repeats(spark):
 
 
 def test_kept_text_and_columns(spark, docs):
-    found = substring_dedup.dedup(docs.selectExpr("*", "1 as h1", "2 as starts"))
-    assert found.columns == [*docs.columns, "h1", "starts", "n_words", "n_removed", "kept"]
+    found = substring_dedup.dedup(docs.selectExpr("*", "1 as h1", "2 as starts", "3 as _k1", "4 as N_Words"))
+    assert found.columns == [*docs.columns, "h1", "starts", "_k1", "N_Words", "n_words_", "n_removed", "kept"]
     for r in found.collect():
-        assert len(r.kept.split(" ")) == max(1, r.n_words - r.n_removed)
-
-
-@pytest.mark.parametrize("window", [3, 8, 13])
-def test_index_finds_least_values(window):
-    draw = random.Random(window)
-    sequences = [[draw.randint(1, 4) for _ in range(draw.randint(window, 30))] for _ in range(60)]
-    sequences += [s[3 : 3 + window] for s in sequences if len(s) >= window + 3]
-    values = [draw.randint(0, 99) for _ in sequences]
-    index = FmIndex(np.array([x for s in sequences for x in s], dtype=np.uint64), np.array([len(s) for s in sequences]), np.array(values), window)
-    for own, found in zip(sequences, index.windows(), strict=True):
-        for i, value in enumerate(found):
-            part = own[i : i + window]
-            assert value == min(v for s, v in zip(sequences, values, strict=True) if any(s[j : j + window] == part for j in range(len(s))))
+        assert len(r.kept.split(" ")) == max(1, r.n_words_ - r.n_removed)
+
+
+def longest_match(sequences, values, own, value):
+    """At each place the longest match with a sequence of a smaller value, by comparing everything."""
+    out = []
+    for i in range(len(own)):
+        best = 0
+        for s, v in zip(sequences, values, strict=True):
+            for j in range(len(s) if v < value else 0):
+                k = 0
+                while i + k < len(own) and j + k < len(s) and own[i + k] == s[j + k]:
+                    k += 1
+                best = max(best, k)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize("threshold", [1, 2, 3, 8, 13, 25])
+@pytest.mark.parametrize("signs", [2, 5])
+def test_matching_statistics(threshold, signs):
+    draw = random.Random(threshold * 10 + signs)
+    sequences = [[draw.randint(1, signs) for _ in range(draw.randint(1, 45))] for _ in range(25)]
+    sequences += [s[:] for s in sequences[:4]] + [[*s[2:], 9] for s in sequences[:4]]
+    values = [draw.randint(0, 12) for _ in sequences]
+    streamed = [*sequences, *([draw.randint(1, signs + 1) for _ in range(draw.randint(1, 30))] for _ in range(8))]
+    own = values + [draw.randint(0, 14) for _ in range(8)]
+    flat = lambda x: np.array([w for s in x for w in s], dtype=np.uint64)
+    lengths = lambda x: np.array([len(s) for s in x])
+    index = FmIndex(flat(sequences), lengths(sequences), np.array(values), threshold)
+    found = np.split(index.matching(flat(streamed), lengths(streamed), np.array(own)), np.cumsum(lengths(streamed))[:-1])
+    for s, v, got in zip(streamed, own, found, strict=True):
+        assert [x if x >= threshold else 0 for x in got] == [x if x >= threshold else 0 for x in longest_match(sequences, values, s, v)]
+
+
+def test_the_index_is_compressed():
+    draw = np.random.default_rng(1)
+    n = 100_000
+    index = FmIndex(draw.integers(0, 5000, n).astype(np.uint64), np.full(n // 20, 20), draw.integers(0, 1000, n // 20), 13)
+    wavelet = sum(x.nbytes for x in (*index.wavelet.bits, *index.wavelet.ranks))
+    assert wavelet < 3 * index.size and not any(isinstance(x, np.ndarray) and x.dtype.itemsize == 8 and len(x) >= n for x in vars(index).values())
+
+
+def test_intervals():
+    lengths = np.array([0, 4, 3, 0, 0, 5, 4, 3, 0, 0, 0, 2, 3, 0, 0])
+    assert substring_dedup.intervals(lengths, np.array([5, 11, 11, 15]), 3).to_pylist() == [[{"start": 1, "words": 4}], [{"start": 0, "words": 5}], [], [{"start": 1, "words": 3}]]
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        substring_dedup.digest(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def test_empty_table(empty):
