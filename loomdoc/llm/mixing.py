@@ -1,13 +1,16 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
 Each source's documents, in a fixed pseudorandom order, are one stream of words,
-cut into blocks of `block_words`.  The mix is a number of slots, one block each,
-dealt to output shards.  Every slot of a source falls on a shard by a hash, so
-the source counts of a shard are a multinomial draw, conditioned on each source's
-total, which is fixed to its target.  The n-th slot of a source is mapped through the
-source's index permutation to a block, and blocks are joined by (source, index).
-A source with more slots than blocks goes through a permutation again, so no
-block is taken more than CAP times.
+cut into blocks of `block_words`.  The mix is a number of slots, one block each, in output shards.
+
+1. `draws`: every slot of a source falls on a shard by a hash, which makes the source counts of a
+   shard a multinomial draw, conditioned on each source's total: that is its target, which a free draw
+   would miss by its own noise.
+2. `drawn`: a shard's slots are its counts; the slots of a source are numbered through the shards in order.
+3. The n-th slot of a source is mapped to a block through the source's index permutation, an affine map whose
+   multiplier and shift depend on seed, source and pass; blocks are joined by (source, index).
+   A source with more slots than blocks goes through further passes, so no
+   block is taken more than CAP times.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating, and
 share the sizes of all documents; a target stops at CAP times its source's
@@ -15,13 +18,14 @@ size and the excess is shared again by weight.
 
 Defined results: a null text has size 0; a null source is a source of its own;
 documents without words are never taken; equal rows are documents of their
-own; a null doc_id is kept; an empty table gives no rows.  Every draw is a
-function of the seed and the data, so reruns agree.
-
-Scale: a source may hold a third of all rows.  Positions in its stream are
-prefix sums in two levels (BUCKETS hash buckets for each source, then inside a
-bucket), and its slots are dealt in chunks.  Only windows over one row per
-source or one row per (source, bucket) are unsplit.
+own; a null doc_id is kept; an empty table gives no rows; columns of docs are kept whatever their names, and the added
+ones get underscores where docs has theirs.  Every draw is a
+function of the seed and the data (by MD5, which any SQL has), so reruns agree.
+
+Scale: a source may hold a third of all rows.  Positions in its stream and the numbers of its slots are
+prefix sums in two levels (hash buckets or groups of shards for each source, then inside one), and its slots are dealt in chunks over
+a number of partitions that follows from their number.  Only windows over one row per
+source, one row per (source, bucket) or one per (source, group of shards) are unsplit.
 """
 
 from __future__ import annotations
@@ -40,8 +44,10 @@ CHUNK = 1 << 15
 SEED = 20
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Multipliers of the index permutations: primes, of which the first that does not divide n is coprime to it.
-PRIMES = (1_000_003, 999_983, 1_000_033)
+#: Primes, the multipliers of the index permutations; one that does not divide n is coprime to it.
+PRIMES = (1_000_003, 999_983, 1_000_033, 999_979, 1_000_037, 999_961, 1_000_039, 999_959)
+#: Shards whose slots are numbered in one window.
+GROUP_SHARDS = 1024
 
 
 def words_in(text: str) -> Column:
@@ -68,38 +74,77 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = C
     return listed.withColumn("_level", level).withColumn("target", F.least("_cap", F.col("weight") * final)).drop("_cap", "_ratio", "_level")
 
 
-def permuted(index: Column, n: Column, *key: Column) -> Column:
-    """Position of index under a permutation of 0..n-1 that depends on key: index * prime + shift modulo n."""
-    prime = F.when(n % PRIMES[0] != 0, F.lit(PRIMES[0])).when(n % PRIMES[1] != 0, F.lit(PRIMES[1])).otherwise(F.lit(PRIMES[2])).cast("long")
-    return (index * prime + F.pmod(F.xxhash64(*key), n)) % n
+def drawn_number(*parts: Column | str | int) -> Column:
+    """A pseudorandom number below 2 ** 60 from the parts, as text: the first digits of their MD5."""
+    text = F.concat_ws("|", *[F.coalesce((F.lit(x) if isinstance(x, (str, int)) else x).cast("string"), F.lit("null")) for x in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def permutation(n: Column, *key: Column | str | int) -> Column:
+    """Multiplier and shift of a permutation of 0..n-1.
+
+    Of PRIMES, from one that the key chooses on, the multiplier is the first that does not divide n
+    and is not 1 modulo n, where it would only shift (n of up to 2 have no other).
+    """
+    k = F.pmod(drawn_number(*key, "multiplier"), F.lit(len(PRIMES))).cast("int")
+    primes = F.array(*[F.lit(x).cast("long") for x in PRIMES])
+    turned = F.concat(F.slice(primes, k + 1, F.lit(len(PRIMES))), F.slice(primes, F.lit(1), k))
+    coprime = F.filter(turned, lambda x: n % x != 0)
+    moving = F.filter(coprime, lambda x: (x % n != 1) | (n <= 2))
+    return F.struct(F.coalesce(F.try_element_at(moving, F.lit(1)), F.try_element_at(coprime, F.lit(1))).alias("multiplier"), F.pmod(drawn_number(*key, "shift"), n).alias("shift"))
+
+
+def permuted(index: Column, n: Column, how: Column) -> Column:
+    """Place of index under a permutation."""
+    return (index * how.multiplier + how.shift) % n
 
 
 def placed(docs: DataFrame, plan: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """docs (doc_id, source, size, text_hash) with the columns of plan and `start`, the place of the first word in the source's stream."""
-    rows = docs.join(plan, docs.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(buckets)))
+    rows = docs.join(plan, docs.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("_bucket", F.pmod(drawn_number("bucket", F.col("doc_id"), F.col("text_hash")), F.lit(buckets)))
     in_bucket = Window.partitionBy("source_no", "_bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     of_buckets = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(of_buckets), F.lit(0))).drop("_sum")
     return rows.join(sums, ["source_no", "_bucket"]).withColumn("start", F.col("_base") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).drop("_base", "_bucket")
 
 
-def slotted(plan: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """plan with n_blocks and n_slots: whole passes through a source, and a part of one by its permutation."""
+def slotted(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, cap: int = CAP) -> DataFrame:
+    """plan with n_blocks, n_slots (whole passes through a source, and a part of one by its permutation), the permutation of each pass and n_shards of the mix."""
     size, target = F.col("source_size"), F.col("target")
     passes = F.floor(target / size)
     blocks = F.ceil(size / block_words).cast("long")
     part = F.round((target - passes * size) * blocks / size)
-    return plan.withColumn("n_blocks", blocks).withColumn("n_slots", F.when(size > 0, passes * blocks + part).otherwise(0).cast("long"))
+    sized = plan.withColumn("n_blocks", blocks).withColumn("n_slots", F.when(size > 0, passes * blocks + part).otherwise(0).cast("long"))
+    ways = F.array(*[permutation(F.greatest(F.col("n_blocks"), F.lit(1)), seed, F.col("source_no"), turn) for turn in range(cap + 1)])
+    shards = F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / shard_slots)).cast("long")
+    return sized.withColumn("ways", ways).withColumn("n_shards", shards)
+
+
+def _parts(plan: DataFrame) -> int:
+    """Partitions for the slots of a plan; a number of its own is one that adaptive execution does not merge."""
+    slots = plan.agg(F.sum("n_slots")).first()[0] or 0
+    return max(1, -(-slots // CHUNK))
+
 
+def draws(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """Multinomial counts: source_no, shard and n, the slots of the source in the shard (where there are any)."""
+    chunks = plan.where("n_slots > 0").select("source_no", "n_slots", "n_shards", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(CHUNK).cast("long"))).alias("_low"))
+    slots = chunks.repartition(_parts(plan), "source_no", "_low").select("source_no", "n_shards", F.explode(F.sequence("_low", F.least(F.col("_low") + CHUNK, F.col("n_slots")) - 1)).alias("_slot"))
+    shard = F.pmod(drawn_number(seed, "shard", F.col("source_no"), F.col("_slot")), F.col("n_shards"))
+    return slots.groupBy("source_no", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
-def drawn(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
-    """One row per slot: shard, source_no, n (the slot's number in its source) and the index of its block."""
-    plan = plan.select("source_no", "n_blocks", "n_slots", F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / shard_slots)).cast("long").alias("_shards"))
-    chunks = plan.where("n_slots > 0").withColumn("_low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_slots") - 1, F.lit(CHUNK).cast("long")))).repartition("source_no", "_low")
-    rows = chunks.withColumn("n", F.explode(F.sequence("_low", F.least(F.col("_low") + CHUNK, F.col("n_slots")) - 1)))
-    shard = F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "source_no", "n"), F.col("_shards"))
-    block = permuted(F.col("n") % F.col("n_blocks"), F.col("n_blocks"), F.lit(seed), F.col("source_no"), F.floor(F.col("n") / F.col("n_blocks")))
-    return rows.select(shard.alias("shard"), "source_no", "n", block.alias("block"))
+
+def drawn(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """One row per slot: shard, source_no, n (the slot's number in its source) and the index of its block, from the counts of the shards."""
+    counts = draws(plan, seed).checkpoint()
+    grouped = counts.withColumn("_group", F.floor(F.col("shard") / GROUP_SHARDS))
+    before, inside = (Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for key, order in ((["source_no"], "_group"), (["source_no", "_group"], "shard")))
+    bases = grouped.groupBy("source_no", "_group").agg(F.sum("n").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    numbered = grouped.join(bases, ["source_no", "_group"]).withColumn("_first", F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    shards = numbered.select("source_no", "shard", "n", "_first").join(plan.select("source_no", "n_blocks", "ways"), "source_no").repartition(_parts(plan), "source_no", "shard")
+    slots = shards.withColumn("n", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)))
+    way = F.element_at("ways", (F.floor(F.col("n") / F.col("n_blocks")) + 1).cast("int"))
+    return slots.select("shard", "source_no", "n", permuted(F.col("n") % F.col("n_blocks"), F.col("n_blocks"), way).alias("block"))
 
 
 def spread(places: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -110,59 +155,64 @@ def spread(places: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return rows.withColumn("first_word", low - F.col("start")).withColumn("words", F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size")) - low)
 
 
+def text_hash() -> Column:
+    return drawn_number("text", F.col("text")).alias("text_hash")
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     shared.folder(docs.sparkSession)
-    return docs.select("doc_id", "source", words_in("text").alias("size"), F.xxhash64("text").alias("text_hash")).checkpoint()
+    return docs.select("doc_id", "source", words_in("text").alias("size"), text_hash()).checkpoint()
 
 
-def _planned(docs: DataFrame, block_words: int) -> DataFrame:
-    plan = slotted(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))), block_words)
-    return plan.checkpoint()
+def _planned(docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    return slotted(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))), block_words, shard_slots, seed).checkpoint()
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix as spans: shard, source, slot (n), block, doc_id, first_word and words; spans of a slot join to its block."""
     measured = _measured(docs)
-    plan = _planned(measured, block_words)
+    plan = _planned(measured, block_words, shard_slots, seed)
     spans = spread(placed(measured, plan), block_words)
-    return spans.join(drawn(plan, shard_slots, seed).hint("merge"), ["source_no", "block"]).select("shard", "source", "n", "block", "doc_id", "text_hash", "start", "first_word", "words")
+    return spans.join(drawn(plan, seed).hint("merge"), ["source_no", "block"]).select("shard", "source", "n", "block", "doc_id", "text_hash", "start", "first_word", "words")
 
 
 def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     """shard, source, n and the words of each block of the mix as one text."""
-    pieces = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_words")).dropDuplicates(["doc_id", "text_hash"])
+    pieces = docs.select("doc_id", text_hash(), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_words")).dropDuplicates(["doc_id", "text_hash"])
     spans = mix(docs, **options)
     joined = spans.join(pieces, spans.doc_id.eqNullSafe(pieces.doc_id) & (spans.text_hash == pieces.text_hash))
     part = F.struct("start", "first_word", F.array_join(F.slice("_words", (F.col("first_word") + 1).cast("int"), F.col("words").cast("int")), " ").alias("words"))
     return joined.groupBy("shard", "source", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.words), " ").alias("text"))
 
 
-def digest(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, keep_hash: bool = False) -> DataFrame:
-    """One row per document: size, source_size, target of its source, and the words that the mix takes of it."""
+def digest(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, keep_keys: bool = False) -> DataFrame:
+    """One row per document: size, source_size, target of its source, the words that the mix takes of it, and the number of shards that hold some of them."""
     measured = _measured(docs)
-    plan = _planned(measured, block_words)
+    plan = _planned(measured, block_words, shard_slots, seed)
     places = placed(measured, plan)
-    times = drawn(plan, shard_slots, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("_times"))
+    # A block is taken at most CAP times, so its shards are few.
+    times = drawn(plan, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("_times"), F.collect_set("shard").alias("_shards"))
     # The planner takes the exploded slots for as small as their plan, so a shuffle join is asked for.
-    taken = spread(places, block_words).join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("_times")).alias("taken"))
+    spans = spread(places, block_words).join(times.hint("merge"), ["source_no", "block"])
+    taken = spans.groupBy("source_no", "start").agg(F.sum(F.col("words") * F.col("_times")).alias("taken"), F.size(F.array_distinct(F.flatten(F.collect_list("_shards")))).cast("long").alias("_in"))
     # Only documents with words have a start of their own; the others take nothing.
     key = F.when(F.col("size") > 0, F.col("start"))
     rows = places.withColumn("start", key).join(taken, ["source_no", "start"], "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source", *["text_hash"] * keep_hash)
+    added = [F.coalesce(x, F.lit(0)).cast("long").alias(name) for x, name in (("taken", "taken"), ("_in", "n_shards"))]
+    return rows.select("doc_id", "size", "source_size", "target", *added, *["source", "text_hash"] * keep_keys)
 
 
 def taken_documents(docs: DataFrame, **options) -> DataFrame:
-    """Documents that the mix takes words of, all columns of docs (but those of the names added), with size, source_size, target and taken."""
-    added = ["size", "source_size", "target", "taken"]
-    names = [x for x in docs.columns if x not in added]
-    found = digest(docs, keep_hash=True, **options).where("taken > 0")
+    """Documents that the mix takes words of, all columns of docs, and size, source_size, target, taken and n_shards."""
+    added = ["size", "source_size", "target", "taken", "n_shards"]
+    docs, back = shared.plain(docs, "doc_id", "text", "source")
+    found = digest(docs, keep_keys=True, **options).where("taken > 0")
     # Equal rows have equal keys but takes of their own: the n-th of them gets the n-th take.
     key = ["_id", "_source", "_hash"]
     numbered = lambda df, *order: df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     takes = numbered(found.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), *added), F.col("taken").desc())
-    rows = docs.select(*[F.col(f"`{x}`") for x in names], F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_hash"))
-    rows = numbered(rows, F.lit(1))
+    rows = numbered(docs.select("*", F.col("doc_id").alias("_id"), F.col("source").alias("_source"), text_hash().alias("_hash")), F.lit(1))
     same = F.lit(True)
     for x in (*key, "_n"):
         same = same & rows[x].eqNullSafe(takes[x])
-    return rows.join(takes, same).select(*[rows[f"`{x}`"] for x in names], *[takes[x] for x in added])
+    return back(rows.join(takes, same).drop("_id", "_source", "_hash", "_n"), *added)

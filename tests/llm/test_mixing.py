@@ -38,7 +38,7 @@ def test_targets(spark, rows):
 
 
 def test_digest(docs, rows):
-    found = mixing.digest(docs, block_words=8).collect()
+    found = mixing.digest(docs, block_words=8, keep_keys=True).collect()
     want = plain_targets(sizes := sizes_of(rows))
     same([(r.doc_id, r.size, r.source_size) for r in found], [(r[0], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")), sizes[r[3]]) for r in rows])
     for source, size in sizes.items():
@@ -49,10 +49,84 @@ def test_digest(docs, rows):
     same([(r.doc_id, r.taken) for r in found], [(r.doc_id, r.taken) for r in mixing.digest(docs.repartition(5), block_words=8).collect()])
 
 
-def test_permutations_are_bijections(spark):
-    for n in (1, 2, 999, 1_000_003):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3), F.lit(0)).alias("p")).agg(F.countDistinct("p"), F.min("p"), F.max("p")).first()
-        assert tuple(got) == (n, 0, n - 1)
+def test_permutations_are_bijections_and_depend_on_their_key(spark):
+    for n in (1, 2, 3, 6, 999, 166_667, 1_000_002, 1_000_003):
+        way = mixing.permutation(F.lit(n).cast("long"), 20, F.lit(3), 0)
+        rows = spark.range(n).withColumn("way", way).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.col("way")).alias("p"), "way")
+        got = rows.agg(F.countDistinct("p"), F.min("p"), F.max("p"), F.max("way.multiplier")).first()
+        assert tuple(got)[:3] == (n, 0, n - 1) and (n <= 2 or got[3] % n != 1)
+    keys = [(seed, source, turn) for seed in (1, 2) for source in range(6) for turn in range(3)]
+    ways = spark.range(1).select(*[mixing.permutation(F.lit(1000).cast("long"), *k).alias(f"w{i}") for i, k in enumerate(keys)]).first()
+    assert len({w.multiplier for w in ways}) > 4 and len(set(ways)) == len(keys)
+
+
+def test_counts_of_shards_are_multinomial(spark):
+    sizes = spark.createDataFrame([("a", 400_000), ("b", 300_000), ("c", 100_000), (None, 90_000)], "source string, source_size bigint")
+    plan = mixing.slotted(mixing.targets(sizes), 64, 100)
+    counts = {(r.source_no, r.shard): r.n for r in mixing.draws(plan).collect()}
+    totals = {r.source_no: (r.n_slots, r.n_shards) for r in plan.collect()}
+    for k, (slots, shards) in totals.items():
+        own = [counts.get((k, i), 0) for i in range(shards)]
+        assert sum(own) == slots and max(x[1] for x in counts) == shards - 1
+        spread = sum((x - slots / shards) ** 2 for x in own) / (slots / shards)
+        assert abs(spread - (shards - 1)) < 6 * (2 * shards) ** 0.5, "chi square"
+    other = {(r.source_no, r.shard): r.n for r in mixing.draws(plan, seed=5).collect()}
+    assert other != counts
+    slots = mixing.drawn(plan).collect()
+    seen = {}
+    for r in sorted(slots, key=lambda r: (r.source_no, r.n)):
+        seen.setdefault(r.source_no, []).append(r)
+    for k, own in seen.items():
+        assert [r.n for r in own] == list(range(totals[k][0])) and [r.shard for r in own] == sorted(r.shard for r in own)
+        assert {i: c for (s, i), c in counts.items() if s == k} == {i: sum(r.shard == i for r in own) for i in {r.shard for r in own}}
+
+
+def plain_mix(rows, block_words, shard_slots, seed=mixing.SEED):
+    """taken and n_shards of each row, slot by slot."""
+    import hashlib
+
+    number = lambda *parts: int(hashlib.md5("|".join("null" if x is None else str(x) for x in parts).encode()).hexdigest()[:15], 16)
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    hashes = [number("text", r[1]) for r in rows]
+    sizes = sizes_of(rows)
+    want, order = plain_targets(sizes), sorted(sizes, key=lambda s: (s is None, s or ""))
+    n_blocks = {s: -(-sizes[s] // block_words) for s in order}
+    n_slots = {s: int(want[s] // sizes[s]) * n_blocks[s] + int((want[s] - want[s] // sizes[s] * sizes[s]) * n_blocks[s] / sizes[s] + 0.5) if sizes[s] else 0 for s in order}
+    shards = max(1, -(-sum(n_slots.values()) // shard_slots))
+    taken, inside = [0] * len(rows), [set() for _ in rows]
+    for no, s in enumerate(order):
+        own = sorted((i for i, r in enumerate(rows) if r[3] == s), key=lambda i: (number("bucket", rows[i][0], hashes[i]) % mixing.BUCKETS, rows[i][0] is not None, rows[i][0] or 0, hashes[i]))
+        stream = [i for i in own for _ in range(size[i])]
+        dealt = sorted(number(seed, "shard", no, j) % shards for j in range(n_slots[s]))
+        for n, shard in enumerate(dealt):
+            k, turn = n_blocks[s], n // n_blocks[s]
+            start = number(seed, no, turn, "multiplier") % len(mixing.PRIMES)
+            primes = [x for x in mixing.PRIMES[start:] + mixing.PRIMES[:start] if k % x]
+            factor = next((x for x in primes if x % k != 1 or k <= 2), primes[0])
+            block = (n % k * factor + number(seed, no, turn, "shift") % k) % k
+            for i in stream[block * block_words : (block + 1) * block_words]:
+                taken[i] += 1
+                inside[i].add(shard)
+    return [(r[0], t, len(x)) for r, t, x in zip(rows, taken, inside, strict=True)]
+
+
+@pytest.mark.parametrize(("block_words", "shard_slots"), [(8, 10), (64, 1024), (5, 3)])
+def test_taken_equals_brute_force(docs, rows, block_words, shard_slots):
+    found = mixing.digest(docs, block_words=block_words, shard_slots=shard_slots)
+    same([(r.doc_id, r.taken, r.n_shards) for r in found.collect()], plain_mix(rows, block_words, shard_slots))
+
+
+def test_shards_and_slots_are_in_the_plan_of_the_query(docs):
+    spans = mixing.digest(docs, block_words=8, shard_slots=10)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert "shard" in plan and "ArrowEval" not in plan and "MapInArrow" not in plan and "PythonUDF" not in plan
+
+
+def test_columns_are_kept(docs):
+    clashing = docs.selectExpr("*", "1 as _id", "2 as Size", "3 as taken", "4 as _n", "5 as block")
+    kept = mixing.taken_documents(clashing, block_words=8)
+    assert kept.columns == [*clashing.columns, "size_", "source_size", "target", "taken_", "n_shards"]
+    assert {(r["_id"], r.Size, r.taken, r["_n"], r.block) for r in kept.collect()} == {(1, 2, 3, 4, 5)} and kept.where("taken_ <= 0").count() == 0
 
 
 def test_mixed_texts_hold_the_taken_words(docs):
