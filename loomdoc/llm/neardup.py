@@ -5,23 +5,27 @@ is its distinct shingles of `size` words (fewer words: the whole sequence as one
 Two documents are linked if the Jaccard similarity of their sets reaches a
 threshold, and groups are the components of the links.
 
-1. Equal texts are one node, named by a 64-bit hash of the text.  Each node gets MinHash values, a
+1. Equal texts (by 128 bits of hash) are one node.  Each node gets MinHash values, a
    key for each band of BAND_ROWS of them, and an odd sketch: of a second set of
-   MinHash samples, the least hash in each of 2 ** PARTS_LOG parts of the hash range,
-   every sample flips one of SKETCH_BITS bits.  A set much smaller than that is
-   nearly all sampled, and the number of its elements that are no samples is known.
+   MinHash samples, the least hash in each part of the hash range,
+   every sample flips one of SKETCH_BITS bits.  There are as many parts as the bits can tell apart: FINE_PARTS for sets of up to
+   FINE_SIZE elements, which are nearly all sampled (the number of elements that are no samples is known), and COARSE_PARTS for
+   larger ones, so that a sketch does not fill up however long the document is.
 2. In each band bucket, all nodes are compared with its least node.  Sketches
    decide first: the population count of their XOR estimates the number of samples
    that differ, and a pair passes unless it has more than a pair at the threshold can have,
-   or, of large sets, DEVIATIONS standard deviations more than it has.  Pairs that pass are confirmed on the full
-   sets, read back from the texts.
+   or, of large sets, DEVIATIONS standard deviations more than it has.  A pair of one small and one larger set of fitting
+   sizes passes.  Pairs that pass are confirmed on the full sets, read back from the texts.
 3. Components of those links are formed.  Then every pair of a bucket that is in
    two components is compared in the same way, sketches in blocks of
    BLOCK nodes, so nothing but pairs that pass leaves a task.  Pairs within
    a component need no look: they cannot change the groups.
 
 A pair at the threshold t shares no bucket with probability
-(1 - t ** BAND_ROWS) ** bands; `bands_for` chooses the bands so that this is below 1e-7.
+(1 - t ** BAND_ROWS) ** bands; `bands_for` chooses the bands so that this is below 1e-7.  In step 3 a pair is looked at in
+the first band in which 32 bits of the keys agree; a chance agreement before the band that it shares hides it, with
+probability below bands / 2 ** 32.  Two texts take one node's place if all 128 bits agree; nodes go by 64 of them, and those that
+share these are told apart by a hash of all (`named`).
 
 Scale: bucket sizes and least nodes come from partial aggregates; a bucket's
 rows are dealt to block pairs, so no task holds a whole large bucket; no pair
@@ -31,7 +35,7 @@ the shared folder.
 Defined results: texts without words have an empty set and are linked with
 nothing; a null doc_id is a document of its own node that never names a
 component unless all its documents are null, and is kept only then; repeated rows get
-one result each; an empty table gives no rows.
+one result each; an empty table gives no rows; ids may be of any type that can be ordered; columns of docs are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -50,9 +54,12 @@ from .components import components
 BAND_ROWS = 5
 MISSED = 1e-7
 SKETCH_BITS = 4096
-PARTS_LOG = 14
+FINE_SIZE = 4096
+FINE_PARTS = 1 << 14
+COARSE_PARTS = 1 << 11
 DEVIATIONS = 6.0
-BLOCK = 2048
+#: Nodes of a block of a bucket: an eighth of the bucket, within these bounds.
+LEAST_BLOCK, BLOCK = 512, 2048
 #: Rows of shingle hashes that are multiplied at a time.
 HASHED_AT_ONCE = 1024
 
@@ -111,7 +118,7 @@ class Signer:
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Size, number of samples and odd sketch of a sorted set of 64-bit hashes, as 64-bit words."""
-    part = hashes >> _U(64 - PARTS_LOG)
+    part = hashes >> _U(64 - ((FINE_PARTS if len(hashes) <= FINE_SIZE else COARSE_PARTS).bit_length() - 1))
     first = np.ones(len(hashes), dtype=bool)
     first[1:] = part[1:] != part[:-1]
     samples = hashes[first]
@@ -120,14 +127,13 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.array([len(hashes), len(samples)], dtype=np.uint64), bits])
 
 
-def differing(size_a: np.ndarray, size_b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def differing(size_a: np.ndarray, size_b: np.ndarray, threshold: float, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Mean and variance of the number of differing samples of two sets of these sizes with similarity threshold.
 
     The elements fall on the parts at random, so how many parts are occupied, and
     by which elements, varies too: the moments are those of parts with Poisson numbers of common and
     own elements, less the share of the variance that the fixed sizes take away.
     """
-    parts = float(1 << PARTS_LOG)
     common = threshold * (size_a + size_b) / (1 + threshold)
     both, own_a, own_b = common / parts, np.maximum(size_a - common, 0) / parts, np.maximum(size_b - common, 0) / parts
     every = both + own_a + own_b
@@ -153,7 +159,7 @@ def folded(differ: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def most_flips(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> np.ndarray:
-    """Greatest XOR population count taken for a similarity of at least threshold; a and b are (size, samples) of the sets.
+    """Greatest XOR population count taken for a similarity of at least threshold; a and b are (size, samples) of sets with the same parts.
 
     Every element that is no sample shares its part with a lesser one of its set, and puts
     at most one sample more on the differing side, so the differing samples are at most the
@@ -164,7 +170,7 @@ def most_flips(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     """
     (size_a, samples_a), (size_b, samples_b) = a, b
     always = (size_a + size_b) * (1 - threshold) / (1 + threshold) + (size_a - samples_a) + (size_b - samples_b) + 1e-6
-    mean, variance = differing(size_a, size_b, threshold)
+    mean, variance = differing(size_a, size_b, threshold, np.where(size_a <= FINE_SIZE, float(FINE_PARTS), float(COARSE_PARTS)))
     skewed = mean + DEVIATIONS**2 / 3 + 2
     differ = np.minimum(always, skewed + DEVIATIONS * np.sqrt(variance))
     bits, spread, _ = folded(always)
@@ -179,7 +185,8 @@ def close(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
     size_a, size_b = a[..., 0].astype(float), b[..., 0].astype(float)
     flips = np.bitwise_count(a[..., 2:] ^ b[..., 2:]).sum(axis=-1)
     fits = np.minimum(size_a, size_b) >= threshold * np.maximum(size_a, size_b) - 1e-6
-    return fits & (flips <= most_flips((size_a, a[..., 1].astype(float)), (size_b, b[..., 1].astype(float)), threshold))
+    other_parts = (size_a <= FINE_SIZE) != (size_b <= FINE_SIZE)
+    return fits & (other_parts | (flips <= most_flips((size_a, a[..., 1].astype(float)), (size_b, b[..., 1].astype(float)), threshold)))
 
 
 def signatures(docs: DataFrame, signer: Signer, size: int) -> DataFrame:
@@ -203,7 +210,7 @@ def signatures(docs: DataFrame, signer: Signer, size: int) -> DataFrame:
                 ["h1", "h2", "doc_id", "n_shingles", "bands", "sketch", "short_bands"],
             )
 
-    return docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, n_shingles bigint, bands array<bigint>, sketch binary, short_bands binary")
+    return docs.select(*text_key(), "doc_id", "text").mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, bands array<bigint>, sketch binary, short_bands binary")
 
 
 def text_key() -> list:
@@ -235,11 +242,11 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
     other texts are told apart by the second text hash.  The threshold is
     compared in whole numbers of hundredths.
     """
-    wanted = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct().join(nodes.select("h1", "h2", F.col("doc_id").alias("_id")), "h1")
-    texts = docs.select(*text_key(), F.col("doc_id").cast("long").alias("_id"), "text")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "h1", "h2", F.col("doc_id").alias("_id")), "node")
+    texts = docs.select(*text_key(), F.col("doc_id").alias("_id"), "text")
     found = texts.join(wanted.withColumnsRenamed({"h1": "_h1", "h2": "_h2", "_id": "_of"}), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
-    texts = shared.written(found.select("h1", "text").dropDuplicates(["h1"]), "texts")
-    left, right = (texts.select(F.col("h1").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    texts = shared.written(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     # b is the node of few pairs: its text is attached first, so a text that is in many pairs is not shuffled once a pair.
     both = pairs.join(right, "b").join(left, "a")
     hundredths = round(100 * threshold)
@@ -262,14 +269,14 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def cross_pairs(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def cross_pairs(members: DataFrame, threshold: float, block: int = BLOCK, least_block: int = LEAST_BLOCK) -> DataFrame:
     """Pairs (a, b) of members (band, n, node, root, sketch, short_bands) in one bucket but two components whose sketches are close.
 
-    A pair is looked at in the first band that it shares only.  A bucket's nodes fall on ceil(n / block) blocks by hash, and each pair of
+    A pair is looked at in the first band that it shares only.  A bucket's nodes fall on blocks by hash, and each pair of
     blocks is a group of its own: a node is copied once a block, no pair is
     made that fails, and no group is larger than about two blocks.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(least_block), F.least(F.lit(block), F.col("n") / 8))).cast("int")
     rows = members.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("_blocks")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = rows.select("band", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "root", "sketch", "short_bands")
@@ -320,33 +327,44 @@ def cross_pairs(members: DataFrame, threshold: float, block: int = BLOCK) -> Dat
     return sorted_rows.mapInArrow(run, "a bigint, b bigint")
 
 
+def named(nodes: DataFrame) -> DataFrame:
+    """nodes with a 64-bit name `node`: h1, or of texts that share it a hash of h1 and h2."""
+    twice = shared.written(nodes.groupBy("h1").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h1", F.lit(True).alias("_twice")), "twice")
+    if not twice.limit(1).count():
+        return nodes.withColumn("node", F.col("h1"))
+    return nodes.join(twice, "h1", "left").withColumn("node", F.when(F.col("_twice"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("_twice")
+
+
 def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, h1, h2, n_shingles and component_id of each row."""
     signer = Signer(bands_for(threshold, rows), rows)
+    if docs.schema["doc_id"].dataType.typeName() == "void":
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     every = shared.written(signatures(docs, signer, size), "signatures")
     nodes = shared.written(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("short_bands").alias("short_bands")), "nodes")
-    placed = nodes.where("n_shingles > 0").select(F.explode("bands").alias("band"), F.col("h1").alias("node"))
+    nodes = named(nodes)
+    placed = nodes.where("n_shingles > 0").select(F.explode("bands").alias("band"), "node")
     buckets = placed.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = shared.written(placed.join(buckets, "band"), "members")
-    sketches = nodes.select("h1", "sketch")
+    sketches = nodes.select("node", "sketch")
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sketches.select(F.col("h1").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("h1").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    stars = stars.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     links = shared.written(confirmed(shared.written(close_by_sketch(stars, threshold), "pairs"), nodes, docs, size, threshold), "links")
     roots = components(links)
     # Buckets whose nodes are in more than one component.
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "n", "node", "root")
     mixed = labelled.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("band")
-    open_members = labelled.join(mixed, "band").join(nodes.select(F.col("h1").alias("node"), "sketch", "short_bands"), "node")
+    open_members = labelled.join(mixed, "band").join(nodes.select("node", "sketch", "short_bands"), "node")
     # A pair with the least node was looked at before.
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = shared.written(cross_pairs(open_members, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     if more.limit(1).count():
         links = links.unionByName(confirmed(more, nodes, docs, size, threshold))
         roots = components(links)
-    by_node = nodes.join(roots.withColumnRenamed("node", "h1"), "h1", "left").select("h1", "h2", "doc_id", F.coalesce("root", "h1").alias("root"))
+    by_node = nodes.join(roots, "node", "left").select("h1", "h2", "doc_id", F.coalesce("root", "node").alias("root"))
     least = by_node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = by_node.join(least, "root").select("h1", "h2", "component_id", F.col("doc_id").alias("_own"))
-    return every.select("h1", "h2", "doc_id", "n_shingles").join(named, ["h1", "h2"]).withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).drop("_own")
+    names = by_node.join(least, "root").select("h1", "h2", "component_id")
+    return every.select("h1", "h2", "doc_id", "n_shingles").join(names, ["h1", "h2"]).withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def digest(docs: DataFrame, size: int = 3, threshold: float = 0.85) -> DataFrame:
@@ -357,8 +375,9 @@ def digest(docs: DataFrame, size: int = 3, threshold: float = 0.85) -> DataFrame
 
 def keep_one(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs with the document of least doc_id of each group, all columns kept."""
+    docs, back = shared.plain(docs, "doc_id", "text")
     found = grouped(docs.select("doc_id", "text"), size, threshold)
     lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_lost")).distinct()
     keyed = docs.select("*", *[x.alias(f"_{n}") for x, n in zip(text_key(), ("k1", "k2"), strict=True)])
     same = F.col("doc_id").eqNullSafe(F.col("_lost")) & (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2"))
-    return keyed.join(lost, same, "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
+    return back(keyed.join(lost, same, "left_anti"))

@@ -61,14 +61,15 @@ def test_groups_equal_brute_force(spark, rows, size, hundredths):
     assert sum(not w[3] for w in want) > 30
     got = [tuple(r) for r in neardup.digest(docs, size, hundredths / 100).collect()]
     same(got, want)
-    kept = neardup.keep_one(docs.selectExpr("*", "1 as h1", "2 as sketch"), size, hundredths / 100)
-    assert kept.columns == [*docs.columns, "h1", "sketch"]
+    kept = neardup.keep_one(docs.selectExpr("*", "1 as h1", "2 as sketch", "3 as _H1", "4 as _k1"), size, hundredths / 100)
+    assert kept.columns == [*docs.columns, "h1", "sketch", "_H1", "_k1"]
     same([(r.doc_id, r.text) for r in kept.collect()], [(r[0], r[1]) for r, w in zip(every, want, strict=True) if w[3]])
 
 
 def test_small_blocks_find_the_same(spark, monkeypatch):
     every = chained(9)
-    monkeypatch.setattr(neardup.cross_pairs, "__defaults__", (3,))
+    monkeypatch.setattr(components, "HOT", 2)
+    monkeypatch.setattr(neardup.cross_pairs, "__defaults__", (3, 3))
     same([tuple(r) for r in neardup.digest(spark.createDataFrame(every, SCHEMA), 3, 0.85).collect()], brute_force(every, 3, 85))
 
 
@@ -88,6 +89,42 @@ def test_sketches_keep_similar_pairs_and_drop_others(size, threshold):
     assert not any(passes(threshold - 0.3) for _ in range(60)) or size < 100
 
 
+@pytest.mark.parametrize("size", [5000, 20_000, 60_000, 200_000])
+def test_sketches_of_long_documents_do_not_fill_up(size):
+    draw = np.random.default_rng(size)
+
+    def passes(similarity, threshold):
+        union = draw.integers(0, 2**64, size, dtype=np.uint64)
+        common, rest = np.split(union, [int(np.ceil(size * similarity))])
+        a, b = (neardup.sketch(np.sort(np.concatenate([common, x]))) for x in np.split(rest, [len(rest) // 2]))
+        return bool(neardup.close(a, b, threshold))
+
+    for threshold in (0.8, 0.85):
+        assert not any(passes(s, threshold) for s in (0, 0.3, 0.6, threshold - 0.15) for _ in range(20))
+        assert all(passes(s, threshold) for s in (threshold, 0.9, 1) for _ in range(40))
+
+
+def test_sets_on_both_sides_of_the_two_sketch_sizes_are_not_lost():
+    draw = np.random.default_rng(3)
+    for size in (3700, 4000, 4500):
+        union = draw.integers(0, 2**64, size, dtype=np.uint64)
+        a, b = neardup.sketch(np.sort(union)), neardup.sketch(np.sort(union[: int(size * 0.86)]))
+        assert neardup.close(a, b, 0.85) and not neardup.close(a, neardup.sketch(np.sort(union[: int(size * 0.8)])), 0.85)
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, rows, monkeypatch):
+    every = rows + chained(5)
+    key = neardup.text_key
+    monkeypatch.setattr(neardup, "text_key", lambda: [neardup.F.pmod(key()[0], neardup.F.lit(7)).alias("h1"), key()[1]])
+    same([tuple(r) for r in neardup.digest(spark.createDataFrame(every, SCHEMA), 3, 0.85).collect()], brute_force(every, 3, 85))
+
+
+def test_ids_of_other_types(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([("b", words), ("a", words + " more"), ("c", "else"), (None, None)], "doc_id string, text string")
+    assert {r.doc_id: (r.component_id, r.kept) for r in neardup.digest(docs).collect()} == {"a": ("a", True), "b": ("a", False), "c": ("c", True), None: (None, True)}
+
+
 @pytest.mark.parametrize("size", [60, 100, 200, 400, 700, 1000])
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
 def test_sketches_lose_no_pair_at_the_threshold(size, threshold):
@@ -103,14 +140,16 @@ def test_sketches_lose_no_pair_at_the_threshold(size, threshold):
     assert neardup.close(one_sided, whole, threshold).all()
 
 
-def test_components_of_long_paths(spark):
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_components_of_long_paths(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)
     path = list(range(300))
     random.Random(2).shuffle(path)
-    links = [(int(a), int(b)) for a, b in zip(path, path[1:], strict=False)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)]
+    links = [(int(a), int(b)) for a, b in zip(path, path[1:], strict=False)] + [(1000, 1001), (1001, 1000), (5, 5), (None, 3)] + [(5000, 5001 + i) for i in range(30)]
     got = {}
     for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect():
         got.setdefault(r.root, set()).add(r.node)
-    assert sorted(map(len, got.values())) == [2, 300]
+    assert sorted(map(len, got.values())) == [2, 31, 300]
 
 
 def test_words_are_those_of_the_pattern(rows):
