@@ -6,22 +6,24 @@ each distinct line of at least `least_chars` code points.  The hashes of repeate
 lines (in at least `least_docs` documents) are cut into shards by their high
 bits; each shard is a file in the shared folder with a minimal perfect hash and,
 in its order, arrays of 64-bit fingerprints, document counts and largest
-document ids.  Documents are then scanned once more, without a shuffle, and
-their lines probe the arrays.
+document ids.  Documents are then scanned once more, and their lines probe the arrays: without a
+shuffle as long as a worker can keep all shards (CACHED_SHARDS, 160 MB), beyond that the hashes of the lines go to the
+tasks that hold their shards (several a shard, dealt by text, so a line of many documents is not one task's) and only
+those to drop come back.
 
 The perfect hash has levels: a key takes its place in the first level where it
 collides with no other key, and its rank among all places is its number.
 Hash and fingerprint are the two halves of BLAKE2b-128, so a line that is in no
 array passes for one with probability below 2**-64.
 
-Memory: a task holds the lines of one Arrow batch and CACHED_SHARDS shards of at
-most about SHARD_KEYS keys (20 bytes each).  A batch reads the shards that its
-lines need, one after the other.
+Memory: a task holds the lines of PROBE_ROWS rows and at most CACHED_SHARDS shards of at
+most about SHARD_KEYS keys (20 bytes each).  Every shard has a file, an empty one too; one that is missing is an error.
 
 Defined results: a null or empty text is one empty line; equal rows are one
 document if their doc_id is equal; a row with a null doc_id counts as a document of its own
 text, and never holds the kept copy unless no other row does; an empty table gives no
-rows.
+rows; a doc_id that is no integer is refused (TypeError); columns of docs are kept whatever their names, and the added ones get
+underscores where docs has theirs.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytescan, shared
+from .neardup import text_key
 
 LEAST_CHARS = 40
 LEAST_DOCS = 5
@@ -44,6 +47,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 ROOM = 2.0
 #: Rows whose lines are looked up together.
 PROBE_ROWS = 2000
+#: Tasks that the lines of one shard are dealt to, where lines go to shards.
+SALTS = 4
 
 _U = np.uint64
 _NO_ID = -(1 << 63)
@@ -188,48 +193,80 @@ def build(lines: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
             shared.put(f"{path}/{k}.mph", shard.to_bytes())
             yield pa.RecordBatch.from_arrays([pa.array([int(k)]), pa.array([int(at.sum())])], ["shard", "keys"])
 
-    shard_of = F.pmod(F.shiftrightunsigned("high", 32), F.lit(n_shards)).alias("shard")
-    made = lines.select("*", shard_of).repartition(n_shards, "shard").mapInArrow(run, "shard bigint, keys bigint")
-    made.agg(F.sum("keys")).collect()
+    made = lines.select("*", _shard_of("high", n_shards)).repartition(n_shards, "shard").mapInArrow(run, "shard bigint, keys bigint").collect()
+    empty = np.zeros(0, np.uint64)
+    for k in set(range(n_shards)) - {r.shard for r in made}:
+        shared.put(f"{path}/{k}.mph", Shard(empty, empty, empty.view(np.int64), empty.view(np.int64)).to_bytes())
     return path, n_shards
 
 
+def _shard_of(high: str, n_shards: int):
+    return F.pmod(F.shiftrightunsigned(high, 32), F.lit(n_shards)).alias("shard")
+
+
 def probing(path: str, n_shards: int):
-    """A function (hashes) -> (document counts, largest ids) that reads shards from the shared folder."""
-    cache: dict[int, Shard | None] = {}
+    """A function (high, low halves of hashes) -> (document counts, largest ids) that reads shards from the shared folder."""
+    cache: dict[int, Shard] = {}
 
-    def shard(k: int) -> Shard | None:
+    def shard(k: int) -> Shard:
         if k not in cache:
             if len(cache) >= CACHED_SHARDS:
                 del cache[next(iter(cache))]
-            try:
-                cache[k] = Shard.from_bytes(shared.get(f"{path}/{k}.mph"))
-            except FileNotFoundError:  # no key fell on it
-                cache[k] = None
+            cache[k] = Shard.from_bytes(shared.get(f"{path}/{k}.mph"))
         return cache[k]
 
-    def probe(hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        high, low = _halves(hashes)
+    def probe(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         docs, last = np.zeros(len(high), np.int64), np.zeros(len(high), np.int64)
         of = ((high >> _U(32)) % _U(n_shards)).astype(np.int64)
         for k in np.unique(of):
-            at, found = of == k, shard(int(k))
-            if found is not None:
-                docs[at], last[at] = found.probe(high[at], low[at])
+            at = of == k
+            docs[at], last[at] = shard(int(k)).probe(high[at], low[at])
         return docs, last
 
     return probe
 
 
-def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """docs with text replaced by the lines that stay, and n_lines and n_dropped (of those names in docs, the new ones)."""
+def routed(docs: DataFrame, path: str, n_shards: int, least_chars: int, least_docs: int) -> DataFrame:
+    """h1, h2, doc_id and gone: the hashes of the lines to drop of each document that loses some, found by the tasks that hold the shards."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, rows = [], []
+            for piece in bytescan.pieces(batch.column("text")):
+                for row in range(piece.rows):
+                    own = {hash_of(k) for k in keys_of(piece.text(row), least_chars) if k is not None}
+                    hashes += own
+                    rows += [piece.first + row] * len(own)
+            high, low = _halves(hashes)
+            at = pa.array(rows, type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).take(at) for x in ("h1", "h2", "doc_id")), pa.array(high.view(np.int64)), pa.array(low.view(np.int64))], ["h1", "h2", "doc_id", "high", "low"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probe = probing(path, n_shards)
+        for batch in batches:
+            counts, last = probe(*(batch.column(x).to_numpy().view(np.uint64) for x in ("high", "low")))
+            own = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
+            yield batch.select(["h1", "h2", "doc_id", "high", "low"]).filter(pa.array((counts >= least_docs) & (last != own)))
+
+    found = docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines, "h1 bigint, h2 bigint, doc_id bigint, high bigint, low bigint")
+    dealt = found.distinct().select("*", _shard_of("high", n_shards), F.pmod("h1", F.lit(SALTS)).alias("_salt")).repartition(n_shards * SALTS, "shard", "_salt").sortWithinPartitions("shard")
+    hits = dealt.mapInArrow(look, "h1 bigint, h2 bigint, doc_id bigint, high bigint, low bigint")
+    return hits.groupBy("h1", "h2", "doc_id").agg(F.collect_list(F.struct("high", "low")).alias("gone"))
+
+
+def _dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS, shard_keys: int = SHARD_KEYS, direct_shards: int = CACHED_SHARDS) -> DataFrame:
+    """docs (doc_id, text and others) with text replaced by the lines that stay, and n_lines and n_dropped."""
+    shared.integer_ids(docs)
     path, n_shards = build(repeated_lines(docs, least_chars, least_docs), shard_keys)
-    names = [x for x in docs.columns if x not in ("n_lines", "n_dropped")]
-    docs = docs.select(*[F.col(f"`{x}`") for x in names])
-    at_text = names.index("text")
+    names, schema = docs.columns, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema)
+    at_text, direct = names.index("text"), n_shards <= direct_shards
+    if not direct:
+        gone = routed(docs, path, n_shards, least_chars, least_docs).withColumnsRenamed({"h1": "_h1", "h2": "_h2", "doc_id": "_of"})
+        keyed = docs.select(*names, *[x.alias(f"_{n}") for x, n in zip(text_key(), ("k1", "k2"), strict=True)])
+        docs = keyed.join(gone, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")) & F.col("doc_id").eqNullSafe(F.col("_of")), "left").select(*names, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = probing(path, n_shards)
+        probe = probing(path, n_shards) if direct else None
         for whole in batches:
             for first in range(0, whole.num_rows, PROBE_ROWS):
                 batch = whole.slice(first, PROBE_ROWS)
@@ -237,33 +274,44 @@ def dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEA
                 for piece in bytescan.pieces(batch.column(at_text)):
                     for row in range(piece.rows):
                         texts.append(text := piece.text(row))
-                        for i, key in enumerate(keys_of(text, least_chars)):
-                            if key is not None:
-                                hashes.append(hash_of(key))
-                                where.append((piece.first + row, i))
-                counts, last = probe(hashes)
-                ids = [_NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
+                        if direct or batch.column("gone")[piece.first + row].is_valid:
+                            for i, key in enumerate(keys_of(text, least_chars)):
+                                if key is not None:
+                                    hashes.append(hash_of(key))
+                                    where.append((piece.first + row, i))
                 drop: dict[int, set[int]] = {}
-                for k in np.flatnonzero(counts >= least_docs):
-                    row, i = where[k]
-                    if last[k] != ids[row]:
-                        drop.setdefault(row, set()).add(i)
+                high, low = _halves(hashes)
+                if direct:
+                    counts, last = probe(high, low)
+                    ids = [_NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
+                    hits = [k for k in np.flatnonzero(counts >= least_docs) if last[k] != ids[where[k][0]]]
+                else:
+                    own = [x and {(g["high"], g["low"]) for g in x} for x in batch.column("gone").to_pylist()]
+                    hits = [k for k, x in enumerate(zip(high.view(np.int64).tolist(), low.view(np.int64).tolist(), strict=True)) if x in own[where[k][0]]]
+                for k in hits:
+                    drop.setdefault(where[k][0], set()).add(where[k][1])
                 kept, lines = [], []
                 for row, text in enumerate(texts):
                     parts = text.split(b"\n")
                     lines.append(len(parts))
-                    gone = drop.get(row)
-                    kept.append(b"\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else text)
+                    lost = drop.get(row)
+                    kept.append(b"\n".join(x for i, x in enumerate(parts) if i not in lost) if lost else text)
                 nulls = batch.column(at_text).is_null().to_pylist()
-                text = pa.array([None if gone else x for x, gone in zip(kept, nulls, strict=True)], type=pa.binary()).cast(pa.string())
-                columns = [text if i == at_text else x for i, x in enumerate(batch.columns)]
+                text = pa.array([None if none else x for x, none in zip(kept, nulls, strict=True)], type=pa.binary()).cast(pa.string())
+                columns = [text if i == at_text else x for i, x in enumerate(batch.columns[: len(names)])]
                 dropped = [len(drop.get(row, ())) for row in range(len(texts))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, type=pa.int64()), pa.array(dropped, type=pa.int64())], [*names, "n_lines", "n_dropped"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", n_lines bigint, n_dropped bigint")
+    return docs.mapInArrow(run, f"{schema}, n_lines bigint, n_dropped bigint")
+
+
+def dedup(docs: DataFrame, **options) -> DataFrame:
+    """docs with text replaced by the lines that stay, and n_lines and n_dropped."""
+    docs, back = shared.plain(docs, "doc_id", "text")
+    return back(_dedup(docs, **options), "n_lines", "n_dropped")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: lines before, lines dropped, hash of what stays."""
-    found = dedup(docs.select("doc_id", "text"))
+    found = _dedup(docs.select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import numpy as np
+import pytest
 
 from loomdoc.llm import line_dedup, queries
 
@@ -42,11 +43,29 @@ def test_sql_equals_brute_force(rows):
     same(db.execute(queries.oracle_sql()["op7_line_dedup"]).fetchall(), brute_force(rows))
 
 
-def test_many_shards_and_clashing_columns(docs, rows):
-    clashing = docs.selectExpr("*", "7 as n_lines", "source as high")
-    got = line_dedup.dedup(clashing, least_chars=5, least_docs=2, shard_keys=3)
-    assert set(got.columns) == {*docs.columns, "high", "n_lines", "n_dropped"}
-    same([(r.doc_id, r.n_lines, r.n_dropped) for r in got.collect()], [w[:3] for w in brute_force(rows, 5, 2)])
+@pytest.mark.parametrize("direct_shards", [1000, 0])
+def test_many_shards_and_clashing_columns(docs, rows, direct_shards):
+    clashing = docs.selectExpr("*", "7 as N_Lines", "source as high", "1 as _k1", "2 as gone")
+    got = line_dedup.dedup(clashing, least_chars=5, least_docs=2, shard_keys=3, direct_shards=direct_shards)
+    assert got.columns == [*clashing.columns, "n_lines_", "n_dropped"]
+    same([(r.doc_id, r.n_lines_, r.n_dropped) for r in got.collect()], [w[:3] for w in brute_force(rows, 5, 2)])
+    texts = {(r.doc_id, r.text) for r in line_dedup.dedup(docs, least_chars=5, least_docs=2, shard_keys=3).collect()}
+    assert {(r.doc_id, r.text) for r in got.collect()} == texts and {r.N_Lines for r in got.collect()} == {7}
+
+
+def test_a_missing_shard_is_an_error(spark, docs, tmp_path):
+    path, n = line_dedup.build(line_dedup.repeated_lines(docs, 5, 2), 3)
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert sorted(int(x.getPath().getName().split(".")[0]) for x in fs.listStatus(files)) == list(range(n))
+    fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/0.mph"), False)
+    with pytest.raises(FileNotFoundError):
+        line_dedup.probing(path, n)(np.array([0], np.uint64), np.array([0], np.uint64))
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        line_dedup.digest(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def test_null_texts_stay_null(docs):
