@@ -3,21 +3,18 @@
 Every 13-word window of the normalised benchmark items (an item of fewer words
 is one window) goes into a hash set that is broadcast to the tasks; they scan
 the windows of each document, look them up by hash, and compare the words of
-each hit with the item's words.  The set is broadcast only if the benchmark has
-at most `broadcast_windows` windows; a larger benchmark is cut into sets of
-that many windows, each broadcast and scanned in a pass of its own, and the hits
-of the passes are merged by document.
+each hit with the item's words.  The windows are counted first: a benchmark of more than
+`broadcast_windows` of them, or of more than BROADCAST_BYTES, is not brought together anywhere.  There the hashes of the documents' windows are
+joined with those of the benchmark, and each distinct text gets the windows of its own matches to verify.
 
 Defined results: a null or empty text has no words and no hits; null or empty
-items have no windows; the windows of a row with a null item_id make hits, but no item; equal rows get equal results; an empty benchmark or
-document table gives unhit documents or no rows.  Columns of the inputs other
-than the named ones are ignored by `scan` and kept by `remove_documents` and
-`remove_spans`.
+items have no windows; the windows of a row with a null item_id make hits, but no item; item_ids may be of any type that has a text; equal rows get equal results; an empty benchmark or
+document table gives unhit documents or no rows.  Columns of docs are kept whatever their names by `scan`
+(whose added ones get underscores where docs has theirs), `remove_documents` and `remove_spans`.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from . import bytescan, shared
+from .neardup import text_key
 
 WINDOW = 13
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_BYTES = 128 << 20
 
 
 class WindowSet:
@@ -84,33 +85,54 @@ def item_windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     return [b" ".join(spelled[i : i + size]) for i in range(max(1, len(spelled) - size + 1))]
 
 
-def _scan_with(windows: WindowSet, batches: Iterator[pa.RecordBatch], keep: list[str]) -> Iterator[pa.RecordBatch]:
-    fold, table = bytescan.lower_table(), bytescan.letter_digit_words()
+def _found(windows: WindowSet, piece: bytescan.Piece) -> tuple[np.ndarray, dict[int, list[dict]], dict[int, list]]:
+    """Words of each row of a piece, and spans and items of the rows that are hit."""
+    lowered = bytescan.lower_table()[piece.data]
+    words = bytescan.words(lowered, piece.offsets, bytescan.letter_digit_words())
+    hit: dict[int, list[tuple[int, int]]] = {}
+    seen: dict[int, set] = {}
+    for row, first, size, of in windows.hits(piece, lowered, words):
+        hit.setdefault(row, []).append((first, first + size))
+        seen.setdefault(row, set()).update(of)
+    spans: dict[int, list[dict]] = {}
+    for row, ranges in hit.items():
+        base, start = int(words.bounds[row]), piece.offsets[row]
+        spans[row] = [
+            {"first_word": low - base, "end_word": high - base, "first_byte": int(words.starts[low] - start), "end_byte": int(words.ends[high - 1] - start)} for low, high in _merged(ranges)
+        ]
+    return words.counts, spans, {row: sorted(x) for row, x in seen.items()}
+
+
+def _rows(batch: pa.RecordBatch, keep: list[str], n_words: np.ndarray, spans: list, items: list, item: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*(batch.column(x) for x in keep), pa.array(n_words), pa.array(spans, type=SPANS), pa.array(items, type=pa.list_(item))], [*keep, "n_words", "spans", "items"])
+
+
+def _scan_with(windows: WindowSet, batches: Iterator[pa.RecordBatch], keep: list[str], item: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Scans all rows with one set of windows."""
+    for batch in batches:
+        n_words, spans, items = np.zeros(batch.num_rows, dtype=np.int64), [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
+        for piece in bytescan.pieces(batch.column("text")):
+            counts, hit, of = _found(windows, piece)
+            n_words[piece.first : piece.first + piece.rows] = counts
+            for row, own in hit.items():
+                spans[piece.first + row], items[piece.first + row] = own, of[row]
+        yield _rows(batch, keep, n_words, spans, items, item)
+
+
+def _scan_own(batches: Iterator[pa.RecordBatch], keep: list[str], item: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """Scans each row with the windows in its column `_windows`."""
+    none = WindowSet([])
     for batch in batches:
-        n_words = np.zeros(batch.num_rows, dtype=np.int64)
-        spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-        items: list[list[int]] = [[] for _ in range(batch.num_rows)]
+        n_words, spans, items = np.zeros(batch.num_rows, dtype=np.int64), [[] for _ in range(batch.num_rows)], [[] for _ in range(batch.num_rows)]
         for piece in bytescan.pieces(batch.column("text")):
-            lowered = fold[piece.data]
-            found = bytescan.words(lowered, piece.offsets, table)
-            n_words[piece.first : piece.first + piece.rows] = found.counts
-            hit: dict[int, list[tuple[int, int]]] = {}
-            seen: dict[int, set[int]] = {}
-            for row, first, size, of in windows.hits(piece, lowered, found):
-                hit.setdefault(row, []).append((first, first + size))
-                seen.setdefault(row, set()).update(of)
-            for row, ranges in hit.items():
-                base, at = int(found.bounds[row]), piece.first + row
-                items[at] = sorted(seen[row])
-                for low, high in _merged(ranges):
-                    spans[at].append({
-                        "first_word": low - base, "end_word": high - base,
-                        "first_byte": int(found.starts[low] - piece.offsets[row]), "end_byte": int(found.ends[high - 1] - piece.offsets[row]),
-                    })
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(x) for x in keep), pa.array(n_words), pa.array(spans, type=SPANS), pa.array(items, type=pa.list_(pa.int64()))],
-            [*keep, "n_words", "spans", "items"],
-        )
+            n_words[piece.first : piece.first + piece.rows] = _found(none, piece)[0]
+        for row in np.flatnonzero(batch.column("_windows").is_valid().to_numpy(zero_copy_only=False)):
+            windows = WindowSet([(bytes(x["spelled"]), i) for x in batch.column("_windows")[int(row)].as_py() for i in x["items"] or [None]])
+            [piece] = bytescan.pieces(batch.column("text").slice(row, 1))
+            _, hit, of = _found(windows, piece)
+            if hit:
+                spans[row], items[row] = hit[0], of[0]
+        yield _rows(batch, keep, n_words, spans, items, item)
 
 
 SPANS = pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
@@ -127,51 +149,75 @@ def _merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def window_sets(benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> Iterator[WindowSet]:
-    """Sets of at most about broadcast_windows windows; items are streamed, one Spark partition at a time on the driver."""
-    held: list[tuple[bytes, int | None]] = []
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        held += [(w, row.item_id) for w in item_windows(row.text, size)]
-        if len(held) >= broadcast_windows:
-            yield WindowSet(held)
-            held = []
-    yield WindowSet(held)
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """hash, n (words), spelled and item_id of every window."""
+    item = to_arrow_type(benchmark.schema["item_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spelled, of = [], []
+            for i, text in enumerate(batch.column("text")):
+                own = item_windows(text.as_py(), size)
+                spelled += own
+                of += [i] * len(own)
+            columns = [pa.array(np.array([_window_hash(x) for x in spelled], dtype=np.uint64).view(np.int64)), pa.array([x.count(b" ") + 1 for x in spelled], pa.int32()), pa.array(spelled, pa.binary()), batch.column("item_id").cast(item).take(pa.array(of, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["hash", "n", "spelled", "item_id"])
+
+    return benchmark.select("item_id", "text").where("text is not null").mapInArrow(run, f"hash bigint, n int, spelled binary, item_id {benchmark.schema['item_id'].dataType.simpleString()}")
+
+
+def _matched(docs: DataFrame, windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """_h1, _h2 and _windows of texts: the benchmark windows that share a hash with one of theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, table = bytescan.lower_table(), bytescan.letter_digit_words()
+        for batch in batches:
+            for piece in bytescan.pieces(batch.column("text")):
+                lowered = fold[piece.data]
+                found = bytescan.words(lowered, piece.offsets, table)
+                hashes = bytescan.span_hashes(lowered, found.starts, found.ends)
+                for size in sizes:
+                    runs = bytescan.run_hashes(hashes, size)
+                    at, rows = bytescan.run_rows(found.bounds, size)
+                    order = np.lexsort((runs[at], rows))
+                    own, of = runs[at][order], rows[order]
+                    once = np.ones(len(own), dtype=bool)
+                    once[1:] = (own[1:] != own[:-1]) | (of[1:] != of[:-1])
+                    where = pa.array(piece.first + of[once])
+                    yield pa.RecordBatch.from_arrays([batch.column("h1").take(where), batch.column("h2").take(where), pa.array(own[once].view(np.int64))], ["h1", "h2", "hash"])
+
+    of_docs = docs.select(*text_key(), "text").mapInArrow(run, "h1 bigint, h2 bigint, hash bigint")
+    spelled = windows.groupBy("hash", "spelled").agg(F.collect_set("item_id").alias("items"))
+    found = of_docs.join(spelled.select("hash").distinct(), "hash", "left_semi").distinct().join(spelled, "hash")
+    return found.groupBy(F.col("h1").alias("_h1"), F.col("h2").alias("_h2")).agg(F.collect_list(F.struct("spelled", "items")).alias("_windows"))
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs (text and others) with n_words, spans and items."""
+    names, kind = docs.columns, benchmark.schema["item_id"].dataType
+    item = to_arrow_type(kind)
+    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + f", n_words bigint, spans {SPANS_DDL}, items array<{kind.simpleString()}>"
+    windows = benchmark_windows(benchmark, size)
+    count, n_bytes = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("spelled")), F.lit(0))).first()
+    if count <= broadcast_windows and n_bytes <= broadcast_bytes:
+        held = windows.select("spelled", "item_id").toArrow()
+        sent = shared.Sent(docs.sparkSession, WindowSet(list(zip(held.column("spelled").to_pylist(), held.column("item_id").to_pylist(), strict=True))))
+        return docs.mapInArrow(lambda batches: _scan_with(sent(), batches, names, item), schema)
+    windows = shared.written(windows, "windows")
+    sizes = [r.n for r in windows.select("n").distinct().collect()]
+    keyed = docs.select(*names, *[x.alias(f"_{n}") for x, n in zip(text_key(), ("k1", "k2"), strict=True)])
+    matched = _matched(docs, windows, sizes)
+    joined = keyed.join(matched, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")), "left").select(*names, "_windows")
+    return joined.mapInArrow(lambda batches: _scan_own(batches, names, item), schema)
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs with n_words, spans (merged word and byte ranges inside windows) and items (ids of items that occur).
 
-    One pass, without a shuffle, as long as the benchmark fits one set.  Else
-    each further set scans the documents again and the passes are merged by
-    document.
+    One pass over the documents, without a shuffle, as long as the benchmark can be broadcast.
     """
-    spark = docs.sparkSession
-    names = [x for x in docs.columns if x not in ("n_words", "spans", "items")]
-    docs = docs.select(*[F.col(f"`{x}`") for x in names])
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + f", n_words bigint, spans {SPANS_DDL}, items array<bigint>"
-    passes = []
-    for windows in window_sets(benchmark, size, broadcast_windows):
-        sent = shared.Sent(spark, windows)
-        passes.append(docs.mapInArrow(lambda batches, sent=sent: _scan_with(sent(), batches, names), schema))
-    if len(passes) == 1:
-        return passes[0]
-    rows = passes[0]
-    for other in passes[1:]:
-        rows = rows.unionByName(other)
-    merged = rows.groupBy(*[F.col(f"`{x}`") for x in names], "n_words", F.lit(0).alias("_pass")).agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("_times")
-    )
-    return merged.withColumn("_times", F.explode(F.sequence(F.lit(1), "_times"))).drop("_times", "_pass").withColumn("spans", _merged_spans(F.col("spans")))
-
-
-def _merged_spans(spans):
-    """Overlapping and touching ranges of an array of spans become one."""
-    last = lambda a: F.element_at(a, -1)
-    join = lambda a, x: F.concat(
-        F.slice(a, 1, F.size(a) - 1),
-        F.array(F.struct(last(a).first_word.alias("first_word"), F.greatest(last(a).end_word, x.end_word).alias("end_word"), last(a).first_byte.alias("first_byte"), F.greatest(last(a).end_byte, x.end_byte).alias("end_byte"))),
-    )
-    return F.aggregate(F.array_sort(spans), F.slice(spans, 1, 0), lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1)).end_word >= x.first_word), join(a, x)).otherwise(F.concat(a, F.array(x))))
+    docs, back = shared.plain(docs, "text")
+    return back(_scan(docs, benchmark, **options), "n_words", "spans", "items")
 
 
 def n_hit(spans="spans"):
@@ -186,7 +232,7 @@ def is_contaminated(words="n_words", spans="spans"):
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: counts, the items found and the verdict."""
-    found = scan(docs.select("doc_id", "text"), benchmark)
+    found = _scan(docs.select("doc_id", "text"), benchmark)
     return found.select(
         "doc_id",
         "n_words",
@@ -197,40 +243,18 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones, all columns kept."""
-    return scan(docs, benchmark).where(~is_contaminated()).select(*[F.col(f"`{x}`") for x in docs.columns])
+    docs, back = shared.plain(docs, "text")
+    return back(_scan(docs, benchmark, **options).where(~is_contaminated()))
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs whose text lacks the hit spans (from the first byte of a span's first word to the last of its last)."""
     raw = F.encode("text", "UTF-8")
     after = F.transform(F.col("spans"), lambda x: x.end_byte)
     before = F.transform(F.col("spans"), lambda x: x.first_byte)
     cuts = F.arrays_zip(F.concat(F.array(F.lit(0).cast("long")), after).alias("low"), F.concat(before, F.array(F.octet_length(raw).cast("long"))).alias("high"))
     kept = F.array_join(F.transform(cuts, lambda x: F.decode(F.substring(raw, (x.low + 1).cast("int"), (x.high - x.low).cast("int")), "UTF-8")), "")
-    text = F.when(F.size("spans") > 0, kept).otherwise(F.col("text"))
-    return scan(docs, benchmark).withColumn("text", text).select(*[F.col(f"`{x}`") for x in docs.columns])
-
-
-def brute_force(docs: list[tuple[int, str | None]], benchmark: list[tuple[int | None, str | None]]) -> list[tuple]:
-    """digest() of small lists, word by word."""
-    import re
-
-    split = lambda text: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    out = []
-    for doc_id, text in docs:
-        have, covered, items = split(text), set(), []
-        for item_id, item in benchmark:
-            want, hit = split(item), False
-            for i in range(max(1, len(want) - WINDOW + 1) if want else 0):
-                window = want[i : i + WINDOW]
-                for j in range(len(have) - len(window) + 1):
-                    if have[j : j + len(window)] == window:
-                        covered.update(range(j, j + len(window)))
-                        hit = True
-            if hit and item_id is not None:
-                items.append(item_id)
-        sha = hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-        out.append((doc_id, len(have), len(covered), len(items), sha, bool(covered) and 20 * len(covered) >= len(have)))
-    return out
+    docs, back = shared.plain(docs, "text")
+    return back(_scan(docs, benchmark, **options).withColumn("text", F.when(F.size("spans") > 0, kept).otherwise(F.col("text"))))

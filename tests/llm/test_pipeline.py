@@ -1,7 +1,7 @@
 import corpus_pipeline
-from loomdoc.llm import decontaminate, toxicity
+from loomdoc.llm import toxicity
 
-from . import test_line_dedup, test_mixing, test_neardup
+from . import test_decontaminate, test_line_dedup, test_mixing, test_neardup
 from .conftest import SCHEMA, make_rows, same
 from .test_classifiers import labelled_rows
 
@@ -45,7 +45,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
 
     groups = test_neardup.brute_force(inputs[2], 5, 80)
     same(inputs[3], [r for r, w in zip(inputs[2], groups, strict=True) if w[3]])
-    verdicts = decontaminate.brute_force([r[:2] for r in inputs[3]], bench)
+    verdicts = test_decontaminate.brute_force([r[:2] for r in inputs[3]], bench)
     same(inputs[4], [r for r, w in zip(inputs[3], verdicts, strict=True) if not w[5]])
     assert len(inputs[4]) < len(inputs[3]) < len(inputs[2]) < len(inputs[0])
 
