@@ -1,8 +1,9 @@
 """Quality classifier: a factorisation machine over hashed words and statistics of structure.
 
 A document's features are its words, hashed into WORD_SLOTS (log counts, scaled
-to length one), and the statistics of STATISTICS, of the whole text and of its
-most extreme line.  The model is
+to length one), the statistics of STATISTICS, of the whole text and of its
+most extreme line, and metadata: numeric columns, as signed logarithms and whether they are there, and text columns, hashed
+into META_SLOTS.  The model is
     w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2),
 which scores all pairwise interactions in time linear in the features.  It is
 fitted on the driver by Adam on at most SAMPLE_PER_CLASS labelled documents of each class,
@@ -10,18 +11,23 @@ weighted so that the classes weigh as in all labelled rows.
 
 Defined results: null and empty texts have no words and zero statistics and
 get the score of that; without labels of both classes every score is the share
-of label 1 (0.5 without labels); equal texts get equal scores; extra columns
-are ignored; an empty table gives no rows.
+of label 1 (0.5 without labels); equal texts with equal metadata get equal scores; a metadata column that docs lacks is null
+everywhere, and numbers that are no numbers are null; columns of docs are kept by `scored` and `keep_good` whatever their names;
+labels count as `labelled` says; an empty table gives no rows.
+
+The query's contract bars doc_id, lang and source from the score; of the columns of documents that leaves n_chars, its METADATA.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bytescan, labelled, shared
 
@@ -30,6 +36,8 @@ WORD_BITS = 12
 WORD_SLOTS = 1 << WORD_BITS
 RANK = 8
 THRESHOLD = 0.3
+META_SLOTS = 64
+METADATA = ("n_chars",)
 PIECE_ROWS = 256
 
 #: Classes of bytes whose shares are statistics.
@@ -102,11 +110,30 @@ def features(piece: bytescan.Piece) -> np.ndarray:
     return out
 
 
+def metadata_features(columns: list[pa.Array]) -> np.ndarray:
+    """(rows, features) of metadata columns: two for a numeric one, META_SLOTS for others."""
+    out = []
+    for column in columns:
+        rows = len(column)
+        if pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_null(column.type):
+            x = column.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            there = np.isfinite(x)
+            x = np.where(there, x, 0)
+            out.append(np.stack([np.sign(x) * np.log1p(np.abs(x)), there], axis=1))
+        else:
+            slots = np.zeros((rows, META_SLOTS))
+            for i, value in enumerate(column.cast(pa.string()).to_pylist()):
+                if value is not None:
+                    slots[i, zlib.crc32(value.encode()) % META_SLOTS] = 1
+            out.append(slots)
+    return np.concatenate(out, axis=1).astype(np.float32) if out else np.zeros((0, 0), np.float32)
+
+
 class FactorisationMachine:
     """Weights of a fitted machine; `share` alone where there was nothing to fit."""
 
-    def __init__(self, share: float):
-        self.share, self.weights = share, None
+    def __init__(self, share: float, metadata: Sequence[str] = (), texts: Sequence[str] = ()):
+        self.share, self.weights, self.metadata, self.texts = share, None, tuple(metadata), tuple(texts)
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         w0, w, v = self.weights
@@ -151,57 +178,88 @@ class FactorisationMachine:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS) -> FactorisationMachine:
+def _with_metadata(docs: DataFrame, metadata: Sequence[str], texts: Sequence[str] | None = None) -> list:
+    """Columns meta_0, meta_1, ... of docs: those of `texts` (by default the ones that are no numbers) as texts, others as doubles."""
+    if texts is None:
+        texts = _text_columns(docs, metadata)
+    kind = lambda name: "string" if name in texts else "double"
+    return [(F.col(f"`{x}`").cast("string").try_cast(kind(x)) if x in docs.columns else F.lit(None).cast(kind(x))).alias(f"meta_{i}") for i, x in enumerate(metadata)]
+
+
+def _text_columns(docs: DataFrame, metadata: Sequence[str]) -> list[str]:
+    return [x.name for x in docs.schema if x.name in metadata and not isinstance(x.dataType, (T.NumericType, T.NullType))]
+
+
+def _features(batch: pa.RecordBatch, n_meta: int) -> Iterator[np.ndarray]:
+    """Features of the rows of a batch, a piece at a time."""
+    for piece in bytescan.pieces(batch.column("text"), max_rows=PIECE_ROWS):
+        own = features(piece)
+        meta = [batch.column(f"meta_{i}").slice(piece.first, piece.rows) for i in range(n_meta)]
+        yield np.concatenate([own, metadata_features(meta)], axis=1) if meta else own
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, metadata: Sequence[str] = ()) -> FactorisationMachine:
     """Fits a machine on a bounded sample, whose features are computed by the executors and sent to the driver as sparse rows."""
 
+    n_meta = len(metadata)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, values = [], []
-            for piece in bytescan.pieces(batch.column("text"), max_rows=PIECE_ROWS):
-                for row in features(piece):
+            places, values, widths = [], [], []
+            for x in _features(batch, n_meta):
+                for row in x:
                     at = np.flatnonzero(row)
                     places.append(at.astype(np.uint16).tobytes())
                     values.append(row[at].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), batch.column("population"), pa.array(places, type=pa.binary()), pa.array(values, type=pa.binary())], ["doc_id", "label", "population", "places", "values"])
+                    widths.append(len(row))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("doc_id", "label", "population")), pa.array(widths, type=pa.int32()), pa.array(places, type=pa.binary()), pa.array(values, type=pa.binary())], ["doc_id", "label", "population", "width", "places", "values"])
 
-    chosen = labelled.sample(docs, labels, label, per_class)
-    rows = chosen.select("doc_id", "text", "label", "population").mapInArrow(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, label int, population bigint, places binary, values binary").toArrow().to_pylist()
+    # The metadata travel with the text, so they are those of the document that stands for its doc_id.
+    chosen = labelled.sample(docs, labels, label, per_class, extra=_with_metadata(docs, metadata))
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    rows = chosen.mapInArrow(run, f"doc_id {kind}, label int, population bigint, width int, places binary, values binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["places"], r["values"]))
     y = np.array([r["label"] for r in rows], dtype=np.float32)
     if len(set(y.tolist())) < 2:
-        return FactorisationMachine(float(y[0]) if len(y) else 0.5)
-    x = np.zeros((len(rows), WORD_SLOTS + len(STATISTICS)), dtype=np.float32)
+        return FactorisationMachine(float(y[0]) if len(y) else 0.5, metadata, _text_columns(docs, metadata))
+    x = np.zeros((len(rows), rows[0]["width"]), dtype=np.float32)
     for row, r in zip(x, rows, strict=True):
         row[np.frombuffer(r["places"], np.uint16)] = np.frombuffer(r["values"], np.float32)
     population = {r["label"]: r["population"] for r in rows}
     weight = np.where(y == 1, population[1] / (y == 1).sum(), population[0] / (y == 0).sum())
-    return FactorisationMachine(population[1] / sum(population.values())).fit(x, y, (weight / weight.mean()).astype(np.float32))
+    return FactorisationMachine(population[1] / sum(population.values()), metadata, _text_columns(docs, metadata)).fit(x, y, (weight / weight.mean()).astype(np.float32))
 
 
-def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """docs with a column score."""
-    sent = shared.Sent(docs.sparkSession, model)
-    names = [x for x in docs.columns if x != "score"]
-    docs = docs.select(*[F.col(f"`{x}`") for x in names])
+def _scored(docs: DataFrame, model: FactorisationMachine, meta: Sequence) -> DataFrame:
+    """docs (text and others) with a column score; meta are its metadata columns."""
+    sent, names, schema, n_meta = shared.Sent(docs.sparkSession, model), docs.columns, docs.schema, len(meta)
+    docs = docs.select("*", *meta)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = sent()
         for batch in batches:
-            out = [machine.scores(features(piece)) for piece in bytescan.pieces(batch.column("text"), max_rows=PIECE_ROWS)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], type=pa.float64())], [*names, "score"])
+            out = [machine.scores(x) for x in _features(batch, n_meta)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.concatenate(out) if out else [], type=pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", score double")
+    return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema) + ", score double")
+
+
+def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
+    """docs with a column score (with underscores after it where docs has one)."""
+    names = [x for x in model.metadata if x in docs.columns]
+    plain, back = shared.plain(docs, "text", *names)
+    return back(_scored(plain, model, _with_metadata(plain, model.metadata, model.texts)), "score")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: fold, score and prediction."""
-    found = scored(docs.select("doc_id", "text"), train(docs, labels))
+    docs = docs.select("doc_id", "text", *[x for x in METADATA if x in docs.columns])
+    found = _scored(docs, train(docs, labels, metadata=METADATA), _with_metadata(docs, METADATA))
     return found.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, metadata: Sequence[str] = METADATA) -> DataFrame:
     """docs without those predicted 0, all columns kept."""
-    names = [F.col(f"`{x}`") for x in docs.columns]
-    kept = docs.withColumnRenamed("score", "_score_of_docs")
-    found = scored(kept, train(docs, labels)).where(F.col("score") >= THRESHOLD).drop("score")
-    return found.withColumnRenamed("_score_of_docs", "score").select(*names)
+    plain, back = shared.plain(docs, "doc_id", "text", *[x for x in metadata if x in docs.columns])
+    found = _scored(plain, train(plain, labels, metadata=metadata), _with_metadata(plain, metadata))
+    return back(found.where(F.col("score") >= THRESHOLD))

@@ -25,8 +25,8 @@ Units longer than WIDTH characters are read in windows of WIDTH that overlap by
 
 Defined results: null and empty texts have no units and score as the cleanest
 unit there can be; without labels of both classes every score is the share of
-label 1 (0 without labels); equal texts get equal scores; extra columns are kept
-by `drop_toxic`; an empty table gives no rows.
+label 1 (0 without labels); equal texts get equal scores; columns of docs are kept by `scored` and
+`drop_toxic` whatever their names; labels count as `labelled` says; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -388,11 +388,10 @@ def mistaken(clean: DataFrame, machine: Machine) -> list[bytes]:
     return sorted(set(clean.select("text").mapInArrow(run, "unit binary").toArrow().column("unit").to_pylist()))
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with a column score."""
+def _scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """docs (text and others) with a column score."""
     sent = shared.Sent(docs.sparkSession, machine)
-    names = [x for x in docs.columns if x != "score"]
-    docs = docs.select(*[F.col(f"`{x}`") for x in names])
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trained = sent()
@@ -403,15 +402,19 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", score double")
 
 
+def scored(docs: DataFrame, machine: Machine) -> DataFrame:
+    """docs with a column score (with underscores after it where docs has one)."""
+    docs, back = shared.plain(docs, "text")
+    return back(_scored(docs, machine), "score")
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: fold, score and prediction."""
-    found = scored(docs.select("doc_id", "text"), train(docs, labels))
+    found = _scored(docs.select("doc_id", "text"), train(docs, labels))
     return found.select("doc_id", labelled.held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted toxic, all columns kept."""
-    names = [F.col(f"`{x}`") for x in docs.columns]
-    kept = docs.withColumnRenamed("score", "_score_of_docs")
-    found = scored(kept, train(docs, labels)).where(F.col("score") < THRESHOLD).drop("score")
-    return found.withColumnRenamed("_score_of_docs", "score").select(*names)
+    docs, back = shared.plain(docs, "doc_id", "text")
+    return back(_scored(docs, train(docs, labels)).where(F.col("score") < THRESHOLD))

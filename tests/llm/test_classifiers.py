@@ -75,7 +75,8 @@ def test_without_labels_and_without_documents(tables, empty, module):
 
 def test_filters_keep_columns(tables):
     docs, labels, _, rows = tables
-    clashing = docs.selectExpr("*", "7 as score", "1 as label")
+    clashing = docs.selectExpr("*", "7 as score", "1 as label", "2 as Population", "3 as meta_0")
+    assert quality.scored(clashing, quality.FactorisationMachine(0.25)).columns == [*clashing.columns, "score_"] == toxicity.scored(clashing, toxicity.Machine(0.25)).columns
     for module, call in ((quality, quality.keep_good), (toxicity, toxicity.drop_toxic)):
         kept = call(clashing, labels)
         assert kept.columns == clashing.columns and {r.score for r in kept.collect()} == {7}
@@ -144,3 +145,57 @@ def test_factorisation_identity():
     machine.weights = (0.3, w, v)
     want = [0.3 + r @ w + sum(r[i] * r[j] * (v[i] @ v[j]) for i in range(7) for j in range(i)) for r in x]
     assert machine.margins(x) == pytest.approx(want)
+
+
+def test_samples_are_of_documents_that_exist(spark):
+    docs = spark.createDataFrame([(i * 500, f"text {i}") for i in range(200)], "doc_id bigint, text string")
+    labels = spark.range(100_000).selectExpr("id as doc_id", "cast(id % 1000 = 0 as int) as toxic")
+    want = {k: sum(1 for i in range(200) if (i * 500 % 1000 == 0) == k and zlib.crc32(str(i * 500).encode()) % 5) for k in (False, True)}
+    rows = labelled.sample(docs, labels, "toxic", 1000).collect()
+    assert {k: sum(r.label == k for r in rows) for k in want} == want and {r.population for r in rows} == set(want.values())
+
+
+def test_samples_do_not_depend_on_order_ties_or_repeated_rows(spark):
+    docs = [(1, "first"), (1, "second"), (3, None), (6, "x")] + [(8, "again")] * 3000
+    labels = [(1, 0), (1, 1), (3, 1), (6, 0), (8, 0), (8, 0), (3, None), (3, 5)]
+    found = []
+    for turn in (1, -1):
+        own = spark.createDataFrame(docs[::turn], "doc_id bigint, text string").repartition(2 + turn), spark.createDataFrame(labels[::turn], "doc_id bigint, toxic int").repartition(3)
+        found.append(sorted((r.doc_id, r.text, r.label, r.population) for r in labelled.sample(*own, "toxic", 10).collect()))
+    known = {i for i in (1, 3, 6, 8) if zlib.crc32(str(i).encode()) % 5}
+    assert found[0] == found[1] and {r[0] for r in found[0]} == known and len(found[0]) == len(known)
+    assert all(label == (i in (1, 3)) for i, _, label, _ in found[0])
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 2000) for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    rows = labelled.sample(docs, labels, "toxic", 1000, most_bytes=45_000).collect()
+    assert {k: sum(r.label == k for r in rows) for k in (0, 1)} == {0: 4, 1: 4}
+    assert len(labelled.sample(docs, labels, "toxic", 1000, most_bytes=10).collect()) == 2
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_very_long_texts(spark, tables, module):
+    docs, labels, _, _ = tables
+    draw = random.Random(1)
+    long = [(5000 + i, sentence(draw, 40_000) + tail, "en", "s", 0) for i, tail in enumerate(["", " numbskull", " x" * 100_000])]
+    every = docs.unionByName(spark.createDataFrame(long, SCHEMA))
+    more = labels.unionByName(spark.createDataFrame([(5000, 1, 0), (5001, 1, 1), (5002, 0, 0)], labels.schema))
+    found = {r.doc_id: r for r in module.digest(every, more).collect()}
+    assert all(0 <= found[5000 + i].score <= 1 for i in range(3))
+    assert module is quality or (found[5001].predicted, found[5000].predicted) == (1, 0)
+
+
+def test_metadata_are_features(spark):
+    draw = random.Random(6)
+    rows = [(i, sentence(draw, 30), i % 7 if i % 2 else None, f"kind{i % 3}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, depth int, kind string")
+    labels = spark.createDataFrame([(r[0], int(r[2] is not None), int(r[3] == "kind1")) for r in rows], "doc_id bigint, by_depth int, by_kind int")
+    for label, metadata in (("by_depth", ["depth"]), ("by_kind", ["kind"])):
+        model = quality.train(docs, labels, label, metadata=metadata)
+        got = {r.doc_id: r.score for r in quality.scored(docs, model).collect()}
+        truth = {r.doc_id: r[label] for r in labels.collect()}
+        assert sum((got[i] > 0.5) == truth[i] for i in got) > 395
+        without = quality.scored(docs.drop(*metadata), model).collect()
+        assert len({r.score for r in without}) > 1 and all(0 <= r.score <= 1 for r in without)
