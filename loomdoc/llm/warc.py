@@ -3,7 +3,8 @@
 Writing: each task writes its pages as gzip members into archive files of about
 ARCHIVE_BYTES.  Of pages with equal payloads of at least LEAST_REVISIT bytes, the one with the
 largest page_id is a response and the others are revisits of it, which keep the HTTP
-header but not the payload.
+header but not the payload and name the response's record (WARC-Refers-To), URL and date.  Each archive starts with a
+warcinfo record.
 
 Index: every record has a line with its key, the URL with its host reversed
 (`com,example)/path`), and its place.  Lines are range-partitioned by key; each part is
@@ -13,14 +14,15 @@ each part.
 
 Look-ups go to the parts that may hold their key; there a binary search in the
 directory finds the block, one range read fetches it, a binary search in the block finds the
-lines, and one range read per line fetches the record.
+lines, and one range read per line fetches the record.  `digest` takes the payload's length and digest of a revisit from the
+response that it refers to, and fails if that is missing or its digest differs from the one that the revisit states.
 
 All files are in the shared folder.  A task that runs again writes the same names
 with the same bytes.
 
 Defined results: a null html is an empty payload; a null URL has the key `-`; a malformed URL is its own key; pages with a
 null page_id are responses and are never referred to; rows with one page_id and
-one payload are all the response or all revisits; an empty table gives no rows.
+one payload are all the response or all revisits; an empty table gives no rows; a page_id that is no integer is refused (TypeError).
 """
 
 from __future__ import annotations
@@ -74,8 +76,21 @@ def record_id(page_id: int | None, digest: str, url: str | None) -> str:
     return f"<urn:uuid:{h[:8]}-{h[8:12]}-5{h[13:16]}-{'89ab'[int(h[16], 16) & 3]}{h[17:20]}-{h[20:32]}>"
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record, as a gzip member."""
+def target_uri(url: str | None) -> str:
+    """The URL without the signs that would end its header line."""
+    return "".join(c for c in url or "-" if c not in "\r\n")
+
+
+def info_record(name: str) -> bytes:
+    """The warcinfo record that an archive starts with, as a gzip member."""
+    block = b"software: loomdoc\r\nformat: WARC File Format 1.1\r\n"
+    fields = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(None, name, None)), ("WARC-Date", WRITTEN_AT), ("WARC-Filename", name), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n", compresslevel=6, mtime=0)
+
+
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, refers_url: str | None = None) -> bytes:
+    """One record, as a gzip member; a revisit refers to the response of page refers_to with refers_url and an equal payload."""
     digest = hashlib.sha1(payload).hexdigest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
@@ -83,14 +98,14 @@ def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", record_id(page_id, digest, url)),
         ("WARC-Date", WRITTEN_AT),
-        ("WARC-Target-URI", "".join(c for c in url or "-" if c not in "\r\n")),
+        ("WARC-Target-URI", target_uri(url)),
         ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Block-Digest", f"sha1:{hashlib.sha1(block).hexdigest()}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
     if refers_to is not None:
-        fields += [("WARC-Profile", PROFILE), ("X-Refers-To-Page", str(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, digest, refers_url)), ("WARC-Refers-To-Target-URI", target_uri(refers_url)), ("WARC-Refers-To-Date", WRITTEN_AT), ("X-Refers-To-Page", str(refers_to))]
     if page_id is not None:
         fields.append(("X-Page", str(page_id)))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
@@ -118,22 +133,23 @@ def read_record(member: bytes) -> dict:
 
 
 def referred(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """pages with refers_to: the page whose response holds an equal payload, null in responses.
+    """pages with refers_to and refers_url: the page whose response holds an equal payload (of several rows of that page_id the greatest URL), null in responses.
 
     Only digests are grouped; of a payload that many pages have, partial
     aggregates are shuffled, and only its revisits are joined back.
     """
     payload = F.coalesce("html", F.lit(""))
-    known = pages.where("page_id is not null").select("page_id", F.octet_length(payload).alias("_bytes"), F.sha2(payload, 256).alias("_digest")).where(F.col("_bytes") >= least)
-    chosen = known.groupBy("_digest").agg(F.max("page_id").alias("_refers"), F.min("page_id").alias("_low")).where("_low < _refers").select("_digest", "_refers")
-    revisits = known.join(chosen, "_digest").where("page_id < _refers").select(F.col("page_id").alias("_page"), "_digest", "_refers").distinct()
+    known = pages.where("page_id is not null").select("page_id", "url", F.octet_length(payload).alias("_bytes"), F.sha2(payload, 256).alias("_digest")).where(F.col("_bytes") >= least)
+    first = F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("url")))
+    chosen = known.groupBy("_digest").agg(first.alias("_first"), F.min("page_id").alias("_low")).where("_low < _first.page_id").select("_digest", F.col("_first.page_id").alias("_refers"), F.nullif(F.col("_first.url"), F.lit("")).alias("_refers_url"))
+    revisits = known.select("page_id", "_digest").join(chosen, "_digest").where("page_id < _refers").select(F.col("page_id").alias("_page"), "_digest", "_refers", "_refers_url").distinct()
     # The digest tells pages apart that share a page_id.
     keyed = pages.withColumn("_own", F.when(F.octet_length(payload) >= least, F.sha2(payload, 256)))
-    return keyed.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("_own") == F.col("_digest")), "left").select("page_id", "url", "html", F.col("_refers").alias("refers_to"))
+    return keyed.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("_own") == F.col("_digest")), "left").select("page_id", "url", "html", F.col("_refers").alias("refers_to"), F.col("_refers_url").alias("refers_url"))
 
 
 def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes archives of pages (page_id, url, html, refers_to); one index line (key, page_id, archive, offset, length) per record."""
+    """Writes archives of pages (page_id, url, html, refers_to, refers_url); one index line (key, page_id, archive, offset, length) per record."""
     path = shared.fresh(pages.sparkSession, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +167,11 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
             return out
 
         for batch in batches:
-            for page_id, url, html, refers_to in zip(*(batch.column(x) for x in ("page_id", "url", "html", "refers_to")), strict=True):
-                member = make_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py())
+            for page_id, url, html, refers_to, refers_url in zip(*(batch.column(x) for x in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
+                if not held:
+                    held.append(info_record(f"part-{part:05d}-{number:05d}.warc.gz"))
+                    size = len(held[0])
+                member = make_record(page_id.as_py(), url.as_py(), (html.as_py() or "").encode(), refers_to.as_py(), refers_url.as_py())
                 lines.append((url_key(url.as_py()), page_id.as_py(), f"{path}/part-{part:05d}-{number:05d}.warc.gz", size, len(member)))
                 held.append(member)
                 size += len(member)
@@ -161,7 +180,7 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
         if lines:
             yield close()
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.col("refers_to").cast("long").alias("refers_to"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.col("refers_to").cast("long").alias("refers_to"), "refers_url")
     # A task that runs again must write the same bytes, whatever order its rows come in.
     return rows.sortWithinPartitions("page_id", "url", "html").mapInArrow(run, "key string, page_id bigint, archive string, offset bigint, length bigint")
 
@@ -246,9 +265,9 @@ def lookup(spark: SparkSession, parts: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def fetch(lines: DataFrame) -> DataFrame:
-    """Records of index lines, by range reads: page_id, record_type, payload, payload_digest, payload_bytes, refers_to, url."""
-    schema = "page_id bigint, url string, record_type string, payload binary, payload_digest string, payload_bytes bigint, refers_to bigint"
-    types = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
+    """Records of index lines, by range reads: record_id, page_id, url, record_type, payload, payload_digest (as stated), payload_bytes (null in revisits), refers_to (page), refers_id (record)."""
+    schema = "record_id string, page_id bigint, url string, record_type string, payload binary, payload_digest string, payload_bytes bigint, refers_to bigint, refers_id string"
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -257,22 +276,31 @@ def fetch(lines: DataFrame) -> DataFrame:
                 for archive, offset, length in zip(*(whole.column(x).slice(at, RECORDS_AT_ONCE).to_pylist() for x in ("archive", "offset", "length")), strict=True):
                     record = read_record(shared.get(archive, offset, length))
                     fields, payload = record["fields"], record["payload"]
-                    # A revisit has the digest and length of its payload in its own header fields.
-                    size = int(record["http"]["Content-Length"]) if payload is None else len(payload)
                     page, refers = fields.get("X-Page"), fields.get("X-Refers-To-Page")
-                    rows.append((page and int(page), fields["WARC-Target-URI"], fields["WARC-Type"], payload, fields["WARC-Payload-Digest"].removeprefix("sha1:"), size, refers and int(refers)))
+                    own = (payload, fields["WARC-Payload-Digest"].removeprefix("sha1:"), None if payload is None else len(payload))
+                    rows.append((fields["WARC-Record-ID"], page and int(page), fields["WARC-Target-URI"], fields["WARC-Type"], *own, refers and int(refers), fields.get("WARC-Refers-To")))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
     return lines.select("archive", "offset", "length").mapInArrow(run, schema)
 
 
+RESULT = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def digest(pages: DataFrame) -> DataFrame:
     """One row per page, as read back through the index."""
     spark = pages.sparkSession
+    shared.integer_ids(pages, "page_id")
     pages = pages.select("page_id", "url", "html")
     lines = shared.written(write(referred(pages)), "records")
     parts = index(lines)
     found = shared.written(lookup(spark, parts, lines.select("key")), "found")
     if (n := found.count()) != (written := lines.count()):
         raise RuntimeError(f"the index finds {n} of {written} records")
-    return fetch(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = shared.written(fetch(found).drop("payload", "url"), "fetched")
+    # Of a payload that many pages have, one response is joined to all its revisits: both sides hold numbers only.
+    answers = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest")).distinct()
+    joined = records.where("record_type = 'revisit'").join(answers, "refers_id", "left")
+    same = F.when(F.col("_digest") == F.col("payload_digest"), F.col("_bytes")).otherwise(F.raise_error(F.lit("a revisit without its response")).cast("bigint"))
+    revisits = joined.withColumn("payload_bytes", same).select(*RESULT)
+    return records.where("record_type = 'response'").select(*RESULT).unionByName(revisits)

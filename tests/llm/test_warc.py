@@ -2,6 +2,7 @@ import gzip
 import hashlib
 
 import duckdb
+import pytest
 
 from loomdoc.llm import queries, shared, warc
 
@@ -69,6 +70,31 @@ def test_archives_are_plain_gzip_members():
     assert warc.read_record(members[3])["payload"] == b"xxx"
 
 
+def test_revisits_name_their_response(spark):
+    pages = spark.createDataFrame(page_rows(), SCHEMA).repartition(3)
+    lines = shared.written(warc.write(warc.referred(pages), archive_bytes=3000), "records")
+    records = warc.fetch(lines).collect()
+    answers = {r.record_id: r for r in records if r.record_type == "response"}
+    revisits = [r for r in records if r.record_type == "revisit"]
+    assert len(revisits) > 6 and all(answers[r.refers_id].page_id == r.refers_to and answers[r.refers_id].payload_digest == r.payload_digest and r.payload_bytes is None for r in revisits)
+    name = lines.first().archive
+    raw = gzip.decompress(shared.get(name))
+    assert raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and raw.count(b"WARC-Type: warcinfo") == 1
+    with pytest.raises(Exception, match="a revisit without its response"):
+        lost = lines.where("page_id <> 105")
+        monkey = pytest.MonkeyPatch()
+        monkey.setattr(warc, "write", lambda _: lost)
+        try:
+            warc.digest(pages).collect()
+        finally:
+            monkey.undo()
+
+
+def test_ids_that_are_no_integers_are_refused(spark):
+    with pytest.raises(TypeError):
+        warc.digest(spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string"))
+
+
 def test_keys():
     assert warc.url_key("HTTPS://User@www.Example.COM:443/A?b=C#d") == "com,example)/A?b=C"
     assert warc.url_key("example.com:81") == "com,example:81)/"
