@@ -7,13 +7,15 @@ runs of CANDIDATE characters, at least LEAST_CANDIDATE of them; any other charac
 parts of a dotted token are scored one by one.  Of a run that a span found by a pattern covers in
 part, each stretch left over is a candidate of its own.
 
+Shorter runs are not scored, as a ratio over so few characters tells little.  Universally unique ids in their usual form (8-4-4-4-12
+hexadecimal digits) are names of things, not secrets, and no candidates; written without dashes they are base spans.
+
 Defined results: a null text is empty; positions are code points, ends are
-exclusive; equal texts get equal results; an empty table gives no rows.
+exclusive; equal texts get equal results; an empty table gives no rows; `redact` keeps the columns of docs whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterable, Iterator
@@ -36,6 +38,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 #: The least length of the random strings that the models learn from.
 LEAST_CANDIDATE = 16
+UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}")
 
 CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -153,7 +156,7 @@ def model_spans(text: str, models: CharacterModels, base: list[tuple[int, int, i
     out, at = [], 0
     for start, _, end in [*base, (len(text), 0, len(text))]:
         if start - at >= LEAST_CANDIDATE:
-            out += [m.span() for m in CANDIDATE.finditer(text, at, start) if models.score(m[0]) >= threshold]
+            out += [m.span() for m in CANDIDATE.finditer(text, at, start) if models.score(m[0]) >= threshold and not UUID.fullmatch(m[0])]
         at = max(at, end)
     return out
 
@@ -184,6 +187,7 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, samples: list[tuple[str,
 def redact(docs: DataFrame, mark: str = "[secret]", threshold: float = THRESHOLD) -> DataFrame:
     """docs with every span of the text replaced by mark; other columns stay."""
     sent = shared.Sent(docs.sparkSession, CharacterModels(labelled_samples()))
+    docs, back = shared.plain(docs, "text")
     at = docs.columns.index("text")
 
     def clean(text: str | None, models: CharacterModels) -> str | None:
@@ -201,7 +205,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", threshold: float = THRESHOLD
         for batch in batches:
             yield batch.set_column(at, "text", pa.array([clean(x.as_py(), models) for x in batch.column(at)], type=pa.string()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return back(docs.mapInArrow(run, docs.schema))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -213,14 +217,3 @@ def digest(docs: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x.kind != "random")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
-
-
-def brute_force(text: str | None) -> tuple[int, int, int, str]:
-    """Counts and hash of base spans, straight from the patterns."""
-    text, out = text or "", []
-    for k, pattern in enumerate((ASSIGN, ACCESS, HEX)):
-        for m in pattern.finditer(text):
-            if len(m[2] if k == 0 else m[0]) >= LEAST[KINDS[k]]:
-                out.append((m.start(), k, m.end()))
-    spelled = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(out))
-    return (*(sum(x[1] == k for x in out) for k in range(3)), hashlib.sha256(spelled.encode()).hexdigest())
