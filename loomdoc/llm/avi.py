@@ -1,19 +1,25 @@
 """Media columns: AVI motion-JPEG clips in a binary column.
 
-A payload of 8-bit samples becomes grey frames of SIDE x SIDE samples, each a
+Reading: the RIFF file's headers tell the video stream and its rate; its frames are found through the OpenDML index (`indx`),
+else through `idx1` (offsets from the `movi` list or from the file's start), else by walking the `movi` lists with
+their `rec ` lists.  Frames are decoded as `jpeg` reads them: baseline and lossless, of any geometry, with
+their own tables or the standard ones.  An empty frame repeats the one before it.
+
+Writing: a payload of 8-bit samples becomes grey frames of SIDE x SIDE samples, each a
 JPEG of its own.  JPEG's usual transform would change samples, so frames use
 JPEG's lossless process (start of frame 3, predictor 1).  Their Huffman table
 gives difference category c a code of 9 - c bits; with the c extra bits each
 sample takes nine bits, so numpy codes and decodes all frames of a batch at once.
-The RIFF file has the stream header, a `movi` list of `00dc` chunks and an
-`idx1` index, through which `clips` finds the frames again.
+The file has the stream header, a `movi` list of `00dc` chunks and an `idx1` index.
 
-A shot ends where the histogram difference of neighbouring frames exceeds an
+A shot ends where the histogram difference of neighbouring frames (of the first component) exceeds an
 adaptive threshold: the mean of the differences in a window around it plus
 DEVIATIONS standard deviations, and at least LEAST_DIFFERENCE of the samples.
 
 Defined results: a null text is an empty payload, padded like the others; equal
-texts give equal files and features; an empty table gives no rows.
+texts give equal files and features; an empty table gives no rows; `clips` gives a null media cell no row, and a cell that is no AVI
+file, is damaged or has no frames one row without a clip, whose status says why; columns of docs are kept by `with_media`
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg, shared
+
 SIDE = 24
 FRAME = SIDE * SIDE
 FRAMES_PER_SECOND = 25
@@ -53,22 +61,18 @@ def padded(payload: bytes) -> bytes:
     return payload + bytes([FILL]) * (max(1, -(-len(payload) // FRAME)) * FRAME - len(payload))
 
 
-def _code_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Nine-bit code of each difference -255..255 (at +255), and the difference of each code."""
+def _code_table() -> np.ndarray:
+    """Nine-bit code of each difference -255..255 (at +255)."""
     diff = np.arange(-255, 256)
     category = np.ceil(np.log2(np.abs(diff) + 1)).astype(int)
     # Canonical codes: category 8 is 0, 7 is 10, 6 is 110 and so on; the code of nine ones stays free.
     prefix = ((1 << (9 - category)) - 2) << category
-    extra = np.where(diff >= 0, diff, diff + (1 << category) - 1)
-    code = (prefix + extra).astype(np.uint16)
-    back = np.zeros(512, dtype=np.int16)
-    back[code] = diff
-    return code, back
+    return (prefix + np.where(diff >= 0, diff, diff + (1 << category) - 1)).astype(np.uint16)
 
 
 def encode_frames(samples: np.ndarray) -> np.ndarray:
     """Entropy-coded bytes (before stuffing) of frames, given as (n, FRAME) samples."""
-    code, _ = _code_tables()
+    code = _code_table()
     image = samples.reshape(-1, SIDE, SIDE).astype(np.int16)
     diff = np.empty_like(image)
     diff[:, :, 1:] = image[:, :, 1:] - image[:, :, :-1]
@@ -82,19 +86,6 @@ def encode_frames(samples: np.ndarray) -> np.ndarray:
     return out.reshape(len(samples), -1)
 
 
-def decode_frames(coded: np.ndarray) -> np.ndarray:
-    """Samples (n, FRAME) of entropy-coded bytes without stuffing."""
-    _, back = _code_tables()
-    b = coded.reshape(len(coded), FRAME // 8, 9).astype(np.uint16)
-    c = np.empty((*b.shape[:2], 8), dtype=np.uint16)
-    for k in range(8):
-        c[:, :, k] = ((b[:, :, k] << (k + 1)) | (b[:, :, k + 1] >> (7 - k))) & 511
-    diff = back[c].reshape(-1, SIDE, SIDE)
-    diff[:, 0, 0] += 128
-    diff[:, :, 0] = np.cumsum(diff[:, :, 0], axis=1, dtype=np.int16)
-    return np.cumsum(diff, axis=2, dtype=np.int16).astype(np.uint8).reshape(-1, FRAME)
-
-
 def _chunk(name: bytes, data: bytes) -> bytes:
     return name + struct.pack("<I", len(data)) + data + b"\0" * (len(data) & 1)
 
@@ -118,47 +109,101 @@ def write_avi(frames: list[bytes]) -> bytes:
     return _chunk(b"RIFF", b"AVI " + header + _list(b"movi", b"".join(body)) + _chunk(b"idx1", b"".join(index)))
 
 
-def read_avi(data: bytes) -> tuple[list[bytes], int]:
-    """Frames of an AVI file, found through its index, and the microseconds per frame."""
-    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
-        raise ValueError("not an AVI file")
-    at, end = 12, 8 + struct.unpack_from("<I", data, 4)[0]
-    movi, index, delay = None, b"", 1_000_000 // FRAMES_PER_SECOND
+def _walk(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, start of the body, size) of the chunks in a range; the last may be cut off."""
     while at + 8 <= end:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        kind = data[at + 8 : at + 12]
-        if name == b"LIST" and kind == b"movi":
-            movi = at + 8
-        elif name == b"LIST" and kind == b"hdrl":
-            delay = struct.unpack_from("<I", data, at + 20)[0]
-        elif name == b"idx1":
-            index = data[at + 8 : at + 8 + size]
+        yield name, at + 8, min(size, end - at - 8)
         at += 8 + size + (size & 1)
-    if movi is None or not index:
-        raise ValueError("no movi list or index")
+
+
+def read_avi(data: bytes) -> tuple[list[bytes], float]:
+    """Frames of an AVI file's first video stream, found through its index, and the microseconds per frame."""
+    if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
+        raise ValueError("not an AVI file")
+    delay, stream, streams, wide, movies, index = 1_000_000 / FRAMES_PER_SECOND, None, 0, b"", [], None
+    try:
+        for name, start, size in _walk(data, 0, len(data)):
+            if name != b"RIFF":
+                continue
+            for inner, at, n in _walk(data, start + 4, start + size):
+                if inner == b"LIST" and data[at : at + 4] == b"movi":
+                    movies.append((at, at + n))
+                elif inner == b"idx1" and index is None:
+                    index = data[at : at + n]
+                elif inner == b"LIST" and data[at : at + 4] == b"hdrl":
+                    for part, where, m in _walk(data, at + 4, at + n):
+                        if part == b"avih":
+                            delay = struct.unpack_from("<I", data, where)[0] or delay
+                        elif part == b"LIST" and data[where : where + 4] == b"strl":
+                            own = {x: (y, z) for x, y, z in _walk(data, where + 4, where + m)}
+                            if stream is None and b"strh" in own and data[own[b"strh"][0] : own[b"strh"][0] + 4] == b"vids":
+                                stream = streams
+                                scale, rate = struct.unpack_from("<II", data, own[b"strh"][0] + 20)
+                                delay = 1_000_000 * scale / rate if scale and rate else delay
+                                y, z = own.get(b"indx", (0, 0))
+                                wide = data[y : y + z]
+                            streams += 1
+        if stream is None or not movies:
+            raise ValueError("no video stream" if stream is None else "no movi list")
+        tags = (b"%02ddc" % stream, b"%02ddb" % stream)
+        if wide:
+            frames = _by_wide_index(data, wide)
+        elif index:
+            frames = _by_index(data, index, movies[0][0], tags)
+        else:
+            frames = [data[at : at + n] for low, high in movies for at, n in _listed(data, low + 4, high, tags)]
+    except struct.error as error:
+        raise ValueError("the file is cut off") from error
+    for i, frame in enumerate(frames):
+        if not frame and i:
+            frames[i] = frames[i - 1]
+    return [x for x in frames if x], delay
+
+
+def _listed(data: bytes, low: int, high: int, tags: tuple[bytes, bytes]) -> Iterator[tuple[int, int]]:
+    """Places of the stream's chunks in a list and the `rec ` lists in it."""
+    for name, at, n in _walk(data, low, high):
+        if name == b"LIST" and data[at : at + 4] == b"rec ":
+            yield from _listed(data, at + 4, at + n, tags)
+        elif name in tags:
+            yield at, n
+
+
+def _by_index(data: bytes, index: bytes, movi: int, tags: tuple[bytes, bytes]) -> list[bytes]:
+    """Frames that idx1 lists; its offsets count from the movi list's name, or from the file's start if the first chunk is there."""
+    entries = [x for x in struct.iter_unpack("<4sIII", index[: len(index) // 16 * 16]) if x[0] in tags]
+    if not entries:
+        raise ValueError("the index lists no frame")
+    tag, _, offset, _ = entries[0]
+    base = movi if data[movi + offset : movi + offset + 4] == tag else 0
     frames = []
-    for tag, _, offset, size in struct.iter_unpack("<4sIII", index):
-        start = movi + offset
-        if tag[2:] != b"dc":
-            continue
-        if data[start : start + 4] != tag or struct.unpack_from("<I", data, start + 4)[0] != size:
+    for tag, _, offset, size in entries:
+        at = base + offset
+        if data[at : at + 4] != tag or struct.unpack_from("<I", data, at + 4)[0] != size or at + 8 + size > len(data):
             raise ValueError("the index does not match its chunk")
-        frames.append(data[start + 8 : start + 8 + size])
-    return frames, delay
-
-
-def scan_of(frame: bytes) -> bytes:
-    """Entropy-coded bytes of a frame, after its markers are checked and stuffing is removed."""
-    if frame.startswith(JPEG_HEAD):
-        at = len(JPEG_HEAD)
-    else:
-        raise ValueError("not a frame of the lossless process with this geometry and table")
-    if frame[-2:] != JPEG_END:
-        raise ValueError("the frame has no end")
-    out = frame[at:-2].replace(b"\xff\x00", b"\xff")
-    if len(out) != FRAME * 9 // 8:
-        raise ValueError("the frame has a wrong length")
-    return out
+        frames.append(data[at + 8 : at + 8 + size])
+    return frames
+
+
+def _by_wide_index(data: bytes, index: bytes, depth: int = 0) -> list[bytes]:
+    """Frames that an OpenDML index lists: an index of chunks, or one of such indexes."""
+    words, _, kind, n = struct.unpack_from("<HBBI", index)
+    if kind == 0 and words == 4 and depth == 0:
+        frames = []
+        for offset, size, _ in struct.iter_unpack("<QII", index[24 : 24 + 16 * n]):
+            frames += _by_wide_index(data, data[offset + 8 : offset + size], 1)
+        return frames
+    if kind != 1 or words != 2:
+        raise ValueError("an unknown kind of index")
+    (base,) = struct.unpack_from("<Q", index, 12)
+    frames = []
+    for offset, size in struct.iter_unpack("<II", index[24 : 24 + 8 * n]):
+        at, size = base + offset, size & 0x7FFFFFFF
+        if at + size > len(data) or struct.unpack_from("<I", data, at - 4)[0] != size:
+            raise ValueError("the index does not match its chunk")
+        frames.append(data[at : at + size])
+    return frames
 
 
 def encode_payloads(payloads: list[bytes]) -> Iterator[bytes]:
@@ -172,16 +217,78 @@ def encode_payloads(payloads: list[bytes]) -> Iterator[bytes]:
             at += n
 
 
-def decode_files(files: list[bytes]) -> Iterator[tuple[np.ndarray, int]]:
-    """Samples (frames, FRAME) of each AVI file and its microseconds per frame."""
-    read = [read_avi(x) for x in files]
-    for group in _groups([len(x) for x, _ in read]):
-        coded = np.frombuffer(b"".join(scan_of(f) for i in group for f in read[i][0]), dtype=np.uint8)
-        samples, at = decode_frames(coded.reshape(-1, FRAME * 9 // 8)), 0
-        for i in group:
-            n = len(read[i][0])
-            yield samples[at : at + n], read[i][1]
-            at += n
+class Headers:
+    """Headers of frames by their bytes: frames of one file, and mostly of one table, share them."""
+
+    def __init__(self, most: int = 16):
+        self.known: dict[bytes, jpeg.Header] = {}
+        self.most = most
+
+    def __call__(self, frame: bytes) -> tuple[jpeg.Header, bytes | None]:
+        """The frame's header, and its scan without stuffing if numpy can decode it."""
+        for head, header in self.known.items():
+            if frame.startswith(head):
+                if frame[-2:] != JPEG_END:
+                    raise ValueError("the frame has no end")
+                return header, frame[len(head) : -2].replace(b"\xff\x00", b"\xff")
+        header = jpeg.parse(frame)
+        scan = header.scans[0]
+        if not header.constant or scan.end != len(frame) - 2:
+            return header, None
+        if len(self.known) >= self.most:
+            del self.known[next(iter(self.known))]
+        self.known[frame[: scan.begin]] = header
+        return header, frame[scan.begin : scan.end].replace(b"\xff\x00", b"\xff")
+
+
+def decode_frames(frames: list[bytes], headers: Headers) -> list[np.ndarray]:
+    """Samples (height, width) of the first component of each frame; neighbours with one header are decoded together."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    last = None
+
+    def done() -> None:
+        if held:
+            out.extend(jpeg.decode_many(last, held))
+            held.clear()
+
+    for frame in frames:
+        header, coded = headers(frame)
+        if header is not last or coded is None:
+            done()
+        last = header
+        if coded is None:
+            out.append(jpeg.decode(frame, header)[:, :, 0])
+        else:
+            held.append(coded)
+    done()
+    return out
+
+
+def decode_files(files: list[bytes]) -> Iterator[tuple[list[np.ndarray] | None, float, str]]:
+    """For each AVI file its frames' samples, its microseconds per frame and `ok`; or None, 0 and what is wrong with it."""
+    headers, read = Headers(), []
+    for x in files:
+        try:
+            read.append((*read_avi(x), "ok"))
+        except ValueError as error:
+            read.append(([], 0.0, str(error)))
+    for group in _groups([len(x) for x, _, _ in read]):
+        try:
+            # The usual case: all frames of the group at once.
+            samples = decode_frames([f for i in group for f in read[i][0]], headers)
+            at = 0
+            for i in group:
+                frames, delay, status = read[i]
+                yield (samples[at : at + len(frames)], delay, "ok") if frames else (None, 0.0, status if status != "ok" else "no frames")
+                at += len(frames)
+        except ValueError:
+            for i in group:
+                frames, delay, status = read[i]
+                try:
+                    yield (decode_frames(frames, headers), delay, "ok") if frames else (None, 0.0, status if status != "ok" else "no frames")
+                except ValueError as error:
+                    yield None, 0.0, str(error)
 
 
 def _groups(sizes: list[int]) -> Iterator[list[int]]:
@@ -197,14 +304,16 @@ def _groups(sizes: list[int]) -> Iterator[list[int]]:
         yield group
 
 
-def shot_starts(samples: np.ndarray) -> list[int]:
-    """First frames of the shots."""
-    n = len(samples)
+def shot_starts(frames: list[np.ndarray]) -> list[int]:
+    """First frames of the shots; frames may differ in size."""
+    n = len(frames)
     if n < 2:
         return [0]
-    bins = (samples >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
-    histogram = np.bincount(bins.ravel(), minlength=n * BINS).reshape(n, BINS)
-    change = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / (2 * FRAME)
+    sizes = np.array([x.size for x in frames])
+    flat = np.concatenate([x.reshape(-1) for x in frames])
+    of = np.repeat(np.arange(n) * BINS, sizes)
+    histogram = np.bincount((flat >> 4) + of, minlength=n * BINS).reshape(n, BINS) / sizes[:, None]
+    change = np.abs(np.diff(histogram, axis=0)).sum(axis=1) / 2
     sums, squares = (np.concatenate([[0.0], np.cumsum(x)]) for x in (change, change**2))
     low = np.maximum(np.arange(n - 1) - NEIGHBOURS, 0)
     high = np.minimum(np.arange(n - 1) + NEIGHBOURS + 1, n - 1)
@@ -217,42 +326,50 @@ def shot_starts(samples: np.ndarray) -> list[int]:
 MAKE_FILES = 64
 
 
-def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs with a binary column that holds the text's AVI file."""
-    names = [x for x in docs.columns if x != media]
-    docs = docs.select(*[F.col(f"`{x}`") for x in names])
+def _with_media(docs: DataFrame) -> DataFrame:
+    """docs (text and others) with a column media."""
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, MAKE_FILES):
                 batch = whole.slice(at, MAKE_FILES)
-                payloads = [padded((x.as_py() or "").encode()) for x in batch.column(text)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(encode_payloads(payloads)), type=pa.binary())], [*names, media])
+                payloads = [padded((x.as_py() or "").encode()) for x in batch.column("text")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(encode_payloads(payloads)), type=pa.binary())], [*names, "media"])
+
+    return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", media binary")
+
 
-    return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + f", `{media}` binary")
+def with_media(docs: DataFrame) -> DataFrame:
+    """docs with a binary column media (with underscores after it where docs has one) that holds the text's AVI file."""
+    docs, back = shared.plain(docs, "text")
+    return back(_with_media(docs), "media")
 
 
 def clips(table: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
-    """One row per shot: key, clip number, first frame, frames, start and end in seconds."""
+    """One row per shot: key, clip number, first frame, frames, start and end in seconds, and the status `ok`; of a file that cannot be read one row with what is wrong."""
     kind = table.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, MAKE_FILES):
                 batch, rows = whole.slice(at, MAKE_FILES), []
-                for key_of, (samples, delay) in zip(batch.column(key).to_pylist(), decode_files(batch.column(media).to_pylist()), strict=True):
+                for key_of, (samples, delay, status) in zip(batch.column(0).to_pylist(), decode_files(batch.column(1).to_pylist()), strict=True):
+                    if samples is None:
+                        rows.append((key_of, None, None, None, None, None, status))
+                        continue
                     starts = [*shot_starts(samples), len(samples)]
-                    rows += [(key_of, i, a, b - a, a * delay / 1e6, b * delay / 1e6) for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
-                types = [batch.schema.field(key).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], [key, "clip", "first_frame", "frames", "start_s", "end_s"])
+                    rows += [(key_of, i, a, b - a, a * delay / 1e6, b * delay / 1e6, status) for i, (a, b) in enumerate(zip(starts, starts[1:], strict=False))]
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(columns, types, strict=True)], [key, "clip", "first_frame", "frames", "start_s", "end_s", "status"])
 
-    return table.select(key, media).where(F.col(media).isNotNull()).mapInArrow(run, f"`{key}` {kind}, clip bigint, first_frame bigint, frames bigint, start_s double, end_s double")
+    return table.select(key, media).where(F.col(media).isNotNull()).mapInArrow(run, f"`{key}` {kind}, clip bigint, first_frame bigint, frames bigint, start_s double, end_s double, status string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row per document: the payload as read back from the stored file, the file, and a feature of its shots."""
-    stored = with_media(docs.select("doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).drop("text")
+    stored = _with_media(docs.select("doc_id", "text").withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))).drop("text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -262,9 +379,12 @@ def digest(docs: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, MAKE_FILES):
                 batch, rows = whole.slice(at, MAKE_FILES), []
                 files = batch.column("media").to_pylist()
-                for file, (samples, delay) in zip(files, decode_files(files), strict=True):
-                    payload, starts = samples.tobytes(), shot_starts(samples)
-                    feature = f"frames={len(samples)};shots={len(starts)};mean={samples.mean():.3f};starts_ms=" + ",".join(str(s * delay // 1000) for s in starts)
+                for file, (samples, delay, status) in zip(files, decode_files(files), strict=True):
+                    if samples is None:
+                        raise ValueError(f"a stored file cannot be read back: {status}")
+                    payload, starts = b"".join(x.tobytes() for x in samples), shot_starts(samples)
+                    mean = int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64)) / len(payload)
+                    feature = f"frames={len(samples)};shots={len(starts)};mean={mean:.3f};starts_ms=" + ",".join(str(int(s * delay // 1000)) for s in starts)
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), feature))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types))], names)
 
