@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, decontaminate, line_dedup, mixing, neardup, quality, secrets_scan, substring_dedup, toxicity, warc
+from . import avi, decontaminate, line_dedup, mixing, neardup, oracles, quality, secrets_scan, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,6 +53,16 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_scan.digest(table(spark, folder, "documents"))
 
 
+def avi_payload(spark: SparkSession, folder: str) -> DataFrame:
+    """What op6 reads back, without what depends on the container."""
+    return op6_avi(spark, folder).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def secret_base_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The spans of op10 that its patterns alone decide."""
+    return op10_secrets(spark, folder).drop("spans")
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -60,37 +70,9 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash, op2_substring_dedup, op3_quality, op4_warc, op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_secrets, pipeline)
+    found = (op1_minhash, op2_substring_dedup, op3_quality, op4_warc, op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_secrets, avi_payload, secret_base_spans, pipeline)
     return {f.__name__: f for f in found}
 
 
-#: The payloads are grouped whole; rows without a page_id are never referred to.
-OP4_SQL = """
-SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
-    CASE WHEN refers IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers AS refers_to
-FROM (
-    SELECT page_id, payload, CASE WHEN octet_length(encode(payload)) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY payload) THEN max(page_id) OVER (PARTITION BY payload) END AS refers
-    FROM (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS payload FROM pages)
-)
-"""
-
-#: Lines by whole keys in place of hashes; a row without a doc_id counts as a document of its own.
-OP7_SQL = """
-WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-lines AS (SELECT r, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM docs),
-keyed AS MATERIALIZED (
-    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
-),
-shared AS (
-    SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
-    GROUP BY key HAVING count(DISTINCT coalesce('id ' || doc_id, 'row ' || r)) >= 5
-),
-marked AS (SELECT r, k.doc_id, i, line, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.last AS gone FROM keyed k LEFT JOIN shared s ON k.key = s.key)
-SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY r
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return dict(oracles.SQL)
