@@ -29,8 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Lines that many documents share stay in one of them; n_chars follows the text."""
     found = line_dedup.dedup(docs)
+    _, dropped = shared.unused(docs.columns, "n_lines", "n_dropped")
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
