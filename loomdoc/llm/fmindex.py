@@ -82,7 +82,7 @@ class FmIndex:
             rank = ranks[-1].astype(np.int64)
             key = rank * (int(rank.max(initial=0)) + 2)
             key[: len(key) - step] += rank[step:] + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             step *= 2
             if step >= depth:
                 return order, ranks

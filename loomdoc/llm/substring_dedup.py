@@ -43,7 +43,7 @@ from .neardup import text_key
 
 WINDOW = 13
 GRAM = 4
-HOT_TEXTS = 1000
+HOT_TEXTS = 2500
 SHARD_WORDS = 500_000
 #: Stretches that are streamed through an index at a time.
 STREAMED = 20_000
