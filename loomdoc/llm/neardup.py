@@ -266,7 +266,9 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
                     yes.append(common > 0 and 100 * common >= hundredths * (len(last_set) + len(other) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(yes, type=pa.bool_()))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    links = shared.written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
+    shared.discard(texts)
+    return links
 
 
 def cross_pairs(members: DataFrame, threshold: float, block: int = BLOCK, least_block: int = LEAST_BLOCK) -> DataFrame:
@@ -349,7 +351,7 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     sketches = nodes.select("node", "sketch")
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    links = shared.written(confirmed(shared.written(close_by_sketch(stars, threshold), "pairs"), nodes, docs, size, threshold), "links")
+    links = confirmed(shared.written(close_by_sketch(stars, threshold), "pairs"), nodes, docs, size, threshold)
     roots = components(links)
     # Buckets whose nodes are in more than one component.
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "n", "node", "root")
@@ -358,6 +360,7 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     # A pair with the least node was looked at before.
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = shared.written(cross_pairs(open_members, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+    shared.discard(members)
     if more.limit(1).count():
         links = links.unionByName(confirmed(more, nodes, docs, size, threshold))
         roots = components(links)

@@ -93,17 +93,17 @@ def seeds(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     return keyed.select("h1", "text").mapInArrow(run, "seed bigint, h1 bigint")
 
 
-STRETCH = "shard bigint, s1 bigint, s2 bigint, words string, n_words int, h1 bigint, h2 bigint, first_id bigint, start bigint"
+STRETCH = "shard bigint, s1 bigint, s2 bigint, words string, n_words int, h1 bigint, first_id bigint, start bigint"
 
 
 def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """Stretches around the shared seeds of texts (h1, h2, first_id, text, cold, hot)."""
+    """Stretches around the shared seeds of texts (h1, first_id, text, cold, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch, out = whole.slice(at, 500), []
-                keys = list(zip(*(batch.column(x).to_pylist() for x in ("h1", "h2", "first_id")), strict=True))
+                keys = list(zip(*(batch.column(x).to_pylist() for x in ("h1", "first_id")), strict=True))
                 cold, hot = batch.column("cold"), batch.column("hot")
                 for piece in bytescan.pieces(batch.column("text")):
                     found = Seeds(piece, window, gram)
@@ -131,10 +131,10 @@ def stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                     halves = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in spelled), dtype=np.int64).reshape(-1, 2)
                     shard = [int(h) if x[0] is None else x[0] for x, h in zip(out, halves[:, 0], strict=True)]
                     columns = [pa.array(shard, pa.int64()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(spelled, pa.binary()).cast(pa.string()), pa.array([len(x[1]) for x in out], pa.int32())]
-                    columns += [pa.array([x[k] for x in out], pa.int64()) for k in (3, 4, 5, 2)]
+                    columns += [pa.array([x[k] for x in out], pa.int64()) for k in (3, 4, 2)]
                     yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in STRETCH.split(", ")])
 
-    return texts.select("h1", "h2", "first_id", "text", "cold", "hot").mapInArrow(run, STRETCH)
+    return texts.select("h1", "first_id", "text", "cold", "hot").mapInArrow(run, STRETCH)
 
 
 SPANS = "array<struct<start:int,words:int>>"
@@ -192,12 +192,12 @@ def searched(distinct: DataFrame, window: int, shards: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_texts: int = HOT_TEXTS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """h1, h2, doc_id of documents that lose words: `copy` (a later copy of a whole text) or the `spans` of words to remove."""
+    """h1 and doc_id, which tell texts of one doc_id apart, of documents that lose words: `copy` (a later copy of a whole text) or the `spans` of words to remove."""
     shared.integer_ids(docs)
     keyed = docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     light = keyed.select("h1", "h2", "doc_id").where("doc_id is not null")
     firsts = shared.written(light.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last")), "firsts")
-    copies = light.join(firsts.where("_last > first_id"), ["h1", "h2"]).where("doc_id > first_id").select("h1", "h2", "doc_id").distinct()
+    copies = light.join(firsts.where("_last > first_id"), ["h1", "h2"]).where("doc_id > first_id").select("h1", "doc_id").distinct()
 
     pairs = seeds(keyed, window, gram)
     common = shared.written(pairs.groupBy("seed").agg(F.min("h1").alias("_low"), F.max("h1").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high").select("seed", (F.col("_n") > hot_texts).alias("is_hot")), "seeds")
@@ -209,21 +209,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_texts:
     distinct = shared.written(found.groupBy("s1", "s2").agg(F.min("shard").alias("shard"), F.first("words").alias("words"), F.first("n_words").alias("n_words"), F.min("first_id").alias("least"), F.max("first_id").alias("_greatest")), "distinct")
     total = distinct.agg(F.sum("n_words")).first()[0] or 0
     matched = searched(distinct, window, max(1, -(-total // shard_words)))
-    held = found.select("s1", "s2", "n_words", "h1", "h2", "first_id", "start").join(matched, ["s1", "s2"])
+    held = found.select("s1", "s2", "n_words", "h1", "first_id", "start").join(matched, ["s1", "s2"])
     start = F.col("start").cast("int")
     whole = F.array(F.struct(start.alias("start"), F.col("n_words").alias("words")))
     own = F.transform("spans", lambda x: F.struct((start + x.start).alias("start"), x.words.alias("words")))
-    spans = held.select("h1", "h2", F.col("first_id").alias("doc_id"), F.when(F.col("first_id") > F.col("least"), whole).otherwise(own).alias("spans")).where(F.size("spans") > 0)
-    spans = spans.groupBy("h1", "h2", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
+    spans = held.select("h1", F.col("first_id").alias("doc_id"), F.when(F.col("first_id") > F.col("least"), whole).otherwise(own).alias("spans")).where(F.size("spans") > 0)
+    spans = spans.groupBy("h1", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    out = shared.written(spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True), "spans")
+    shared.discard(firsts, common, found, distinct)
+    return out
 
 
 def _kept(docs: DataFrame, found: DataFrame, window: int, text: bool) -> DataFrame:
     """docs (doc_id, text and others) with n_words, n_removed and what stays: its hash, or itself."""
     names = docs.columns
-    keyed = docs.select(*names, *[x.alias(f"_{n}") for x, n in zip(text_key(), ("k1", "k2"), strict=True)])
-    found = found.withColumnsRenamed({"h1": "_h1", "h2": "_h2", "doc_id": "_of", "spans": "_spans", "copy": "_copy"})
-    joined = keyed.join(found, (F.col("_k1") == F.col("_h1")) & (F.col("_k2") == F.col("_h2")) & (F.col("doc_id") == F.col("_of")), "left").select(*names, "_spans", "_copy")
+    keyed = docs.select(*names, text_key()[0].alias("_k1"))
+    found = found.withColumnsRenamed({"h1": "_h1", "doc_id": "_of", "spans": "_spans", "copy": "_copy"})
+    joined = keyed.join(found, (F.col("_k1") == F.col("_h1")) & (F.col("doc_id") == F.col("_of")), "left").select(*names, "_spans", "_copy")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
