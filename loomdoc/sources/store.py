@@ -440,11 +440,14 @@ class DocumentStore:
     # Maintenance and queries
 
     def compact(self) -> None:
-        """Drops bodies and attachments of revisions that others follow, then blobs that nobody has."""
+        """Drops bodies and attachments of revisions that others follow, then blobs that nobody has, and merges the parts of every table."""
         kept = mvcc.compact(self.revs)
         lines = self.table("attachments").join(mvcc.leaves(self.revs).select("sequence"), "sequence", "left_semi")
         blobs = self.table("blobs").join(lines.select("key").distinct(), "key", "left_semi")
-        self.commit({"revs": kept, "attachments": lines, "blobs": blobs}, replaced=("revs", "attachments", "blobs"))
+        pointers = self.table("current").groupBy("_id").agg(F.max_by(F.struct("sequence", "commit"), F.struct("commit", "sequence")).alias("_last")).select("_id", "_last.*")
+        local = self.table("local").groupBy("docid").agg(F.max_by(F.struct("json", "commit"), "commit").alias("_last")).select("docid", "_last.*").where("json is not null")
+        # Many small parts, one of each single write, become the few that the planner makes of them.
+        self.commit({"revs": kept, "attachments": lines, "blobs": blobs, "current": pointers, "local": local}, replaced=tuple(SCHEMAS))
 
     def create_json_index(self, fields: Sequence, name: str | None = None) -> Index:
         return self._indexed(fields, name, JSON, None)

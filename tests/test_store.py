@@ -120,6 +120,22 @@ def test_attachments_and_compaction(store):
     store.compact()
     assert store.read("a", a.revid).json is None and store.read("a").json == '{"n": 2}'
     assert store.table("blobs").count() == 2 and store.attachment("b", "same") == b"hello"
+    assert all(len(x) <= 1 for x in store.manifest["parts"].values()) and store.document_count() == 2
+
+
+def test_compaction_keeps_pointers_and_local_documents(store):
+    for suffix in "ab":
+        store.create_with_history("d", {"v": suffix}, 2, [suffix, "r"])
+    store.delete("d", "2-b")
+    for i in range(3):
+        store.put_local("_local/x", {"i": i})
+    store.put_local("_local/y", {})
+    store.delete("_local/y")
+    before = sorted((r["_id"], r.revid, r.deleted) for r in store.current().collect())
+    store.compact()
+    assert sorted((r["_id"], r.revid, r.deleted) for r in store.current().collect()) == before and store.read("d").deleted
+    assert store.read_local("x").json == '{"i": 2}' and not store.contains("_local/y")
+    assert store.create({"v": "again"}, "d").revid.startswith("4-")
 
 
 def test_codecs(spark):
