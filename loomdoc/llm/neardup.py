@@ -59,7 +59,7 @@ FINE_PARTS = 1 << 14
 COARSE_PARTS = 1 << 11
 DEVIATIONS = 6.0
 #: Nodes of a block of a bucket: an eighth of the bucket, within these bounds.
-LEAST_BLOCK, BLOCK = 512, 2048
+LEAST_BLOCK, BLOCK = 1024, 2048
 #: Rows of shingle hashes that are multiplied at a time.
 HASHED_AT_ONCE = 1024
 
@@ -350,8 +350,8 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     members = shared.written(placed.join(buckets, "band"), "members")
     sketches = nodes.select("node", "sketch")
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stars.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    links = confirmed(shared.written(close_by_sketch(stars, threshold), "pairs"), nodes, docs, size, threshold)
+    sketched = stars.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
+    links = confirmed(shared.written(close_by_sketch(sketched, threshold), "pairs"), nodes, docs, size, threshold)
     roots = components(links)
     # Buckets whose nodes are in more than one component.
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "n", "node", "root")
