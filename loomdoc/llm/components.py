@@ -13,12 +13,12 @@ HOT = 2000
 MOST_HOT = 1_000_000
 
 
-def _hot(keys: DataFrame) -> DataFrame | None:
+def hot_keys(keys: DataFrame) -> DataFrame | None:
     """A table of keys of more than HOT rows, if there are any: at most a HOT-th of the rows, and never more than MOST_HOT."""
     return keys if 0 < keys.count() <= MOST_HOT else None
 
 
-def _joined(rows: DataFrame, one: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+def joined(rows: DataFrame, one: DataFrame, key: str | list[str], hot: DataFrame | None) -> DataFrame:
     """rows with the row of `one` (unique by key); rows of hot keys stay where they are."""
     if hot is None:
         return rows.join(one, key)
@@ -39,18 +39,18 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("a is not null and b is not null and a <> b")
     edges = shared.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    centres = _hot(shared.written(edges.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("b"), "centres"))
+    centres = hot_keys(shared.written(edges.groupBy("b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("b"), "centres"))
     # The first round needs no join: a node's root is the least of itself and its neighbours.
     labels = shared.written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
-        near = _joined(edges, labels.withColumnRenamed("node", "b"), "b", centres).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        near = joined(edges, labels.withColumnRenamed("node", "b"), "b", centres).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         seen = labels.join(near, "node").select("root", F.least("root", "near").alias("best"))
         table = shared.written(seen.groupBy("root").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("_n")), "hooks")
-        hooks, large = table.select("root", "best"), _hot(table.where(F.col("_n") > HOT).select("root"))
+        hooks, large = table.select("root", "best"), hot_keys(table.where(F.col("_n") > HOT).select("root"))
         # The root of what a root has found, and what that one has found: one row for each root.
         found = hooks.join(labels.select(F.col("node").alias("best"), F.col("root").alias("via")), "best").select("root", "via")
         steps = found.join(hooks.select(F.col("root").alias("via"), F.col("best").alias("next")), "via").select("root", "next")
-        new = shared.written(_joined(labels, steps, "root", large).select("node", F.col("next").alias("root"), F.col("root").alias("_old")), "labels")
+        new = shared.written(joined(labels, steps, "root", large).select("node", F.col("next").alias("root"), F.col("root").alias("_old")), "labels")
         changed = new.where("root <> _old").limit(1).count()
         shared.discard(labels, table)
         labels = new.drop("_old")

@@ -48,8 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bytescan, shared
-from .components import components
+from . import bytescan, components, shared
 
 BAND_ROWS = 5
 MISSED = 1e-7
@@ -343,7 +342,7 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     if docs.schema["doc_id"].dataType.typeName() == "void":
         docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     every = shared.written(signatures(docs, signer, size), "signatures")
-    nodes = shared.written(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("short_bands").alias("short_bands")), "nodes")
+    nodes = shared.written(every.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("short_bands").alias("short_bands")), "nodes")
     nodes = named(nodes)
     placed = nodes.where("n_shingles > 0").select(F.explode("bands").alias("band"), "node")
     buckets = placed.groupBy("band").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -352,7 +351,7 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     sketched = stars.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
     links = confirmed(shared.written(close_by_sketch(sketched, threshold), "pairs"), nodes, docs, size, threshold)
-    roots = components(links)
+    roots = components.components(links)
     # Buckets whose nodes are in more than one component.
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "n", "node", "root")
     mixed = labelled.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("band")
@@ -363,11 +362,14 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     shared.discard(members)
     if more.limit(1).count():
         links = links.unionByName(confirmed(more, nodes, docs, size, threshold))
-        roots = components(links)
+        roots = components.components(links)
     by_node = nodes.join(roots, "node", "left").select("h1", "h2", "doc_id", F.coalesce("root", "node").alias("root"))
     least = by_node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = by_node.join(least, "root").select("h1", "h2", "component_id")
-    return every.select("h1", "h2", "doc_id", "n_shingles").join(names, ["h1", "h2"]).withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    # A text may have any number of copies: those of frequent ones stay where they are.
+    copied = components.hot_keys(nodes.where(F.col("copies") > components.HOT).select("h1", "h2"))
+    rows = components.joined(every.select("h1", "h2", "doc_id", "n_shingles"), names, ["h1", "h2"], copied)
+    return rows.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
 
 def digest(docs: DataFrame, size: int = 3, threshold: float = 0.85) -> DataFrame:
