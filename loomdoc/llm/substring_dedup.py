@@ -199,12 +199,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_texts:
     firsts = shared.written(light.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("_last")), "firsts")
     copies = light.join(firsts.where("_last > first_id"), ["h1", "h2"]).where("doc_id > first_id").select("h1", "doc_id").distinct()
 
-    pairs = seeds(keyed, window, gram)
+    pairs = shared.written(seeds(keyed, window, gram), "pairs")
     common = shared.written(pairs.groupBy("seed").agg(F.min("h1").alias("_low"), F.max("h1").alias("_high"), F.count(F.lit(1)).alias("_n")).where("_low <> _high").select("seed", (F.col("_n") > hot_texts).alias("is_hot")), "seeds")
     of_text = pairs.join(common, "seed").groupBy("h1").agg(F.collect_set(F.when(~F.col("is_hot"), F.col("seed"))).alias("cold"), F.collect_set(F.when(F.col("is_hot"), F.col("seed"))).alias("hot"))
     marked = firsts.select("h1", "h2", "first_id").join(of_text, "h1").withColumnRenamed("h1", "_h1").withColumnRenamed("h2", "_h2")
     texts = keyed.join(marked, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("doc_id") == F.col("first_id")))
     found = shared.written(stretches(texts, window, gram), "stretches")
+    shared.discard(pairs, common)
 
     distinct = shared.written(found.groupBy("s1", "s2").agg(F.min("shard").alias("shard"), F.first("words").alias("words"), F.first("n_words").alias("n_words"), F.min("first_id").alias("least"), F.max("first_id").alias("_greatest")), "distinct")
     total = distinct.agg(F.sum("n_words")).first()[0] or 0
@@ -216,7 +217,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_texts:
     spans = held.select("h1", F.col("first_id").alias("doc_id"), F.when(F.col("first_id") > F.col("least"), whole).otherwise(own).alias("spans")).where(F.size("spans") > 0)
     spans = spans.groupBy("h1", "doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     out = shared.written(spans.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True), "spans")
-    shared.discard(firsts, common, found, distinct)
+    shared.discard(firsts, found, distinct)
     return out
 
 
