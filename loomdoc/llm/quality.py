@@ -55,15 +55,16 @@ STATISTICS = [*(f"share of {x}" for x in CLASSES), *(f"most {x} in a line" for x
 LINE_BYTES = 20
 
 
-def features(piece: bytescan.Piece) -> np.ndarray:
-    """(rows, WORD_SLOTS + len(STATISTICS)) features of a piece."""
+def features(piece: bytescan.Piece, meta: np.ndarray | None = None) -> np.ndarray:
+    """(rows, WORD_SLOTS + len(STATISTICS)) features of a piece, and those of its metadata after them."""
+    n_meta = 0 if meta is None else meta.shape[1]
     data, offsets, rows = piece.data, piece.offsets, piece.rows
     found = bytescan.words(data, offsets, bytescan.spaced_words())
     hashes = bytescan.span_hashes(bytescan.lower_table()[data], found.starts, found.ends)
     of = found.rows()
     slots = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
     counts = np.bincount(of * WORD_SLOTS + slots, minlength=rows * WORD_SLOTS).reshape(rows, WORD_SLOTS)
-    out = np.zeros((rows, WORD_SLOTS + len(STATISTICS)), dtype=np.float32)
+    out = np.zeros((rows, WORD_SLOTS + len(STATISTICS) + n_meta), dtype=np.float32)
     out[:, :WORD_SLOTS] = np.log1p(np.arange(counts.max(initial=0) + 1, dtype=np.float32))[counts]
     length = np.sqrt((out[:, :WORD_SLOTS] ** 2).sum(axis=1, keepdims=True))
     out[:, :WORD_SLOTS] /= np.maximum(length, 1)
@@ -106,7 +107,9 @@ def features(piece: bytescan.Piece) -> np.ndarray:
         np.bincount(of, weights=lengths, minlength=rows) / n,
         np.log1p(found.counts / line_count),
     ]
-    out[:, WORD_SLOTS:] = np.stack(columns, axis=1)
+    out[:, WORD_SLOTS : WORD_SLOTS + len(STATISTICS)] = np.stack(columns, axis=1)
+    if n_meta:
+        out[:, -n_meta:] = meta
     return out
 
 
@@ -193,9 +196,8 @@ def _text_columns(docs: DataFrame, metadata: Sequence[str]) -> list[str]:
 def _features(batch: pa.RecordBatch, n_meta: int) -> Iterator[np.ndarray]:
     """Features of the rows of a batch, a piece at a time."""
     for piece in bytescan.pieces(batch.column("text"), max_rows=PIECE_ROWS):
-        own = features(piece)
         meta = [batch.column(f"meta_{i}").slice(piece.first, piece.rows) for i in range(n_meta)]
-        yield np.concatenate([own, metadata_features(meta)], axis=1) if meta else own
+        yield features(piece, metadata_features(meta) if meta else None)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, metadata: Sequence[str] = ()) -> FactorisationMachine:
