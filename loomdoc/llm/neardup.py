@@ -234,17 +234,19 @@ def close_by_sketch(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) of nodes that are similar on their full sets.
+def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The text of each wanted node, as a table in the shared folder: the one shuffle of the texts.
 
-    Each node's text is read from one of its documents; equal doc_ids with
-    other texts are told apart by the second text hash.  The threshold is
-    compared in whole numbers of hundredths.
+    A node's text is read from one of its documents; equal doc_ids with other texts are told apart by both text hashes.
     """
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "h1", "h2", F.col("doc_id").alias("_id")), "node")
+    keyed = wanted.join(nodes.select("node", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_of")), "node")
     texts = docs.select(*text_key(), F.col("doc_id").alias("_id"), "text")
-    found = texts.join(wanted.withColumnsRenamed({"h1": "_h1", "h2": "_h2", "_id": "_of"}), F.col("_id").eqNullSafe(F.col("_of")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
-    texts = shared.written(found.select("node", "text").dropDuplicates(["node"]), "texts")
+    found = texts.join(keyed, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    return shared.written(found.select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) of nodes that are similar on the full sets of their texts; the threshold is compared in whole numbers of hundredths."""
     left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     # b is the node of few pairs: its text is attached first, so a text that is in many pairs is not shuffled once a pair.
     both = pairs.join(right, "b").join(left, "a")
@@ -265,9 +267,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, th
                     yes.append(common > 0 and 100 * common >= hundredths * (len(last_set) + len(other) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(yes, type=pa.bool_()))
 
-    links = shared.written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
-    shared.discard(texts)
-    return links
+    return shared.written(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"), "links")
 
 
 def cross_pairs(members: DataFrame, threshold: float, block: int = BLOCK, least_block: int = LEAST_BLOCK) -> DataFrame:
@@ -350,7 +350,9 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     sketches = nodes.select("node", "sketch")
     stars = members.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     sketched = stars.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    links = confirmed(shared.written(close_by_sketch(sketched, threshold), "pairs"), nodes, docs, size, threshold)
+    # Both rounds of pairs lie within the buckets' nodes, so their texts are fetched once for both.
+    texts = texts_of(members.select("node").distinct(), nodes, docs)
+    links = confirmed(shared.written(close_by_sketch(sketched, threshold), "pairs"), texts, size, threshold)
     roots = components.components(links)
     # Buckets whose nodes are in more than one component.
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("band", "n", "node", "root")
@@ -361,8 +363,9 @@ def grouped(docs: DataFrame, size: int = 5, threshold: float = 0.8, rows: int =
     more = shared.written(cross_pairs(open_members, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
     shared.discard(members)
     if more.limit(1).count():
-        links = links.unionByName(confirmed(more, nodes, docs, size, threshold))
+        links = links.unionByName(confirmed(more, texts, size, threshold))
         roots = components.components(links)
+    shared.discard(texts)
     by_node = nodes.join(roots, "node", "left").select("h1", "h2", "doc_id", F.coalesce("root", "node").alias("root"))
     least = by_node.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     names = by_node.join(least, "root").select("h1", "h2", "component_id")
