@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Code points of text that are split into words before their new words are encoded, and at most in a stretch of a longer text.
-PIECE_CHARS = 1 << 21
+PIECE_CHARS = 1 << 20
 #: Estimated bytes of the chunks, and of the words, that a task remembers as the last ones; as many again may be older.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 16 << 20
 #: Signs of a word beyond which it shares no states with its neighbours.
 LONG_WORD = 63
 #: Bytes of results in a batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _NEVER = 1 << 62
 
 
@@ -112,7 +112,7 @@ class Candidates(dict):
 class TrieEncoder:
     """Encodes words of byte signs; what it knows of pairs of tokens stays."""
 
-    MOST_PAIRS = 1 << 20
+    MOST_PAIRS = 1 << 17
 
     def __init__(self, merges: Merges):
         self.merges, self.apart = merges, {}
