@@ -169,6 +169,58 @@ told AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) A
 SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in _KINDS)}, sha256(coalesce(list, '')) AS base_sha256 FROM docs LEFT JOIN told USING (r)
 """
 
+#: CRC-32 of a text, byte by byte through a table of 256 steps.
+CRC_STEPS = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc_steps"
+
+
+def crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text in UTF-8, beside a row of CRC_STEPS."""
+    data = f"list_transform(range(1, CAST(octet_length(encode({text})) AS BIGINT) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c >> 8, crc_steps[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+#: Nodes by the turns of their members, ancestors by members that two nodes share.
+OP11 = f"""
+WITH crc AS MATERIALIZED ({CRC_STEPS}),
+own AS MATERIALIZED (
+    SELECT CAST(conv_id AS BIGINT) AS c, list({{'code': code, 'size': size}} ORDER BY turn NULLS FIRST, code) AS turns
+    FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS size, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id
+),
+numbered AS (SELECT c, turns, CAST({crc32("CAST(c AS VARCHAR)")} % 6 AS INT) AS h FROM own, crc),
+rebuilt AS MATERIALIZED (SELECT n.c, list_concat(coalesce(b.turns, [])[:n.h], n.turns[n.h + 1:]) AS turns FROM numbered n LEFT JOIN own b ON b.c = n.c - n.c % 100),
+members AS MATERIALIZED (
+    SELECT c, d, len(turns) = d AS ends, CASE WHEN d > 0 THEN turns[d].size ELSE 0 END AS size, array_to_string(list_transform(turns[:d], lambda t: t.code), '') AS key
+    FROM (SELECT c, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+),
+nodes AS MATERIALIZED (
+    SELECT key, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+        sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM members GROUP BY key
+),
+children AS MATERIALIZED (SELECT left(key, length(key) - 32) AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT left(n.key, CAST(32 * k AS INT)) AS key, sum(n.saved) AS saved, count(*) FILTER (WHERE ch.n IS NULL) AS leaves FROM (SELECT key, saved, unnest(range(depth + 1)) AS k FROM nodes) n LEFT JOIN children ch ON ch.key = n.key GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(ch.n, 0) AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (key) LEFT JOIN children ch USING (key) LEFT JOIN nodes p ON n.depth > 0 AND p.key = left(n.key, length(n.key) - 32)
+"""
+
+#: Near words by their heads and tails around each place, forms by counting, roots by following forms.
+OP13 = rf"""
+WITH RECURSIVE crc AS MATERIALIZED ({CRC_STEPS}),
+runs AS MATERIALIZED (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS times
+    FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{UPPER}', '{LOWER}') AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL
+),
+hashed AS (SELECT run, times, {crc32("named")} AS h FROM runs, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+places AS MATERIALIZED (SELECT word, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, CAST(unnest(range(length(word))) AS INT) AS i FROM words)),
+shorter AS MATERIALIZED (SELECT DISTINCT p.word AS a, w.word AS b FROM places p JOIN words w ON w.word = p.head || p.tail),
+pairs AS MATERIALIZED (SELECT a, b FROM shorter UNION SELECT b, a FROM shorter UNION SELECT p.word, q.word FROM places p JOIN places q ON p.head = q.head AND p.tail = q.tail AND p.word <> q.word),
+best AS (SELECT a AS word, count(*) AS n_near, first(b ORDER BY w.n DESC, b) AS best, max(w.n) AS best_n FROM pairs JOIN words w ON w.word = b GROUP BY a),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM words LEFT JOIN best USING (word)),
+climb(word, root) AS (SELECT word, word FROM forms UNION ALL SELECT c.word, f.form FROM climb c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM forms f JOIN climb c ON c.word = f.word JOIN forms r ON r.word = c.root WHERE r.form IS NULL
+"""
+
 SQL = {
     "op1_minhash": OP1,
     "op2_substring_dedup": OP2,
@@ -176,6 +228,8 @@ SQL = {
     "op5_mixing": OP5,
     "op7_line_dedup": OP7,
     "op8_decontaminate": OP8,
+    "op11_prefix_trie": OP11,
+    "op13_spelling": OP13,
     "avi_payload": AVI_PAYLOAD,
     "secret_base_spans": SECRET_BASE_SPANS,
 }

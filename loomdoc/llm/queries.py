@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import avi, bpe, decontaminate, line_dedup, mixing, neardup, oracles, quality, secrets_scan, substring_dedup, toxicity, warc
+from . import avi, bpe, decontaminate, line_dedup, mixing, neardup, oracles, prefix_trie, quality, secrets_scan, spelling, substring_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -53,10 +53,18 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets_scan.digest(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.digest(table(spark, folder, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(table(spark, folder, "documents"))
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.digest(table(spark, folder, "documents"))
+
+
 def avi_payload(spark: SparkSession, folder: str) -> DataFrame:
     """What op6 reads back, without what depends on the container."""
     return op6_avi(spark, folder).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
@@ -74,7 +82,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_minhash, op2_substring_dedup, op3_quality, op4_warc, op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_secrets, op12_bpe, avi_payload, secret_base_spans, pipeline)
+    found = (op1_minhash, op2_substring_dedup, op3_quality, op4_warc, op5_mixing, op6_avi, op7_line_dedup, op8_decontaminate, op9_toxicity, op10_secrets, op11_prefix_trie, op12_bpe, op13_spelling, avi_payload, secret_base_spans, pipeline)
     return {f.__name__: f for f in found}
 
 
