@@ -52,7 +52,13 @@ def histories(docs: DataFrame, json: str = "json") -> DataFrame:
 
 def bulk_docs(spark: SparkSession, path: str) -> DataFrame:
     """The `docs` of bulk files, or a file's only document, as histories."""
-    docs = _whole(spark, path).select(F.coalesce(F.try_variant_get("v", "$.docs", "array<variant>"), F.array("v")).alias("docs"))
+    return bulk_histories(spark.read.text(path, wholetext=True))
+
+
+def bulk_histories(requests: DataFrame) -> DataFrame:
+    """The `docs` of bulk requests (value), or a request's only document, as histories."""
+    parsed = requests.select(F.parse_json("value").alias("v"))
+    docs = parsed.select(F.coalesce(F.try_variant_get("v", "$.docs", "array<variant>"), F.array("v")).alias("docs"))
     return histories(docs.select(F.explode("docs").alias("d")).select(F.to_json("d").alias("json")))
 
 

@@ -1,23 +1,21 @@
-"""The replication protocol's messages, written and read as tables, and its change feed as a data source.
+"""The replication protocol's messages, written and read as tables.
 
-Messages are JSON texts in a column `value`, ready for `write.text`; `feeds` reads the
-documents that come back.  `spark.read.format("loomdoc_changes")` reads folders of change feed
-pages, and `readStream` follows them by sequence: its offset is the greatest sequence seen.
+Messages are JSON texts in a column `value`, ready for `write.text` or the formats of `exchange`; `feeds` reads the
+documents that come back.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..functions.revisions import short_history
 from ..operators import mvcc
+from .exchange import CHANGES, number_of, register
 
-CHANGES = "seq string, _id string, revids array<string>, deleted boolean"
+__all__ = ["CHANGES", "bulk_requests", "change_page", "change_pages", "checkpoint_document", "diff_requests", "diff_response", "document", "number_of", "register"]
 
 
 def change_page(revs: DataFrame, since: int = 0, limit: int = 500) -> DataFrame:
@@ -29,6 +27,16 @@ def change_page(revs: DataFrame, since: int = 0, limit: int = 500) -> DataFrame:
     return listed.select(F.to_json(F.struct("results", "last_seq")).alias("value"))
 
 
+def change_pages(changes: DataFrame, results: int = 500) -> DataFrame:
+    """Pages of changes (seq bigint, _id, revids, deleted, json or null), each of the sequences of a window of `results` numbers; neighbouring pages are in one partition."""
+    doc = F.parse_json("json") if "json" in changes.columns else F.lit(None).cast("string")
+    row = F.struct(F.col("seq"), F.col("_id").alias("id"), F.transform("revids", lambda x: F.struct(x.alias("rev"))).alias("changes"), F.when(F.col("deleted"), True).alias("deleted"), doc.alias("doc"))
+    rows = changes.select(F.floor((F.col("seq") - 1) / results).alias("page"), F.col("seq"), F.to_json(row).alias("row"))
+    pages = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("seq", "row"))).alias("rows"))
+    value = F.concat(F.lit('{"results":['), F.array_join(F.transform("rows", lambda x: x["row"]), ","), F.lit('],"last_seq":'), F.element_at("rows", -1)["seq"].cast("string"), F.lit("}"))
+    return pages.repartitionByRange("page").sortWithinPartitions("page").select(value.alias("value"))
+
+
 def document(body: str = "json") -> F.Column:
     """JSON of a revision (_id, history oldest first, deleted and its body's JSON) with its protocol fields before its own."""
     newest = F.element_at("history", -1)
@@ -63,81 +71,3 @@ def diff_response(revs: DataFrame, requests: DataFrame) -> DataFrame:
 def checkpoint_document(replication_id: str, sequence: int | str) -> str:
     """The local document that records how far a replication has come."""
     return json.dumps({"_id": f"_local/{replication_id}", "lastSequence": sequence})
-
-
-def number_of(seq) -> int:
-    """The number that a sequence starts with: 12, "12" and "12-abc" are 12."""
-    return int(str(seq).partition("-")[0])
-
-
-def _pages(path: str) -> Iterator[str]:
-    from pyarrow import fs
-
-    at, where = (fs.LocalFileSystem(), path.removeprefix("file:")) if path.startswith(("/", "file:/")) else fs.FileSystem.from_uri(path)
-    for info in sorted(at.get_file_info(fs.FileSelector(where, recursive=False)), key=lambda x: x.path):
-        if info.is_file and not info.base_name.startswith((".", "_")):
-            with at.open_input_file(info.path) as source:
-                yield source.read().decode()
-
-
-def _results(path: str, since: int, limit: int | None) -> list[tuple[int, tuple]]:
-    """Results after since by sequence, at most limit."""
-    found = {}
-    for text in _pages(path):
-        for line in [text] if text.lstrip().startswith("{") and text.count("\n{") == 0 else text.splitlines():
-            for r in json.loads(line)["results"] if line.strip() else ():
-                if (number := number_of(r["seq"])) > since:
-                    found[number, r["id"]] = (str(r["seq"]), r["id"], [c["rev"] for c in r["changes"]], bool(r.get("deleted")))
-    return [(k[0], found[k]) for k in sorted(found)][:limit]
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, since: int, limit: int | None):
-        self.path, self.since, self.limit = path, since, limit
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from (row for _, row in _results(self.path, self.since, self.limit))
-
-
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, since: int, limit: int | None):
-        self.path, self.since, self.limit = path, since, limit
-
-    def initialOffset(self) -> dict:  # noqa: N802 (names of the interface)
-        return {"seq": self.since}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = _results(self.path, start["seq"], self.limit)
-        return iter([row for _, row in rows]), {"seq": rows[-1][0] if rows else start["seq"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter([row for number, row in _results(self.path, start["seq"], None) if number <= end["seq"]])
-
-
-class ChangesSource(DataSource):
-    """A folder of change feed pages: options path, since (0) and limit, the most results of a read or of a batch of a stream."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "loomdoc_changes"
-
-    def schema(self) -> str:
-        return CHANGES
-
-    def _options(self) -> tuple[str, int, int | None]:
-        limit = self.options.get("limit")
-        return self.options["path"], number_of(self.options.get("since", 0)), None if limit is None else int(limit)
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(*self._options())
-
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: N802
-        return _Stream(*self._options())
-
-
-def register(spark: SparkSession) -> None:
-    """Makes the format known to a session."""
-    spark.dataSource.register(ChangesSource)
