@@ -49,18 +49,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _place(spark: SparkSession, path: str):
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder; nothing if it is not there."""
+    files, place = _place(spark, path)
+    return [x.getPath().getName() for x in files.listStatus(place)] if files.exists(place) else []
 
 
 def discard(*tables: DataFrame) -> None:
     """Deletes tables of `written` that no other table will read."""
     for table in tables:
         if path := getattr(table, "_written_at", None):
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes every table that this application has written to the shared folder, once its results are saved elsewhere."""
-    _delete(spark, f"{folder(spark)}/loomdoc/{spark.sparkContext.applicationId}")
+    delete(spark, f"{folder(spark)}/loomdoc/{spark.sparkContext.applicationId}")
