@@ -44,6 +44,11 @@ def porter(text: Column) -> Column:
     return _stemmed(simple(text))
 
 
+def token_list(tokens: Column) -> Column:
+    """` token token ` as an array."""
+    return F.filter(F.split(tokens, " "), lambda x: x != "")
+
+
 def simple_words(text: str) -> list[str]:
     """The simple tokens of a search string."""
     return [x for x in re.sub(NO_TOKEN, " ", text.translate(str.maketrans(UPPER, LOWER))).split(" ") if x]

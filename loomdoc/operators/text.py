@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.tokens import Tokenizer
+from ..functions.tokens import Tokenizer, token_array, token_list
 from ..plans import fields as fld
 from ..plans.errors import QueryError
+from . import positions
 
 NEAR_DEFAULT = 10
+#: Distances up to which a pattern finds both terms.  A regular expression goes one level deeper for every word between, so beyond it places of tokens are compared.
+NEAR_PATTERN = 40
 _TOKEN = re.compile(r'\s*(?:(?P<open>\()|(?P<close>\))|(?P<phrase>(?:(?P<pcol>[^\s()":]+):)?"(?P<ptext>[^"]*)"?)|(?P<word>[^\s()"]+))')
 
 
@@ -186,6 +189,8 @@ def _holds_raw(node, texts: dict[str, Column]) -> Column:
     else:
         if not node.left.words or not node.right.words:
             return F.lit(False)
+        if node.distance > NEAR_PATTERN:
+            return positions.holds(node, list(texts), positions.of_tokens({k: token_array(c) for k, c in texts.items()}))
         a, b = _raw_pattern(node.left), _raw_pattern(node.right)
         between = rf"{_BETWEEN}(?:{_INSIDE}+{_BETWEEN}){{0,{node.distance}}}"
         patterns, terms = [f"{a}{between}{b}", f"{b}{between}{a}"], (node.left, node.right)
@@ -209,6 +214,8 @@ def _holds(node, tokens: dict[str, Column]) -> Column:
     if isinstance(node, Near):
         if not node.left.words or not node.right.words:
             return F.lit(False)
+        if node.distance > NEAR_PATTERN:
+            return positions.holds(node, list(tokens), positions.of_tokens({k: token_list(c) for k, c in tokens.items()}))
         a, b = _pattern(node.left), _pattern(node.right)
         between = r"(?: [^ ]+){0,%d} " % node.distance
         own = [c for name, c in tokens.items() if node.left.column in (None, name) and node.right.column in (None, name)]
@@ -216,6 +223,18 @@ def _holds(node, tokens: dict[str, Column]) -> Column:
     raise TypeError(f"not a search tree: {node!r}")
 
 
+def word_atoms(node) -> set[tuple[str, bool]]:
+    """The (word, is a prefix) that a search tree looks at."""
+    if isinstance(node, Term):
+        return {(w, node.prefix and k == len(node.words) - 1) for k, w in enumerate(node.words)}
+    return word_atoms(node.left) | word_atoms(node.right)
+
+
+def needs_places(node) -> bool:
+    """Whether a search tree asks where words stand, and not only which there are."""
+    return len(node.words) > 1 if isinstance(node, Term) else isinstance(node, Near) or needs_places(node.left) or needs_places(node.right)
+
+
 class TextIndex:
     """Searchable columns of a DataFrame.  Of an array column each element is searched by itself, with the other columns."""
 
@@ -236,6 +255,10 @@ class TextIndex:
             return F.when(fld.variant_exists(field.column), F.try_variant_get(field.column, "$", "string"))
         return field.column if isinstance(field.type, T.StringType) else field.column.cast("string")
 
+    def texts(self) -> dict[str, Column]:
+        """The tokens of each field, as ` token token `."""
+        return {name: self.tokenizer.column(self._text(f)) for name, f in self.found.items()}
+
     def __call__(self, search: str) -> Column:
         """The condition of a search."""
         tree = Parser(search, list(self.found), self.tokenizer).parse()

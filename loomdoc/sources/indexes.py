@@ -95,12 +95,13 @@ class Catalog:
         return next((x for x in self.indexes.values() if x.type == TEXT), None)
 
 
-def projection(df: DataFrame, index: Index, body: str = "body", carried: Sequence[Column] = ()) -> DataFrame:
+def projection(df: DataFrame, index: Index, body: str = "body", carried: Sequence[Column] = (), once: Sequence[str] = ()) -> DataFrame:
     """The rows that an index stands for: _id, _rev and the fields, one row per element of an array field.
 
     A document without the array, or with an empty one, has one row; one with two
     arrays among the fields is listed with the first of them exploded (of typed columns and fields
-    of a VARIANT body, the first typed array before the others).  carried columns come after the fields.
+    of a VARIANT body, the first typed array before the others).  carried columns come after the fields;
+    those named in once are null but in the first row of a document.
     """
     resolve = fld.Resolver(df, body)
     fields = [resolve(name) for name in index.fields]
@@ -122,7 +123,8 @@ def projection(df: DataFrame, index: Index, body: str = "body", carried: Sequenc
         if field.kind == "variant":
             column = F.try_variant_get(column, "$", "string")
         out.append(column.alias(name))
-    return rows.select(*out, *own)
+    first = F.coalesce("at", F.lit(0)) == 0 if arrays else F.lit(True)
+    return rows.select(*out, *(F.when(first, F.col(x)).alias(x) if x in once else x for x in own))
 
 
 def bounds(df: DataFrame, index: Index, body: str = "body") -> list[Column]:
@@ -137,6 +139,25 @@ def bounds(df: DataFrame, index: Index, body: str = "body") -> list[Column]:
     return out
 
 
+def covered(df: DataFrame, index: Index, body: str = "body") -> Column:
+    """JSON of the index's fields, with the paths that lead to them; a field that is within another one comes with it."""
+    resolve, tree = fld.Resolver(df, body), {}
+    names = [x for x in index.fields if x not in RESERVED]
+    for name in names:
+        if not any(name != x and name.startswith(x + ".") for x in names):
+            at = tree
+            for part in name.split(".")[:-1]:
+                at = at.setdefault(part, {})
+            at[name.split(".")[-1]] = resolve(name).column
+
+    def built(node: dict) -> Column:
+        inside = [(built(v) if isinstance(v, dict) else v).alias(k) for k, v in node.items()]
+        there = reduce(operator.or_, (x.isNotNull() for x in (built(v) if isinstance(v, dict) else v for v in node.values())))
+        return F.when(there, F.struct(*inside))
+
+    return F.coalesce(F.to_json(built(tree)) if tree else F.lit(None).cast("string"), F.lit("{}")).alias("_covered")
+
+
 def _bound(node, index: Index) -> Column | None:
     """A condition on bounds that every matching document meets, or None if the index says nothing."""
     if isinstance(node, (And, Or)):
@@ -217,13 +238,24 @@ class MaterialisedIndex:
         """Sequences of revisions within the bounds of a selector tree; the filter reaches the files."""
         return self.rows().where(_bound(tree, self.index)).select("sequence")
 
+    def documents(self, tree) -> DataFrame:
+        """Current documents with the index's fields alone as their body, those within the bounds of a selector tree; revisions are not opened."""
+        rows = self.rows() if self.parts else None
+        if rows is None:
+            return self.store.documents().limit(0)
+        bound = _bound(tree, self.index)
+        rows = rows.where(F.col("_covered").isNotNull() if bound is None else F.col("_covered").isNotNull() & bound)
+        rows = rows.join(self.store.pointers(), ["_id", "sequence"], "left_semi")
+        # As in DocumentStore.documents_of, a generator keeps the parsing above the join.
+        return rows.select("_id", "_rev", "sequence", F.explode(F.array("_covered")).alias("_covered")).select("_id", "_rev", "sequence", F.parse_json("_covered").alias("body"))
+
     def refresh(self) -> DataFrame:
         """Appends the revisions that came since the last refresh."""
         last = max(self.store.last_sequence, 0)
         if last > self.last_sequence or not self.parts:
-            new = self.store.revs.where((F.col("sequence") > self.last_sequence) & ~F.col("deleted") & F.col("json").isNotNull())
+            new = self.store.revisions(self.last_sequence + 1, last).where(~F.col("deleted") & F.col("json").isNotNull())
             docs = new.select("_id", F.col("revid").alias("_rev"), "sequence", F.parse_json("json").alias("body"))
-            rows = projection(docs, self.index, carried=[F.col("sequence"), *bounds(docs, self.index)])
+            rows = projection(docs, self.index, carried=[F.col("sequence"), *bounds(docs, self.index), covered(docs, self.index)], once=["_covered"])
             low, high = self.last_sequence + 1, max(last, self.last_sequence + 1)
             if last:
                 rows.write.mode("overwrite").parquet(self._path(low, high))

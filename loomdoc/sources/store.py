@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import operator
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -26,12 +28,14 @@ from ..functions import revisions as rv
 from ..functions.tokens import Tokenizer
 from ..operators import mvcc
 from ..operators.find import find
-from ..operators.text import TextIndex
 from ..plans.errors import ConflictError, NotFoundError, QueryError
-from ..plans.selector import Text, parse, texts
+from ..plans.selector import And, Text, parse, texts
+from ..plans.selector import fields as fields_of
 from . import attachments as att
 from . import events as ev
+from . import folders
 from .indexes import JSON, TEXT, Catalog, Index, MaterialisedIndex, bounded_fields
+from .postings import StoredTextIndex
 
 SCHEMAS = {
     "revs": mvcc.SCHEMA,
@@ -41,6 +45,9 @@ SCHEMAS = {
     "blobs": "key string, content binary",
 }
 
+#: Ranges of sequences, one for each part, that are filtered one by one.
+MOST_RANGES = 64
+
 
 class Files:
     """Small files through Hadoop, so a store can be wherever Spark can write."""
@@ -86,7 +93,7 @@ class DocumentStore:
         if key is not None and len(key) not in (16, 24, 32):
             raise QueryError("a key has 16, 24 or 32 bytes")
         self.files = Files(spark, self.path)
-        self.manifest = {"parts": {k: [] for k in SCHEMAS}, "last_sequence": -1, "indexes": [], "key": self._key_check()}
+        self.manifest = {"parts": {k: [] for k in SCHEMAS}, "ranges": {}, "last_sequence": -1, "indexes": [], "key": self._key_check()}
         self.refresh()
         if self.manifest.get("key") != self._key_check():
             raise QueryError("the store was made with another key")
@@ -113,6 +120,18 @@ class DocumentStore:
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{name}/{x}" for x in parts])
 
+    def _parts(self, low: int, high: int) -> list[str]:
+        """Parts of revs that can have a sequence from low to high."""
+        ranges = self.manifest.get("ranges", {})
+        return [x for x in self.manifest["parts"]["revs"] if x not in ranges or ranges[x][0] <= high and ranges[x][1] >= low]
+
+    def _read(self, parts: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS["revs"]).parquet(*[f"{self.path}/revs/{x}" for x in parts]) if parts else self.spark.createDataFrame([], SCHEMAS["revs"])
+
+    def revisions(self, low: int, high: int) -> DataFrame:
+        """Revisions with a sequence from low to high, from the parts that can have them."""
+        return self._read(self._parts(low, high)).where((F.col("sequence") >= low) & (F.col("sequence") <= high))
+
     def commit(self, added: dict[str, DataFrame | list], replaced: Iterable[str] = (), ready: dict[str, str] | None = None) -> None:
         """Publishes a version with more rows; the parts of replaced tables are dropped from it, and ready ones (table -> part) are there already.
 
@@ -120,7 +139,7 @@ class DocumentStore:
         its own stays visible: its parts are in no manifest.
         """
         parts = {k: [] if k in replaced else list(v) for k, v in self.manifest["parts"].items()}
-        last = self.manifest["last_sequence"]
+        last, ranges = self.manifest["last_sequence"], dict(self.manifest.get("ranges", {}))
         for name, rows in added.items():
             df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name])
             part = f"part-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
@@ -129,9 +148,12 @@ class DocumentStore:
         for name, part in (ready or {}).items():
             parts[name].append(part)
             if name == "revs":
-                last = max(last, self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{part}").agg(F.max("sequence")).first()[0] or -1)
+                low, high = self._read([part]).agg(F.min("sequence"), F.max("sequence")).first()
+                last = max(last, -1 if high is None else high)
+                ranges[part] = [0, -1] if high is None else [low, high]
         indexes = [{"name": x.name, "fields": x.fields, "type": x.type, "tokenizer": [x.tokenizer.name, x.tokenizer.arguments] if x.tokenizer else None} for x in self.indexes.indexes.values()]
-        manifest = {"parts": parts, "last_sequence": last, "indexes": indexes, "key": self._key_check()}
+        ranges = {k: v for k, v in ranges.items() if k in parts["revs"]}
+        manifest = {"parts": parts, "ranges": ranges, "last_sequence": last, "indexes": indexes, "key": self._key_check()}
         try:
             self.files.publish(f"{self.path}/manifest/{self.version + 1:012d}.json", json.dumps(manifest))
         except ConflictError:
@@ -155,16 +177,43 @@ class DocumentStore:
     def last_sequence(self) -> int:
         return self.manifest["last_sequence"]
 
+    def pointers(self) -> DataFrame:
+        """_id and sequence of each document's current revision; the last commit wins."""
+        return self.table("current").groupBy("_id").agg(F.max_by("sequence", F.struct("commit", "sequence")).alias("sequence"))
+
     def current(self) -> DataFrame:
-        """The revision that each document's pointer names, deleted ones included; the last commit wins."""
-        pointers = self.table("current").groupBy("_id").agg(F.max_by("sequence", F.struct("commit", "sequence")).alias("sequence"))
-        return self.revs.join(pointers, ["_id", "sequence"], "left_semi")
+        """The revision that each document's pointer names, deleted ones included."""
+        return self.revs.join(self.pointers(), ["_id", "sequence"], "left_semi")
 
     def documents(self) -> DataFrame:
         """Current documents that are not deleted: _id, _rev, sequence and body (VARIANT)."""
         rows = self.current().where(~F.col("deleted"))
         return rows.select("_id", F.col("revid").alias("_rev"), "sequence", F.parse_json(F.coalesce("json", F.lit("{}"))).alias("body"))
 
+    def documents_of(self, sequences: DataFrame) -> DataFrame:
+        """`documents` whose current revision is among sequences.
+
+        Only parts of revs that can have them are opened, within the least and greatest sequence of each part; only rows that
+        are left after the joins are parsed.
+        """
+        asked = sequences.select("sequence")
+        ranges = self.manifest.get("ranges", {})
+        lows = sorted((ranges[x][0], x) for x in self.manifest["parts"]["revs"] if x in ranges)
+        if not lows or len(lows) < len(self.manifest["parts"]["revs"]):
+            rows = self.revs
+        else:
+            # One row for each part, not for each sequence, comes to the driver.
+            of = F.size(F.filter(F.array(*[F.lit(low).cast("bigint") for low, _ in lows]), lambda x: x <= F.col("sequence")))
+            held = asked.groupBy(of.alias("part")).agg(F.min("sequence").alias("low"), F.max("sequence").alias("high")).where("part > 0").collect()
+            rows = self._read([lows[r.part - 1][1] for r in held])
+            if held:
+                within = [(r.low, r.high) for r in held] if len(held) <= MOST_RANGES else [(min(r.low for r in held), max(r.high for r in held))]
+                rows = rows.where(reduce(operator.or_, (F.col("sequence").between(low, high) for low, high in within)))
+        rows = rows.where(~F.col("deleted")).join(asked, "sequence", "left_semi").join(self.pointers(), ["_id", "sequence"], "left_semi")
+        # A filter on what a generator gives is not moved below it, and so not below the joins.
+        rows = rows.select("_id", F.col("revid").alias("_rev"), "sequence", F.explode(F.array(F.coalesce("json", F.lit("{}")))).alias("json"))
+        return rows.select("_id", "_rev", "sequence", F.parse_json("json").alias("body"))
+
     # Reads
 
     def _own(self, doc_id: str) -> list[Row]:
@@ -447,7 +496,11 @@ class DocumentStore:
         pointers = self.table("current").groupBy("_id").agg(F.max_by(F.struct("sequence", "commit"), F.struct("commit", "sequence")).alias("_last")).select("_id", "_last.*")
         local = self.table("local").groupBy("docid").agg(F.max_by(F.struct("json", "commit"), "commit").alias("_last")).select("docid", "_last.*").where("json is not null")
         # Many small parts, one of each single write, become the few that the planner makes of them.
+        kept = kept.repartitionByRange("sequence").sortWithinPartitions("sequence")
         self.commit({"revs": kept, "attachments": lines, "blobs": blobs, "current": pointers, "local": local}, replaced=tuple(SCHEMAS))
+        for index in self.list_indexes():
+            if index.type == TEXT:
+                StoredTextIndex(self, index).clean()
 
     def create_json_index(self, fields: Sequence, name: str | None = None) -> Index:
         return self._indexed(fields, name, JSON, None)
@@ -462,32 +515,37 @@ class DocumentStore:
             self.commit({})
         return index
 
+    def _stored(self, index: Index) -> MaterialisedIndex | StoredTextIndex:
+        return (MaterialisedIndex if index.type == JSON else StoredTextIndex)(self, index)
+
     def delete_index(self, name: str) -> None:
         index = self.indexes.indexes.get(name)
         self.indexes.delete(name)
         self.commit({})
-        self.files.delete(MaterialisedIndex(self, index).folder)
+        self.files.delete(self._stored(index).folder)
 
     def list_indexes(self) -> list[Index]:
         return list(self.indexes.indexes.values())
 
     def refresh_all_indexes(self) -> None:
-        """Brings the tables of all JSON indexes up to this version; `find` does so for the one that it reads.  A text index is a definition only."""
+        """Brings the tables of all indexes up to this version; `find` does so for those that it reads."""
         for index in self.list_indexes():
-            if index.type == JSON:
-                MaterialisedIndex(self, index).refresh()
+            self._stored(index).refresh()
 
-    def _candidates(self, tree: Any) -> DataFrame | None:
-        """Sequences that an index lets through, from the index with most fields that the selector bounds; None without one."""
+    def _best(self, tree: Any) -> Index | None:
+        """The JSON index with most fields that the selector bounds."""
         best, fields = None, 0
         for index in self.list_indexes():
             if index.type == JSON and len(own := bounded_fields(tree, index)) > fields:
                 best, fields = index, len(own)
-        if best is None:
+        return best
+
+    def _covering(self, tree: Any, fields: Sequence[str] | None, sort: Sequence | None) -> Index | None:
+        """A JSON index that has all fields of a find."""
+        if not fields or any(isinstance(x, Text) for x in texts(tree)):
             return None
-        view = MaterialisedIndex(self, best)
-        view.refresh()
-        return view.candidates(tree) if view.parts else None
+        needed = {*fields, *fields_of(tree), *_sorted_fields(sort)}
+        return next((x for x in self.list_indexes() if x.type == JSON and needed <= set(x.fields)), None)
 
     def is_text_search_enabled(self) -> bool:
         return True
@@ -495,20 +553,41 @@ class DocumentStore:
     def find(self, selector: dict, skip: int = 0, limit: int = 0, fields: Sequence[str] | None = None, sort: Sequence | None = None, strict: bool = False) -> DataFrame:
         """Documents that match.  With strict, fields of a text query and of a sort must be indexed.
 
-        A JSON index that bounds the selector is caught up with and read first, with the bounds as
-        Parquet filters; only documents that it lets through are parsed and matched.
+        A text search is answered by the stored postings.  A JSON index that has all fields of selector, sort and projection answers alone, without
+        opening the revisions.  Another one that bounds the selector is read first, with the bounds as Parquet filters; only documents that
+        both let through are read, parsed and matched.  Indexes are caught up with before they are read.
         """
-        docs, tree, text = self.documents(), parse(selector), None
-        if any(isinstance(x, Text) for x in texts(tree)):
+        tree, searched, marked = parse(selector), None, None
+        found = [x for x in texts(tree) if isinstance(x, Text)]
+        if found:
             index = self.indexes.text()
             if index is None:
                 raise QueryError("a text search needs a text index")
-            text = TextIndex(docs, [x for x in index.fields if x not in ("_id", "_rev")], index.tokenizer)
         if strict:
-            self._check(tree, sort, text is not None)
-        if (chosen := self._candidates(tree)) is not None:
-            docs = docs.join(chosen, "sequence", "left_semi")
-        return find(docs, selector, skip, limit, fields, sort, text=text)
+            self._check(tree, sort, bool(found))
+        if (covering := self._covering(tree, fields, sort)) is not None:
+            view = MaterialisedIndex(self, covering)
+            view.refresh()
+            return find(view.documents(tree), selector, skip, limit, fields, sort)
+        if found:
+            stored = StoredTextIndex(self, index)
+            stored.refresh()
+            searched = folders.written(stored.matches(found[0].search), "searched")  # it is read for its ranges, then joined
+            if not (isinstance(tree, Text) or isinstance(tree, And) and found[0] in tree.children):
+                marked, searched = searched, None  # the search is one of several ways to match
+        candidates = searched
+        if (best := self._best(tree)) is not None:
+            view = MaterialisedIndex(self, best)
+            view.refresh()
+            if view.parts:
+                bounded = view.candidates(tree)
+                candidates = bounded if candidates is None else candidates.join(bounded, "sequence", "left_semi")
+        docs = self.documents() if candidates is None else self.documents_of(candidates)
+        if marked is None:
+            return find(docs, selector, skip, limit, fields, sort, text=lambda _: F.lit(True))
+        docs = docs.join(marked.select("sequence", F.lit(True).alias("_searched")), "sequence", "left").select(*docs.columns, "_searched")
+        out = find(docs, selector, skip, limit, fields, sort, text=lambda _: F.coalesce("_searched", F.lit(False)))
+        return out.drop("_searched")
 
     def full_revisions(self, projected: DataFrame) -> DataFrame:
         """The whole revisions of projected rows (_id, _rev)."""
@@ -516,11 +595,13 @@ class DocumentStore:
         return whole.join(projected.select("_id", "_rev"), ["_id", "_rev"], "left_semi")
 
     def _check(self, tree: Any, sort: Sequence | None, searched: bool) -> None:
-        from ..plans.selector import fields as read
-
         json_indexes = [set(x.fields) for x in self.list_indexes() if x.type == JSON]
-        if searched and not all(any(f in x for x in json_indexes) for f in read(tree)):
+        if searched and not all(any(f in x for x in json_indexes) for f in fields_of(tree)):
             raise QueryError("a text query has fields without an index")
-        wanted = {x[0] if isinstance(x, (tuple, list)) else x for x in sort or ()}
+        wanted = _sorted_fields(sort)
         if wanted and not any(wanted <= set(x.fields) for x in self.list_indexes()):
             raise QueryError("no index has all fields of the sort")
+
+
+def _sorted_fields(sort: Sequence | None) -> set[str]:
+    return {x[0] if isinstance(x, (tuple, list)) else next(iter(x)) if isinstance(x, dict) else x for x in sort or ()}

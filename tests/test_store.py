@@ -316,3 +316,37 @@ def test_find_reads_the_index_first(store, spark):
     folder = MaterialisedIndex(store, store.indexes.indexes["cargo"]).folder
     store.delete_index("cargo")
     assert not store.files.exists(folder) and fx.ids(store.find({"holds": "wool"})) == ["wren"]
+
+
+def test_an_indexed_find_parses_what_the_index_lets_through(spark, tmp_path):
+    """No parsing on the scan of the revisions, and only the parts that hold candidates are opened."""
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    for k in range(3):
+        store.create_many(spark.createDataFrame([(f"d{k}-{i}", f'{{"n": {100 * k + i}, "rig": "{"sloop" if i % 2 else "ketch"}", "deep": {{"x": [{i}, {k}]}}}}') for i in range(10)], "_id string, json string"))
+    store.create_json_index(["n"], "by n")
+    found = store.find({"$and": [{"n": {"$gte": 104}}, {"n": {"$lt": 107}}, {"rig": "sloop"}]})
+    assert fx.ids(found) == ["d1-5"]
+    assert {x.split("/revs/")[1].split("/")[0] for x in found.inputFiles() if "/revs/" in x} == {store.manifest["parts"]["revs"][1]}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsed = max(i for i, line in enumerate(plan) if "parse" in line and "son" in line)
+    assert parsed < min(i for i, line in enumerate(plan) if "Join" in line)  # above every join
+    assert store.find({"n": 7000}).count() == 0
+
+
+def test_a_covering_index_answers_alone(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    bodies = {f"d{i}": {"n": i, "rig": None if i % 4 == 0 else ["a", "b"] if i % 4 == 1 else "c", "deep": {"x": i % 3, "y": "big"}} for i in range(12)} | {"bare": {}}
+    import json
+
+    store.create_many(spark.createDataFrame([(k, json.dumps(v)) for k, v in bodies.items()], "_id string, json string"))
+    store.create_json_index(["n", "rig", "deep.x"], "cover")
+    store.delete("d3")
+    bodies.pop("d3")
+    for selector in ({"n": {"$gt": 4}}, {"rig": "a"}, {"rig": {"$exists": False}}, {"$or": [{"deep.x": 2}, {"n": 0}]}, {}):
+        found = store.find(selector, fields=["n", "rig"])
+        assert not [x for x in found.inputFiles() if "/revs/" in x]
+        assert fx.ids(found) == fx.matching(bodies, selector)
+    got = {r["_id"]: json.loads(r.j) for r in store.find({}, fields=["n", "rig"]).select("_id", F.to_json("body").alias("j")).collect()}
+    assert got == {k: {x: v[x] for x in ("n", "rig") if x in v} for k, v in bodies.items()}
+    assert [r["_id"] for r in store.find({"n": {"$gt": 8}}, fields=["n"], sort=[("n", "desc")]).collect()] == ["d11", "d10", "d9"]
+    assert [x for x in store.find({"n": 1}, fields=["n", "other"]).inputFiles() if "/revs/" in x]
