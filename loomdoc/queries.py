@@ -374,6 +374,29 @@ def store_find_indexed(spark, folder):
     return store.find({"c_mktsegment": "BUILDING", "c_acctbal": {"$gt": 5000}}).select(F.col("_id").alias("id"))
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, CAST(c_nationkey AS BIGINT) AS nation, round(c_acctbal * 100) AS cents FROM customer WHERE c_acctbal < 0 OR c_nationkey IN (3, 7)")
+def store_find_covering(spark, folder):
+    """A find that an index answers alone, as it has every field that is asked for."""
+    store = _customer_store(spark, folder, "covering")
+    store.create_json_index(["c_nationkey", "c_acctbal"], "by nation")
+    found = store.find({"$or": [{"c_acctbal": {"$lt": 0}}, {"c_nationkey": {"$in": [3, 7]}}]}, fields=["_id", "c_nationkey", "c_acctbal"])
+    return found.select(F.col("_id").alias("id"), F.try_variant_get("body", "$.c_nationkey", "bigint").alias("nation"), F.round(F.try_variant_get("body", "$.c_acctbal", "double") * 100).alias("cents"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, lang, tk FROM {_DOCS.replace("SELECT doc_id, ", "SELECT doc_id, lang, ")}), p AS (SELECT doc_id, unnest(tk) AS t, unnest(range(len(tk))) AS i FROM d),
+near AS (SELECT DISTINCT a.doc_id FROM (SELECT * FROM p WHERE t = 'the') a JOIN (SELECT * FROM p WHERE starts_with(t, 'fr')) b ON a.doc_id = b.doc_id AND abs(a.i - b.i) <= 101)
+SELECT CAST(doc_id AS VARCHAR) AS id FROM d WHERE lang = 'en' AND (contains(' ' || array_to_string(tk, ' ') || ' ', ' rights reserved ') OR doc_id IN (SELECT doc_id FROM near))""")
+def store_text_indexed(spark, folder):
+    """A search of stored documents by the postings of a text index, beside a condition on another field."""
+    from .sources.folders import fresh
+    from .sources.store import DocumentStore
+
+    store = DocumentStore(spark, fresh(spark, "searched"))
+    store.create_many(table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.to_json(F.struct("text", "lang")).alias("json")))
+    store.create_text_index(["text"], "words")
+    return store.find({"lang": "en", "$text": {"$search": '"rights reserved" OR the NEAR/100 fr*'}}).select(F.col("_id").alias("id"))
+
+
 @query("""SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey IN (1, 2) THEN 2 ELSE 1 END AS generation, c_custkey = 2 AS deleted, CASE WHEN c_custkey = 1 THEN 'moved' WHEN c_custkey = 2 THEN NULL ELSE c_mktsegment END AS segment FROM customer
 UNION ALL SELECT 'new', 1, false, 'added'""")
 def store_lifecycle(spark, folder):
@@ -399,6 +422,38 @@ def replication_filtered(spark, folder):
     return target.ids().select(F.col("_id").alias("id"))
 
 
+@query("SELECT event_id + 1 AS number, CAST(user_id AS VARCHAR) AS id, '1-' || md5(event_type) AS revid FROM events WHERE event_id + 1 > 900 AND event_type <> 'error' AND value > 40")
+def changes_source(spark, folder):
+    """Events as pages of a change feed, read in parallel from a sequence on, without deleted ones, and by a selector on the documents that the pages carry."""
+    from .sources import exchange, protocol
+    from .sources.folders import fresh
+
+    events = table(spark, folder, "events")
+    rows = events.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").cast("string").alias("_id"), F.array(F.concat(F.lit("1-"), F.md5("event_type"))).alias("revids"), (F.col("event_type") == "error").alias("deleted"), F.to_json(F.struct("value")).alias("json"))
+    protocol.change_pages(rows, 100).write.text(path := fresh(spark, "pages"))
+    exchange.register(spark)
+    exchange.index_pages(spark, path)
+    read = spark.read.format("loomdoc_changes").load(path).where("number > 900 AND NOT deleted")
+    return exchange.selected(read, {"value": {"$gt": 40}}).select("number", F.col("_id").alias("id"), F.element_at("revids", 1).alias("revid"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, '2-' || md5(c_name) AS revid, c_custkey % 5 = 0 AS deleted, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS segment FROM customer")
+def bulk_written(spark, folder):
+    """Customers written as bulk requests with their histories, and read back."""
+    from .sources import exchange, feeds, protocol
+    from .sources.folders import fresh
+
+    customers = table(spark, folder, "customer")
+    deleted = F.col("c_custkey") % 5 == 0
+    body = F.when(deleted, F.lit("{}")).otherwise(F.to_json(F.struct("c_mktsegment", "c_acctbal")))
+    rows = customers.select(F.col("c_custkey").cast("string").alias("_id"), F.array(F.lit("1-a"), F.concat(F.lit("2-"), F.md5("c_name"))).alias("history"), deleted.alias("deleted"), body.alias("json"))
+    exchange.register(spark)
+    path = fresh(spark, "requests")
+    rows.select(protocol.document().alias("value")).write.format("loomdoc_requests").option("kind", "bulk").option("size", 100).mode("append").save(path)
+    back = feeds.bulk_histories(spark.read.format("loomdoc_requests").load(path))
+    return back.select(F.col("_id").alias("id"), F.element_at("history", -1).alias("revid"), "deleted", F.get_json_object("json", "$.c_mktsegment").alias("segment"))
+
+
 @query("SELECT l_orderkey AS order_key, l_linenumber AS line, min(l_partkey * 1000000 + l_suppkey) AS kept FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def repair_duplicates(spark, folder):
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("rest")).distinct()
@@ -439,6 +494,29 @@ def stream_changes_latest(spark, folder):
     return latest_of_stream(revs).select(F.col("_id").alias("id"), F.col("sequence").alias("winner"), "deleted")
 
 
+_BRANCHED = f"""(SELECT conv_id, turn, revid, false AS deleted, conv_id * 100000 + turn AS seq, turn + 1 AS gen, split_part(revid, '-', 2) AS part FROM {_TURNS}
+UNION ALL SELECT conv_id, 1, '2-zz', conv_id % 6 = 0, conv_id * 100000 + 50000, 2, 'zz' FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0 AND conv_id % 3 = 0))"""
+
+
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS id, seq AS winner, revid, deleted FROM {_BRANCHED} a
+WHERE NOT EXISTS (SELECT 1 FROM {_BRANCHED} b WHERE b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND a.seq <> a.conv_id * 100000 + 50000 AND (b.seq <> b.conv_id * 100000 + 50000 OR a.turn = 0))
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY deleted ASC, gen DESC, part DESC) = 1""")
+def stream_winners_tree(spark, folder):
+    """Winners of trees whose revisions come in batches and out of order; every third conversation has a second branch from its first turn, dead in half of them."""
+    from .sources.folders import fresh
+    from .streaming.winners import winners_of_stream
+
+    turns = _turns(spark, folder)
+    first = turns.where((F.col("sequence") % 100_000 == 0) & (F.col("_id").cast("bigint") % 3 == 0))
+    branch = first.select(
+        (F.col("sequence") + 50_000).alias("sequence"), "_id", F.col("sequence").alias("parent"), F.lit("2-zz").alias("revid"), (F.col("_id").cast("bigint") % 6 == 0).alias("deleted"), "available", "json"
+    )
+    dealt = turns.unionByName(branch).drop("json", "available").withColumn("_batch", F.pmod(F.xxhash64("sequence"), F.lit(4)))
+    dealt.repartition(4, "_batch").drop("_batch").write.parquet(path := fresh(spark, "trees"))
+    stream = spark.readStream.schema("sequence bigint, _id string, parent bigint, revid string, deleted boolean").option("maxFilesPerTrigger", 2).parquet(path)
+    return winners_of_stream(stream).select(F.col("_id").alias("id"), F.col("sequence").alias("winner"), "revid", "deleted")
+
+
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
 def scan_paged(spark, folder):
     return find(table(spark, folder, "orders"), {}, skip=100, limit=50, fields=["o_orderkey", "o_custkey", "o_totalprice"], sort=["o_orderkey"])
