@@ -162,10 +162,16 @@ def read_avi(data: bytes) -> tuple[list[bytes], float]:
 
 
 def _listed(data: bytes, low: int, high: int, tags: tuple[bytes, bytes]) -> Iterator[tuple[int, int]]:
-    """Places of the stream's chunks in a list and the `rec ` lists in it."""
-    for name, at, n in _walk(data, low, high):
+    """Places of the stream's chunks in a list and the `rec ` lists in it, however deep these are."""
+    open_lists = [_walk(data, low, high)]
+    while open_lists:
+        found = next(open_lists[-1], None)
+        if found is None:
+            open_lists.pop()
+            continue
+        name, at, n = found
         if name == b"LIST" and data[at : at + 4] == b"rec ":
-            yield from _listed(data, at + 4, at + n, tags)
+            open_lists.append(_walk(data, at + 4, at + n))
         elif name in tags:
             yield at, n
 
@@ -265,14 +271,22 @@ def decode_frames(frames: list[bytes], headers: Headers) -> list[np.ndarray]:
     return out
 
 
+#: What reading a damaged file can raise: numbers that make no sense, tables that are not there, data that ends early.
+DAMAGED = (ValueError, ArithmeticError, LookupError, TypeError, struct.error, MemoryError)
+
+
+def _said(error: Exception) -> str:
+    return str(error) if isinstance(error, ValueError) else f"damaged: {type(error).__name__}"
+
+
 def decode_files(files: list[bytes]) -> Iterator[tuple[list[np.ndarray] | None, float, str]]:
     """For each AVI file its frames' samples, its microseconds per frame and `ok`; or None, 0 and what is wrong with it."""
     headers, read = Headers(), []
     for x in files:
         try:
             read.append((*read_avi(x), "ok"))
-        except ValueError as error:
-            read.append(([], 0.0, str(error)))
+        except DAMAGED as error:
+            read.append(([], 0.0, _said(error)))
     for group in _groups([len(x) for x, _, _ in read]):
         try:
             # The usual case: all frames of the group at once.
@@ -282,13 +296,13 @@ def decode_files(files: list[bytes]) -> Iterator[tuple[list[np.ndarray] | None,
                 frames, delay, status = read[i]
                 yield (samples[at : at + len(frames)], delay, "ok") if frames else (None, 0.0, status if status != "ok" else "no frames")
                 at += len(frames)
-        except ValueError:
+        except DAMAGED:
             for i in group:
                 frames, delay, status = read[i]
                 try:
                     yield (decode_frames(frames, headers), delay, "ok") if frames else (None, 0.0, status if status != "ok" else "no frames")
-                except ValueError as error:
-                    yield None, 0.0, str(error)
+                except DAMAGED as error:
+                    yield None, 0.0, _said(error)
 
 
 def _groups(sizes: list[int]) -> Iterator[list[int]]:

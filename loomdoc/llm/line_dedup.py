@@ -109,6 +109,10 @@ class PerfectHash:
         return out
 
 
+#: Counts are kept in 32 bits; higher ones as this one.
+MOST_DOCS = (1 << 32) - 1
+
+
 class Shard:
     """The perfect hash of a shard's keys and arrays in its order."""
 
@@ -116,7 +120,9 @@ class Shard:
         self.hash = PerfectHash(high)
         order = np.empty(len(high), dtype=np.int64)
         order[self.hash(high)] = np.arange(len(high))
-        self.low, self.docs, self.last = low[order], docs[order].astype(np.uint32), last[order]
+        self.low, self.last = low[order], last[order]
+        # A count beyond 32 bits stays beyond every bound that is asked for.
+        self.docs = np.minimum(docs[order], MOST_DOCS).astype(np.uint32)
 
     def to_bytes(self) -> bytes:
         heads = np.array([len(self.low), len(self.hash.levels), *(len(x) for x in self.hash.levels)], dtype=np.int64)
@@ -246,7 +252,7 @@ def routed(docs: DataFrame, path: str, n_shards: int, least_chars: int, least_do
         for batch in batches:
             counts, last = probe(*(batch.column(x).to_numpy().view(np.uint64) for x in ("high", "low")))
             own = batch.column("doc_id").fill_null(_NO_ID).to_numpy()
-            yield batch.select(["h1", "h2", "doc_id", "high", "low"]).filter(pa.array((counts >= least_docs) & (last != own)))
+            yield batch.select(["h1", "h2", "doc_id", "high", "low"]).filter(pa.array((counts >= min(least_docs, MOST_DOCS)) & (last != own)))
 
     found = docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lines, "h1 bigint, h2 bigint, doc_id bigint, high bigint, low bigint")
     dealt = found.distinct().select("*", _shard_of("high", n_shards), F.pmod("h1", F.lit(SALTS)).alias("_salt")).repartition(n_shards * SALTS, "shard", "_salt").sortWithinPartitions("shard")
@@ -284,7 +290,7 @@ def _dedup(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LE
                 if direct:
                     counts, last = probe(high, low)
                     ids = [_NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
-                    hits = [k for k in np.flatnonzero(counts >= least_docs) if last[k] != ids[where[k][0]]]
+                    hits = [k for k in np.flatnonzero(counts >= min(least_docs, MOST_DOCS)) if last[k] != ids[where[k][0]]]
                 else:
                     own = [x and {(g["high"], g["low"]) for g in x} for x in batch.column("gone").to_pylist()]
                     hits = [k for k, x in enumerate(zip(high.view(np.int64).tolist(), low.view(np.int64).tolist(), strict=True)) if x in own[where[k][0]]]

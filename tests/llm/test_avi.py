@@ -96,6 +96,34 @@ def test_damaged_cells_have_a_status(spark):
     assert all((r.clip is None) == (r.status != "ok") for r in rows)
 
 
+def test_every_mutation_has_a_status():
+    """5000 damaged files: each gets its samples or a status, and nothing is raised."""
+    draw, marks = random.Random(5), [b"\xff\xff\xff\xff", b"\0\0\0\0", b"LIST", b"rec ", b"\x80\0\0\0"]
+    base = [next(avi.encode_payloads([bytes(draw.randrange(256) for _ in range(576)) * k])) for k in (1, 2, 3)]
+    statuses = set()
+    for _ in range(5000):
+        x = bytearray(draw.choice(base))
+        for _ in range(draw.randint(1, 6)):
+            how, i = draw.randrange(4), draw.randrange(len(x))
+            if how == 0:
+                x[i] = draw.randrange(256)
+            elif how == 1:
+                x[i : i + 4] = draw.choice(marks)
+            elif how == 2:
+                del x[i : i + draw.randint(1, 40)]
+            else:
+                x[i:i] = x[draw.randrange(len(x)) :][: draw.randint(1, 40)]
+        [(frames, _, status)] = avi.decode_files([bytes(x)])
+        assert (frames is None) == (status != "ok")
+        statuses.add(status)
+    assert any(x.startswith("damaged") for x in statuses)
+
+
+def test_lists_in_lists_without_end():
+    deep = b"".join(b"LIST" + (12 * k).to_bytes(4, "little") + b"rec " for k in range(20000, 0, -1))
+    assert list(avi._listed(deep, 0, len(deep), (b"00dc", b"00db"))) == []
+
+
 def encode_baseline(planes, sampling, quantiser=None, tables=True, restart=0):
     """A plain encoder of the baseline process with the standard Huffman tables: planes of whole units, (across, down) of each."""
     quantiser = np.full(64, 2) if quantiser is None else quantiser

@@ -86,3 +86,15 @@ def test_perfect_hash_is_minimal_and_probes_are_exact():
 
 def test_empty_table(empty):
     assert line_dedup.digest(empty).count() == 0
+
+
+def test_counts_beyond_32_bits():
+    """A line of 2**32 and more documents is as repeated as one of fewer."""
+    import numpy as np
+
+    keys = np.arange(5, dtype=np.uint64)
+    docs = np.array([1, 5, 2**32 - 1, 2**32 + 2, 2**40], dtype=np.int64)
+    shard = line_dedup.Shard.from_bytes(line_dedup.Shard(keys, keys, docs, keys.view(np.int64)).to_bytes())
+    found, last = shard.probe(keys, keys)
+    assert found.tolist() == [1, 5, 2**32 - 1, 2**32 - 1, 2**32 - 1] and last.tolist() == list(range(5))
+    assert (found >= 5).tolist() == [False, True, True, True, True]
