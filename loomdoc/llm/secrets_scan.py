@@ -1,14 +1,17 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two order-1 character models, of random strings and of ordinary identifiers,
-are trained from labelled samples; a candidate token whose log-likelihood ratio
-per character is above a threshold is a span of kind `random`.  Candidates are the
+are trained from labelled samples.  Candidates are the
 runs of CANDIDATE characters, at least LEAST_CANDIDATE of them; any other character ends one, so the
 parts of a dotted token are scored one by one.  Of a run that a span found by a pattern covers in
 part, each stretch left over is a candidate of its own.
 
-Shorter runs are not scored, as a ratio over so few characters tells little.  Universally unique ids in their usual form (8-4-4-4-12
-hexadecimal digits) are names of things, not secrets, and no candidates; written without dashes they are base spans.
+A run falls into parts at `/`, `=`, `_`, `-` and `+`, as paths, assignments and identifiers do.  A stretch of neighbouring parts is a span of kind `random` if
+it has LEAST_CANDIDATE characters or more and their log-likelihood ratios are THRESHOLD or more on average.  Of a run the stretch with the largest sum goes first, then
+those of what is left on either side: a key in a path or behind an identifier is found without these, and a key that has such signs stays in one piece.
+
+Shorter stretches are not scored, as a ratio over so few characters tells little.  Universally unique ids in their usual form (8-4-4-4-12
+hexadecimal digits) are names of things, not secrets, and no spans; written without dashes they are base spans.
 
 Defined results: a null text is empty; positions are code points, ends are
 exclusive; equal texts get equal results; an empty table gives no rows; `redact` keeps the columns of docs whatever their names.
@@ -40,6 +43,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_CANDIDATE = 16
 UUID = re.compile(r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}")
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_CANDIDATE},}}")
+#: Where a run falls into parts: each of these signs is a part of its own.
+PART = re.compile(r"[A-Za-z0-9]+|[+/_=-]")
 
 CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 THRESHOLD = 0.35
@@ -62,6 +67,11 @@ class CharacterModels:
         """0 stands for the start and for any other character."""
         return np.array([0, *(CLASSES.find(c) + 1 for c in text)])
 
+    def sums(self, text: str) -> np.ndarray:
+        """Sums of the log-likelihood ratios of the first 0, 1, 2, ... characters."""
+        code = self.codes(text)
+        return np.concatenate([[0.0], np.cumsum(self.ratio[code[:-1], code[1:]])])
+
     def score(self, text: str) -> float:
         """Mean log-likelihood ratio per character; above 0 the string looks random."""
         code = self.codes(text)
@@ -113,7 +123,7 @@ PROSE = (
 
 
 def labelled_samples(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
-    """n random strings (label 1) over common secret alphabets and n identifiers and long words (label 0) joined from stems."""
+    """n random strings (label 1) over common secret alphabets, n identifiers and long words (label 0) joined from stems, and n // 2 rules, sequences and paths (label 0)."""
     draw = random.Random(seed)
     lower, upper, digits = CLASSES[:26], CLASSES[26:52], CLASSES[52:62]
     alphabets = [lower + upper + digits, lower + upper, lower + upper + digits + "+/", lower + upper + digits + "_-", lower + digits, upper + digits, digits + "abcdef"]
@@ -135,6 +145,16 @@ def labelled_samples(n: int = 4000, seed: int = 17) -> list[tuple[str, int]]:
             text = "".join(draw.choices(draw.choice(PROSE), k=draw.randint(2, 6)))
             text = text if kind == 5 else text.capitalize() if kind == 6 else text.upper()
         out.append((text + (str(draw.randint(1, 2030)) if draw.random() < 0.2 else ""), 0))
+    # Rules of one or two signs, alphabets and numbers in order, assignments of paths with short names: regular, though no identifier has them.
+    for k in range(n // 2):
+        if k % 3 == 2:
+            parts = [draw.choice([draw.choice(lower), draw.choice(STEMS), draw.choice(upper)]) for _ in range(draw.randint(3, 12))]
+            text = draw.choice(STEMS) + draw.choice(["=", "=/", "/", "_=", "-"]) + draw.choice(["/", "/", "-", "_"]).join(parts) + draw.choice(["", "/"])
+        elif k % 3:
+            text = "".join(draw.choices(CLASSES, k=draw.choice([1, 1, 1, 2]))) * 48
+        else:
+            text = draw.choice([lower, upper, digits, lower + upper + digits, "qwertyuiopasdfghjklzxcvbnm", "qwertyuiopasdfghjklzxcvbnm".upper()]) * 2
+        out.append((text[: draw.randint(LEAST_CANDIDATE, 48)], 0))
     return out
 
 
@@ -151,12 +171,43 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def stretches(text: str, models: CharacterModels, threshold: float) -> list[tuple[int, int]]:
+    """The random stretches of a run, in order: the one whose ratios exceed half the threshold most in sum, then those beside it."""
+    at = [0, *(m.end() for m in PART.finditer(text))]
+    ratios = models.sums(text)[at]
+    sums = ratios - (threshold / 2) * np.array(at)
+    out, waiting = [], [(0, len(at) - 1)]
+    while waiting:
+        low, high = waiting.pop()
+        if at[high] - at[low] < LEAST_CANDIDATE:
+            continue
+        # The best stretch with enough characters: for each end the least sum before a start that is far enough.
+        best, first, least, i = None, low, low, low
+        for j in range(low + 1, high + 1):
+            while i < j and at[j] - at[i] >= LEAST_CANDIDATE:
+                if i == low or sums[i] < sums[least]:
+                    least = i
+                i += 1
+            if i > low and (best is None or sums[j] - sums[least] >= best[0]):
+                best = (sums[j] - sums[least], least, j)
+        if best is None:
+            continue
+        _, first, last = best
+        piece = text[at[first] : at[last]]
+        if ratios[last] - ratios[first] >= threshold * len(piece):
+            if not UUID.fullmatch(piece.strip("+/_=-")):
+                out.append((at[first], at[last]))
+            waiting += [(low, first), (last, high)]
+    return sorted(out)
+
+
 def model_spans(text: str, models: CharacterModels, base: list[tuple[int, int, int]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Candidates, or what base spans leave of them, that look random."""
+    """Random stretches of candidates, or of what base spans leave of them."""
     out, at = [], 0
     for start, _, end in [*base, (len(text), 0, len(text))]:
         if start - at >= LEAST_CANDIDATE:
-            out += [m.span() for m in CANDIDATE.finditer(text, at, start) if models.score(m[0]) >= threshold and not UUID.fullmatch(m[0])]
+            for m in CANDIDATE.finditer(text, at, start):
+                out += [(m.start() + s, m.start() + e) for s, e in stretches(m[0], models, threshold)]
         at = max(at, end)
     return out
 

@@ -1,7 +1,10 @@
 import hashlib
 import random
+import re
 import uuid
 
+import pytest
+
 from loomdoc.llm import secrets_scan
 
 from .conftest import same, sentence
@@ -104,21 +107,36 @@ def test_candidates_are_whole():
     assert found("my_password=abcdefghijklmnop and this_is_an_ordinary_name.of_some_module_or_other") == ["password=abcdefghijklmnop"]
 
 
+def plain_stretches(text, models):
+    """Random stretches of a run: of all rows of neighbouring parts the one with the largest sum, then the same on both sides of it."""
+    parts = re.findall(r"[A-Za-z0-9]+|[+/_=-]", text)
+    codes = [0, *(secrets_scan.CLASSES.index(c) + 1 for c in text)]
+    ratio = [float(models.ratio[a, b]) for a, b in zip(codes, codes[1:], strict=False)]
+    at = [sum(map(len, parts[:k])) for k in range(len(parts) + 1)]
+
+    def found(low, high):
+        rows = [(sum(r - secrets_scan.THRESHOLD / 2 for r in ratio[at[i] : at[j]]), i, j) for i in range(low, high) for j in range(i + 1, high + 1) if at[j] - at[i] >= 16]
+        if not rows:
+            return []
+        _, i, j = max(rows)
+        if sum(ratio[at[i] : at[j]]) < secrets_scan.THRESHOLD * (at[j] - at[i]):
+            return []
+        groups = [len(x) if set(x.lower()) <= set("0123456789abcdef") else 0 for x in text[at[i] : at[j]].strip("+/_=-").split("-")]
+        return found(low, i) + ([(at[i], at[j])] if groups != [8, 4, 4, 4, 12] else []) + found(j, high)
+
+    return found(0, len(parts))
+
+
 def plain_model_spans(text, models):
-    """Random spans, candidate by candidate: characters that no base span covers, cut at others and at base spans, scored one transition at a time."""
+    """Random spans, candidate by candidate: characters that no base span covers, cut at others and at base spans."""
     covered = {i for s, _, e in secrets_scan.base_spans(text) for i in range(s, e)}
     out, at = [], 0
     while at < len(text):
         end = at
         while end < len(text) and end not in covered and text[end] in secrets_scan.CLASSES:
             end += 1
-        part = text[at:end]
-        if len(part) >= 16:
-            codes = [0, *(secrets_scan.CLASSES.index(c) + 1 for c in part)]
-            score = sum(models.ratio[a, b] for a, b in zip(codes, codes[1:], strict=False)) / len(part)
-            groups = [len(x) if set(x.lower()) <= set("0123456789abcdef") else 0 for x in part.split("-")]
-            if score >= secrets_scan.THRESHOLD and groups != [8, 4, 4, 4, 12]:
-                out.append((at, end))
+        if end - at >= 16:
+            out += [(at + s, at + e) for s, e in plain_stretches(text[at:end], models)]
         at = max(end, at + 1)
     return out
 
@@ -179,3 +197,24 @@ def test_redaction_keeps_the_rest(docs, rows):
 
 def test_empty_table(empty):
     assert secrets_scan.digest(empty).count() == 0
+
+
+@pytest.mark.parametrize("form", ["https://example.com/api/v2/users/{}/profile", "url=/a/b/{}/c", "AUTH_SERVICE_CLIENT_CREDENTIAL_VALUE_{}", "callback_handler_function_name={}", "my-service-key-{}-prod", "the {} is"])
+@pytest.mark.parametrize("size", [16, 20, 24, 32, 40])
+def test_keys_in_paths_and_identifiers(form, size):
+    """Keys among ordinary parts of one run are found, nearly whole, and little else of the run with them."""
+    draw, models = random.Random(size), secrets_scan.CharacterModels(secrets_scan.labelled_samples())
+    hits = 0
+    for _ in range(200):
+        key = "".join(draw.choices(secrets_scan.CLASSES[:62], k=size))
+        text = form.format(key)
+        at = text.index(key)
+        spans = [(s, e) for _, s, e in secrets_scan.spans_of(text, models)]
+        hits += any(s <= at + 1 and e >= at + size - 1 and e - s <= size + 4 for s, e in spans)
+    assert hits / 200 > 0.9
+
+
+def test_rules_and_sequences_are_no_keys():
+    models = secrets_scan.CharacterModels(secrets_scan.labelled_samples())
+    for text in ("-" * 23, "=" * 40, "_" * 30, "A" * 20, "x" * 20, "/" * 21, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "+-----+-----+-----+-----+", "qwertyuiopasdfghjklzxcvbnm", "this/is/a/long/path/with/many/parts/index"):
+        assert secrets_scan.spans_of(text, models) == []
