@@ -8,13 +8,15 @@ needs a document's revisions in one task, but `paths` and `resolve`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.revisions import generation, suffix
+from ..functions.revisions import check_body, generation, split_revid, suffix
 from ..plans.errors import QueryError
 from ..sources import folders
 
@@ -210,11 +212,11 @@ def changes(revs: DataFrame, since: int, limit: int, current: DataFrame | None =
     return shown.join(changed, "_id").orderBy("last_sequence")
 
 
-def resolve(revs: DataFrame, resolver: Callable[[str, list[dict]], str | None]) -> DataFrame:
-    """_id, kept and losers of conflicted documents, as resolver(id, its live leaves by revision id) decides.
+def resolve(revs: DataFrame, resolver: Callable[[str, list[dict]], Any]) -> DataFrame:
+    """_id, kept, losers and body of conflicted documents, as resolver(id, its live leaves by revision id) decides.
 
-    The resolver returns the revision id that stays; None, an unknown id or an error
-    leaves the conflict.  Only the leaves of conflicted documents are gathered, one row
+    The resolver returns the revision id that stays, a new body (a dict, which goes under the winner), or both as a pair; None, an unknown id, a body
+    that is none, or an error leaves the conflict.  Only the leaves of conflicted documents are gathered, one row
     per document, and resolved in Arrow batches.
     """
     live_leaves = leaves(revs).where(~F.col("deleted"))
@@ -223,17 +225,21 @@ def resolve(revs: DataFrame, resolver: Callable[[str, list[dict]], str | None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, kept, losers = [], [], []
+            out: tuple[list, list, list, list] = ([], [], [], [])
             for name, own in zip(batch.column("_id").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
                 ids = [x["revid"] for x in own]
                 try:
-                    stays = resolver(name, own)
+                    decided = resolver(name, own)
+                    stays, body = decided if isinstance(decided, tuple) else (None, decided) if isinstance(decided, dict) else (decided, None)
+                    text = None if body is None else json.dumps(check_body(body))
+                    if stays is None and body is not None:
+                        stays = max(ids, key=split_revid)
                 except Exception:  # a resolver that fails leaves the conflict, by contract
                     stays = None
                 if stays in ids:
-                    names.append(name)
-                    kept.append(stays)
-                    losers.append([x for x in ids if x != stays])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kept, pa.string()), pa.array(losers, pa.list_(pa.string()))], ["_id", "kept", "losers"])
+                    for column, value in zip(out, (name, stays, [x for x in ids if x != stays], text), strict=True):
+                        column.append(value)
+            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["_id", "kept", "losers", "body"])
 
-    return gathered.mapInArrow(run, "_id string, kept string, losers array<string>")
+    return gathered.mapInArrow(run, "_id string, kept string, losers array<string>, body string")

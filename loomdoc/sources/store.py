@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import json
 import operator
+import time
 import uuid
+import zlib
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 from typing import Any
@@ -47,6 +49,20 @@ SCHEMAS = {
 
 #: Ranges of sequences, one for each part, that are filtered one by one.
 MOST_RANGES = 64
+#: Versions between whole manifests; hashes that a part's ids are told apart by; revisions in a bucket of a compacted part, and most buckets.
+CHECKPOINT, ID_BITS, BUCKET_ROWS, MOST_BUCKETS = 16, 61, 100_000, 1024
+
+
+def _empty(key: str | None) -> dict:
+    return {"parts": {k: [] for k in SCHEMAS}, "facts": {}, "last_sequence": -1, "indexes": [], "key": key}
+
+
+def _applied(manifest: dict, change: dict) -> dict:
+    """The manifest after a change."""
+    parts = {k: [*([] if k in change["replaced"] else v), *change["added"].get(k, [])] for k, v in manifest["parts"].items()}
+    named = {x for own in parts.values() for x in own}
+    facts = {k: v for k, v in (manifest["facts"] | change["facts"]).items() if k in named}
+    return {"parts": parts, "facts": facts, **{k: change[k] for k in ("last_sequence", "indexes", "key")}}
 
 
 class Files:
@@ -93,7 +109,8 @@ class DocumentStore:
         if key is not None and len(key) not in (16, 24, 32):
             raise QueryError("a key has 16, 24 or 32 bytes")
         self.files = Files(spark, self.path)
-        self.manifest = {"parts": {k: [] for k in SCHEMAS}, "ranges": {}, "last_sequence": -1, "indexes": [], "key": self._key_check()}
+        self.manifest = _empty(self._key_check())
+        self.version = 0
         self.refresh()
         if self.manifest.get("key") != self._key_check():
             raise QueryError("the store was made with another key")
@@ -115,60 +132,156 @@ class DocumentStore:
 
     def table(self, name: str) -> DataFrame:
         """All rows of a table in this version."""
-        parts = self.manifest["parts"][name]
-        if not parts:
+        return self._read(name, self.manifest["parts"][name])
+
+    def _read(self, name: str, parts: Sequence[str], bucket: int | None = None) -> DataFrame:
+        """Rows of parts; with a bucket only the files of ids that fall in it, where a part has such files."""
+        paths = []
+        for part in parts:
+            path, buckets = f"{self.path}/{name}/{part}", self._facts(part).get("buckets")
+            if bucket is None or not buckets:
+                paths.append(path)
+            elif self.files.exists(path := f"{path}/_b={bucket % buckets}"):
+                paths.append(path)
+        if not paths:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*[f"{self.path}/{name}/{x}" for x in parts])
+        # Folders of buckets are no columns.
+        return self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(*paths)
+
+    def _facts(self, part: str) -> dict:
+        return self.manifest["facts"].get(part, {})
 
     def _parts(self, low: int, high: int) -> list[str]:
         """Parts of revs that can have a sequence from low to high."""
-        ranges = self.manifest.get("ranges", {})
-        return [x for x in self.manifest["parts"]["revs"] if x not in ranges or ranges[x][0] <= high and ranges[x][1] >= low]
+        ranges = ((x, self._facts(x).get("sequences")) for x in self.manifest["parts"]["revs"])
+        return [x for x, r in ranges if r is None or r[0] <= high and r[1] >= low]
 
-    def _read(self, parts: Sequence[str]) -> DataFrame:
-        return self.spark.read.schema(SCHEMAS["revs"]).parquet(*[f"{self.path}/revs/{x}" for x in parts]) if parts else self.spark.createDataFrame([], SCHEMAS["revs"])
+    def _of_id(self, name: str, doc_id: str) -> DataFrame:
+        """A table's rows of one document, from the parts, and of bucketed parts the files, that can have them."""
+        bucket = zlib.crc32(doc_id.encode())
+        known = ((x, self._facts(x).get("ids")) for x in self.manifest["parts"][name])
+        parts = [x for x, f in known if f is None or f[0] is not None and f[0] <= doc_id <= f[1] and f[2] >> bucket % ID_BITS & 1]
+        return self._read(name, parts, bucket).where(F.col("_id") == doc_id)
 
     def revisions(self, low: int, high: int) -> DataFrame:
         """Revisions with a sequence from low to high, from the parts that can have them."""
-        return self._read(self._parts(low, high)).where((F.col("sequence") >= low) & (F.col("sequence") <= high))
+        return self._read("revs", self._parts(low, high)).where((F.col("sequence") >= low) & (F.col("sequence") <= high))
+
+    def _facts_of(self, name: str, rows: DataFrame | list) -> dict:
+        """What a part is chosen by: the range of its sequences, the range of its ids and a bit for each of the ID_BITS hashes that they have."""
+        if name not in ("revs", "current"):
+            return {}
+        if isinstance(rows, list):
+            ids, sequences = [r[1 if name == "revs" else 0] for r in rows], [r[0] for r in rows]
+            bits = reduce(operator.or_, (1 << zlib.crc32(x.encode()) % ID_BITS for x in ids), 0)
+            found = (min(ids, default=None), max(ids, default=None), bits, min(sequences, default=None), max(sequences, default=None))
+        else:
+            bit = F.bit_or(F.expr(f"shiftleft(1L, cast(crc32(cast(_id as binary)) % {ID_BITS} as int))"))
+            found = rows.agg(F.min("_id"), F.max("_id"), bit, F.min("sequence"), F.max("sequence")).first()
+        facts = {"ids": [found[0], found[1], found[2] or 0]}
+        return {**facts, "sequences": [0, -1] if found[3] is None else [found[3], found[4]]} if name == "revs" else facts
 
-    def commit(self, added: dict[str, DataFrame | list], replaced: Iterable[str] = (), ready: dict[str, str] | None = None) -> None:
+    def commit(self, added: dict[str, DataFrame | list], replaced: Iterable[str] = (), ready: dict[str, str] | None = None, buckets: int = 0) -> None:
         """Publishes a version with more rows; the parts of replaced tables are dropped from it, and ready ones (table -> part) are there already.
+        With buckets, tables of documents are written in so many folders by id.
 
-        If another writer was first, this handle takes that writer's state and nothing of
-        its own stays visible: its parts are in no manifest.
+        A version is a line of a log: the parts that it adds, or every CHECKPOINT versions all parts.  If another writer was first, this handle takes
+        that writer's state and nothing of its own stays visible: its parts are in no manifest.
         """
-        parts = {k: [] if k in replaced else list(v) for k, v in self.manifest["parts"].items()}
-        last, ranges = self.manifest["last_sequence"], dict(self.manifest.get("ranges", {}))
+        new, facts = {name: [part] for name, part in (ready or {}).items()}, {}
         for name, rows in added.items():
-            df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name])
+            df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)  # lists are of single writes
             part = f"part-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
-            df.write.parquet(f"{self.path}/{name}/{part}")
-            ready = {**(ready or {}), name: part}
+            path = f"{self.path}/{name}/{part}"
+            if buckets and name in ("revs", "current"):
+                dealt = df.withColumn("_b", (F.crc32(F.col("_id").cast("binary")) % buckets).cast("int")).repartition("_b").sortWithinPartitions("_b", "sequence")
+                dealt.write.option("parquet.bloom.filter.enabled#_id", "true").partitionBy("_b").parquet(path)
+                facts[part] = {"buckets": buckets}
+            else:
+                df.write.option("parquet.bloom.filter.enabled#_id", "true").parquet(path)
+            new[name] = [*new.get(name, []), part]
+            facts[part] = facts.get(part, {}) | self._facts_of(name, rows if isinstance(rows, list) else self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(path))
         for name, part in (ready or {}).items():
-            parts[name].append(part)
-            if name == "revs":
-                low, high = self._read([part]).agg(F.min("sequence"), F.max("sequence")).first()
-                last = max(last, -1 if high is None else high)
-                ranges[part] = [0, -1] if high is None else [low, high]
+            facts[part] = self._facts_of(name, self._read(name, [part]))
+        # A part without rows has no folder for a bucket to be read from.
+        facts = {k: {x: y for x, y in v.items() if x != "buckets" or v["ids"][0] is not None} for k, v in facts.items() if v}
+        last = max([self.manifest["last_sequence"], *(x["sequences"][1] for x in facts.values() if "sequences" in x)])
         indexes = [{"name": x.name, "fields": x.fields, "type": x.type, "tokenizer": [x.tokenizer.name, x.tokenizer.arguments] if x.tokenizer else None} for x in self.indexes.indexes.values()]
-        ranges = {k: v for k, v in ranges.items() if k in parts["revs"]}
-        manifest = {"parts": parts, "ranges": ranges, "last_sequence": last, "indexes": indexes, "key": self._key_check()}
+        change = json.loads(json.dumps({"added": new, "replaced": list(replaced), "facts": facts, "last_sequence": last, "indexes": indexes, "key": self._key_check()}))
+        manifest = _applied(self.manifest, change)
+        whole = replaced or (self.version + 1) % CHECKPOINT == 0
         try:
-            self.files.publish(f"{self.path}/manifest/{self.version + 1:012d}.json", json.dumps(manifest))
+            self.files.publish(f"{self.path}/manifest/{self.version + 1:012d}.json", json.dumps({"whole": manifest} if whole else change))
         except ConflictError:
             self.refresh()
             raise
         self.version, self.manifest = self.version + 1, manifest
 
+    def _versions(self) -> list[int]:
+        return sorted(int(x[:-5]) for x in self.files.names(f"{self.path}/manifest") if x.endswith(".json"))
+
+    def _manifest(self, version: int) -> dict:
+        """The state of a version: the last whole one and the changes since."""
+        changes = []
+        while version:
+            line = json.loads(self.files.read(f"{self.path}/manifest/{version:012d}.json"))
+            if "whole" in line:
+                return reduce(_applied, reversed(changes), line["whole"])
+            changes.append(line)
+            version -= 1
+        return reduce(_applied, reversed(changes), _empty(self._key_check()))
+
     def refresh(self) -> None:
         """Takes the newest published version."""
-        versions = [int(x[:-5]) for x in self.files.names(f"{self.path}/manifest") if x.endswith(".json")]
-        self.version = max(versions, default=0)
-        if versions:
-            self.manifest = json.loads(self.files.read(f"{self.path}/manifest/{self.version:012d}.json"))
+        newest = max(self._versions(), default=0)
+        if newest:
+            self.version, self.manifest = newest, self._manifest(newest)
         self.indexes = Catalog([Index(x["name"], tuple(x["fields"]), x["type"], Tokenizer(*x["tokenizer"]) if x["tokenizer"] else None) for x in self.manifest["indexes"]])
 
+    # Versions that are held, and what nobody reads any more
+
+    def hold(self, seconds: float = 3600) -> str:
+        """Keeps this version's files until released, or for some seconds if the holder is lost; the name of the lease."""
+        until = int((time.time() + seconds) * 1000)
+        name = f"{self.version:012d}-{until:015d}-{uuid.uuid4().hex}"
+        self.files.publish(f"{self.path}/leases/{name}", "")
+        return name
+
+    def release(self, lease: str) -> None:
+        self.files.delete(f"{self.path}/leases/{lease}")
+
+    def expire(self) -> int:
+        """Deletes what neither this version nor a held one names: parts, manifests, leases that have run out; the number of deleted parts.
+
+        Parts that writers have begun for a later version stay.  Readers of older versions that hold no lease may find their files gone.
+        """
+        self.refresh()
+        held = {self.version}
+        for lease in self.files.names(f"{self.path}/leases"):
+            version, until, _ = lease.split("-")
+            if int(until) < time.time() * 1000:
+                self.files.delete(f"{self.path}/leases/{lease}")
+            else:
+                held.add(int(version))
+        named = {name: set() for name in SCHEMAS}
+        for version in held:
+            for name, parts in self._manifest(version)["parts"].items() if version else ():
+                named[name] |= set(parts)
+        gone = 0
+        for name in SCHEMAS:
+            for part in self.files.names(f"{self.path}/{name}"):
+                if part not in named[name] and int(part.split("-")[1]) <= self.version:
+                    self.files.delete(f"{self.path}/{name}/{part}")
+                    gone += 1
+        # Of the log stays what the oldest held version is made from.
+        versions, floor = self._versions(), min(held)
+        while floor and "whole" not in json.loads(self.files.read(f"{self.path}/manifest/{floor:012d}.json")):
+            floor -= 1
+        for version in versions:
+            if version < floor:
+                self.files.delete(f"{self.path}/manifest/{version:012d}.json")
+        return gone
+
     @property
     def revs(self) -> DataFrame:
         return self.table("revs")
@@ -197,15 +310,14 @@ class DocumentStore:
         are left after the joins are parsed.
         """
         asked = sequences.select("sequence")
-        ranges = self.manifest.get("ranges", {})
-        lows = sorted((ranges[x][0], x) for x in self.manifest["parts"]["revs"] if x in ranges)
-        if not lows or len(lows) < len(self.manifest["parts"]["revs"]):
+        lows = sorted((self._facts(x)["sequences"][0], x) for x in self.manifest["parts"]["revs"])
+        if not lows:
             rows = self.revs
         else:
             # One row for each part, not for each sequence, comes to the driver.
             of = F.size(F.filter(F.array(*[F.lit(low).cast("bigint") for low, _ in lows]), lambda x: x <= F.col("sequence")))
             held = asked.groupBy(of.alias("part")).agg(F.min("sequence").alias("low"), F.max("sequence").alias("high")).where("part > 0").collect()
-            rows = self._read([lows[r.part - 1][1] for r in held])
+            rows = self._read("revs", [lows[r.part - 1][1] for r in held])
             if held:
                 within = [(r.low, r.high) for r in held] if len(held) <= MOST_RANGES else [(min(r.low for r in held), max(r.high for r in held))]
                 rows = rows.where(reduce(operator.or_, (F.col("sequence").between(low, high) for low, high in within)))
@@ -218,10 +330,10 @@ class DocumentStore:
 
     def _own(self, doc_id: str) -> list[Row]:
         """A document's revisions; its tree is read as a whole, in order of sequence."""
-        return sorted(self.revs.where(F.col("_id") == doc_id).collect(), key=lambda r: r.sequence)
+        return sorted(self._of_id("revs", doc_id).collect(), key=lambda r: r.sequence)
 
     def _pointer(self, doc_id: str) -> int | None:
-        rows = self.table("current").where(F.col("_id") == doc_id).collect()
+        rows = self._of_id("current", doc_id).collect()
         return max(rows, key=lambda r: (r.commit, r.sequence)).sequence if rows else None
 
     def read(self, doc_id: str, revid: str | None = None) -> Row:
@@ -257,7 +369,7 @@ class DocumentStore:
 
     def has_conflicts(self, doc_id: str) -> bool:
         """Whether more than one leaf of a document is not deleted."""
-        return mvcc.conflicted(self.revs.where(F.col("_id") == doc_id)).limit(1).count() > 0
+        return mvcc.conflicted(self._of_id("revs", doc_id)).limit(1).count() > 0
 
     def read_all(self, offset: int = 0, limit: int = 0, descending: bool = False) -> DataFrame:
         """Current documents that are not deleted, in order of their creation."""
@@ -418,30 +530,45 @@ class DocumentStore:
         self.force_insert(self.spark.createDataFrame([(doc_id, history, deleted, json.dumps(rv.check_body(body)))], "_id string, history array<string>, deleted boolean, json string"))
         return self.read(doc_id, history[-1])
 
-    def _merge(self, new: DataFrame) -> None:
-        """Appends revisions and points their documents to the winners."""
+    def _merge(self, new: DataFrame, inherits: bool = False) -> None:
+        """Appends revisions and points their documents to the winners; if they inherit, those that are not deleted have their parents' attachments."""
         part = f"part-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
         new.write.parquet(f"{self.path}/revs/{part}")
         written = self.spark.read.schema(SCHEMAS["revs"]).parquet(f"{self.path}/revs/{part}")
         if not written.limit(1).count():
             return
         every = self.revs.unionByName(written).join(written.select("_id").distinct(), "_id", "left_semi")
-        pointers = mvcc.winners(every).select("_id", "sequence", F.lit(self.version + 1).cast("bigint").alias("commit"))
-        self.commit({"current": pointers}, ready={"revs": part})
+        added = {"current": mvcc.winners(every).select("_id", "sequence", F.lit(self.version + 1).cast("bigint").alias("commit"))}
+        if inherits and self.manifest["parts"]["attachments"]:
+            own = written.where(~F.col("deleted")).select(F.col("sequence").alias("_child"), F.col("parent").alias("sequence"))
+            added["attachments"] = self.table("attachments").join(own, "sequence").select(F.col("_child").alias("sequence"), "filename", "key", "type", "encoding", "length", "revpos")
+        self.commit(added, ready={"revs": part})
 
     # Conflicts
 
     def conflicted_ids(self) -> DataFrame:
         return mvcc.conflicted(self.revs).select("_id")
 
-    def resolve_conflicts(self, resolver: Callable[[str, Any], str | None]) -> int:
-        """Tombstones the leaves that the resolver does not keep, in all conflicted documents; their number."""
-        decided = mvcc.resolve(self.revs, resolver)
-        losing = decided.select("_id", F.explode("losers").alias("revid")).join(mvcc.leaves(self.revs).select("_id", "revid", F.col("sequence").alias("parent")), ["_id", "revid"])
-        child = F.concat((rv.generation() + 1).cast("string"), F.lit("-"), F.md5(F.concat_ws("\0", "_id", "revid")))
-        rows = losing.select("_id", "parent", child.alias("revid"), F.lit(True).alias("deleted"), F.lit(True).alias("available"), F.lit("{}").alias("json"))
+    def resolve_conflicts(self, resolver: Callable[[str, Any], Any]) -> int:
+        """Resolves all conflicted documents in one commit; the number of new revisions.
+
+        resolver(id, its live leaves) returns the revision id that stays, a new body to go under the winner, or (revision id, new body).  The other
+        leaves get tombstones, a body becomes a child of the leaf that stays, with that leaf's attachments.  None or an error leaves a conflict.
+        """
+        return self._resolve(self.revs, resolver)
+
+    def _resolve(self, revs: DataFrame, resolver: Callable[[str, Any], Any]) -> int:
+        decided = folders.written(mvcc.resolve(revs, resolver), "resolved")
+        ends = mvcc.leaves(revs).select("_id", "revid", F.col("sequence").alias("parent"))
+        lost = decided.select("_id", F.explode("losers").alias("revid"), F.lit(True).alias("deleted"), F.lit("{}").alias("json"))
+        merged = decided.where("body is not null").select("_id", F.col("kept").alias("revid"), F.lit(False).alias("deleted"), F.col("body").alias("json"))
+        rows = lost.unionByName(merged).join(ends, ["_id", "revid"])
+        hashed = F.md5(F.concat_ws("\0", "_id", "revid", F.when(~F.col("deleted"), F.col("json"))))
+        child = F.concat((rv.generation() + 1).cast("string"), F.lit("-"), hashed)
+        rows = rows.select("_id", "parent", child.alias("revid"), "deleted", F.lit(True).alias("available"), "json")
         before = self.last_sequence
-        self._merge(mvcc.numbered(rows, ["_id", "revid"], F.lit(before).cast("bigint"), "sequence").select("sequence", "_id", "parent", "revid", "deleted", "available", "json"))
+        self._merge(mvcc.numbered(rows, ["_id", "revid"], F.lit(before).cast("bigint"), "sequence").select("sequence", "_id", "parent", "revid", "deleted", "available", "json"), inherits=True)
+        folders.discard(decided)
         return self.last_sequence - before
 
     def resolve_with(self, doc_id: str, resolver: Callable[[str, list[Row]], Any]) -> bool:
@@ -457,12 +584,13 @@ class DocumentStore:
             kept = None
         if kept is None:
             return False
-        stays = max(leaves, key=lambda r: rv.split_revid(r.revid)) if isinstance(kept, dict) else kept
-        if stays.revid is None:
+        decision = rv.check_body(kept) if isinstance(kept, dict) else kept.revid
+        if decision is None:
             raise QueryError("the revision that stays has no id")
-        self.resolve_conflicts(lambda name, _: stays.revid if name == doc_id else None)
+        self._resolve(self._of_id("revs", doc_id), lambda name, _: decision)
         if isinstance(kept, dict):
-            self.update(doc_id, stays.revid, kept)
+            row = self.read(doc_id)
+            self.bus.post(ev.DocumentUpdated(doc_id, max((r.revid for r in leaves), key=rv.split_revid), row.revid))
         return True
 
     # Attachments
@@ -489,15 +617,17 @@ class DocumentStore:
     # Maintenance and queries
 
     def compact(self) -> None:
-        """Drops bodies and attachments of revisions that others follow, then blobs that nobody has, and merges the parts of every table."""
+        """Drops bodies and attachments of revisions that others follow, then blobs that nobody has, and merges the parts of every table, dealt to buckets by id.
+
+        What was dropped is out of this version; `expire` deletes its files once no held version names them.
+        """
         kept = mvcc.compact(self.revs)
         lines = self.table("attachments").join(mvcc.leaves(self.revs).select("sequence"), "sequence", "left_semi")
         blobs = self.table("blobs").join(lines.select("key").distinct(), "key", "left_semi")
         pointers = self.table("current").groupBy("_id").agg(F.max_by(F.struct("sequence", "commit"), F.struct("commit", "sequence")).alias("_last")).select("_id", "_last.*")
         local = self.table("local").groupBy("docid").agg(F.max_by(F.struct("json", "commit"), "commit").alias("_last")).select("docid", "_last.*").where("json is not null")
-        # Many small parts, one of each single write, become the few that the planner makes of them.
-        kept = kept.repartitionByRange("sequence").sortWithinPartitions("sequence")
-        self.commit({"revs": kept, "attachments": lines, "blobs": blobs, "current": pointers, "local": local}, replaced=tuple(SCHEMAS))
+        buckets = min(MOST_BUCKETS, 1 + self.revs.count() // BUCKET_ROWS)
+        self.commit({"revs": kept, "attachments": lines, "blobs": blobs, "current": pointers, "local": local}, replaced=tuple(SCHEMAS), buckets=buckets if buckets > 1 else 0)
         for index in self.list_indexes():
             if index.type == TEXT:
                 StoredTextIndex(self, index).clean()

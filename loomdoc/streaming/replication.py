@@ -119,7 +119,9 @@ class Replicator:
             self.state = "COMPLETE"
             self.bus.post(ev.ReplicationCompleted(self.id, 0, 0))
             return self
-        stream = self.source.spark.readStream.schema(SCHEMAS["revs"]).parquet(f"{self.source.path}/revs/*")
+        # Folders of buckets are no columns; a part that expired is in a compacted one, which the stream has as well.
+        reader = self.source.spark.readStream.schema(SCHEMAS["revs"]).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+        stream = reader.parquet(f"{self.source.path}/revs/*")
         writer = stream.writeStream.foreachBatch(self._merge).option("checkpointLocation", f"{self.target.path}/replication/{self.id}")
         self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
         self.state = "STARTED"
