@@ -468,6 +468,66 @@ def resolve_conflicts_udf(spark, folder):
     return found.select(F.col("_id").alias("id"), "kept", F.size("losers").cast("long").alias("lost"))
 
 
+@query(f"""SELECT id, max(gen) + 1 AS generation, count(*) AS merged FROM {_LINES} WHERE NOT deleted GROUP BY id HAVING count(*) > 1""")
+def resolve_conflicts_merge(spark, folder):
+    """Conflicts of a store resolved in one commit by new bodies, which count what they merge."""
+    from .sources.folders import fresh
+    from .sources.store import DocumentStore
+
+    store = DocumentStore(spark, fresh(spark, "merged"))
+    lines = _lines(spark, folder)
+    store.force_insert(lines.select("_id", F.array("revid").alias("history"), "deleted", F.lit("{}").alias("json")))
+    before = store.last_sequence
+    store.resolve_conflicts(lambda name, leaves: {"merged": len(leaves)})
+    new = store.current().where(~F.col("deleted") & (F.col("sequence") > before))
+    return new.select(F.col("_id").alias("id"), F.substring_index("revid", "-", 1).cast("int").alias("generation"), F.get_json_object("json", "$.merged").cast("long").alias("merged"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, '2-' || md5(c_name) AS revid, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0")
+def fetch_missing(spark, folder):
+    """Of published revisions those that a diff against what is stored asks for."""
+    from .sources import fetch
+    from .sources.folders import fresh
+
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.concat(F.lit("2-"), F.md5("c_name")).alias("revid"), "c_custkey", "c_mktsegment")
+    fetch.publish(customers.select("_id", F.array(F.lit("1-a"), "revid").alias("history"), F.lit(False).alias("deleted"), F.to_json(F.struct("c_mktsegment")).alias("json")), path := fresh(spark, "revisions"), buckets=8)
+    missing = mvcc.revs_diff(customers.where("c_custkey % 3 = 0"), customers)
+    return fetch.fetch(spark, path, missing).select(F.col("_id").alias("id"), "revid", F.get_json_object("json", "$.c_mktsegment").alias("segment"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey % 2 + 1 AS generation, c_mktsegment AS segment FROM customer")
+def push_rounds(spark, folder):
+    """Customers, every second one updated, pushed by rounds in bulk requests and merged into another store."""
+    from .sources.folders import fresh
+    from .sources.store import DocumentStore
+    from .streaming import rounds
+
+    customers = table(spark, folder, "customer")
+    history = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("1-a"))).otherwise(F.array(F.lit("1-a"), F.lit("2-b")))
+    store, target = DocumentStore(spark, fresh(spark, "near")), DocumentStore(spark, fresh(spark, "far"))
+    store.force_insert(customers.select(F.col("c_custkey").cast("string").alias("_id"), history.alias("history"), F.lit(False).alias("deleted"), F.to_json(F.struct("c_mktsegment")).alias("json")))
+    remote = fresh(spark, "remote")
+    rounds.Rounds(store, remote).push(limit=1 + store.last_sequence // 2)
+    rounds.receive(target, remote)
+    rows = target.current()
+    return rows.select(F.col("_id").alias("id"), F.substring_index("revid", "-", 1).cast("int").alias("generation"), F.get_json_object("json", "$.c_mktsegment").alias("segment"))
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS status FROM orders WHERE o_orderkey % 97 = 5 ORDER BY o_orderkey LIMIT 12")
+def store_point_reads(spark, folder):
+    """Documents read one by one from a compacted store, each from its own bucket."""
+    from .sources import store as stores
+    from .sources.folders import fresh
+
+    store = stores.DocumentStore(spark, fresh(spark, "points"))
+    orders = table(spark, folder, "orders")
+    store.create_many(orders.select(F.col("o_orderkey").cast("string").alias("_id"), F.to_json(F.struct("o_orderstatus")).alias("json")))
+    store.compact()
+    asked = [str(r.o_orderkey) for r in orders.where("o_orderkey % 97 = 5").orderBy("o_orderkey").limit(12).collect()]
+    rows = [store.read(x) for x in asked]
+    return spark.createDataFrame([(r["_id"], r.json) for r in rows], "id string, json string").select("id", F.get_json_object("json", "$.o_orderstatus").alias("status"))
+
+
 @query("SELECT item_id, sha1(text) AS key, CAST(strlen(text) AS BIGINT) AS length FROM benchmark")
 def attachment_key(spark, folder):
     from .sources.attachments import prepared
