@@ -7,8 +7,8 @@ cut into blocks of `block_words`.  The mix is a number of slots, one block each,
    shard a multinomial draw, conditioned on each source's total: that is its target, which a free draw
    would miss by its own noise.
 2. `drawn`: a shard's slots are its counts; the slots of a source are numbered through the shards in order.
-3. The n-th slot of a source is mapped to a block through the source's index permutation, an affine map whose
-   multiplier and shift depend on seed, source and pass; blocks are joined by (source, index).
+3. The n-th slot of a source is mapped to a block through the source's pseudorandom index permutation, a Feistel network with
+   cycle walking, keyed by seed, source and pass; blocks are joined by (source, index).
    A source with more slots than blocks goes through further passes, so no
    block is taken more than CAP times.
 
@@ -44,8 +44,10 @@ CHUNK = 1 << 15
 SEED = 20
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Primes, the multipliers of the index permutations; one that does not divide n is coprime to it.
-PRIMES = (1_000_003, 999_983, 1_000_033, 999_979, 1_000_037, 999_961, 1_000_039, 999_959)
+#: Rounds of the permutations' Feistel network, and passes through it at most.
+ROUNDS, WALKS = 4, 24
+#: Sources up to which a plan is broadcast.
+MOST_SOURCES = 100_000
 #: Shards whose slots are numbered in one window.
 GROUP_SHARDS = 1024
 
@@ -80,44 +82,52 @@ def drawn_number(*parts: Column | str | int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def permutation(n: Column, *key: Column | str | int) -> Column:
-    """Multiplier and shift of a permutation of 0..n-1.
+def shape(n: Column) -> Column:
+    """Rows and columns of the smallest near-square table with n places or more: less than a row more."""
+    rows = F.ceil(F.sqrt(n)).cast("long")
+    more = n + rows - 1
+    return F.struct(rows.alias("rows"), ((more - more % rows) / rows).cast("long").alias("columns"))
 
-    Of PRIMES, from one that the key chooses on, the multiplier is the first that does not divide n
-    and is not 1 modulo n, where it would only shift (n of up to 2 have no other).
+
+def permuted(index: Column, n: Column, form: Column, *key: Column | str | int) -> Column:
+    """Place of index under the key's pseudorandom permutation of 0..n-1; form is the shape of n.
+
+    A Feistel network over the rows and columns of a table: in turn the row moves by a keyed hash of the column, and the column by one of the row.
+    That permutes the table; a place beyond n goes through the network again until it is below n (cycle walking).  Up to n = WALKS ** 2 this needs no more
+    than WALKS passes, as fewer places are beyond n; above, each pass leaves it there with probability below 1 / WALKS.
     """
-    k = F.pmod(drawn_number(*key, "multiplier"), F.lit(len(PRIMES))).cast("int")
-    primes = F.array(*[F.lit(x).cast("long") for x in PRIMES])
-    turned = F.concat(F.slice(primes, k + 1, F.lit(len(PRIMES))), F.slice(primes, F.lit(1), k))
-    coprime = F.filter(turned, lambda x: n % x != 0)
-    moving = F.filter(coprime, lambda x: (x % n != 1) | (n <= 2))
-    return F.struct(F.coalesce(F.try_element_at(moving, F.lit(1)), F.try_element_at(coprime, F.lit(1))).alias("multiplier"), F.pmod(drawn_number(*key, "shift"), n).alias("shift"))
 
+    def network(x: Column) -> Column:
+        start = F.struct(((x - x % form.columns) / form.columns).cast("long").alias("row"), (x % form.columns).alias("column"))
+        row = lambda s, k: (s["row"] + drawn_number(*key, k, s["column"])) % form.rows
+        column = lambda s, k: (s["column"] + drawn_number(*key, k, s["row"])) % form.columns
+        step = lambda s, k: F.struct(F.when(k % 2 == 0, row(s, k)).otherwise(s["row"]).alias("row"), F.when(k % 2 == 1, column(s, k)).otherwise(s["column"]).alias("column"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["row"] * form.columns + s["column"])
 
-def permuted(index: Column, n: Column, how: Column) -> Column:
-    """Place of index under a permutation."""
-    return (index * how.multiplier + how.shift) % n
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), network(index), lambda x, _: F.when(x < n, x).otherwise(network(x)))
 
 
 def placed(docs: DataFrame, plan: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """docs (doc_id, source, size, text_hash) with the columns of plan and `start`, the place of the first word in the source's stream."""
-    rows = docs.join(plan, docs.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("_bucket", F.pmod(drawn_number("bucket", F.col("doc_id"), F.col("text_hash")), F.lit(buckets)))
+    # One row for each source: few are sent to all, so rows stay where they are.
+    held = F.broadcast(plan) if plan.count() <= MOST_SOURCES else plan
+    rows = docs.join(held, docs.source.eqNullSafe(plan.source)).drop(plan.source).withColumn("_bucket", F.pmod(drawn_number("bucket", F.col("doc_id"), F.col("text_hash")), F.lit(buckets)))
     in_bucket = Window.partitionBy("source_no", "_bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     of_buckets = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(of_buckets), F.lit(0))).drop("_sum")
     return rows.join(sums, ["source_no", "_bucket"]).withColumn("start", F.col("_base") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0))).drop("_base", "_bucket")
 
 
-def slotted(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, cap: int = CAP) -> DataFrame:
-    """plan with n_blocks, n_slots (whole passes through a source, and a part of one by its permutation), the permutation of each pass and n_shards of the mix."""
+def slotted(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """plan with n_blocks, n_slots (whole passes through a source, and a part of one by its permutation), the form of its permutations and n_shards of the mix."""
     size, target = F.col("source_size"), F.col("target")
     passes = F.floor(target / size)
     blocks = F.ceil(size / block_words).cast("long")
     part = F.round((target - passes * size) * blocks / size)
     sized = plan.withColumn("n_blocks", blocks).withColumn("n_slots", F.when(size > 0, passes * blocks + part).otherwise(0).cast("long"))
-    ways = F.array(*[permutation(F.greatest(F.col("n_blocks"), F.lit(1)), seed, F.col("source_no"), turn) for turn in range(cap + 1)])
+    form = shape(F.greatest(F.col("n_blocks"), F.lit(1)))
     shards = F.greatest(F.lit(1), F.ceil(F.sum("n_slots").over(Window.partitionBy()) / shard_slots)).cast("long")
-    return sized.withColumn("ways", ways).withColumn("n_shards", shards)
+    return sized.withColumn("form", form).withColumn("n_shards", shards)
 
 
 def _parts(plan: DataFrame) -> int:
@@ -141,10 +151,10 @@ def drawn(plan: DataFrame, seed: int = SEED) -> DataFrame:
     before, inside = (Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1) for key, order in ((["source_no"], "_group"), (["source_no", "_group"], "shard")))
     bases = grouped.groupBy("source_no", "_group").agg(F.sum("n").alias("_sum")).withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
     numbered = grouped.join(bases, ["source_no", "_group"]).withColumn("_first", F.col("_base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    shards = numbered.select("source_no", "shard", "n", "_first").join(plan.select("source_no", "n_blocks", "ways"), "source_no").repartition(_parts(plan), "source_no", "shard")
+    shards = numbered.select("source_no", "shard", "n", "_first").join(plan.select("source_no", "n_blocks", "form"), "source_no").repartition(_parts(plan), "source_no", "shard")
     slots = shards.withColumn("n", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("n") - 1)))
-    way = F.element_at("ways", (F.floor(F.col("n") / F.col("n_blocks")) + 1).cast("int"))
-    return slots.select("shard", "source_no", "n", permuted(F.col("n") % F.col("n_blocks"), F.col("n_blocks"), way).alias("block"))
+    turn = F.floor(F.col("n") / F.col("n_blocks"))
+    return slots.select("shard", "source_no", "n", permuted(F.col("n") % F.col("n_blocks"), F.col("n_blocks"), F.col("form"), seed, F.col("source_no"), turn).alias("block"))
 
 
 def spread(places: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -164,14 +174,14 @@ def _measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", words_in("text").alias("size"), text_hash()).checkpoint()
 
 
-def _planned(docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
-    return slotted(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))), block_words, shard_slots, seed).checkpoint()
+def _planned(docs: DataFrame, block_words: int, shard_slots: int) -> DataFrame:
+    return slotted(targets(docs.groupBy("source").agg(F.sum("size").alias("source_size"))), block_words, shard_slots).checkpoint()
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> DataFrame:
     """The mix as spans: shard, source, slot (n), block, doc_id, first_word and words; spans of a slot join to its block."""
     measured = _measured(docs)
-    plan = _planned(measured, block_words, shard_slots, seed)
+    plan = _planned(measured, block_words, shard_slots)
     spans = spread(placed(measured, plan), block_words)
     return spans.join(drawn(plan, seed).hint("merge"), ["source_no", "block"]).select("shard", "source", "n", "block", "doc_id", "text_hash", "start", "first_word", "words")
 
@@ -188,8 +198,8 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
 def digest(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, keep_keys: bool = False) -> DataFrame:
     """One row per document: size, source_size, target of its source, the words that the mix takes of it, and the number of shards that hold some of them."""
     measured = _measured(docs)
-    plan = _planned(measured, block_words, shard_slots, seed)
-    places = placed(measured, plan)
+    plan = _planned(measured, block_words, shard_slots)
+    places = shared.written(placed(measured, plan), "placed")  # read for the blocks and for the documents
     # A block is taken at most CAP times, so its shards are few.
     times = drawn(plan, seed).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("_times"), F.collect_set("shard").alias("_shards"))
     # The planner takes the exploded slots for as small as their plan, so a shuffle join is asked for.

@@ -61,11 +61,20 @@ def _number(*parts: str) -> str:
 
 
 _SEED, _BLOCK, _SHARD = f"'{mixing.SEED}'", mixing.BLOCK_WORDS, mixing.SHARD_SLOTS
-_PRIMES = str(list(mixing.PRIMES))
+
+
+def _network(slots: str) -> str:
+    """One pass of slots (k, shard, turn, n_blocks, rows, cols, x) through the Feistel network."""
+    moved = lambda k, value: _number(_SEED, "CAST(k AS VARCHAR)", "CAST(turn AS VARCHAR)", f"'{k}'", f"CAST({value} AS VARCHAR)")
+    one = f"SELECT k, shard, turn, n_blocks, rows, cols, x % cols AS r0, (x // cols + {moved(0, 'x % cols')}) % rows AS l1 FROM ({slots})"
+    two = f"SELECT *, (r0 + {moved(1, 'l1')}) % cols AS r1 FROM ({one})"
+    three = f"SELECT *, (l1 + {moved(2, 'r1')}) % rows AS l2 FROM ({two})"
+    return f"SELECT k, shard, turn, n_blocks, rows, cols, l2 * cols + (r1 + {moved(3, 'l2')}) % cols AS x FROM ({three})"
+
 
 #: Every slot by itself: a hash deals it to a shard, its number counts the slots of its source before it, and a permutation gives its block.
 OP5 = rf"""
-WITH docs AS MATERIALIZED (
+WITH RECURSIVE docs AS MATERIALIZED (
     SELECT row_number() OVER () AS r, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS BIGINT) AS size, {_number("'text'", "coalesce(text, 'null')")} AS h FROM documents
 ),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
@@ -80,19 +89,12 @@ sized AS (SELECT *, CAST(ceil(source_size / {_BLOCK}) AS BIGINT) AS n_blocks, CA
 plan AS MATERIALIZED (
     SELECT *, CASE WHEN source_size > 0 THEN CAST(passes * n_blocks + round((target - passes * source_size) * n_blocks / source_size) AS BIGINT) ELSE 0 END AS n_slots FROM sized
 ),
-ways AS MATERIALIZED (
-    SELECT k, turn, list_filter(primes[s + 1:] || primes[:s], lambda x: n % x <> 0 AND (x % n <> 1 OR n <= 2))[1] AS multiplier,
-        list_filter(primes[s + 1:] || primes[:s], lambda x: n % x <> 0)[1] AS other, shift
-    FROM (
-        SELECT k, turn, greatest(n_blocks, 1) AS n, {_PRIMES} AS primes, CAST({_number(_SEED, "CAST(k AS VARCHAR)", "CAST(turn AS VARCHAR)", "'multiplier'")} % {len(mixing.PRIMES)} AS INTEGER) AS s,
-            {_number(_SEED, "CAST(k AS VARCHAR)", "CAST(turn AS VARCHAR)", "'shift'")} % greatest(n_blocks, 1) AS shift
-        FROM plan, range({mixing.CAP + 1}) t(turn)
-    )
-),
 shards AS (SELECT greatest(1, CAST(ceil(sum(n_slots) / {_SHARD}) AS BIGINT)) AS n FROM plan),
 dealt AS (SELECT k, n_blocks, {_number(_SEED, "'shard'", "CAST(k AS VARCHAR)", "CAST(j AS VARCHAR)")} % shards.n AS shard FROM (SELECT k, n_blocks, unnest(range(n_slots)) AS j FROM plan), shards),
 slots AS (SELECT k, n_blocks, shard, row_number() OVER (PARTITION BY k ORDER BY shard) - 1 AS n FROM dealt),
-blocks AS MATERIALIZED (SELECT s.k, shard, (n % n_blocks * coalesce(multiplier, other) + shift) % n_blocks AS block FROM slots s JOIN ways w ON w.k = s.k AND w.turn = n // n_blocks),
+formed AS (SELECT k, shard, n // n_blocks AS turn, n_blocks, rows, (n_blocks + rows - 1) // rows AS cols, n % n_blocks AS x FROM (SELECT *, CAST(ceil(sqrt(n_blocks)) AS BIGINT) AS rows FROM slots)),
+walk AS ({_network("SELECT * FROM formed")} UNION ALL {_network("SELECT k, shard, turn, n_blocks, rows, cols, x FROM walk WHERE x >= n_blocks")}),
+blocks AS MATERIALIZED (SELECT k, shard, x AS block FROM walk WHERE x < n_blocks),
 placed AS MATERIALIZED (
     SELECT d.*, p.k, p.source_size, p.target, CAST(coalesce(sum(size) OVER (
         PARTITION BY p.k ORDER BY {_number("'bucket'", "coalesce(CAST(doc_id AS VARCHAR), 'null')", "CAST(h AS VARCHAR)")} % {mixing.BUCKETS}, doc_id NULLS FIRST, h, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start

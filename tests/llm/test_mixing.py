@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 import pytest
@@ -49,15 +50,47 @@ def test_digest(docs, rows):
     same([(r.doc_id, r.taken) for r in found], [(r.doc_id, r.taken) for r in mixing.digest(docs.repartition(5), block_words=8).collect()])
 
 
+def number(*parts):
+    return int(hashlib.md5("|".join("null" if x is None else str(x) for x in parts).encode()).hexdigest()[:15], 16)
+
+
+def plain_permuted(index, n, *key):
+    """The Feistel network by hand: a row moves by its column, then the column by its row, twice, until the place is below n."""
+    rows = next(r for r in range(max(0, int(n**0.5) - 2), n + 2) if r * r >= n)
+    columns = -(-n // rows)
+    while True:
+        row, column = divmod(index, columns)
+        for k in (0, 2):
+            row = (row + number(*key, k, column)) % rows
+            column = (column + number(*key, k + 1, row)) % columns
+        index = row * columns + column
+        if index < n:
+            return index
+
+
+def permuted(spark, n, *key):
+    size = F.lit(n).cast("long")
+    return spark.range(n).select("id", mixing.permuted(F.col("id"), size, mixing.shape(size), *key).alias("p"))
+
+
 def test_permutations_are_bijections_and_depend_on_their_key(spark):
-    for n in (1, 2, 3, 6, 999, 166_667, 1_000_002, 1_000_003):
-        way = mixing.permutation(F.lit(n).cast("long"), 20, F.lit(3), 0)
-        rows = spark.range(n).withColumn("way", way).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.col("way")).alias("p"), "way")
-        got = rows.agg(F.countDistinct("p"), F.min("p"), F.max("p"), F.max("way.multiplier")).first()
-        assert tuple(got)[:3] == (n, 0, n - 1) and (n <= 2 or got[3] % n != 1)
-    keys = [(seed, source, turn) for seed in (1, 2) for source in range(6) for turn in range(3)]
-    ways = spark.range(1).select(*[mixing.permutation(F.lit(1000).cast("long"), *k).alias(f"w{i}") for i, k in enumerate(keys)]).first()
-    assert len({w.multiplier for w in ways}) > 4 and len(set(ways)) == len(keys)
+    for n in (1, 2, 3, 5, 6, 17, 101, 577, 999, 10_001):
+        rows = permuted(spark, n, 20, F.lit(3), 0).collect()
+        assert sorted(r.p for r in rows) == list(range(n))
+        assert [r.p for r in rows[:200]] == [plain_permuted(r.id, n, 20, 3, 0) for r in rows[:200]]
+    ways = {tuple(r.p for r in permuted(spark, 50, seed, source, turn).collect()) for seed in (1, 2) for source in (0, 1) for turn in (0, 1)}
+    assert len(ways) == 8
+
+
+@pytest.mark.parametrize("n", [1000, 10_000, 100_000, 250_000])
+def test_a_part_of_a_pass_is_spread_evenly(spark, n):
+    """The first tenth of the slots falls evenly on all tenths of a source, and its neighbours' distances are of all sizes: no stride."""
+    places = [r.p for r in permuted(spark, n, 20, 1, 2).where(F.col("id") < n // 10).orderBy("id").collect()]
+    counts = [sum(1 for p in places if p * 10 // n == k) for k in range(10)]
+    mean = n / 100
+    assert sum((c - mean) ** 2 for c in counts) / mean < 9 + 6 * 18**0.5, counts
+    steps = [(b - a) % n for a, b in zip(places, places[1:])]
+    assert len(set(steps)) > 0.8 * len(steps) and 0.4 < sum(steps) / len(steps) / n < 0.6
 
 
 def test_counts_of_shards_are_multinomial(spark):
@@ -83,9 +116,6 @@ def test_counts_of_shards_are_multinomial(spark):
 
 def plain_mix(rows, block_words, shard_slots, seed=mixing.SEED):
     """taken and n_shards of each row, slot by slot."""
-    import hashlib
-
-    number = lambda *parts: int(hashlib.md5("|".join("null" if x is None else str(x) for x in parts).encode()).hexdigest()[:15], 16)
     size = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
     hashes = [number("text", r[1]) for r in rows]
     sizes = sizes_of(rows)
@@ -100,10 +130,7 @@ def plain_mix(rows, block_words, shard_slots, seed=mixing.SEED):
         dealt = sorted(number(seed, "shard", no, j) % shards for j in range(n_slots[s]))
         for n, shard in enumerate(dealt):
             k, turn = n_blocks[s], n // n_blocks[s]
-            start = number(seed, no, turn, "multiplier") % len(mixing.PRIMES)
-            primes = [x for x in mixing.PRIMES[start:] + mixing.PRIMES[:start] if k % x]
-            factor = next((x for x in primes if x % k != 1 or k <= 2), primes[0])
-            block = (n % k * factor + number(seed, no, turn, "shift") % k) % k
+            block = plain_permuted(n % k, k, seed, no, turn)
             for i in stream[block * block_words : (block + 1) * block_words]:
                 taken[i] += 1
                 inside[i].add(shard)
