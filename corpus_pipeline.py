@@ -7,6 +7,10 @@ contaminated with benchmark items go; the rest is mixed to source weights.
 Every stage takes (spark, docs, folder of the tables).  All but the last return
 the columns of docs; the last returns the documents that the mix takes, with
 their size, their source's size and target, and the words taken of each.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows and
+columns of any name; an empty table gives an empty one.  A stage that needs no more than the text
+keeps rows without one.
 """
 
 from __future__ import annotations
@@ -22,12 +26,18 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the toxicity machine rejects go; it learns from the labelled rows among docs."""
+    """Documents that the toxicity machine rejects go; it learns from the labelled rows among docs.
+
+    A null or empty text is no reason to reject; equal texts are judged alike; rows with a null doc_id are judged, and have no label; without labels nothing goes.
+    """
     return toxicity.drop_toxic(docs, _table(spark, folder, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Lines that many documents share stay in one of them; n_chars follows the text."""
+    """Lines that many documents share stay in one of them, that with the largest doc_id; n_chars follows the text.
+
+    A null text stays null and an empty one empty; rows with one doc_id are one document and keep the line alike; a row with a null doc_id counts as a document of its own, and loses the line.
+    """
     found = line_dedup.dedup(docs)
     _, dropped = shared.unused(docs.columns, "n_lines", "n_dropped")
     if "n_chars" in docs.columns:
@@ -36,17 +46,26 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group stays."""
+    """One document of each group stays, that with the smallest doc_id; of equal rows one.
+
+    Null and empty texts are near nothing and stay, as do rows without a doc_id that are near nothing.
+    """
     return neardup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents of which a twentieth or more is benchmark text go."""
+    """Documents of which a twentieth or more is benchmark text go.
+
+    A null or empty text has no words and stays; benchmark rows without text find nothing, those without an item_id count like others.
+    """
     return decontaminate.remove_documents(docs, _table(spark, folder, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents of the mix and how much of each it takes."""
+    """Documents of the mix and how much of each it takes.
+
+    A null source is a source of its own, last in order; documents without words are taken nothing of and go; equal rows are documents of their own.
+    """
     return mixing.taken_documents(docs)
 
 
