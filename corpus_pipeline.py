@@ -36,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Lines that many documents share stay in one of them, that with the largest doc_id; n_chars follows the text.
 
-    A null text stays null and an empty one empty; rows with one doc_id are one document and keep the line alike; a row with a null doc_id counts as a document of its own, and loses the line.
+    A null text stays null and an empty one empty; rows with one doc_id are one document and keep the line alike; a row with a null doc_id counts as a document of its own, and keeps the line only if no other row has it.
     """
     found = line_dedup.dedup(docs)
     _, dropped = shared.unused(docs.columns, "n_lines", "n_dropped")
@@ -46,9 +46,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of equal rows one.
+    """One document of each group stays, that with the smallest doc_id; rows that have this doc_id and one text are one document and stay.
 
-    Null and empty texts are near nothing and stay, as do rows without a doc_id that are near nothing.
+    Null and empty texts are near nothing and stay; a row with a null doc_id stays only if its group has no other doc_id.
     """
     return neardup.keep_one(docs)
 
