@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import weakref
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from ..operators import mvcc
 from ..operators.predicates import predicate
@@ -41,8 +44,43 @@ def replication_id(source: str, target: str, filter: str | None = None, paramete
     return hashlib.sha1(json.dumps(what, sort_keys=True).encode()).hexdigest()
 
 
+class _Follower(StreamingQueryListener):
+    """Tells replications how their streams go, as the engine sees it."""
+
+    def __init__(self):
+        self.running: dict[str, Replicator] = {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 (names of the interface)
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        if (own := self.running.get(str(event.progress.runId))) is not None:
+            own.progress = event.progress.batchId
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if (own := self.running.pop(str(event.runId), None)) is not None:
+            own.ended(event.exception)
+
+
+_followers: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _follower(spark: SparkSession) -> _Follower:
+    """The session's follower, which is a listener of its streams."""
+    if spark not in _followers:
+        _followers[spark] = _Follower()
+        spark.streams.addListener(_followers[spark])
+    return _followers[spark]
+
+
 class Replicator:
-    """One replication and its state: PENDING, STARTED, STOPPING, STOPPED, COMPLETE or ERROR."""
+    """One replication and its state: PENDING, STARTED, STOPPING, STOPPED, COMPLETE or ERROR.
+
+    The engine drives the state: a stream that ends or dies sets it and posts its event, whether or not somebody waits.
+    """
 
     def __init__(
         self,
@@ -64,6 +102,7 @@ class Replicator:
         self.filter, self.parameters, self.selector, self.doc_ids, self.push_filter = filter, parameters or {}, selector, doc_ids, push_filter
         self.id = replication_id(source.path, target.path, filter, parameters, selector, doc_ids)
         self.state, self.error, self.documents, self.batches, self.query = "PENDING", None, 0, 0, None
+        self.progress, self.last, self._lock, self._over = -1, None, threading.Lock(), threading.Event()
 
     def _wanted(self, changed: DataFrame) -> DataFrame:
         """Revisions whose document passes; local filters see the revision's body."""
@@ -123,32 +162,97 @@ class Replicator:
         reader = self.source.spark.readStream.schema(SCHEMAS["revs"]).option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
         stream = reader.parquet(f"{self.source.path}/revs/*")
         writer = stream.writeStream.foreachBatch(self._merge).option("checkpointLocation", f"{self.target.path}/replication/{self.id}")
-        self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+        follower = _follower(self.source.spark)
+        self.error, self.last = None, interval
+        self._over.clear()
         self.state = "STARTED"
+        with self._lock:
+            self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+            follower.running[str(self.query.runId)] = self
+        if not self.query.isActive:  # it was over before it was followed
+            self._settle(follower)
         return self
 
+    def _settle(self, follower: _Follower) -> None:
+        """What the follower may have missed."""
+        if follower.running.pop(str(self.query.runId), None) is not None:
+            failed = self.query.exception()
+            self.ended(None if failed is None else str(failed))
+
+    def ended(self, failed: str | None) -> None:
+        """The stream is over: sets the state and posts the event, once for each start."""
+        with self._lock:
+            if self._over.is_set():
+                return
+            if failed is not None:
+                self.error = self.error or RuntimeError(failed)
+                self.state, event = "ERROR", ev.ReplicationErrored(self.id, self.error)
+            else:
+                self.state, event = "STOPPED" if self.state == "STOPPING" else "COMPLETE", ev.ReplicationCompleted(self.id, self.documents, self.batches)
+            self._over.set()
+        self.bus.post(event)
+
     def wait(self) -> Replicator:
         """Waits for the end of a replication that streams what there is."""
         if self.query is None:
             return self
         try:
             self.query.awaitTermination()
-            self.state = "STOPPED" if self.state == "STOPPING" else "COMPLETE"
-            self.bus.post(ev.ReplicationCompleted(self.id, self.documents, self.batches))
-        except Exception as error:
-            self.state, self.error = "ERROR", error
-            self.bus.post(ev.ReplicationErrored(self.id, error))
-            raise
+        finally:
+            self._settle(_follower(self.source.spark))
+            self._over.wait(30)
         return self
 
     def stop(self) -> Replicator:
         if self.state == "STARTED":
             self.state = "STOPPING"
             self.query.stop()
-            self.state = "STOPPED"
+            self._settle(_follower(self.source.spark))
+            self._over.wait(30)
         return self
 
 
+class Policy:
+    """Keeps replications running: those that are not are started again with the interval that they had, at each look and at most so often."""
+
+    def __init__(self, replicators: Sequence[Replicator], interval: str = "1 minute", most: int | None = None):
+        self.replicators, self.interval, self.most, self.restarts = list(replicators), interval, most, 0
+        self._timer: threading.Timer | None = None
+        self._stopped = True
+
+    def look(self) -> int:
+        """Starts what does not run; how many."""
+        n = 0
+        for x in self.replicators:
+            if x.state not in ("STARTED", "STOPPING") and (self.most is None or self.restarts < self.most):
+                self.restarts += x.state != "PENDING"
+                x.start(interval=x.last or self.interval)
+                n += 1
+        return n
+
+    def start(self, seconds: float = 60) -> Policy:
+        """Looks now and every so many seconds until stopped."""
+        self._stopped = False
+
+        def again() -> None:
+            if not self._stopped:
+                self.look()
+                self._timer = threading.Timer(seconds, again)
+                self._timer.daemon = True
+                self._timer.start()
+
+        again()
+        return self
+
+    def stop(self) -> None:
+        """Stops looking and every replication."""
+        self._stopped = True
+        if self._timer is not None:
+            self._timer.cancel()
+        for x in self.replicators:
+            x.stop()
+
+
 def replicate(source: DocumentStore, target: DocumentStore, **options) -> Replicator:
     """Runs a replication to its end."""
     return Replicator(source, target, **options).start().wait()

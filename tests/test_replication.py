@@ -105,3 +105,28 @@ def test_winners_of_a_stream(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     assert sorted((r["_id"], r.revid) for r in latest_of_stream(stream, str(tmp_path / "out")).collect()) == [("a", "1-z"), ("b", "2-y")]
+
+
+def test_a_stream_that_dies_is_seen_without_waiting(stores):
+    """On an interval, the engine's end of the stream sets the state and posts the event once; a policy starts it again."""
+    source, target = stores
+    failed, done, broken = [], [], [True]
+    target.bus.register(ev.ReplicationErrored, failed.append)
+    target.bus.register(ev.ReplicationCompleted, done.append)
+
+    def merge(batch, number):
+        if broken[0]:
+            raise RuntimeError("the merge was killed")
+
+    run = rp.Replicator(source, target)
+    run._merge = merge
+    run.start(interval="1 second")
+    assert run._over.wait(60) and run.state == "ERROR" and "killed" in str(run.error)
+    assert len(failed) == 1 and failed[0].replication_id == run.id and not done
+    broken[0] = False
+    policy = rp.Policy([run])
+    assert policy.look() == 1 and run.state == "STARTED" and policy.look() == 0 and policy.restarts == 1
+    policy.stop()
+    assert run.state == "STOPPED" and len(failed) == 1 and len(done) == 1
+    limited = rp.Policy([run], most=0)
+    assert limited.look() == 0
