@@ -20,6 +20,8 @@ from ..functions.revisions import check_body, generation, split_revid, suffix
 from ..plans.errors import QueryError
 from ..sources import folders
 
+#: Rounds of `paths` after which their number is held against the sizes of the trees.
+FREE_ROUNDS = 6
 SCHEMA = "sequence bigint, _id string, parent bigint, revid string, deleted boolean, available boolean, json string"
 
 
@@ -104,8 +106,9 @@ def paths(revs: DataFrame) -> DataFrame:
 
     By doubling: a node's known path ends at an ancestor whose known path is
     appended, so the rounds grow with the logarithm of the depth.  Rounds are tables in the
-    shared folder; each replaces the one before.
+    shared folder; each replaces the one before.  A path is no longer than its document has revisions; parents that go round are an error.
     """
+    rounds, most = 0, None
     state, last = revs.select("sequence", "_id", "revid", F.col("parent").alias("next"), F.array("revid").alias("path")), None
     while True:
         state = folders.written(state, "paths")
@@ -114,6 +117,12 @@ def paths(revs: DataFrame) -> DataFrame:
         last = state
         if not state.where("next is not null").limit(1).count():
             return state.select("sequence", "_id", "revid", (F.size("path") - 1).alias("depth"), "path")
+        rounds += 1
+        if rounds >= FREE_ROUNDS:
+            if most is None:
+                most = revs.groupBy("_id").count().agg(F.max("count")).first()[0]
+            if 1 << (rounds - 1) > most:
+                raise QueryError("revisions follow one another in a circle")
         above = state.select(F.col("sequence").alias("_sequence"), F.col("next").alias("_next"), F.col("path").alias("_path"))
         state = state.join(above, F.col("next") == F.col("_sequence"), "left").select(
             "sequence", "_id", "revid", F.col("_next").alias("next"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("path", "_path")).alias("path")

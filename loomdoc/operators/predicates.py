@@ -131,7 +131,7 @@ def _comparison(op: str, value: Any, kind: str, c: Column, data_type: T.DataType
     if kind == "variant":
         if isinstance(value, bool):
             return fld.variant_boolean(c) == value
-        same = _COMPARE[op](fld.variant_number(c), F.lit(float(value))) if number else _COMPARE[op](fld.variant_string(c), F.lit(value))
+        same = _numbers(op, c, value) if number else _COMPARE[op](fld.variant_string(c), F.lit(value))
         if op == "$eq":
             return same
         if number:
@@ -146,13 +146,25 @@ def _comparison(op: str, value: Any, kind: str, c: Column, data_type: T.DataType
     return F.lit(False)
 
 
+def _numbers(op: str, c: Column, value: float) -> Column:
+    """A comparison with a number in a VARIANT: as doubles, but whole numbers that doubles cannot tell apart as they are."""
+    as_doubles = _COMPARE[op](fld.variant_number(c), F.lit(float(value)))
+    if isinstance(value, float) or abs(value) < fld.EXACT_DOUBLE or abs(value) >= 2**63:
+        return as_doubles
+    whole = fld.variant_whole(c)
+    return F.when(whole.isNotNull(), _COMPARE[op](whole, F.lit(value).cast("bigint"))).otherwise(as_doubles)
+
+
 def _in(values: tuple, kind: str, c: Column, data_type: T.DataType | None) -> Column:
     if kind != "variant":
         literals = [x for x in (_literal(v, kind, data_type) for v in values) if x is not None]
         return c.isin(*literals) if literals else F.lit(False)
-    numbers = [float(v) for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    every = [v for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    large = [v for v in every if isinstance(v, int) and fld.EXACT_DOUBLE <= abs(v) < 2**63]
+    numbers = [float(v) for v in every if v not in large]
     strings, booleans = [v for v in values if isinstance(v, str)], [v for v in values if isinstance(v, bool)]
     parts = [F.coalesce(of(c).isin(*own), F.lit(False)) for of, own in ((fld.variant_number, numbers), (fld.variant_string, strings), (fld.variant_boolean, booleans)) if own]
+    parts += [F.coalesce(_numbers("$eq", c, v), F.lit(False)) for v in large]
     return reduce(operator.or_, parts) if parts else F.lit(False)
 
 

@@ -96,6 +96,15 @@ def variant_number(v: Column) -> Column:
     return F.when(is_number, F.try_variant_get(v, "$", "double"))
 
 
+#: Whole numbers below this are told apart as doubles.
+EXACT_DOUBLE = 2**53
+
+
+def variant_whole(v: Column) -> Column:
+    """The value as a whole number of 64 bits if it is stored as one, else null."""
+    return F.when(variant_type(v).isin("BIGINT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(v, "$", "bigint"))
+
+
 def variant_string(v: Column) -> Column:
     return F.when(variant_type(v) == "STRING", F.try_variant_get(v, "$", "string"))
 

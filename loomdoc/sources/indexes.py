@@ -175,13 +175,15 @@ def _bound(node, index: Index) -> Column | None:
         kind = "string" if isinstance(value, str) else "number" if isinstance(value, (int, float)) and not isinstance(value, bool) else None
         if kind is None:
             return None
+        # Bounds are doubles; of numbers that these cannot tell apart the nearest ones count as equal.
+        strict = kind == "string" or abs(value) < fld.EXACT_DOUBLE
         value = F.lit(float(value) if kind == "number" else value)
         if op == "$eq":
             return (least[kind] <= value) & (greatest[kind] >= value)
         if op in ("$gt", "$gte"):
-            own = greatest[kind] > value if op == "$gt" else greatest[kind] >= value
+            own = greatest[kind] > value if op == "$gt" and strict else greatest[kind] >= value
             return own | least["string"].isNotNull() if kind == "number" else own
-        own = least[kind] < value if op == "$lt" else least[kind] <= value
+        own = least[kind] < value if op == "$lt" and strict else least[kind] <= value
         return own | least["number"].isNotNull() if kind == "string" else own
 
     if node.operator == "$in":

@@ -131,3 +131,23 @@ def test_projection(spark, tables, typed):
 def test_names_in_other_scripts(spark):
     docs = {"лодка": {"名": "海", "μήκος": 34}, "boat": {"名": "sea", "μήκος": 12}}
     assert fx.ids(find(fx.variant(spark, docs), {"μήκος": {"$gt": 12}, "名": "海"})) == ["лодка"]
+
+
+def test_whole_numbers_beyond_doubles(spark, tmp_path):
+    """Neighbours that are one double, in a VARIANT as in a typed column, and through an index."""
+    import json
+
+    from loomdoc.sources.store import DocumentStore
+
+    n = 9007199254740992
+    values = {"a": n - 1, "b": n, "c": n + 1, "d": n + 2, "e": -n - 1, "f": float(n), "g": str(n), "h": 1.5}
+    typed = spark.createDataFrame([(k, v) for k, v in values.items() if isinstance(v, int)], "_id string, n bigint")
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    store.create_many(spark.createDataFrame([(k, json.dumps({"n": v})) for k, v in values.items()], "_id string, json string"))
+    selectors = {"$eq": n, "$gt": n, "$gte": n + 1, "$lt": n + 1, "$lte": -n - 1, "$in": [n + 1, 3]}
+    for indexed in (False, True):
+        if indexed:
+            store.create_json_index(["n"], "by n")
+        for op, value in selectors.items():
+            whole = [x for x in fx.ids(store.find({"n": {op: value}})) if isinstance(values[x], int)]
+            assert whole == fx.ids(find(typed, {"n": {op: value}})), (op, indexed)

@@ -163,3 +163,15 @@ def test_attachments_of_repaired_revisions(spark):
 
 def test_winners_of_equal_revision_ids(spark):
     assert [r.sequence for r in mvcc.winners(tree(spark, [(4, None, "1-a"), (2, None, "1-a"), (3, None, "1-a")])).collect()] == [2]
+
+
+def test_parents_that_go_round(spark):
+    rows = [(1, "a", 2, "1-x", False, True, "{}"), (2, "a", 1, "2-x", False, True, "{}"), (3, "b", None, "1-y", False, True, "{}")]
+    with pytest.raises(QueryError, match="circle"):
+        mvcc.paths(spark.createDataFrame(rows, mvcc.SCHEMA))
+
+
+def test_paths_of_long_chains(spark):
+    rows = [(i, "a", i - 1 if i > 1 else None, f"{i}-x", False, True, "{}") for i in range(1, 131)]
+    got = {r.sequence: (r.depth, len(r.path)) for r in mvcc.paths(spark.createDataFrame(rows, mvcc.SCHEMA)).collect()}
+    assert got == {i: (i - 1, i) for i in range(1, 131)}
