@@ -483,6 +483,48 @@ def resolve_conflicts_merge(spark, folder):
     return new.select(F.col("_id").alias("id"), F.substring_index("revid", "-", 1).cast("int").alias("generation"), F.get_json_object("json", "$.merged").cast("long").alias("merged"))
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_nationkey AS nation FROM customer WHERE c_custkey % 7 <> 0 ORDER BY id OFFSET 10 LIMIT 200")
+def store_read_all(spark, folder):
+    """A page of all documents in order of their creation, without deleted ones."""
+    from .sources.folders import fresh
+    from .sources.store import DocumentStore
+
+    store = DocumentStore(spark, fresh(spark, "all"))
+    rows = table(spark, folder, "customer")
+    store.force_insert(rows.select(F.col("c_custkey").cast("string").alias("_id"), F.array(F.lit("1-a")).alias("history"), (F.col("c_custkey") % 7 == 0).alias("deleted"), F.to_json(F.struct("c_nationkey")).alias("json")))
+    return store.read_all(offset=10, limit=200).select(F.col("_id").alias("id"), F.get_json_object("json", "$.c_nationkey").cast("int").alias("nation"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, string_agg(r, ',' ORDER BY r) AS missing, max(have) AS ancestors FROM (
+SELECT o_orderkey, unnest(['1-a', '2-b', '3-c']) AS r, CASE WHEN o_orderkey % 3 = 2 THEN '1-a,2-b' WHEN o_orderkey % 3 = 1 THEN '1-a' END AS have, o_orderkey % 3 AS n FROM orders) WHERE CAST(left(r, 1) AS INT) > n GROUP BY o_orderkey""")
+def diff_remote(spark, folder):
+    """A diff request of three revisions for each order, answered from the first ones that are stored, with those that may be ancestors."""
+    from .sources import protocol
+
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("_id"), "o_orderkey")
+    every = F.array(*map(F.lit, ("1-a", "2-b", "3-c")))
+    stored = orders.select((F.col("o_orderkey") * 3).alias("_from"), "_id", F.posexplode(F.slice(every, F.lit(1), (F.col("o_orderkey") % 3).cast("int"))).alias("_pos", "revid"))
+    revs = stored.select((F.col("_from") + F.col("_pos")).alias("sequence"), "_id", F.when(F.col("_pos") > 0, F.col("_from") + F.col("_pos") - 1).alias("parent"), "revid", F.lit(False).alias("deleted"), F.lit(True).alias("available"), F.lit("{}").alias("json"))
+    answer = protocol.diff_response(revs, protocol.diff_requests(orders.select("_id", F.explode(every).alias("revid")), 1000))
+    return answer.select(F.col("_id").alias("id"), F.array_join("missing", ",").alias("missing"), F.array_join("possible_ancestors", ",").alias("ancestors"))
+
+
+@query("""SELECT o_orderkey * 10 AS seq, ['missing parent', 'later parent', 'parent of another document', 'repeated sequence'][o_orderkey % 4 + 1] AS fault FROM orders WHERE o_orderkey % 5 = 0""")
+def tree_faults_all(spark, folder):
+    """Every kind of fault in a table of revisions, one for each fifth order, and none for the others."""
+    orders = table(spark, folder, "orders").select("o_orderkey", (F.col("o_orderkey") * 10).alias("seq"), (F.col("o_orderkey") % 5 == 0).alias("bad"), (F.col("o_orderkey") % 4).alias("kind"))
+    whole = (F.lit(True).alias("available"), F.lit("{}").alias("json"))
+    name = F.col("o_orderkey").cast("string").alias("_id")
+    first = orders.select((F.col("seq") + 1).alias("sequence"), name, F.lit(None).cast("bigint").alias("parent"), F.lit("1-a").alias("revid"), F.lit(False).alias("deleted"), *whole)
+    # Document `x...` owns the parent that another document's revision names.
+    other = orders.where("bad AND kind = 2").select((F.col("seq") + 2).alias("sequence"), F.concat(F.lit("x"), F.col("o_orderkey")).alias("_id"), F.lit(None).cast("bigint").alias("parent"), F.lit("1-b").alias("revid"), F.lit(False).alias("deleted"), *whole)
+    parent = F.when(F.col("kind") == 0, F.col("seq") + 9).when(F.col("kind") == 1, F.col("seq") + 1).when(F.col("kind") == 2, F.col("seq") + 2)
+    wrong = orders.where("bad AND kind < 3").select("seq", name, parent.alias("parent"), F.lit("2-c").alias("revid"))
+    wrong = wrong.select(F.col("seq").alias("sequence"), "_id", "parent", "revid", F.lit(False).alias("deleted"), *whole)
+    twice = orders.where("bad AND kind = 3").select(F.col("seq").alias("sequence"), name, F.lit(None).cast("bigint").alias("parent"), F.explode(F.array(F.lit("1-d"), F.lit("1-e"))).alias("revid"), F.lit(False).alias("deleted"), *whole)
+    return mvcc.faults(first.unionByName(other).unionByName(wrong).unionByName(twice)).select(F.col("sequence").alias("seq"), "fault")
+
+
 @query("SELECT CAST(c_custkey AS VARCHAR) AS id, '2-' || md5(c_name) AS revid, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 <> 0")
 def fetch_missing(spark, folder):
     """Of published revisions those that a diff against what is stored asks for."""
