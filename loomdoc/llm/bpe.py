@@ -33,7 +33,9 @@ from . import shared
 #: Code points of text that are split into words before their new words are encoded, and at most in a stretch of a longer text.
 PIECE_CHARS = 1 << 20
 #: Estimated bytes of the chunks, and of the words, that a task remembers as the last ones; as many again may be older.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 24 << 20
+#: ASCII signs that are no letters, digits or spaces.
+SIGNS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Signs of a word beyond which it shares no states with its neighbours.
 LONG_WORD = 63
 #: Bytes of results in a batch.
@@ -228,6 +230,9 @@ class Splitter:
         self.bytes = {s: b for b, s in enumerate(self.signs)}
         self.calm: set[str] = set()
         self.odd: set[str] = set()
+        # Whether the pattern takes runs of letters and single signs so; it is asked about, like the signs, and not assumed.
+        letters = "".join(map(chr, range(97, 123)))
+        self.letters = self._slow(letters.upper()) == [letters] and all(self._slow(f"Ab{x} tx{x}") == ["ab", x, "tx", x] for x in SIGNS)
 
     def _slow(self, text: str) -> list[str]:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
@@ -243,6 +248,12 @@ class Splitter:
         return self.find(sample.lower()) == self._slow(sample)
 
     def __call__(self, text: str) -> list[str]:
+        if self.letters and text.isascii():
+            # Letters alone are one word; a sign that is no letter, digit or space behind them is another one.
+            if text.isalpha():
+                return [text.lower()]
+            if text[:-1].isalpha() and text[-1] in SIGNS:
+                return [text[:-1].lower(), text[-1]]
         new = set(text) - self.calm
         if new:
             for sign in new - self.odd:
