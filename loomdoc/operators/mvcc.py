@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 import pyarrow as pa
@@ -25,9 +26,9 @@ FREE_ROUNDS = 6
 SCHEMA = "sequence bigint, _id string, parent bigint, revid string, deleted boolean, available boolean, json string"
 
 
-def leaves(revs: DataFrame) -> DataFrame:
-    """Revisions that no revision follows."""
-    return revs.join(revs.select(F.col("parent").alias("_parent")).where("_parent is not null").distinct(), F.col("sequence") == F.col("_parent"), "left_anti")
+def leaves(revs: DataFrame, children: DataFrame | None = None) -> DataFrame:
+    """Revisions that no revision follows; children: those that can follow one, if not all can."""
+    return revs.join((revs if children is None else children).select(F.col("parent").alias("_parent")).where("_parent is not null").distinct(), F.col("sequence") == F.col("_parent"), "left_anti")
 
 
 def rank(revid: str | Column = "revid", deleted: str = "deleted") -> Column:
@@ -38,11 +39,14 @@ def rank(revid: str | Column = "revid", deleted: str = "deleted") -> Column:
 def winners(revs: DataFrame) -> DataFrame:
     """The winning revision of each document, a function of its tree alone.
 
-    Sequences and ranks are aggregated map-side, so no document's tree meets in one task;
-    bodies move once, to be joined with the winners' sequences.
+    Bodies move once, to be joined with the winners' sequences.
     """
-    chosen = leaves(revs).groupBy("_id").agg(F.max_by("sequence", F.struct(rank(), (-F.col("sequence")).alias("first"))).alias("sequence"))
-    return revs.join(chosen.select("sequence"), "sequence", "left_semi").select(*revs.columns)
+    return revs.join(best(leaves(revs)).select("sequence"), "sequence", "left_semi").select(*revs.columns)
+
+
+def best(ends: DataFrame) -> DataFrame:
+    """_id and sequence of the winner among each document's leaves; sequences and ranks are aggregated map-side, so no document's tree meets in one task."""
+    return ends.groupBy("_id").agg(F.max_by("sequence", F.struct(rank(), (-F.col("sequence")).alias("first"))).alias("sequence"))
 
 
 def live(revs: DataFrame) -> DataFrame:
@@ -175,13 +179,16 @@ def merge_history(revs: DataFrame, incoming: DataFrame, last: int | None = None)
         (ends & F.col("deleted")).alias("deleted"), ends.alias("available"), F.when(ends, F.coalesce("json", F.lit("{}"))).otherwise("{}").alias("json"),
     )
     # A revision that is a leaf of one history and an ancestor in another keeps its body; a parent is kept from the history that knows one.
-    best = F.max_by(F.struct("deleted", "available", "json"), F.struct("available", "json"))
-    merged = nodes.groupBy("_id", "revid").agg(best.alias("_best"), F.max("_parent_revid").alias("_parent_revid")).select("_id", "revid", "_best.*", "_parent_revid")
+    kept = F.max_by(F.struct("deleted", "available", "json"), F.struct("available", "json"))
+    merged = nodes.groupBy("_id", "revid").agg(kept.alias("_best"), F.max("_parent_revid").alias("_parent_revid")).select("_id", "revid", "_best.*", "_parent_revid")
     new = merged.join(revs.select("_id", "revid"), ["_id", "revid"], "left_anti").withColumn("_gen", generation())
     new = numbered(new, ["_gen", "_id", "revid"], F.lit(last).cast("bigint"), "sequence")
+    columns = ("sequence", "_id", F.col("_parent").alias("parent"), "revid", "deleted", "available", "json")
+    if not new.where("_parent_revid is not null").limit(1).count():  # roots alone: there is nobody to look for
+        return new.withColumn("_parent", F.lit(None).cast("bigint")).select(*columns)
     stored = revs.groupBy("_id", "revid").agg(F.min("sequence").alias("_parent"))
     known = stored.unionByName(new.select("_id", "revid", F.col("sequence").alias("_parent"))).withColumnRenamed("revid", "_parent_revid")
-    return new.join(known, ["_id", "_parent_revid"], "left").select("sequence", "_id", F.col("_parent").alias("parent"), "revid", "deleted", "available", "json")
+    return new.join(known, ["_id", "_parent_revid"], "left").select(*columns)
 
 
 def compact(revs: DataFrame) -> DataFrame:
@@ -228,27 +235,41 @@ def resolve(revs: DataFrame, resolver: Callable[[str, list[dict]], Any]) -> Data
     that is none, or an error leaves the conflict.  Only the leaves of conflicted documents are gathered, one row
     per document, and resolved in Arrow batches.
     """
-    live_leaves = leaves(revs).where(~F.col("deleted"))
+    return decided(leaves(revs), resolver).select("_id", "kept", "losers", "body")
+
+
+def decided(ends: DataFrame, resolver: Callable[[str, list[dict]], Any]) -> DataFrame:
+    """`resolve` of leaves, with the sequences of the revision that stays (at; of equal ones the first) and of the others (gone)."""
     row = F.struct("revid", "sequence", "parent", "json")
-    gathered = live_leaves.groupBy("_id").agg(F.array_sort(F.collect_list(row)).alias("leaves")).where(F.size("leaves") > 1)
+    gathered = ends.where(~F.col("deleted")).groupBy("_id").agg(F.array_sort(F.collect_list(row)).alias("leaves")).where(F.size("leaves") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for name, own in zip(batch.column("_id").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
-                ids = [x["revid"] for x in own]
+            out: tuple[list, ...] = ([], [], [], [], [], [])
+            for name, own in zip(batch.column("_id").to_pylist(), _dicts(batch.column("leaves")), strict=True):
+                ids, sequences = [x["revid"] for x in own], [x["sequence"] for x in own]
                 try:
-                    decided = resolver(name, own)
-                    stays, body = decided if isinstance(decided, tuple) else (None, decided) if isinstance(decided, dict) else (decided, None)
+                    stays = resolver(name, own)
+                    stays, body = stays if isinstance(stays, tuple) else (None, stays) if isinstance(stays, dict) else (stays, None)
                     text = None if body is None else json.dumps(check_body(body))
                     if stays is None and body is not None:
                         stays = max(ids, key=split_revid)
                 except Exception:  # a resolver that fails leaves the conflict, by contract
                     stays = None
                 if stays in ids:
-                    for column, value in zip(out, (name, stays, [x for x in ids if x != stays], text), strict=True):
+                    gone = [k for k, x in enumerate(ids) if x != stays]
+                    for column, value in zip(out, (name, stays, [ids[k] for k in gone], text, sequences[ids.index(stays)], [sequences[k] for k in gone]), strict=True):
                         column.append(value)
-            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["_id", "kept", "losers", "body"])
+            kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["_id", "kept", "losers", "body", "at", "gone"])
+
+    return gathered.mapInArrow(run, "_id string, kept string, losers array<string>, body string, at bigint, gone array<bigint>")
+
 
-    return gathered.mapInArrow(run, "_id string, kept string, losers array<string>, body string")
+def _dicts(lists: pa.ListArray) -> Iterator[list[dict]]:
+    """Lists of structs as lists of dicts; whole columns are converted, which is many times faster than value by value."""
+    inner = lists.flatten()
+    names = [x.name for x in inner.type]
+    rows = zip(*(x.to_pandas(integer_object_nulls=True).tolist() for x in inner.flatten()), strict=True)
+    for size in lists.value_lengths().to_pylist():
+        yield [dict(zip(names, row, strict=True)) for row in islice(rows, size)]

@@ -144,7 +144,8 @@ class DocumentStore:
             elif self.files.exists(path := f"{path}/_b={bucket % buckets}"):
                 paths.append(path)
         if not paths:
-            return self.spark.createDataFrame([], SCHEMAS[name])
+            # A relation that is known to be empty: the planner drops joins with it.
+            return self.spark.range(0).where("false").select(*(F.lit(None).cast(kind).alias(column) for column, kind in (x.split(" ") for x in SCHEMAS[name].split(", "))))
         # Folders of buckets are no columns.
         return self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(*paths)
 
@@ -168,27 +169,29 @@ class DocumentStore:
         return self._read("revs", self._parts(low, high)).where((F.col("sequence") >= low) & (F.col("sequence") <= high))
 
     def _facts_of(self, name: str, rows: DataFrame | list) -> dict:
-        """What a part is chosen by: the range of its sequences, the range of its ids and a bit for each of the ID_BITS hashes that they have."""
+        """What a part is chosen by: the range of its sequences, the number of its revisions that follow another, the range of its ids and a bit for each of the ID_BITS hashes that they have."""
         if name not in ("revs", "current"):
             return {}
         if isinstance(rows, list):
             ids, sequences = [r[1 if name == "revs" else 0] for r in rows], [r[0] for r in rows]
             bits = reduce(operator.or_, (1 << zlib.crc32(x.encode()) % ID_BITS for x in ids), 0)
-            found = (min(ids, default=None), max(ids, default=None), bits, min(sequences, default=None), max(sequences, default=None))
+            children = sum(r[2] is not None for r in rows) if name == "revs" else 0
+            found = (min(ids, default=None), max(ids, default=None), bits, min(sequences, default=None), max(sequences, default=None), children)
         else:
             bit = F.bit_or(F.expr(f"shiftleft(1L, cast(crc32(cast(_id as binary)) % {ID_BITS} as int))"))
-            found = rows.agg(F.min("_id"), F.max("_id"), bit, F.min("sequence"), F.max("sequence")).first()
+            children = F.count("parent" if name == "revs" else F.lit(None))
+            found = rows.agg(F.min("_id"), F.max("_id"), bit, F.min("sequence"), F.max("sequence"), children).first()
         facts = {"ids": [found[0], found[1], found[2] or 0]}
-        return {**facts, "sequences": [0, -1] if found[3] is None else [found[3], found[4]]} if name == "revs" else facts
+        return {**facts, "sequences": [0, -1] if found[3] is None else [found[3], found[4]], "children": found[5]} if name == "revs" else facts
 
-    def commit(self, added: dict[str, DataFrame | list], replaced: Iterable[str] = (), ready: dict[str, str] | None = None, buckets: int = 0) -> None:
-        """Publishes a version with more rows; the parts of replaced tables are dropped from it, and ready ones (table -> part) are there already.
+    def commit(self, added: dict[str, DataFrame | list], replaced: Iterable[str] = (), ready: dict[str, tuple[str, dict]] | None = None, buckets: int = 0) -> None:
+        """Publishes a version with more rows; the parts of replaced tables are dropped from it, and ready ones (table -> part, its facts) are there already.
         With buckets, tables of documents are written in so many folders by id.
 
         A version is a line of a log: the parts that it adds, or every CHECKPOINT versions all parts.  If another writer was first, this handle takes
         that writer's state and nothing of its own stays visible: its parts are in no manifest.
         """
-        new, facts = {name: [part] for name, part in (ready or {}).items()}, {}
+        new, facts = {name: [part] for name, (part, _) in (ready or {}).items()}, dict((ready or {}).values())
         for name, rows in added.items():
             df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)  # lists are of single writes
             part = f"part-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
@@ -201,8 +204,6 @@ class DocumentStore:
                 df.write.option("parquet.bloom.filter.enabled#_id", "true").parquet(path)
             new[name] = [*new.get(name, []), part]
             facts[part] = facts.get(part, {}) | self._facts_of(name, rows if isinstance(rows, list) else self.spark.read.schema(SCHEMAS[name]).option("recursiveFileLookup", "true").parquet(path))
-        for name, part in (ready or {}).items():
-            facts[part] = self._facts_of(name, self._read(name, [part]))
         # A part without rows has no folder for a bucket to be read from.
         facts = {k: {x: y for x, y in v.items() if x != "buckets" or v["ids"][0] is not None} for k, v in facts.items() if v}
         last = max([self.manifest["last_sequence"], *(x["sequences"][1] for x in facts.values() if "sequences" in x)])
@@ -292,7 +293,9 @@ class DocumentStore:
 
     def pointers(self) -> DataFrame:
         """_id and sequence of each document's current revision; the last commit wins."""
-        return self.table("current").groupBy("_id").agg(F.max_by("sequence", F.struct("commit", "sequence")).alias("sequence"))
+        rows = self.table("current")
+        # A commit has one pointer of a document.
+        return rows.select("_id", "sequence") if len(self.manifest["parts"]["current"]) == 1 else rows.groupBy("_id").agg(F.max_by("sequence", "commit").alias("sequence"))
 
     def current(self) -> DataFrame:
         """The revision that each document's pointer names, deleted ones included."""
@@ -520,7 +523,7 @@ class DocumentStore:
         """Merges histories (_id, history oldest first, deleted, json); the number of new revisions."""
         before = self.last_sequence
         self._merge(mvcc.merge_history(self.revs, incoming, max(before, 0)))
-        return self.revs.where(F.col("sequence") > before).count() if self.last_sequence > before else 0
+        return max(self.last_sequence, 0) - max(before, 0)  # new ones are numbered without a gap
 
     def create_with_history(self, doc_id: str, body: dict, start: int, ids: Sequence[str], deleted: bool = False) -> Row:
         """A revision with its history, ids from it to its root."""
@@ -530,19 +533,29 @@ class DocumentStore:
         self.force_insert(self.spark.createDataFrame([(doc_id, history, deleted, json.dumps(rv.check_body(body)))], "_id string, history array<string>, deleted boolean, json string"))
         return self.read(doc_id, history[-1])
 
-    def _merge(self, new: DataFrame, inherits: bool = False) -> None:
-        """Appends revisions and points their documents to the winners; if they inherit, those that are not deleted have their parents' attachments."""
+    def _merge(self, new: DataFrame, pointers: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Appends revisions and points their documents to the winners.  Where the caller knows these, pointers(appended) gives their _id and
+        sequence; then revisions that are not deleted have their parents' attachments."""
         part = f"part-{self.version + 1:012d}-{uuid.uuid4().hex[:8]}"
         new.write.parquet(f"{self.path}/revs/{part}")
         written = self.spark.read.schema(SCHEMAS["revs"]).parquet(f"{self.path}/revs/{part}")
-        if not written.limit(1).count():
+        facts = self._facts_of("revs", written)
+        if facts["ids"][0] is None:
             return
-        every = self.revs.unionByName(written).join(written.select("_id").distinct(), "_id", "left_semi")
-        added = {"current": mvcc.winners(every).select("_id", "sequence", F.lit(self.version + 1).cast("bigint").alias("commit"))}
-        if inherits and self.manifest["parts"]["attachments"]:
+        if pointers is None:
+            every = self.revs.join(written.select("_id").distinct(), "_id", "left_semi").select(*written.columns).unionByName(written)
+            current = mvcc.best(mvcc.leaves(every) if facts["children"] or self._parents() else every)
+        else:
+            current = pointers(written)
+        added = {"current": current.select("_id", "sequence", F.lit(self.version + 1).cast("bigint").alias("commit"))}
+        if pointers is not None and self.manifest["parts"]["attachments"]:
             own = written.where(~F.col("deleted")).select(F.col("sequence").alias("_child"), F.col("parent").alias("sequence"))
             added["attachments"] = self.table("attachments").join(own, "sequence").select(F.col("_child").alias("sequence"), "filename", "key", "type", "encoding", "length", "revpos")
-        self.commit(added, ready={"revs": part})
+        self.commit(added, ready={"revs": (part, facts)})
+
+    def _parents(self) -> list[str]:
+        """Parts of revs that can have a revision that follows another."""
+        return [x for x in self.manifest["parts"]["revs"] if self._facts(x).get("children") != 0]
 
     # Conflicts
 
@@ -555,19 +568,23 @@ class DocumentStore:
         resolver(id, its live leaves) returns the revision id that stays, a new body to go under the winner, or (revision id, new body).  The other
         leaves get tombstones, a body becomes a child of the leaf that stays, with that leaf's attachments.  None or an error leaves a conflict.
         """
-        return self._resolve(self.revs, resolver)
-
-    def _resolve(self, revs: DataFrame, resolver: Callable[[str, Any], Any]) -> int:
-        decided = folders.written(mvcc.resolve(revs, resolver), "resolved")
-        ends = mvcc.leaves(revs).select("_id", "revid", F.col("sequence").alias("parent"))
-        lost = decided.select("_id", F.explode("losers").alias("revid"), F.lit(True).alias("deleted"), F.lit("{}").alias("json"))
-        merged = decided.where("body is not null").select("_id", F.col("kept").alias("revid"), F.lit(False).alias("deleted"), F.col("body").alias("json"))
-        rows = lost.unionByName(merged).join(ends, ["_id", "revid"])
+        parts = self._parents()
+        return self._resolve(mvcc.leaves(self.revs, self._read("revs", parts)) if parts else self.revs, resolver)
+
+    def _resolve(self, leaves: DataFrame, resolver: Callable[[str, Any], Any]) -> int:
+        decided = folders.written(mvcc.decided(leaves, resolver), "resolved")
+        ends = F.explode(F.arrays_zip(F.col("losers").alias("revid"), F.col("gone").alias("parent"))).alias("_end")
+        lost = decided.select("_id", ends).select("_id", "_end.revid", "_end.parent", F.lit(True).alias("deleted"), F.lit("{}").alias("json"))
+        merged = decided.where("body is not null").select("_id", F.col("kept").alias("revid"), F.col("at").alias("parent"), F.lit(False).alias("deleted"), F.col("body").alias("json"))
+        rows = lost.unionByName(merged)
         hashed = F.md5(F.concat_ws("\0", "_id", "revid", F.when(~F.col("deleted"), F.col("json"))))
         child = F.concat((rv.generation() + 1).cast("string"), F.lit("-"), hashed)
         rows = rows.select("_id", "parent", child.alias("revid"), "deleted", F.lit(True).alias("available"), "json")
         before = self.last_sequence
-        self._merge(mvcc.numbered(rows, ["_id", "revid"], F.lit(before).cast("bigint"), "sequence").select("sequence", "_id", "parent", "revid", "deleted", "available", "json"), inherits=True)
+        # Of a resolved document one leaf is not deleted, and so wins: the new body, or else what stays.
+        stays = decided.where("body is null and size(losers) > 0").select("_id", F.col("at").alias("sequence"))
+        numbered = mvcc.numbered(rows, ["_id", "revid"], F.lit(before).cast("bigint"), "sequence").select("sequence", "_id", "parent", "revid", "deleted", "available", "json")
+        self._merge(numbered, lambda new: new.where(~F.col("deleted")).select("_id", "sequence").unionByName(stays))
         folders.discard(decided)
         return self.last_sequence - before
 
@@ -587,7 +604,7 @@ class DocumentStore:
         decision = rv.check_body(kept) if isinstance(kept, dict) else kept.revid
         if decision is None:
             raise QueryError("the revision that stays has no id")
-        self._resolve(self._of_id("revs", doc_id), lambda name, _: decision)
+        self._resolve(mvcc.leaves(self._of_id("revs", doc_id)), lambda name, _: decision)
         if isinstance(kept, dict):
             row = self.read(doc_id)
             self.bus.post(ev.DocumentUpdated(doc_id, max((r.revid for r in leaves), key=rv.split_revid), row.revid))
