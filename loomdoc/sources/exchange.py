@@ -1,8 +1,9 @@
 """Change feed pages and requests as data sources: read in parallel, streamed by sequence, written with commits.
 
-`loomdoc_changes` reads a folder of change feed pages.  Each page file has a range of sequences: `index_pages` finds the ranges of all
-files as a Spark job and keeps them in the folder; a file that is not in that index yet is looked at once by the reader that meets it.  Files
-whose ranges overlap make a cluster, in which a result that several pages list is taken once; clusters are the partitions.  Conditions
+`loomdoc_changes` reads a folder of change feed pages.  Each stretch of about STRETCH_BYTES of a page file has a range of sequences: `index_pages` finds the
+ranges of all files as a Spark job and keeps them in the folder; a file that is not in that index yet is looked at once by the reader that meets it.  Stretches
+whose ranges overlap make a cluster, in which a result that several pages list is taken once; partitions are neighbouring clusters, and a task holds
+one of them at a time, however large files and partitions are.  Conditions
 on `number` (the number that a sequence starts with), on `_id` and on `deleted` reach the source: clusters out of the range are not opened.
 
 `loomdoc_requests` writes requests of the protocol, a row's `value` being one document, one document's diff, or one checkpoint.
@@ -12,10 +13,11 @@ batch, and readers read named files alone.  A batch that runs again finds its co
 
 from __future__ import annotations
 
+import codecs
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,8 @@ CHANGES = "seq string, _id string, revids array<string>, deleted boolean, number
 INDEX, COMMITS = "_pages.json", "_commits"
 #: Bytes of the pages that one partition reads at most, if they are not one cluster, and the least and the number of partitions that fewer bytes are dealt to.
 PARTITION_BYTES, LEAST_BYTES, PARTITIONS = 32 << 20, 1 << 16, 16
+#: Bytes of neighbouring pages of a file that are found and read together, if each goes on behind the one before.
+STRETCH_BYTES = 1 << 20
 KINDS = ("bulk", "diff", "checkpoint")
 
 
@@ -112,50 +116,113 @@ def results(text: str) -> Iterator[tuple[int, tuple]]:
             yield number, (str(r["seq"]), r["id"], [c["rev"] for c in r["changes"]], bool(r.get("deleted")), number, None if doc is None else json.dumps(doc))
 
 
+def placed(path: str) -> Iterator[tuple[int, int, dict]]:
+    """(first byte, byte behind the last, object) of a file's JSON objects; in memory are a block of the file and the objects that end in it."""
+    at, where = _files(path)
+    decoder, begin, held, last = json.JSONDecoder(), 0, b"", False
+    try:
+        source = at.open_input_stream(where, compression=None)
+    except FileNotFoundError:
+        return
+    with source:
+        while not last:
+            # An object that has not ended is tried again when twice as much of it is there.
+            block = source.read(max(STRETCH_BYTES, len(held)))
+            held, last = held + block, not block
+            text, end, done = codecs.getincrementaldecoder("utf-8")().decode(held, last), 0, 0
+            while True:
+                start = end
+                while start < len(text) and text[start].isspace():
+                    start += 1
+                if start == len(text):
+                    break
+                try:
+                    found, stop = decoder.raw_decode(text, start)
+                except json.JSONDecodeError:
+                    if last:
+                        raise
+                    break
+                first = done + len(text[end:start].encode())
+                done, end = first + len(text[start:stop].encode()), stop
+                yield begin + first, begin + done, found
+            held, begin = held[done:], begin + done
+
+
 @dataclass(frozen=True)
 class Page:
-    """A page file: its name and size, the range of its sequences (low > high: none) and the number of its results."""
+    """Pages that stand together in a file: its name and size, the range of their sequences (low > high: none), the number of their results, and their bytes; without these, the whole file."""
 
     name: str
     size: int
     low: int
     high: int
     count: int
+    start: int = 0
+    stop: int | None = None
 
+    @property
+    def bytes(self) -> int:
+        return (self.size if self.stop is None else self.stop) - self.start
+
+    def text(self, folder: str) -> str:
+        if self.bytes == self.size:
+            return _read(f"{folder}/{self.name}") or ""
+        at, where = _files(f"{folder}/{self.name}")
+        with at.open_input_file(where) as source:
+            source.seek(self.start)
+            return source.read(self.bytes).decode()
+
+
+def pages_of(folder: str, name: str, size: int) -> list[Page]:
+    """The stretches of a page file."""
+    out = [Page(name, size, 0, -1, 0, 0, 0)]
+    for start, stop, page in placed(f"{folder}/{name}"):
+        numbers = [number_of(r["seq"]) for r in page["results"]]
+        own, last = Page(name, size, min(numbers, default=0), max(numbers, default=-1), len(numbers), start, stop), out[-1]
+        if not last.count:
+            out[-1] = replace(own, start=last.start)
+        elif not own.count or stop - last.start <= STRETCH_BYTES and last.high < own.low:
+            out[-1] = replace(last, high=max(last.high, own.high), count=last.count + own.count, stop=stop)
+        else:
+            out.append(own)
+    return [*out[:-1], replace(out[-1], stop=size)]
 
-def page_of(name: str, size: int, text: str) -> Page:
-    numbers = [n for n, _ in results(text)]
-    return Page(name, size, min(numbers, default=0), max(numbers, default=-1), len(numbers))
+
+#: Columns of the index.
+PAGE = [x.name for x in fields(Page)]
 
 
 def index_pages(spark: SparkSession, path: str) -> int:
-    """Writes the index of a folder's pages, reading those that it does not have yet as a Spark job; the number of pages."""
+    """Writes the index of a folder's pages, reading those that it does not have yet as a Spark job; the number of page files."""
     known, missing = _listed(path)
     if missing:
         names = spark.createDataFrame(missing, "name string, size bigint").repartition(max(1, min(len(missing), spark.sparkContext.defaultParallelism)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                pages = [page_of(n, s, _read(f"{path}/{n}") or "") for n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([getattr(p, x) for p in pages], pa.string() if x == "name" else pa.int64()) for x in ("name", "size", "low", "high", "count")], ["name", "size", "low", "high", "count"])
+                for n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    pages = pages_of(path, n, s)
+                    yield pa.RecordBatch.from_arrays([pa.array([getattr(p, x) for p in pages], pa.string() if x == "name" else pa.int64()) for x in PAGE], PAGE)
 
-        # One row for each page file comes to the driver.
-        known += [Page(*r) for r in names.mapInArrow(run, "name string, size bigint, low bigint, high bigint, count bigint").collect()]
-        _write(f"{path}/{INDEX}", json.dumps([[p.name, p.size, p.low, p.high, p.count] for p in sorted(known, key=lambda p: p.name)]))
-    return len(known)
+        # One row for each stretch of a page file comes to the driver.
+        known += [Page(*r) for r in names.mapInArrow(run, ", ".join(f"{x} {'string' if x == 'name' else 'bigint'}" for x in PAGE)).collect()]
+        _write(f"{path}/{INDEX}", json.dumps([[getattr(p, x) for x in PAGE] for p in sorted(known, key=lambda p: (p.name, p.start))]))
+    return len({p.name for p in known})
 
 
 def _listed(path: str) -> tuple[list[Page], list[tuple[str, int]]]:
-    """Pages that the index has as they are now, and (name, size) of the others."""
+    """Pages that the index has as they are now, and (name, size) of the other files."""
     from pyarrow import fs
 
     at, where = _files(path)
-    index = {x[0]: Page(*x) for x in json.loads(_read(f"{path}/{INDEX}") or "[]")}
+    index: dict[tuple[str, int], list[Page]] = {}
+    for x in json.loads(_read(f"{path}/{INDEX}") or "[]"):
+        index.setdefault((x[0], x[1]), []).append(Page(*x))
     known, missing = [], []
     for info in at.get_file_info(fs.FileSelector(where, recursive=False)):
         if info.is_file and not info.base_name.startswith((".", "_")):
-            page = index.get(info.base_name)
-            known.append(page) if page and page.size == info.size else missing.append((info.base_name, info.size))
+            key = info.base_name, info.size
+            known.extend(index[key]) if key in index else missing.append(key)
     return known, sorted(missing)
 
 
@@ -165,14 +232,14 @@ class Pages:
 
     path: str
     partition_bytes: int | None = None
-    seen: dict[tuple[str, int], Page] = field(default_factory=dict)
+    seen: dict[tuple[str, int], list[Page]] = field(default_factory=dict)
 
     def all(self) -> list[Page]:
         known, missing = _listed(self.path)
         for key in missing:
             if key not in self.seen:
-                self.seen[key] = page_of(*key, _read(f"{self.path}/{key[0]}") or "")
-        return sorted([*known, *(self.seen[k] for k in missing)], key=lambda p: (p.low, p.high, p.name))
+                self.seen[key] = pages_of(self.path, *key)
+        return sorted([*known, *(p for k in missing for p in self.seen[k])], key=lambda p: (p.low, p.high, p.name, p.start))
 
     def clusters(self, above: int, upto: int | None) -> list[list[Page]]:
         """Pages with a sequence in (above, upto], those whose ranges overlap together, by sequence."""
@@ -191,23 +258,29 @@ class Pages:
 
 @dataclass
 class Cluster(InputPartition):
-    """Page files, and which of their results are wanted."""
+    """Neighbouring clusters of pages, and which of their results are wanted."""
 
-    names: tuple[str, ...]
+    clusters: tuple[tuple[Page, ...], ...]
     above: int
     upto: int | None
     ids: frozenset[str] | None = None
     deleted: bool | None = None
 
+    @property
+    def names(self) -> list[str]:
+        return list(dict.fromkeys(p.name for pages in self.clusters for p in pages))
+
 
-def read_cluster(path: str, part: Cluster) -> list[tuple[int, tuple]]:
-    """Results by sequence, each once."""
-    found = {}
-    for name in part.names:
-        for number, row in results(_read(f"{path}/{name}") or ""):
-            if number > part.above and (part.upto is None or number <= part.upto) and (part.ids is None or row[1] in part.ids) and (part.deleted is None or row[3] == part.deleted):
-                found[number, row[1]] = row
-    return [(k[0], found[k]) for k in sorted(found)]
+def read_cluster(path: str, part: Cluster) -> Iterator[tuple[int, tuple]]:
+    """Results by sequence, each once; no two clusters share a sequence, so one of them is in memory."""
+    for pages in part.clusters:
+        found = {}
+        for page in pages:
+            for number, row in results(page.text(path)):
+                if number > part.above and (part.upto is None or number <= part.upto) and (part.ids is None or row[1] in part.ids) and (part.deleted is None or row[3] == part.deleted):
+                    found[number, row[1]] = row
+        for key in sorted(found):
+            yield key[0], found[key]
 
 
 def _end(pages: Pages, above: int, upto: int | None, limit: int) -> int | None:
@@ -217,7 +290,7 @@ def _end(pages: Pages, above: int, upto: int | None, limit: int) -> int | None:
         if len(cluster) == 1 and cluster[0].low > above and (upto is None or cluster[0].high <= upto) and cluster[0].count < left:
             left -= cluster[0].count
             continue
-        rows = read_cluster(pages.path, Cluster(tuple(p.name for p in cluster), above, upto))
+        rows = list(read_cluster(pages.path, Cluster((tuple(cluster),), above, upto)))
         if len(rows) >= left:
             return rows[left - 1][0]
         left -= len(rows)
@@ -226,19 +299,19 @@ def _end(pages: Pages, above: int, upto: int | None, limit: int) -> int | None:
 
 def _partitions(pages: Pages, above: int, upto: int | None, **wanted) -> list[Cluster]:
     """Neighbouring clusters together, as long as they are small."""
-    out: list[list[Page]] = []
+    out: list[list[tuple[Page, ...]]] = []
     clusters = pages.clusters(above, upto)
-    most = pages.partition_bytes or max(LEAST_BYTES, min(PARTITION_BYTES, sum(p.size for x in clusters for p in x) // PARTITIONS))
+    most = pages.partition_bytes or max(LEAST_BYTES, min(PARTITION_BYTES, sum(p.bytes for x in clusters for p in x) // PARTITIONS))
     size = 0
     for cluster in clusters:
-        own = sum(p.size for p in cluster)
+        own = sum(p.bytes for p in cluster)
         if out and size + own <= most:
-            out[-1] += cluster
+            out[-1].append(tuple(cluster))
             size += own
         else:
-            out.append(list(cluster))
+            out.append([tuple(cluster)])
             size = own
-    return [Cluster(tuple(p.name for p in x), above, upto, **wanted) for x in out]
+    return [Cluster(tuple(x), above, upto, **wanted) for x in out]
 
 
 class ChangesReader(DataSourceReader):

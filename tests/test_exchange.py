@@ -168,3 +168,25 @@ def test_objects_of_a_file():
     assert list(exchange.objects(' {"a":\n{"b": 1}}\n{"c": 2} {"d": 3}\n')) == [{"a": {"b": 1}}, {"c": 2}, {"d": 3}] and list(exchange.objects(" \n")) == []
     with pytest.raises(QueryError):
         exchange.RequestsSource({"path": "x", "kind": "z"})._writer(type("S", (), {"names": ["value"]})(), False)
+
+
+def test_stretches_of_large_files(spark, tmp_path, monkeypatch):
+    """Pages of one file are found and read stretch by stretch, in whatever order and spacing they stand."""
+    folder = tmp_path / "large"
+    folder.mkdir()
+    rows = [page(*range(10 * k + 1, 10 * k + 11)) for k in range(60)]
+    rows[7] = rows[7].replace("d1", "é中" * 400)  # a page larger than a stretch, of signs of several bytes
+    (folder / "a.json").write_text(" \n" + "\n".join(rows[:20]) + "\n\n" + page() + "".join(reversed(rows[20:40])) + "\n")
+    (folder / "b.json").write_text("\n".join([*rows[40:], page(595, 601, indent=1)]))
+    monkeypatch.setattr(exchange, "STRETCH_BYTES", 2000)
+    stretches = {name: exchange.pages_of(str(folder), name, (folder / name).stat().st_size) for name in ("a.json", "b.json")}
+    for name, own in stretches.items():
+        assert "".join("".join(p.text(str(folder)) for p in own).split()) == "".join((folder / name).read_text().split()) and sum(p.count for p in own) == {"a.json": 400, "b.json": 202}[name]
+        assert len(own) > 10 and all(p.bytes <= 2000 or p.count == 10 for p in own)
+    pages = exchange.Pages(str(folder), 1)
+    parts = exchange.ChangesReader(pages, 0, None).partitions()
+    assert len(parts) > 30 and max(len(x) for p in parts for x in p.clusters) == 2
+    assert [n for p in parts for n, _ in exchange.read_cluster(str(folder), p)] == list(range(1, 602))
+    assert exchange.index_pages(spark, str(folder)) == 2
+    read = spark.read.format("loomdoc_changes").load(str(folder))
+    assert numbers(read) == list(range(1, 602)) and numbers(read.where("number > 195 AND number <= 204")) == list(range(196, 205))
