@@ -255,9 +255,9 @@ class TextIndex:
             return F.when(fld.variant_exists(field.column), F.try_variant_get(field.column, "$", "string"))
         return field.column if isinstance(field.type, T.StringType) else field.column.cast("string")
 
-    def texts(self) -> dict[str, Column]:
-        """The tokens of each field, as ` token token `."""
-        return {name: self.tokenizer.column(self._text(f)) for name, f in self.found.items()}
+    def texts(self, plain: bool = False) -> dict[str, Column]:
+        """The tokens of each field, as ` token token `, or its plain text."""
+        return {name: self._text(f) if plain else self.tokenizer.column(self._text(f)) for name, f in self.found.items()}
 
     def __call__(self, search: str) -> Column:
         """The condition of a search."""

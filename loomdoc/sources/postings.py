@@ -1,7 +1,7 @@
 """A stored text index: positional postings of a store's revisions in sorted, immutable segments.
 
 A posting is (term, field, sequence, places): where a term stands in one field of one revision.  A refresh inverts the
-revisions that came since the last one, in Arrow batches and without a shuffle, and appends them as a segment: Parquet files sorted by ranges
+revisions that came since the last one, in Arrow batches and without a shuffle, once, and appends them as a segment: Parquet files sorted by ranges
 of (term, field, sequence), so a frequent term spans several files and no task holds all of it.  Sequences and places are stored as
 differences (Parquet's delta encoding).  Each segment has a sparse directory, the first and last term of every file; a search opens
 the files that can have its words, with the words as Parquet filters, and reads places only if phrases or distances ask for them.  Segments are merged in geometric sizes,
@@ -19,25 +19,33 @@ import operator
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tokens import LOWER, UPPER, Tokenizer
 from ..operators import positions
 from ..operators.text import Parser, TextIndex, needs_places, word_atoms
 from ..plans.errors import QueryError
+from . import folders
 from .indexes import Index
 
 SCHEMA = "term string, field int, sequence bigint, places array<int>"
 #: Segments from which a refresh merges the last ones.
 MERGE_SEGMENTS = 8
-#: Postings in a batch of an inverted text.
-BATCH_POSTINGS = 1 << 16
+#: Tokens that are inverted together.
+BATCH_TOKENS = 1 << 18
 #: Format options: data pages with delta encoding in place of a dictionary for what only grows.
 FORMAT = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#sequence": "false", "parquet.enable.dictionary#places.list.element": "false"}
 
+#: The simple tokenizer on bytes of UTF-8: ASCII in lower case, and what is no part of a token as a space.
+SIMPLE = bytes(x if x > 127 or chr(x).isalnum() else 32 for x in range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
+
 
 @dataclass(frozen=True)
 class Segment:
@@ -53,32 +61,47 @@ class Segment:
         return sum(x[3] for x in self.files)
 
 
-def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sequence, texts as ` token token `) to postings; a posting's places are in order."""
-    terms: list[str] = []
-    fields: list[int] = []
-    sequences: list[int] = []
-    places: list[list[int]] = []
+def inverted(batches: Iterator[pa.RecordBatch], plain: bool = False) -> Iterator[pa.RecordBatch]:
+    """(sequence, texts as ` token token `) to postings; a posting's places are in order, and the postings of a batch in the order of a segment.
+
+    With plain, texts are as they stand, to be cut into simple tokens.
+    """
+    tokens: list[bytes] = []
+    rows: list[tuple[int, int, int]] = []  # field, sequence, number of tokens
 
     def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(fields, pa.int32()), pa.array(sequences, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["term", "field", "sequence", "places"])
-        for x in (terms, fields, sequences, places):
-            x.clear()
-        return made
+        field, sequence, size = np.array(rows, np.int64).T
+        by_row = np.lexsort((sequence, field))
+        row_rank = np.empty_like(by_row)
+        row_rank[by_row] = np.arange(len(rows))
+        coded = pa.array(tokens, pa.binary()).dictionary_encode()
+        by_term = pc.sort_indices(coded.dictionary).to_numpy()
+        term_rank = np.empty(len(by_term), np.int64)
+        term_rank[by_term] = np.arange(len(by_term))
+        keys = term_rank[coded.indices.to_numpy()] * len(rows) + np.repeat(row_rank, size)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        places = (np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size))[order].astype(np.int32)
+        term, row = np.divmod(keys[heads], len(rows))
+        of = by_row[row]
+        columns = [coded.dictionary.take(pa.array(by_term[term])).cast(pa.string()), pa.array(field[of], pa.int32()), pa.array(sequence[of]), pa.ListArray.from_arrays(np.append(heads, len(keys)).astype(np.int32), places)]
+        tokens.clear()
+        rows.clear()
+        return pa.RecordBatch.from_arrays(columns, ["term", "field", "sequence", "places"])
 
     for batch in batches:
-        for sequence, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            for field, text in enumerate(texts.as_py()):
-                found: dict[str, list[int]] = {}
-                for at, term in enumerate(x for x in (text or "").split(" ") if x):
-                    found.setdefault(term, []).append(at)
-                terms += found.keys()
-                places += found.values()
-                fields += [field] * len(found)
-                sequences += [sequence] * len(found)
-                if len(terms) >= BATCH_POSTINGS:
+        lists = batch.column(1)
+        texts = iter(lists.flatten().cast(pa.binary()))
+        for sequence, size in zip(batch.column(0).to_pylist(), lists.value_lengths().to_pylist(), strict=True):
+            for field, text in enumerate(islice(texts, size)):
+                found = (text.as_py() or b"").translate(SIMPLE).split() if plain else [x for x in (text.as_py() or b"").split(b" ") if x]
+                if found:
+                    tokens += found
+                    rows.append((field, sequence, len(found)))
+                if len(tokens) >= BATCH_TOKENS:
                     yield out()
-    if terms:
+    if tokens:
         yield out()
 
 
@@ -114,17 +137,26 @@ class StoredTextIndex:
         path = f"{self.folder}/{name}"
         order = ["term", "field", "sequence"]
         postings.repartitionByRange(*order).sortWithinPartitions(*order).write.options(**FORMAT).parquet(f"{path}/postings")
-        written = self.store.spark.read.schema(SCHEMA).parquet(f"{path}/postings")
-        # One row for each file, not for each term, comes to the driver.
-        files = written.groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(F.min("term").alias("first"), F.max("term").alias("last"), F.count(F.lit(1)).alias("n")).collect()
-        self.store.files.publish(f"{path}/directory.json", json.dumps(sorted([r.file, r.first, r.last, r.n] for r in files)))
+        self.store.files.publish(f"{path}/directory.json", json.dumps(self._directory(self.store.spark.read.schema(SCHEMA).parquet(f"{path}/postings"))))
 
-    def _texts(self, low: int, high: int) -> DataFrame:
-        """Fields of the revisions low..high that have a body, cut into tokens."""
+    def _directory(self, written: DataFrame) -> list[list]:
+        """Each file's name, first and last term and number of postings.  Files are sorted, so only their first and last rows are looked at."""
+        rows = written.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at"), "term")
+        # One row for each file, not for each term, comes to the driver.
+        sizes = {r.file: r.n for r in rows.groupBy("file").agg((F.max("at") + 1).alias("n")).collect()}
+        if not sizes:
+            return []
+        last = self.store.spark.createDataFrame([(k, n - 1) for k, n in sizes.items()], "file string, last bigint")
+        ends = rows.join(F.broadcast(last), "file").where((F.col("at") == 0) | (F.col("at") == F.col("last")))
+        found = ends.groupBy("file").agg(F.min("term").alias("first"), F.max("term").alias("last")).collect()
+        return sorted([r.file, r.first, r["last"], sizes[r.file]] for r in found)
+
+    def _texts(self, low: int, high: int, plain: bool) -> DataFrame:
+        """Fields of the revisions low..high that have a body, cut into tokens, or plain."""
         revs = self.store.revisions(low, high).where(~F.col("deleted") & F.col("json").isNotNull())
         docs = revs.select("_id", F.col("revid").alias("_rev"), "sequence", F.parse_json("json").alias("body"))
         found = TextIndex(docs, [x for x in self.index.fields if x not in ("_id", "_rev")], self.index.tokenizer)
-        by_name = found.texts()
+        by_name = found.texts(plain)
         return docs.select("sequence", F.array(*[by_name[x] for x in self.index.fields]).alias("texts"))
 
     def refresh(self) -> None:
@@ -133,7 +165,11 @@ class StoredTextIndex:
         last = max(self.store.last_sequence, 0)
         if last > self.last_sequence:
             low = self.last_sequence + 1
-            self._write(self._texts(low, last).mapInArrow(inverted, SCHEMA), low, last)
+            plain = self.index.tokenizer == Tokenizer()
+            # Ranges are found from a sample, for which texts would be inverted a second time.
+            postings = folders.written(self._texts(low, last, plain).mapInArrow(partial(inverted, plain=plain), SCHEMA), "inverted")
+            self._write(postings, low, last)
+            folders.discard(postings)
             self.load()
         if len(self.segments) > MERGE_SEGMENTS:
             self.merge()
